@@ -96,11 +96,14 @@ def score(docs: DataFrame, log_ratio: np.ndarray) -> DataFrame:
 
 def mean_ratio():
     """Log ratio per n-gram, shrunk toward zero in texts of few n-grams."""
-    return F.col("log_ratio") / (F.col("n_grams") + F.lit(8))
+    return F.col("log_ratio") / (F.col("n_grams") + F.lit(30))
 
 
 def cut_point(scored: DataFrame, labels: DataFrame, sample: int) -> float:
-    """The mean ratio that best tells labelled good rows from bad ones, on a bounded sample."""
+    """The mean ratio that best tells labelled good rows from bad ones, on a bounded sample.
+
+    Losing a share of the good rows weighs five times keeping the same share of the bad ones.
+    """
     lab = labels.where("quality is not null").select(F.col("doc_id").alias("__lab_id"), "quality").dropDuplicates(["__lab_id"])
     lab = lab.orderBy(F.xxhash64("__lab_id"), "__lab_id").limit(sample)
     rows = scored.join(F.broadcast(lab), scored["doc_id"] == lab["__lab_id"]).select("s", "quality").collect()
@@ -110,12 +113,12 @@ def cut_point(scored: DataFrame, labels: DataFrame, sample: int) -> float:
         return float("-inf")
     at = np.unique(np.concatenate((good, bad)))
     at = np.concatenate(([at[0] - 1], (at[1:] + at[:-1]) / 2))
-    wrong = np.searchsorted(good, at) / len(good) + 1 - np.searchsorted(bad, at) / len(bad)
+    wrong = 5 * np.searchsorted(good, at) / len(good) + 1 - np.searchsorted(bad, at) / len(bad)
     best = np.flatnonzero(wrong <= wrong.min() + 1e-12)
     return float(at[best[len(best) // 2]])
 
 
-def resample(docs: DataFrame, labels: DataFrame, sample: int = 20_000, temperature: float = 0.02, keep: int | None = None, seed: int = 11, buckets: int = BUCKETS) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, sample: int = 20_000, temperature: float = 0.01, keep: int | None = None, seed: int = 11, buckets: int = BUCKETS) -> DataFrame:
     """SCORES with `sort_key`, `threshold` and `kept` for each row, by Gumbel top-k.
 
     The target model learns from up to `sample` labelled documents of quality 1 (the bound, chosen

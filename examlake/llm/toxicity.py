@@ -39,12 +39,14 @@ def logit(p):
     return np.log(p / (1 - p))
 
 
-def train(rows: list[np.ndarray], earlier: np.ndarray, y: np.ndarray, epochs: int = 4, alpha: float = 0.1, l1: float = 1.0, l2: float = 1.0, seed: int = 5) -> np.ndarray:
+def train(rows: list[np.ndarray], earlier: np.ndarray, y: np.ndarray, epochs: int = 6, alpha: float = 0.3, l1: float | None = None, l2: float = 0.1, seed: int = 5) -> np.ndarray:
     """Logistic regression by follow-the-regularized-leader; most weights end at zero.
 
-    The weights of the DIM hashed features, then one for each earlier category's logit, then the bias.
+    l1 grows with the positive examples by default, from 0.5 to 12, so that what is common to a few
+    of many examples is not learned. The weights of the DIM hashed features, then one for each earlier category's logit, then the bias.
     """
     extra = earlier.shape[1] + 1
+    l1 = float(np.clip(0.018 * y.sum(), 0.5, 12)) if l1 is None else l1
     z, n = np.zeros(DIM + extra), np.zeros(DIM + extra)
     tail = np.arange(DIM, DIM + extra)
     rng = np.random.default_rng(seed)
