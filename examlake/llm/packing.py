@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from collections.abc import Iterator
@@ -22,42 +23,98 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _UNUSUAL = re.compile(r"[^\t\n\r\x20-\x7e\u00a0-\u024f]|<\|")
 
 
+class _Ragged:
+    """Strings to runs of ids, the runs end to end in one array."""
+
+    def __init__(self):
+        self.at: dict[str, int] = {}
+        self.starts, self.ids = np.zeros(1, np.int64), np.zeros(0, "<u4")
+
+    def add(self, names: list[str], ids, lengths) -> None:
+        self.at.update(zip(names, range(len(self.at), len(self.at) + len(names)), strict=True))
+        self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(np.asarray(lengths, np.int64)))
+        self.ids = np.append(self.ids, np.asarray(ids, "<u4"))
+
+    def of(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The names' runs end to end, and where each begins (and the last ends)."""
+        at = np.fromiter(map(self.at.__getitem__, names), np.int64, len(names))
+        starts, lengths = self.starts[at], self.starts[at + 1] - self.starts[at]
+        ends = np.concatenate(([0], np.cumsum(lengths)))
+        return self.ids[np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])], ends
+
+
 class WordCache:
-    """Ids of texts, through a bounded cache of the ids of single words: their ids do not depend on neighbours."""
+    """Ids of texts through bounded caches: no token spans white space, so a word's ids do not depend on its neighbours.
 
-    def __init__(self, path: str, most: int = 400_000):
+    Words are looked up as they stand between white space; a new one is lower-cased and cut into
+    pieces by the tokenizer's own pattern, and only new pieces are encoded.
+    """
+
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
-        self.whole, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.whole, self.most = Tokenizer.from_file(path), most
         self.pattern = regex.compile(WORD_PATTERN)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known, self.pieces = _Ragged(), _Ragged()
+
+    def _cut(self, word: str) -> list[str]:
+        low = word.lower()
+        if low.isalpha():
+            return [low]
+        if low[-1] in ".,;:!?" and low[:-1].isalpha():
+            return [low[:-1], low[-1]]
+        return self.pattern.findall(low)
+
+    def _learn(self, new: list[str]) -> None:
+        cut = [self._cut(w) for w in new]
+        flat = [p for ps in cut for p in ps]
+        if len(self.pieces.at) > self.most // 2:
+            self.pieces = _Ragged()
+        missing = list(set(flat).difference(self.pieces.at))
+        ids = [e.ids for e in self.whole.encode_batch_fast(missing, add_special_tokens=False)]
+        self.pieces.add(missing, [x for i in ids for x in i], [len(i) for i in ids])
+        found, ends = self.pieces.of(flat)
+        self.known.add(new, found, np.diff(ends[np.concatenate(([0], np.cumsum([len(ps) for ps in cut], dtype=np.int64)))]))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        usual = [i for i, t in enumerate(texts) if not _UNUSUAL.search(t)]
+        words = [texts[i].split() for i in usual]
+        flat = [w for ws in words for w in ws]
+        if len(self.known.at) > self.most:
+            self._clear()
+        if new := list(set(flat).difference(self.known.at)):
+            self._learn(new)
+        all_ids, ends = self.known.of(flat)
+        cuts = ends[np.concatenate(([0], np.cumsum([len(ws) for ws in words], dtype=np.int64)))] if words else [0]
         out: list = [None] * len(texts)
-        parts = {}
+        for k, i in enumerate(usual):
+            out[i] = all_ids[cuts[k] : cuts[k + 1]]
         for i, t in enumerate(texts):
-            if _UNUSUAL.search(t):
+            if out[i] is None:
                 out[i] = np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4")
-            else:
-                parts[i] = self.pattern.findall(t.lower())
-        if len(self.known) > self.most:
-            self.known = {}
-        known = self.known
-        if missing := list({w for ws in parts.values() for w in ws if w not in known}):
-            for w, e in zip(missing, self.whole.encode_batch(missing, add_special_tokens=False), strict=True):
-                known[w] = e.ids
-        for i, ws in parts.items():
-            ids: list[int] = []
-            for w in ws:
-                ids += known[w]
-            out[i] = np.array(ids, "<u4")
         return out
 
 
+_CACHES: dict[str, WordCache] = {}
+
+
+def _cache(path: str) -> WordCache:
+    """One cache a Python worker, kept from task to task."""
+    if path not in _CACHES:
+        _CACHES.clear()
+        _CACHES[path] = WordCache(path)
+    return _CACHES[path]
+
+
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 4096) -> DataFrame:
     """PIECES of each document: its ids and end_id, cut every `size` ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(tokenizer)
+        cache = _cache(tokenizer)
+        gc.disable()  # many small lists, none in cycles
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in slices(texts):
