@@ -41,7 +41,9 @@ class Index:
     items: list = field(default_factory=list)  # (item_id, question, answer)
     owner: list = field(default_factory=list)  # passage -> item
     vocabulary: dict = field(default_factory=dict)
-    postings: list = field(default_factory=list)  # term -> [(passage, impact)]
+    starts: np.ndarray | None = None  # term -> its first posting; the postings' passages and impacts follow
+    passages: np.ndarray | None = None
+    impacts: np.ndarray | None = None
     block_max: np.ndarray | None = None  # term x block of passages
     block: int = 8
 
@@ -60,16 +62,19 @@ def build_index(rows: list[tuple[int, str]], words: int = 64, block: int = 8) ->
                 index.owner.append(len(index.items) - 1)
     df = Counter(t for p in passages for t in set(p))
     index.vocabulary = {t: i for i, t in enumerate(sorted(df))}
-    index.postings = [[] for _ in df]
+    postings = [[] for _ in df]
     mean = sum(map(len, passages)) / max(1, len(passages))
-    index.block_max = np.zeros((len(df) + 1, max(1, -(-len(passages) // block))))  # the last row: unknown words
+    index.block_max = np.zeros((len(df), max(1, -(-len(passages) // block))))
     for k, p in enumerate(passages):
         raw = {t: math.log(1 + (len(passages) - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(p) / mean)) for t, n in Counter(p).items()}
         own = sum(raw.values())
         for t, x in raw.items():
             i = index.vocabulary[t]
-            index.postings[i].append((k, x / own))
+            postings[i].append((k, x / own))
             index.block_max[i, k // block] = max(index.block_max[i, k // block], x / own)
+    index.starts = np.concatenate(([0], np.cumsum([len(p) for p in postings], dtype=np.int64)))
+    index.passages = np.array([k for p in postings for k, _ in p], np.int64)
+    index.impacts = np.array([x for p in postings for _, x in p])
     return index
 
 
@@ -86,57 +91,62 @@ def overlap(part: list[bytes], region: list[bytes], n: int = 3) -> float:
     return len(own & _shingles(region, n)) / len(own)
 
 
-def search(index: Index, words: list[int], names, threshold: float, window: int, stride: int) -> dict[int, tuple]:
+def search(index: Index, words: np.ndarray, names, threshold: float, window: int, stride: int) -> dict[int, tuple]:
     """Best verified passage of one document for each item: item -> (start, score, question, answer).
 
-    Block-max WAND over all windows at once: running sums of the terms' block maxima bound every
-    window's score in every block of passages; only blocks whose bound reaches the threshold are
+    Block-max WAND over all windows at once: sums of the terms' block maxima bound every window's
+    score in every block of passages; only blocks whose bound reaches the threshold are
     scored, and only their postings are read.
     """
-    known = np.array(words, np.int64)
-    n = len(known)
-    starts = np.arange(0, max(1, n - window + stride), stride)
-    stops = np.minimum(starts + window, n)
-    top = index.block_max.max(axis=1)
-    run = np.concatenate(([0.0], np.cumsum(top[known])))
-    live = np.flatnonzero(run[stops] - run[starts] >= threshold)  # no block can reach it elsewhere
-    if not len(live):
+    n, none = len(words), len(index.vocabulary)
+    cells = -(-n // stride)
+    place = np.flatnonzero(words < none)
+    if not len(place):
         return {}
-    bound = np.zeros((n + 1, index.block_max.shape[1]))
-    np.cumsum(index.block_max[known], axis=0, out=bound[1:])
-    upper = bound[stops[live]] - bound[starts[live]] >= threshold - 1e-9
+    seen, cell = words[place], place // stride
+    per_cell = window // stride
+    starts = np.arange(max(1, cells - per_cell + 1)) * stride
+    sums = np.zeros((cells + per_cell, index.block_max.shape[1]))
+    edge = np.flatnonzero(np.diff(cell, prepend=-1))
+    sums[cell[edge]] = np.add.reduceat(index.block_max[seen], edge, axis=0)
+    upper = sums[: len(starts)].copy()
+    for k in range(1, per_cell):
+        upper += sums[k : k + len(starts)]
+    upper = upper >= threshold - 1e-9
+    stops = np.minimum(starts + window, n)
     best: dict[int, tuple] = {}
     for row in np.flatnonzero(upper.any(axis=1)):
-        s, e = int(starts[live[row]]), int(stops[live[row]])
-        distinct = list(set(words[s:e]) - {len(index.vocabulary)})
+        s, e = int(starts[row]), int(stops[row])
+        distinct = np.unique(words[s:e])
+        distinct = distinct[distinct < none]
         # a second bound, now without the repeats of a word, before any posting is read
-        blocks = set(np.flatnonzero(index.block_max[distinct].sum(axis=0) >= threshold - 1e-9).tolist())
-        if not blocks:
+        live = index.block_max[distinct].sum(axis=0) >= threshold - 1e-9
+        if not live.any():
             continue
-        scores: Counter = Counter()
-        for t in distinct:
-            for k, x in index.postings[t]:
-                if k // index.block in blocks:
-                    scores[k] += x
-        for k, score in scores.items():
-            if score >= threshold:
-                item = index.owner[k]
-                _, q, a = index.items[item]
-                wide = len(q) + len(a)
-                region = names[max(0, s - wide) : e + wide]
-                found = (overlap(q, region), overlap(a, region))
-                whole = (found[0] * len(q) + found[1] * len(a)) / wide
-                if min(found) >= 0.5 or whole >= 0.8:
-                    entry = (s, score, *found)
-                    if item not in best or (score, -s) > (best[item][1], -best[item][0]):
-                        best[item] = entry
+        first = index.starts[distinct]
+        size = index.starts[distinct + 1] - first
+        ends = np.cumsum(size)
+        at = np.repeat(first - ends + size, size) + np.arange(ends[-1])
+        at = at[live[index.passages[at] // index.block]]
+        scores = np.bincount(index.passages[at], weights=index.impacts[at])
+        for k in np.flatnonzero(scores >= threshold).tolist():
+            score, item = float(scores[k]), index.owner[k]
+            _, q, a = index.items[item]
+            wide = len(q) + len(a)
+            region = names[max(0, s - wide) : e + wide]
+            found = (overlap(q, region), overlap(a, region))
+            whole = (found[0] * len(q) + found[1] * len(a)) / wide
+            if min(found) >= 0.5 or whole >= 0.8:
+                entry = (s, score, *found)
+                if item not in best or (score, -s) > (best[item][1], -best[item][0]):
+                    best[item] = entry
     return best
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, window: int = 96, stride: int = 48, shard: int = 4096) -> DataFrame:
     """LEAKS: one row for each document row and benchmark item whose text it holds.
 
-    Every window of `window` words (each `stride`) of every document is a query against all items;
+    Every window of `window` words (each `stride`, which divides it) of every document is a query against all items;
     a passage is retrieved if its BM25 score is at least `threshold` of what its own words score,
     and kept if half the word 3-grams of the question and of the answer (an item's last sentence)
     stand near the window, or 0.8 of both together. Items are indexed `shard` at a time, which
@@ -169,12 +179,11 @@ def _pass(rows: DataFrame, index: Index, threshold: float, window: int, stride:
                 out = []
                 for doc_id, key, text in zip(ids[a:b], keys[a:b], texts[a:b], strict=True):
                     raw = text.encode().lower().split()
-                    for w in raw:
-                        if w not in known:
-                            known[w] = ix.vocabulary.get(_EDGE.sub(b"", w), none)
+                    for w in set(raw).difference(known):
+                        known[w] = ix.vocabulary.get(_EDGE.sub(b"", w), none)
                     if raw and ix.items:
-                        names = _Names(raw)
-                        for item, (s, score, q, an) in search(ix, [known[w] for w in raw], names, threshold, window, stride).items():
+                        words = np.fromiter(map(known.__getitem__, raw), np.int64, len(raw))
+                        for item, (s, score, q, an) in search(ix, words, _Names(raw), threshold, window, stride).items():
                             out.append((doc_id, key, ix.items[item][0], s, score, q, an))
                 if out:
                     kinds = [pa.int64()] * 4 + [pa.float64()] * 3
