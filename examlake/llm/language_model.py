@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from examlake.llm.common import materialize, slices, text_or_empty, words_of
 
 END = b""  # words are never empty
-WIDTH = 64  # classes, and leaves in a class
+WIDTH = 32  # classes, and leaves in a class
 FREQUENT = WIDTH * WIDTH // 2  # words with a leaf of their own; the rest share leaves by their ending
 LEAVES = WIDTH * WIDTH
 BEFORE = LEAVES  # the leaf that stands before a text
 CLASS_ROWS, LEAF_ROWS = 1 << 13, 1 << 14
+STEP = 8192  # tokens in a mini-batch
 SCORES = "doc_id long, row_key long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -99,7 +100,12 @@ class Encoder:
     """Texts to leaves and training counts of their tokens; the cache of words is bounded."""
 
     def __init__(self, vocabulary: Vocabulary, most: int = 400_000):
-        self.v, self.most, self.known = vocabulary, most, {}
+        self.v, self.most = vocabulary, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.leaves, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(leaf, count, text number) of every token, the end tokens included."""
@@ -110,25 +116,26 @@ class Encoder:
             words.append(END)
             doc.append(len(ws) + 1)
         if len(self.known) > self.most:
-            self.known = {}
+            self.clear()
         known = self.known
-        if new := list({w for w in words if w not in known}):
-            leaves = [leaf_of(w, self.v.frequent) for w in new]
+        if new := list(set(words).difference(known)):
+            leaves = np.array([leaf_of(w, self.v.frequent) for w in new], np.int64)
             counts = np.zeros(len(new), np.int64)
             if len(self.v.digests):
                 h = np.array([xxhash.xxh64_intdigest(w, 42) for w in new], np.uint64)
                 at = np.minimum(np.searchsorted(self.v.digests, h), len(self.v.digests) - 1)
                 counts = np.where(self.v.digests[at] == h, self.v.counts[at], 0)
-            known.update(zip(new, zip(leaves, counts.tolist(), strict=True), strict=True))
-        pairs = np.array([known[w] for w in words], np.int64).reshape(-1, 2)
-        return pairs[:, 0], pairs[:, 1], np.repeat(np.arange(len(texts)), doc)
+            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+            self.leaves, self.counts = np.append(self.leaves, leaves), np.append(self.counts, counts)
+        at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        return self.leaves[at], self.counts[at], np.repeat(np.arange(len(texts)), doc)
 
 
 class Model:
-    """P(leaf | history) = P(class | features) * P(leaf | class, features), two softmaxes of 64.
+    """P(leaf | history) = P(class | features) * P(leaf | class, features), two softmaxes of 32.
 
-    Features, all hashed to rows of weights: the last word (n-gram), the last two (n-gram), the one
-    before the last and the one before that (skips). For the second softmax the rows also depend on
+    Features, all hashed to rows of weights: the last word (n-gram), the last two (n-gram) and the
+    one before the last alone (skip). For the second softmax the row depends on the last word and
     the class. Log shares of the leaves' counts stand in as fixed biases, so a model without
     weights is the base model over leaves.
     """
@@ -142,19 +149,19 @@ class Model:
 
     @staticmethod
     def rows(leaf: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Weight rows of each token: [token, 4] for its class and [token, 2] for its leaf."""
+        """Weight rows of each token: [3, token] for its class and [1, token] for its leaf."""
         past = []
-        for k in (1, 2, 3):
+        for k in (1, 2):
             p = np.full(len(leaf), BEFORE, np.uint64)
             if len(leaf) > k:
                 same = doc[k:] == doc[:-k]
                 p[k:][same] = leaf[:-k][same].astype(np.uint64)
             past.append(p)
-        one, two, three = past
+        one, two = past
         mix = lambda x, kind: (x * np.uint64(8) + np.uint64(kind)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
-        in_class = np.stack([mix(one, 0), mix(two, 1), mix(three, 2), mix(one * np.uint64(LEAVES + 1) + two, 3)], axis=1) % np.uint64(CLASS_ROWS)
+        in_class = np.stack([mix(one, 0), mix(two, 1), mix(one * np.uint64(LEAVES + 1) + two, 2)]) % np.uint64(CLASS_ROWS)
         own = (leaf // WIDTH).astype(np.uint64)
-        in_leaf = np.stack([mix(one * np.uint64(WIDTH) + own, 4), mix(two * np.uint64(WIDTH) + own, 5)], axis=1) % np.uint64(LEAF_ROWS)
+        in_leaf = mix(one * np.uint64(WIDTH) + own, 3)[None] % np.uint64(LEAF_ROWS)
         return in_class.astype(np.int64), in_leaf.astype(np.int64)
 
     @staticmethod
@@ -165,21 +172,21 @@ class Model:
         return logits
 
     def probabilities(self, leaf: np.ndarray, rows: tuple) -> tuple[np.ndarray, np.ndarray]:
-        classes = self.class_w[rows[0][:, 0]] + self.class_bias
-        for j in range(1, rows[0].shape[1]):
-            classes += self.class_w[rows[0][:, j]]
-        leaves = self.leaf_w[rows[1][:, 0]] + self.leaf_bias[leaf // WIDTH]
-        leaves += self.leaf_w[rows[1][:, 1]]
+        classes, leaves = self.class_bias + self.class_w[rows[0][0]], self.leaf_bias[leaf // WIDTH]
+        for r in rows[0][1:]:
+            classes += self.class_w[r]
+        for r in rows[1]:
+            leaves += self.leaf_w[r]
         return self._softmax(classes), self._softmax(leaves)
 
-    def log10(self, leaf: np.ndarray, doc: np.ndarray, block: int = 50_000) -> np.ndarray:
+    def log10(self, leaf: np.ndarray, doc: np.ndarray, block: int = 8192) -> np.ndarray:
         """log10 P(leaf | history) of every token."""
         out = np.zeros(len(leaf))
         rows = self.rows(leaf, doc)
         for a in range(0, len(leaf), block):
             part = leaf[a : a + block]
             at = np.arange(len(part))
-            p, q = self.probabilities(part, (rows[0][a : a + block], rows[1][a : a + block]))
+            p, q = self.probabilities(part, (rows[0][:, a : a + block], rows[1][:, a : a + block]))
             out[a : a + block] = np.log10(p[at, part // WIDTH].astype(float)) + np.log10(q[at, part % WIDTH].astype(float))
         return out
 
@@ -196,19 +203,19 @@ class Trainer:
     def step(self, leaf: np.ndarray, rows: tuple) -> None:
         probs = self.model.probabilities(leaf, rows)
         for k, (w, target) in enumerate(((self.model.class_w, leaf // WIDTH), (self.model.leaf_w, leaf % WIDTH))):
-            flat = rows[k].ravel()
-            width = rows[k].shape[1]
-            order = np.argsort(flat, kind="stable")
-            starts = np.flatnonzero(np.diff(flat[order], prepend=-1))
-            at = flat[order][starts]
-            expected = np.add.reduceat(probs[k][order // width], starts, axis=0)
-            observed = np.zeros_like(expected)
-            place = np.repeat(np.arange(len(at)), np.diff(np.append(starts, len(flat))))
-            cells = np.bincount(place * WIDTH + target[order // width], minlength=observed.size)
-            observed += cells.reshape(observed.shape)
-            self.past[k][at] += expected
-            w[at] += np.clip(self.rate * (observed - expected) / (self.past[k][at] + self.prior), -1, 1)
-            self.used[k] += np.bincount(flat, minlength=len(self.used[k]))
+            for r in rows[k]:
+                order = np.argsort(r, kind="stable")
+                starts = np.flatnonzero(np.diff(r[order], prepend=-1))
+                at, uses = r[order][starts], np.diff(np.append(starts, len(r)))
+                expected = np.add.reduceat(probs[k][order], starts, axis=0)
+                past = self.past[k][at] + expected
+                self.past[k][at] = past
+                np.negative(expected, out=expected)
+                cells = np.repeat(np.arange(len(at)) * WIDTH, uses) + target[order]
+                np.add.at(expected.ravel(), cells, np.float32(1))
+                expected /= past + np.float32(self.prior)
+                w[at] += np.clip(expected * np.float32(self.rate), -1, 1)
+                self.used[k][at] += uses
 
     def changes(self) -> Iterator[tuple[int, int, bytes]]:
         """(row, uses, change * uses) of each row that was used."""
@@ -217,28 +224,51 @@ class Trainer:
                 yield int(r) + k * CLASS_ROWS, int(self.used[k][r]), ((w[r] - base[r]) * np.float32(self.used[k][r])).tobytes()
 
 
-def train_round(docs: DataFrame, vocabulary, model: Model, rate: float) -> None:
-    """One round of distributed updates over the texts of docs; changes `model`.
+def encode(rows: DataFrame, shared) -> DataFrame:
+    """Each text's leaves as bytes, and what its counts give, so that words are looked up once."""
+    schema = "doc_id long, row_key long, held_out boolean, n_tokens long, n_known long, own double, leaves binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(shared.value)
+        for batch in batches:
+            texts = batch.column(3).to_pylist()
+            for a, b in slices(texts):
+                leaf, c, doc = encoder.encode(texts[a:b])
+                ends = np.cumsum(np.bincount(doc, minlength=b - a))
+                packed = [x.tobytes() for x in np.split(leaf.astype("<u2"), ends[:-1])]
+                known, own = (np.bincount(doc, weights=x, minlength=b - a) for x in (c > 0, np.log10(c + 1.0)))
+                yield pa.RecordBatch.from_arrays([*(x[a:b] for x in batch.columns[:3]), pa.array(np.diff(ends, prepend=0)), pa.array(known.astype(np.int64)), pa.array(own), pa.array(packed, pa.binary())], [f.split()[0] for f in schema.split(", ")])
+
+    return rows.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "held_out", "text").mapInArrow(run, schema)
+
+
+def _joined(column: pa.Array, most: int = 500_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row, leaves, text number) of stretches of a column of packed texts."""
+    packed = column.to_pylist()
+    sizes = np.array([len(x) // 2 for x in packed])
+    for a, b in slices(packed, 2 * most):
+        yield a, b, np.frombuffer(b"".join(packed[a:b]), "<u2").astype(np.int64), np.repeat(np.arange(b - a), sizes[a:b])
+
+
+def train_round(coded: DataFrame, model: Model, rate: float) -> None:
+    """One round of distributed updates over encoded texts; changes `model`.
 
     Each task steps through its texts from the shared weights and hands on every row's change,
     weighted by its uses; rows are summed by blocks in separate tasks. The model has one size
     whatever the input.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = coded.sparkSession.sparkContext.broadcast(model)
     schema = "block int, r int, uses long, change binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model.__new__(Model)
         m.__dict__.update({k: v.copy() for k, v in shared.value.__dict__.items()})
-        trainer, encoder = Trainer(m, rate), Encoder(vocabulary.value)
+        trainer = Trainer(m, rate)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in slices(texts, 400_000):
-                leaf, _, doc = encoder.encode(texts[a:b])
+            for _, _, leaf, doc in _joined(batch.column(0)):
                 rows = Model.rows(leaf, doc)
-                for k in range(0, len(leaf), 20_000):
-                    trainer.step(leaf[k : k + 20_000], (rows[0][k : k + 20_000], rows[1][k : k + 20_000]))
+                for k in range(0, len(leaf), STEP):
+                    trainer.step(leaf[k : k + STEP], (rows[0][:, k : k + STEP], rows[1][:, k : k + STEP]))
         if found := list(trainer.changes()):
             r, uses, change = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array([x // 512 for x in r], pa.int32()), pa.array(r, pa.int32()), pa.array(uses, pa.int64()), pa.array(change, pa.binary())], ["block", "r", "uses", "change"])
@@ -257,7 +287,7 @@ def train_round(docs: DataFrame, vocabulary, model: Model, rate: float) -> None:
             mean = [(v[1] / v[0]).astype(np.float32).tobytes() for v in total.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(mean, pa.binary())], ["r", "change"])
 
-    updates = docs.select(text_or_empty().alias("text")).mapInArrow(run, schema)
+    updates = coded.select("leaves").mapInArrow(run, schema)
     for r in updates.repartition(12, "block").mapInArrow(add, "r int, change binary").toLocalIterator(prefetchPartitions=True):
         w, at = (model.class_w, r["r"]) if r["r"] < CLASS_ROWS else (model.leaf_w, r["r"] - CLASS_ROWS)
         w[at] += np.frombuffer(r["change"], np.float32)
@@ -281,28 +311,24 @@ def scores(docs: DataFrame, rounds: int = 4, limit: int = 4_000_000) -> DataFram
     vocabulary = build_vocabulary(counts, limit)
     shared = spark.sparkContext.broadcast(vocabulary)
     model = Model(vocabulary.leaf_mass)
+    coded = materialize(encode(rows, shared), "leaves")
     for k in range(rounds):
-        part = training.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(rounds)) == k)
-        train_round(part, shared, model, rate=0.5)
+        part = coded.where("not held_out").where(F.pmod(F.xxhash64("row_key", F.lit(17)), F.lit(rounds)) == k)
+        train_round(part, model, rate=0.5)
     trained = spark.sparkContext.broadcast(model)
-    whole, n, v = vocabulary.whole or not vocabulary.types, vocabulary.tokens, vocabulary.types
+    room = np.log10(vocabulary.leaf_mass + 1.0)
+    n, v = vocabulary.tokens, vocabulary.types
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, m = Encoder(shared.value), trained.value
-        room = np.log10(shared.value.leaf_mass + 1.0)
         for batch in batches:
-            texts = batch.column(3).to_pylist()
-            for a, b in slices(texts, 1_000_000):
-                leaf, c, doc = encoder.encode(texts[a:b])
-                sums = lambda x, doc=doc, size=b - a: np.bincount(doc, weights=x, minlength=size)
-                tokens = sums(np.ones(len(leaf)))
-                own = sums(np.log10(c + 1.0))
-                score = sums(m.log10(leaf, doc) - room[leaf]) + own
-                base = own - tokens * np.log10(n + v + 1)
-                yield pa.RecordBatch.from_arrays([*(x[a:b] for x in batch.columns[:3]), *(pa.array(x.astype(np.int64)) for x in (tokens, sums(c > 0))), pa.array(np.full(b - a, n, np.int64)), pa.array(base), pa.array(score)], [f.split()[0] for f in SCORES.split(", ")])
-
-    keyed = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "held_out", "text")
-    scored = keyed.mapInArrow(run, SCORES)
+            for a, b, leaf, doc in _joined(batch.column(6)):
+                score = np.bincount(doc, weights=trained.value.log10(leaf, doc) - room[leaf], minlength=b - a)
+                tokens, own = batch.column(3)[a:b].to_numpy(), batch.column(5)[a:b].to_numpy()
+                yield pa.RecordBatch.from_arrays([*(x[a:b] for x in batch.columns[:5]), pa.array(np.full(b - a, n, np.int64)), pa.array(own - tokens * np.log10(n + v + 1)), pa.array(score + own)], [f.split()[0] for f in SCORES.split(", ")])
+
+    scored = coded.mapInArrow(run, SCORES)
+    whole = vocabulary.whole or not vocabulary.types
+    keyed = rows.select(F.xxhash64("doc_id", "text").alias("row_key"), "text")
     return scored if whole else _with_counts(scored, keyed, counts)
 
 
