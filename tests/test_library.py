@@ -1,0 +1,51 @@
+"""Order-dependent rules, streaming and fixtures."""
+
+import datetime
+
+from pyspark.sql import functions as F
+
+from examlake.functions import text as T
+from examlake.operators import bank as ops
+from examlake.streaming.usage import daily_usage, latest_jobs
+
+
+def one(spark, column, **values):
+    return spark.createDataFrame([tuple(values.values())], list(values)).select(column.alias("x")).first()["x"]
+
+
+def test_text_columns(spark):
+    assert one(spark, T.ranges(F.array_sort("n")), n=[22, 23, 24, 25, 31]) == "22-25, 31"
+    assert one(spark, T.ranges(F.array_sort("n")), n=[3, 5, 7]) == "3, 5, 7"
+    assert one(spark, T.percent(F.lit(84.5)), n=1) == 85
+    parts = one(spark, T.split_numbered(F.lit(21), F.col("t")), t="State Ohm's law.\n22. Derive the lens formula.\n23. Explain total reflection.")
+    assert [(p["no"], p["text"]) for p in parts] == [(21, "State Ohm's law."), (22, "Derive the lens formula."), (23, "Explain total reflection.")]
+    assert one(spark, T.repair_escapes(F.col("t")), t="\\upsilon \\u00e9") == "\\\\upsilon \\u00e9"
+    assert one(spark, T.marks_in_text(F.col("t")), t="Find x. [3 marks]") == 3
+    assert one(spark, T.stated_total(F.col("t"), [r"(?i)maximum marks:?\s*(\d+)"]), t="Maximum Marks: 70") == 70
+    assert one(spark, T.cosine(F.col("a"), F.col("b")), a=[1.0, 0.0], b=[0.0]) == 0.0
+
+
+def test_persist_is_idempotent(spark):
+    base = spark.createDataFrame([("p", "a"), ("p", "b"), ("p", "c"), ("q", "z")], "paper string, id string")
+    new = spark.createDataFrame([("p", "b"), ("p", "d")], "paper string, id string")
+    once = ops.persist_questions(base, new, "paper", ["id"])
+    rows = sorted(map(tuple, once.collect()))
+    assert rows == [("p", "b"), ("p", "d"), ("q", "z")]
+    assert sorted(map(tuple, ops.persist_questions(once, new, "paper", ["id"]).collect())) == rows
+    assert ops.persist_questions(base, new.limit(0), "paper", ["id"]).count() == 4
+
+
+def test_streams(spark, tmp_path):
+    at = datetime.datetime(2024, 1, 1, 12)
+    rows = [(1, "a", at, 5), (1, "b", at + datetime.timedelta(days=1), 7), (2, "a", at + datetime.timedelta(days=9), 1)]
+    df = spark.createDataFrame(rows, "job_id long, action string, created_at timestamp, prompt_tokens long")
+    df.write.parquet(str(tmp_path / "in"))
+    stream = daily_usage(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
+    q = stream.writeStream.format("memory").queryName("daily").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(map(tuple, spark.table("daily").collect())) == sorted(map(tuple, daily_usage(df).collect()))
+    changes = df.select("job_id", F.col("action").alias("status"), F.col("created_at").alias("updated_at"))
+    changes.write.parquet(str(tmp_path / "jobs"))
+    q = latest_jobs(spark.readStream.schema(changes.schema).parquet(str(tmp_path / "jobs")), str(tmp_path / "store"), str(tmp_path / "cp"))
+    q.awaitTermination()
+    assert {(r["job_id"], r["status"]) for r in spark.read.parquet(str(tmp_path / "store" / "v=0")).collect()} == {(1, "b"), (2, "a")}
