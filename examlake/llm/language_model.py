@@ -64,9 +64,15 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(text_or_empty().alias("text")).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def leaf_of(word: bytes, frequent: dict) -> int:
+def leaf_of(word: bytes, frequent: dict, tails: dict) -> int:
+    """A frequent word's own leaf, else that of its last three characters; `tails` remembers those."""
     found = frequent.get(word)
-    return FREQUENT + xxhash.xxh64_intdigest(word.decode()[-3:].encode(), 42) % (LEAVES - FREQUENT) if found is None else found
+    if found is None:
+        tail = word[-3:] if word.isascii() else word.decode()[-3:].encode()
+        found = tails.get(tail)
+        if found is None:
+            found = tails[tail] = FREQUENT + xxhash.xxh64_intdigest(tail, 42) % (LEAVES - FREQUENT)
+    return found
 
 
 def build_vocabulary(counts: DataFrame, limit: int) -> Vocabulary:
@@ -76,9 +82,9 @@ def build_vocabulary(counts: DataFrame, limit: int) -> Vocabulary:
     frequent = {r["word"].encode(): i for i, r in enumerate(top)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mass = np.zeros(LEAVES, np.int64)
+        mass, tails = np.zeros(LEAVES, np.int64), {}
         for batch in batches:
-            leaves = [leaf_of(w.encode(), frequent) for w in batch.column(0).to_pylist()]
+            leaves = [leaf_of(w.encode(), frequent, tails) for w in batch.column(0).to_pylist()]
             mass += np.bincount(leaves, weights=batch.column(1).to_numpy() + 1, minlength=LEAVES).astype(np.int64)
         some = np.flatnonzero(mass)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(mass[some])], ["leaf", "mass"])
@@ -105,6 +111,7 @@ class Encoder:
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.tails: dict[bytes, int] = {}
         self.leaves, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,7 +126,7 @@ class Encoder:
             self.clear()
         known = self.known
         if new := list(set(words).difference(known)):
-            leaves = np.array([leaf_of(w, self.v.frequent) for w in new], np.int64)
+            leaves = np.array([leaf_of(w, self.v.frequent, self.tails) for w in new], np.int64)
             counts = np.zeros(len(new), np.int64)
             if len(self.v.digests):
                 h = np.array([xxhash.xxh64_intdigest(w, 42) for w in new], np.uint64)

@@ -9,7 +9,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +16,6 @@ from examlake.llm.common import materialize, slices, text_or_empty
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
-#: Fixed value: the pre-tokenizer pattern of word_bpe_49k.json, after lower-casing.
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Texts with other characters, or with what may be a special token, are encoded whole.
 _UNUSUAL = re.compile(r"[^\t\n\r\x20-\x7e\u00a0-\u024f]|<\|")
 
@@ -46,45 +43,28 @@ class _Ragged:
 class WordCache:
     """Ids of texts through bounded caches: no token spans white space, so a word's ids do not depend on its neighbours.
 
-    Words are looked up as they stand between white space; a new one is lower-cased and cut into
-    pieces by the tokenizer's own pattern, and only new pieces are encoded.
+    New words are encoded together, parted by spaces; offsets tell which ids are whose.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.whole, self.most = Tokenizer.from_file(path), most
-        self.pattern = regex.compile(WORD_PATTERN)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known, self.pieces = _Ragged(), _Ragged()
-
-    def _cut(self, word: str) -> list[str]:
-        low = word.lower()
-        if low.isalpha():
-            return [low]
-        if low[-1] in ".,;:!?" and low[:-1].isalpha():
-            return [low[:-1], low[-1]]
-        return self.pattern.findall(low)
+        self.known = _Ragged()
 
     def _learn(self, new: list[str]) -> None:
-        cut = [self._cut(w) for w in new]
-        flat = [p for ps in cut for p in ps]
-        if len(self.pieces.at) > self.most // 2:
-            self.pieces = _Ragged()
-        missing = list(set(flat).difference(self.pieces.at))
-        ids = [e.ids for e in self.whole.encode_batch_fast(missing, add_special_tokens=False)]
-        self.pieces.add(missing, [x for i in ids for x in i], [len(i) for i in ids])
-        found, ends = self.pieces.of(flat)
-        self.known.add(new, found, np.diff(ends[np.concatenate(([0], np.cumsum([len(ps) for ps in cut], dtype=np.int64)))]))
+        joined = self.whole.encode(" ".join(new), add_special_tokens=False)
+        lengths = np.fromiter(map(len, new), np.int64, len(new))
+        starts = np.concatenate(([0], np.cumsum(lengths[:-1] + 1)))
+        at = np.fromiter((a for a, _ in joined.offsets), np.int64, len(joined.ids))
+        self.known.add(new, joined.ids, np.bincount(np.searchsorted(starts, at, side="right") - 1, minlength=len(new)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         usual = [i for i, t in enumerate(texts) if not _UNUSUAL.search(t)]
         words = [texts[i].split() for i in usual]
         flat = [w for ws in words for w in ws]
         if len(self.known.at) > self.most:
-            self._clear()
+            self.known = _Ragged()
         if new := list(set(flat).difference(self.known.at)):
             self._learn(new)
         all_ids, ends = self.known.of(flat)
