@@ -34,7 +34,8 @@ def quality_report(papers: DataFrame, bank: DataFrame) -> DataFrame:
 
 def upsert(base: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of updates replace rows of base with equal keys; the rest is added. Running it twice changes nothing."""
-    return base.join(updates.select(*keys).distinct(), keys, "left_anti").unionByName(updates, allowMissingColumns=True)
+    out = base.join(updates.select(*keys).distinct(), keys, "left_anti").unionByName(updates, allowMissingColumns=True)
+    return out.select(*base.columns, *[c for c in updates.columns if c not in base.columns])
 
 
 def replace_children(base: DataFrame, parents: DataFrame, children: DataFrame, on: list[str]) -> DataFrame:
