@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import gc
+import json
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,9 @@ from examlake.llm.common import materialize, slices, text_or_empty
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 #: Texts with other characters, or with what may be a special token, are encoded whole.
-_UNUSUAL = re.compile(r"[^\t\n\r\x20-\x7e\u00a0-\u024f]|<\|")
+_UNUSUAL = re.compile(r"[^\t\n\r\x20-\x7e\u00a0-\u012f\u0131-\u024f]|<\|")
+#: ASCII signs that are neither letters nor digits nor apostrophes.
+_CLOSING = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class _Ragged:
@@ -32,9 +36,12 @@ class _Ragged:
         self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(np.asarray(lengths, np.int64)))
         self.ids = np.append(self.ids, np.asarray(ids, "<u4"))
 
-    def of(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The names' runs end to end, and where each begins (and the last ends)."""
-        at = np.fromiter(map(self.at.__getitem__, names), np.int64, len(names))
+    def find(self, names: list[str]) -> np.ndarray:
+        """The names' numbers; -1 for an unknown one."""
+        return np.fromiter(map(self.at.get, names, repeat(-1)), np.int64, len(names))
+
+    def runs(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbered runs end to end, and where each begins (and the last ends)."""
         starts, lengths = self.starts[at], self.starts[at + 1] - self.starts[at]
         ends = np.concatenate(([0], np.cumsum(lengths)))
         return self.ids[np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])], ends
@@ -43,31 +50,67 @@ class _Ragged:
 class WordCache:
     """Ids of texts through bounded caches: no token spans white space, so a word's ids do not depend on its neighbours.
 
-    New words are encoded together, parted by spaces; offsets tell which ids are whose.
+    Case does not matter to the tokenizer, and a run of closing signs is a token run of its own, so
+    new words are cut into a stem and its closing signs. New stems are encoded together, parted by
+    spaces; the marks of words' ends, or offsets, tell which ids are whose.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.whole, self.most = Tokenizer.from_file(path), most
-        self.known = _Ragged()
-
-    def _learn(self, new: list[str]) -> None:
+        spec = json.loads(self.whole.to_str())
+        bare = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, bare]}}
+        self.letters = Tokenizer.from_str(json.dumps(spec))
+        vocab = self.whole.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.words, self.parts = _Ragged(), _Ragged()
+
+    def _learn_letters(self, new: list[str]) -> None:
+        """Lower-case words of letters alone need no normalizing; the last id of each is marked as a word's end."""
+        ids = np.array(self.letters.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+        last = np.flatnonzero(self.ends_word[ids]) + 1
+        self.parts.add(new, ids, np.diff(last, prepend=0))
+
+    def _learn_other(self, new: list[str]) -> None:
         joined = self.whole.encode(" ".join(new), add_special_tokens=False)
         lengths = np.fromiter(map(len, new), np.int64, len(new))
         starts = np.concatenate(([0], np.cumsum(lengths[:-1] + 1)))
         at = np.fromiter((a for a, _ in joined.offsets), np.int64, len(joined.ids))
-        self.known.add(new, joined.ids, np.bincount(np.searchsorted(starts, at, side="right") - 1, minlength=len(new)))
+        self.parts.add(new, joined.ids, np.bincount(np.searchsorted(starts, at, side="right") - 1, minlength=len(new)))
+
+    def _learn(self, new: list[str]) -> None:
+        stems = [w.rstrip(_CLOSING) for w in new]
+        stems = [s if not s or s[-1].isalnum() else w for s, w in zip(stems, new, strict=True)]
+        pairs = [(s, w[len(s) :]) for s, w in zip(stems, new, strict=True)]
+        flat = [p for pair in pairs for p in pair if p]
+        fresh = set(flat).difference(self.parts.at)
+        if letters := [p for p in fresh if p.isalpha()]:
+            self._learn_letters(letters)
+        if other := [p for p in fresh if not p.isalpha()]:
+            self._learn_other(other)
+        ids, ends = self.parts.runs(self.parts.find(flat))
+        last = np.cumsum(np.fromiter(((s != "") + (t != "") for s, t in pairs), np.int64, len(pairs)))
+        self.words.add(new, ids, np.diff(ends[np.concatenate(([0], last))]))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         usual = [i for i, t in enumerate(texts) if not _UNUSUAL.search(t)]
-        words = [texts[i].split() for i in usual]
+        words = [texts[i].lower().split() for i in usual]
         flat = [w for ws in words for w in ws]
-        if len(self.known.at) > self.most:
-            self.known = _Ragged()
-        if new := list(set(flat).difference(self.known.at)):
-            self._learn(new)
-        all_ids, ends = self.known.of(flat)
+        if max(len(self.words.at), len(self.parts.at)) > self.most:
+            self.forget()
+        at = self.words.find(flat)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            found = [flat[i] for i in missing.tolist()]
+            self._learn(list(set(found)))
+            at[missing] = self.words.find(found)
+        all_ids, ends = self.words.runs(at)
         cuts = ends[np.concatenate(([0], np.cumsum([len(ws) for ws in words], dtype=np.int64)))] if words else [0]
         out: list = [None] * len(texts)
         for k, i in enumerate(usual):
