@@ -29,3 +29,11 @@ def usage_events(spark, sf_dir) -> DataFrame:
     e = read(spark, sf_dir, "events")
     tokens = F.floor(F.abs("value")).cast("long")
     return e.select(F.col("event_id"), F.col("user_id").alias("job_id"), F.col("event_type").alias("action"), (tokens * 100).alias("prompt_tokens"), tokens.alias("completion_tokens"), F.col("ts").cast("timestamp").alias("created_at"))
+
+
+def chapters(spark, sf_dir) -> DataFrame:
+    b = read(spark, sf_dir, "benchmark")
+    i = F.col("item_id")
+    head = F.array_join(F.slice(F.split("text", r"\s+"), 1, 3), " ")
+    name = F.concat(F.lit("Chapter "), (i + 1).cast("string"), F.lit(": "), head)
+    return b.select((i % 4).alias("class_id"), i.alias("chapter_pos"), F.concat(F.lit("ch"), i.cast("string")).alias("chapter_id"), F.concat(F.lit("u"), F.expr("item_id div 10").cast("string")).alias("unit_id"), name.alias("name"))
