@@ -95,7 +95,7 @@ def apply_assignments(questions: DataFrame, assignments: DataFrame, chapters: Da
     rows = questions.join(given, ["paper_id", "question_no"], "left").join(chapters_by_class(chapters), "class_id", "left")
     rows = rows.withColumn("meant", resolve_chapter(F.col("chapters"), F.col("given.chapter_id"), F.col("given.chapter_name")))
     known = F.col("meant").isNotNull()
-    sure = F.when(~F.isnan(F.col("given.confidence")), T.clamp(F.floor(F.col("given.confidence") + 0.5), 0, 100)).cast("int")
+    sure = F.when(F.col("given.confidence").isNotNull() & ~F.isnan(F.col("given.confidence")), T.clamp(F.floor(F.col("given.confidence") + 0.5), 0, 100)).cast("int")
     values = {
         "chapter_id": F.col("meant.chapter_id"),
         "unit_id": F.col("meant.unit_id"),
@@ -113,7 +113,7 @@ def apply_overrides(questions: DataFrame, overrides: DataFrame, chapters: DataFr
     put = overrides.select("paper_id", "question_no", F.col("chapter_id").alias("put_id"), F.col("confidence").alias("put_confidence"))
     index = chapters.select("class_id", F.col("chapter_id").alias("put_id"), F.col("unit_id").alias("put_unit"), F.col("name").alias("put_name"))
     rows = questions.join(put, ["paper_id", "question_no"], "left").join(index, ["class_id", "put_id"], "left")
-    sure = T.clamp(F.floor(F.col("put_confidence") * 100 + 0.5), 0, 100).cast("int")
+    sure = T.clamp(F.floor(F.coalesce("put_confidence", F.lit(0.0)) * 100 + 0.5), 0, 100).cast("int")
     values = {"chapter_id": F.col("put_id"), "unit_id": F.col("put_unit"), "chapter_name": F.col("put_name"), "chapter_confidence": sure}
     return rows.select(*_chosen(F.col("put_name").isNotNull(), values, [c for c in questions.columns if c not in ASSIGNED]))
 
