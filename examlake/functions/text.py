@@ -115,3 +115,129 @@ def ranges(numbers: Column) -> Column:
         lambda acc, x: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["b"] == x - 1), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["a"].alias("a"), x.cast("int").alias("b"))))).otherwise(F.concat(acc, F.array(F.struct(x.cast("int").alias("a"), x.cast("int").alias("b"))))),
     )
     return F.array_join(F.transform(step, lambda r: F.when(r["a"] == r["b"], r["a"].cast("string")).otherwise(F.concat_ws("-", r["a"].cast("string"), r["b"].cast("string")))), ", ")
+
+
+def strip(text: Column) -> Column:
+    """White space off both ends, line breaks too."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def notation(text: Column, strict: bool = True) -> Column:
+    r"""Physics signs in one spelling: \vec{E}, \hat{i}, E₀, \frac{R}{μ−1}.
+
+    `strict` leaves doubtful readings of stacked fractions as they are.
+    """
+    rules = [*VECTORS, *SUBSCRIPTS, *UNIT_VECTORS, *([] if strict else MISREAD_FRACTIONS), *PLAIN_FRACTIONS]
+    for pattern, put in rules:
+        text = F.regexp_replace(text, pattern, put)
+    return text
+
+
+#: Spellings of signs, as (pattern, replacement), applied in this order.
+VECTORS = [
+    ("\r\n", "\n"),
+    (r"\b([A-Za-z])\x{FE00}?\x{20D7}", r"\\vec{$1}"),
+    (r"\b([A-Za-z])\s*→(?=\s*=)", r"\\vec{$1}"),
+    (r"\b([A-Za-z])\s+→(?=\s)", r"\\vec{$1} "),
+    (r"(?i)\belectric field\s+([A-Za-z])\s*→", r"electric field \\vec{$1}"),
+]
+SUBSCRIPTS = [(r"([A-Za-zμελρσπ])0(?=[\s=^²³⁰⁻⁺₀₁₂₃₄₅₆₇₈₉]|$)", "$1₀")]
+UNIT_VECTORS = [
+    ("î", r"\\hat{i}"),
+    ("ĵ", r"\\hat{j}"),
+    ("k̂", r"\\hat{k}"),
+    (r"(?i)\bi\s*(?:hat|\^|\x{0302})", r"\\hat{i}"),
+    (r"(?i)\bj\s*(?:hat|\^|\x{0302})", r"\\hat{j}"),
+    (r"(?i)\bk\s*(?:hat|\^|\x{0302})", r"\\hat{k}"),
+]
+MISREAD_FRACTIONS = [
+    (r"(?i)\(A\)\s*R\s*[-–—]\s*1/μ", r"(A) \\frac{R}{μ−1}"),
+    (r"(?i)\(B\)\s*R\s*[-–—]\s*-?\s*1/μ", r"(B) \\frac{−R}{μ−1}"),
+    (r"(?i)\(C\)\s*2R\s*[-–—]\s*1/μ", r"(C) \\frac{2R}{μ−1}"),
+    (r"(?i)\(D\)\s*2R\s*[-–—]\s*-?\s*1/μ", r"(D) \\frac{−2R}{μ−1}"),
+    (r"2nπ\s*\+\s*4π", r"2nπ + \\frac{π}{4}"),
+    (r"2nπ\s*\+\s*2π(?!\s*/)", r"2nπ + \\frac{π}{2}"),
+]
+PLAIN_FRACTIONS = [(r"(?<!\\frac\{)([−-]?[0-9]?R)/\(μ[−-]1\)", r"\\frac{$1}{μ−1}")]
+
+#: How section rules are written, starts of questions, of sub-parts and of their later parts.
+SECTION_RULES = (
+    r"(?is)Section\s+([A-E])\s*[–—-].*?Questions?\s*(?:no\.?\s*)?(\d{1,2})\s*(?:to|-)\s*(\d{1,2}).*?carries?\s*(\d{1,2})\s*marks?",
+    r"(?is)Section\s+([A-E]).*?(\d{1,2})\s*(?:to|-)\s*(\d{1,2}).*?(\d{1,2})\s*marks?\s*each",
+)
+SUB_PART = r"(?i)^\s*\((?:i{1,3}|iv|v|vi{0,3}|ix|x|xi{0,3}|[a-d])\)\s"
+EARLY_PART, LATER_PART = r"(?i)\([ia]\)\s", r"(?i)\((?:iii|iv|v|vi|vii|viii|ix|x)\)\s"
+MARKED_START = r"(?i)(?=(?:^|\n)\s*(?:\(?\d{1,2}\)?[).:]\s+(?=[A-Za-z(\"'])|Q(?:uestion)?\.?\s*\d+|Question\s+\d+))"
+NUMBERED_START = r"(?=(?:^|[\n\r])\s*\d{1,2}\.\s+(?=[A-Za-z(\"']))"
+QUESTION_NUMBER = r"(?i)^(?:\(?(\d{1,2})\)?[).:]\s*|Q(?:uestion)?\.?\s*(\d+)\s*[:.\-]?\s*)"
+PAGE_MARK = "\n\n---PAGE---\n\n"
+
+
+def section_rules(text: Column) -> Column:
+    """array<struct<from, to, section, marks>> read off printed instructions, by first number.
+
+    The last rule written for a section holds, those of the second spelling after the first's.
+    """
+    empty = F.expr("cast(array() as array<struct<section:string,from:int,to:int,marks:int>>)")
+
+    def read(pattern: str) -> Column:
+        def rule(hit: Column) -> Column:
+            a, b = (F.regexp_extract(hit, pattern, i).cast("int") for i in (2, 3))
+            return F.struct(F.upper(F.regexp_extract(hit, pattern, 1)).alias("section"), F.least(a, b).alias("from"), F.greatest(a, b).alias("to"), F.regexp_extract(hit, pattern, 4).cast("int").alias("marks"))
+
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), rule)
+
+    found = F.concat(*[F.coalesce(read(p), empty) for p in SECTION_RULES])
+    last = F.aggregate(found, empty, lambda held, r: F.concat(F.filter(held, lambda h: h["section"] != r["section"]), F.array(r)))
+    return F.array_sort(F.transform(last, lambda r: F.struct(r["from"].alias("from"), r["to"].alias("to"), r["section"].alias("section"), r["marks"].alias("marks"))))
+
+
+def marks_by_rules(no: Column, rules: Column) -> Column:
+    """Marks of the first rule whose numbers hold `no`; the usual section marks where there are no rules."""
+    fitting = F.filter(rules, lambda r: no.between(r["from"], r["to"]))
+    return F.when(F.size(F.coalesce(rules, F.array())) > 0, F.try_element_at(fitting, F.lit(1))["marks"]).otherwise(default_marks(no))
+
+
+def is_sub_part(text: Column) -> Column:
+    """True for a text that goes on with a question begun before: (ii) ... or (b) ..."""
+    return F.coalesce(text.rlike(SUB_PART), F.lit(False))
+
+
+def looks_unfinished(no: Column, text: Column) -> Column:
+    """True where later parts are to be expected, or a long text of number 29 or more just breaks off."""
+    early = text.rlike(EARLY_PART) & ~text.rlike(LATER_PART)
+    half = text.rlike(r"(?i)\(a\)\s") & ~text.rlike(r"(?i)\(b\)\s")
+    cut = (F.length(text) > 200) & ~strip(text).rlike(r"[.?:]\s*$") & (no >= 29)
+    return F.coalesce(early | half | cut, F.lit(False))
+
+
+def _parts(text: Column, pattern: str, least: int = 1) -> Column:
+    return F.filter(F.transform(F.split(text, pattern), strip), lambda p: F.length(p) >= least)
+
+
+def question_chunks(text: Column) -> Column:
+    """Plain text cut into questions by the first way that finds two or more, else the whole.
+
+    Ways: marked starts, numbered starts, numbered starts inside pages, blank lines, numbered lines.
+    """
+    clean = strip(F.regexp_replace(F.regexp_replace(text, "\r\n", "\n"), "[ \t]+\n", "\n"))
+
+    def of_page(page: Column) -> Column:
+        cut = _parts(page, NUMBERED_START, 20)
+        return F.when(F.size(cut) > 1, cut).when(F.length(page) >= 30, F.array(page)).otherwise(F.array().cast("array<string>"))
+
+    pages = _parts(clean, PAGE_MARK)
+    ways = [
+        _parts(clean, MARKED_START),
+        _parts(clean, NUMBERED_START),
+        F.when(F.size(pages) > 1, F.flatten(F.transform(pages, of_page))),
+        _parts(clean, r"\n{2,}"),
+        F.filter(_parts(clean, r"\n", 20), lambda p: p.rlike(r"^\d{1,2}\.\s")),
+    ]
+    return F.coalesce(*[F.when(F.size(w) > 1, w) for w in ways], F.when(clean != "", F.array(clean)), F.array().cast("array<string>"))
+
+
+def chunk_number(chunk: Column, position: Column) -> Column:
+    """The number that a chunk starts with, else its 1-based position."""
+    found = [F.nullif(F.regexp_extract(chunk, QUESTION_NUMBER, i), F.lit("")).try_cast("int") for i in (1, 2)]
+    return F.coalesce(*found, position + 1)

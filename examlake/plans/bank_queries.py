@@ -87,7 +87,7 @@ def usage_rollup(spark, d):
 def usage_by_action_30_days(spark, d):
     e = src.usage_events(spark, d)
     top = e.agg(F.max("created_at").alias("now"))
-    return e.join(F.broadcast(top), F.lit(True)).where(F.col("created_at") > F.col("now") - F.expr("interval 15 days")).groupBy("action").agg(F.count(F.lit(1)).alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens")).orderBy(F.desc("prompt_tokens"), "action")
+    return e.join(F.broadcast(top), F.lit(True)).where(F.col("created_at") > F.col("now") - F.expr("interval 30 days")).groupBy("action").agg(F.count(F.lit(1)).alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens")).orderBy(F.desc("prompt_tokens"), "action")
 
 
 def usage_by_day(spark, d):
@@ -243,7 +243,7 @@ QUERIES = {
     "word_sets": (word_sets, f"WITH {TEXTS} SELECT row_order, len(list_distinct(list_filter(string_split({_NORM}, ' '), lambda w: length(w) > 3)))::INT AS n_words, md5({_NORM}) AS norm_md5 FROM texts"),
     "near_duplicates_in_papers": (near_duplicates_in_papers, f"WITH {TEXTS}, w AS (SELECT paper_id, row_order, list_distinct(list_filter(string_split({_NORM}, ' '), lambda w: length(w) > 3)) AS s FROM texts) SELECT a.paper_id, a.row_order AS row_a, b.row_order AS row_b FROM w a JOIN w b ON a.paper_id = b.paper_id AND a.row_order < b.row_order WHERE len(a.s) > 0 AND len(b.s) > 0 AND len(list_intersect(a.s, b.s)) >= .72 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))"),
     "usage_rollup": (usage_rollup, f"WITH {USAGE} SELECT job_id, action, count(*) AS calls, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(completion_tokens)::BIGINT AS completion_tokens, round((sum(prompt_tokens) * 2.5 / 1000000 + sum(completion_tokens) * 10.0 / 1000000)::DOUBLE, 4) AS cost FROM usage GROUP BY GROUPING SETS ((job_id, action), (job_id))"),
-    "usage_by_action_30_days": (usage_by_action_30_days, f"WITH {USAGE} SELECT action, count(*) AS calls, sum(prompt_tokens)::BIGINT AS prompt_tokens FROM usage WHERE created_at > (SELECT max(created_at) FROM usage) - INTERVAL 15 DAY GROUP BY action"),
+    "usage_by_action_30_days": (usage_by_action_30_days, f"WITH {USAGE} SELECT action, count(*) AS calls, sum(prompt_tokens)::BIGINT AS prompt_tokens FROM usage WHERE created_at > (SELECT max(created_at) FROM usage) - INTERVAL 30 DAY GROUP BY action"),
     "usage_by_day": (usage_by_day, f"WITH {USAGE} SELECT strftime(created_at, '%Y-%m-%d') AS day, action, count(*) AS calls, sum(prompt_tokens)::BIGINT AS prompt_tokens FROM usage GROUP BY 1, 2"),
     "latest_job": (latest_job, f"WITH {USAGE} SELECT job_id, event_id, action FROM usage QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY created_at DESC, event_id DESC) = 1"),
     "papers_to_reprocess": (papers_to_reprocess, f"WITH {PAPERS}, {BANK} SELECT paper_id, count(question_no) AS n_rows FROM papers LEFT JOIN bank USING (paper_id) GROUP BY paper_id HAVING count(question_no) < 3"),

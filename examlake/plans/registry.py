@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("examlake.plans.bank_queries", "examlake.plans.paper_queries")
+MODULES: tuple[str, ...] = ("examlake.plans.bank_queries", "examlake.plans.paper_queries", "examlake.plans.extract_queries")
 
 
 def queries() -> dict:
