@@ -219,3 +219,35 @@ def drop_near_copies(questions: DataFrame, threshold: float = 0.72) -> DataFrame
     marked = pairs.groupBy("paper_id", F.col("row_b").alias("row_order")).agg(F.collect_set("row_a").alias("earlier"))
     gone = fold_sorted(marked, ["paper_id"], ["row_order"], "paper_id long, row_order long", _Greedy)
     return questions.join(gone, ["paper_id", "row_order"], "left_anti")
+
+
+class _Continue(Fold):
+    """Puts a question's continuations, in order, behind its text; repeats that arise are removed."""
+
+    def __init__(self) -> None:
+        self.key, self.text = None, None
+
+    def feed(self, row) -> list[tuple]:
+        self.key = (row.paper_id, row.question_no)
+        if self.text is None:
+            self.text = row.text or "" if row.place == 0 else row.text.strip()
+        else:
+            self.text = without_repeats(joined(self.text, row.text))
+        return []
+
+    def end(self) -> list[tuple]:
+        return [(*self.key, self.text)]
+
+
+def continue_questions(questions: DataFrame, continuations: DataFrame) -> DataFrame:
+    """paper_id, question_no, question_text with continuations (paper_id, question_no, pos, append_text) worked in.
+
+    A continuation that tells what the question tells already leaves the better of both; any other is
+    put behind it. A number that the paper lacks becomes a row of its own. Blank texts and null numbers
+    among the continuations are passed over; questions are unique on (paper_id, question_no).
+    """
+    base = questions.select("paper_id", "question_no", F.lit(0).alias("place"), F.lit(0).cast("long").alias("pos"), F.col("question_text").alias("text"))
+    more = continuations.where(F.col("question_no").isNotNull() & F.col("append_text").rlike(r"\S"))
+    more = more.select("paper_id", "question_no", F.lit(1).alias("place"), F.col("pos").cast("long").alias("pos"), F.col("append_text").alias("text"))
+    schema = "paper_id long, question_no int, question_text string"
+    return fold_sorted(base.unionByName(more), ["paper_id", "question_no"], ["place", "pos", "text"], schema, _Continue)

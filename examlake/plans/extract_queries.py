@@ -9,6 +9,7 @@ from examlake.functions import text as T
 from examlake.operators import extraction as E
 from examlake.operators import knowledge as K
 from examlake.operators import merging as M
+from examlake.operators import papers as P
 from examlake.operators import workflow as W
 from examlake.plans.bank_queries import BANK, PAPERS
 from examlake.plans.paper_queries import CHAPTERS, GIVEN, QUESTIONS, _expected, _given, _overrides, _questions
@@ -121,6 +122,12 @@ WHERE (regexp_matches(question_text, '(?i)\([ia]\)\s') AND NOT regexp_matches(qu
  OR (length(question_text) > 200 AND NOT regexp_matches(t, '[.?:]$') AND question_no >= 29)"""
 
 
+def continued_questions(spark, d):
+    first = P.validated_questions(src.text_bank(spark, d), _expected(spark, d))
+    more = src.read(spark, d, "conversations").select(F.expr("conv_id div 10").alias("paper_id"), (F.col("turn") + 1).cast("int").alias("question_no"), (F.col("conv_id") * 100 + F.col("turn")).alias("pos"), F.col("text").alias("append_text"))
+    return M.continue_questions(first, more).select("paper_id", "question_no", F.length("question_text").cast("long").alias("n_chars"), F.md5("question_text").alias("text_md5"))
+
+
 def notation_counts(spark, d):
     c = src.read(spark, d, "conversations")
     text = F.concat_ws(" ", F.lit("E0 = 5 and A → = B, î + j^"), "text", F.lit("R/(μ-1)"))
@@ -203,6 +210,7 @@ QUERIES = {
     "model_answers": (model_answers, None),
     "chosen_extraction": (chosen_extraction, CHOSEN),
     "inferred_marks": (inferred_marks, INFERRED),
+    "continued_questions": (continued_questions, None),
     "unfinished_questions": (unfinished_questions, UNFINISHED),
     "notation_counts": (notation_counts, None),
     "concept_names": (concept_names, f"WITH {CONCEPTS} SELECT * FROM concepts"),

@@ -125,6 +125,13 @@ def test_model_answers(spark):
     assert got == [(1, 1, 1.0, 33), (1, 2, 4.0, 33), (2, 1, 1.0, None)]
 
 
+def test_continuations(spark):
+    base = spark.createDataFrame([(1, 4, STEM), (1, 5, None), (1, 6, "untouched")], "paper_id long, question_no int, question_text string")
+    more = [(1, 4, 1, "(b) and outside it"), (1, 5, 1, "late text"), (1, 9, 1, " stub "), (1, None, 1, "x"), (1, 6, 1, "  "), (1, 4, 2, STEM)]
+    got = M.continue_questions(base, spark.createDataFrame(more, "paper_id long, question_no int, pos long, append_text string"))
+    assert {r.question_no: r.question_text for r in got.collect()} == {4: f"{STEM}\n(b) and outside it", 5: "late text", 6: "untouched", 9: "stub"}
+
+
 def test_file_kinds(spark, tmp_path):
     (tmp_path / "a.txt").write_text("héllo")
     (tmp_path / "b.bin").write_bytes(b"%PDF-1.7")
