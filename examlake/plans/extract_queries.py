@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from examlake.functions import text as T
+from examlake.operators import catalog as C
 from examlake.operators import extraction as E
 from examlake.operators import knowledge as K
 from examlake.operators import merging as M
@@ -199,7 +200,34 @@ SELECT row_order, (2000 + q.paper_id % 20)::INT AS year, 'ch' || (row_order % 60
  CASE WHEN conf >= .85 THEN 'AUTO_APPROVED' WHEN conf >= .6 THEN 'SUGGEST_REVIEW' WHEN conf IS NOT NULL THEN 'MANUAL_REVIEW_REQUIRED' END AS review_status
 FROM q LEFT JOIN chapters c ON c.cid = 'ch' || (row_order % 60) LEFT JOIN o USING (paper_id, question_no)"""
 
+def catalog_chapters(spark, d):
+    """Benchmark items as chapters, ten a unit, forty a class."""
+    i = F.col("item_id")
+    b = src.read(spark, d, "benchmark").select(F.expr("item_id div 40").alias("cls"), F.expr("item_id div 10").alias("unit"), i.alias("id"), F.substring("text", 1, 20).alias("name"))
+    units = b.groupBy("cls", "unit").agg(F.array_sort(F.collect_list(F.struct("id", "name"))).alias("chapters"))
+    unit = F.struct(F.col("unit").alias("id"), F.col("unit").cast("string").alias("name"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("int").alias("marks"), "chapters")
+    tree = units.groupBy(F.lit("u1").alias("owner_id"), F.col("cls").alias("position"), F.col("cls").alias("id"), F.col("cls").cast("string").alias("name")).agg(F.array_sort(F.collect_list(unit)).alias("units"))
+    return C.flatten_catalog(tree)[2]
+
+
+CATALOG = """SELECT 'u1' AS owner_id, item_id AS id, item_id // 10 AS unit_id, item_id // 40 AS class_id, substring(text, 1, 20) AS name,
+ (row_number() OVER (PARTITION BY item_id // 10 ORDER BY item_id) - 1)::INT AS position FROM benchmark"""
+
+
+def failure_reasons(spark, d):
+    e = src.read(spark, d, "documents")
+    i = F.col("doc_id")
+    runs = e.select("doc_id", (i % 5 > 0).alias("model_configured"), F.when(i % 7 == 0, "timeout").alias("model_error"), (i % 3 == 0).alias("images_tried"), (i % 4).alias("images_read"), (i % 2).alias("image_batches"), T.letters(F.col("text")).alias("english_letters"))
+    return C.failure_reasons(runs).select("doc_id", "reason")
+
+
+REASONS = r"""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'No model is configured.' WHEN doc_id % 7 = 0 THEN 'timeout' WHEN doc_id % 3 = 0 AND doc_id % 4 = 0 THEN 'No page could be rendered as an image.'
+ WHEN doc_id % 3 = 0 THEN (doc_id % 4) || ' page image(s) in ' || (doc_id % 2) || ' batch(es) were read, but none held a valid question.'
+ WHEN coalesce(length(regexp_replace(text, '[^A-Za-z]', '', 'g')), 0) < 25 THEN 'The file has no selectable text, and no page image was read.' ELSE 'The model returned no valid question.' END AS reason FROM documents"""
+
 QUERIES = {
+    "catalog_chapters": (catalog_chapters, CATALOG),
+    "failure_reasons": (failure_reasons, REASONS),
     "merged_questions": (merged_questions, None),
     "distinct_questions": (distinct_questions, None),
     "finalized_questions": (finalized_questions, None),
