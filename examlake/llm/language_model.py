@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from examlake.llm.common import materialize, slices, text_or_empty, words_of
 
 END = b""  # words are never empty
-WIDTH = 32  # classes, and leaves in a class
+WIDTH = 64  # classes, and leaves in a class
 FREQUENT = WIDTH * WIDTH // 2  # words with a leaf of their own; the rest share leaves by their ending
 LEAVES = WIDTH * WIDTH
 BEFORE = LEAVES  # the leaf that stands before a text
@@ -139,10 +139,10 @@ class Encoder:
 
 
 class Model:
-    """P(leaf | history) = P(class | features) * P(leaf | class, features), two softmaxes of 32.
+    """P(leaf | history) = P(class | features) * P(leaf | class, features), two softmaxes of 64.
 
-    Features, all hashed to rows of weights: the last word (n-gram), the last two (n-gram) and the
-    one before the last alone (skip). For the second softmax the row depends on the last word and
+    Features, all hashed to rows of weights: the last word (n-gram), the last two (n-gram), the one
+    before the last and the one before that (skips). For the second softmax the rows also depend on
     the class. Log shares of the leaves' counts stand in as fixed biases, so a model without
     weights is the base model over leaves.
     """
@@ -156,19 +156,19 @@ class Model:
 
     @staticmethod
     def rows(leaf: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Weight rows of each token: [3, token] for its class and [1, token] for its leaf."""
+        """Weight rows of each token: [4, token] for its class and [2, token] for its leaf."""
         past = []
-        for k in (1, 2):
+        for k in (1, 2, 3):
             p = np.full(len(leaf), BEFORE, np.uint64)
             if len(leaf) > k:
                 same = doc[k:] == doc[:-k]
                 p[k:][same] = leaf[:-k][same].astype(np.uint64)
             past.append(p)
-        one, two = past
+        one, two, three = past
         mix = lambda x, kind: (x * np.uint64(8) + np.uint64(kind)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
-        in_class = np.stack([mix(one, 0), mix(two, 1), mix(one * np.uint64(LEAVES + 1) + two, 2)]) % np.uint64(CLASS_ROWS)
+        in_class = np.stack([mix(one, 0), mix(two, 1), mix(three, 2), mix(one * np.uint64(LEAVES + 1) + two, 3)]) % np.uint64(CLASS_ROWS)
         own = (leaf // WIDTH).astype(np.uint64)
-        in_leaf = mix(one * np.uint64(WIDTH) + own, 3)[None] % np.uint64(LEAF_ROWS)
+        in_leaf = np.stack([mix(one * np.uint64(WIDTH) + own, 4), mix(two * np.uint64(WIDTH) + own, 5)]) % np.uint64(LEAF_ROWS)
         return in_class.astype(np.int64), in_leaf.astype(np.int64)
 
     @staticmethod
@@ -257,12 +257,12 @@ def _joined(column: pa.Array, most: int = 500_000) -> Iterator[tuple[int, int, n
         yield a, b, np.frombuffer(b"".join(packed[a:b]), "<u2").astype(np.int64), np.repeat(np.arange(b - a), sizes[a:b])
 
 
-def train_round(coded: DataFrame, model: Model, rate: float) -> None:
+def train_round(coded: DataFrame, model: Model, rate: float, tokens: int = 0) -> None:
     """One round of distributed updates over encoded texts; changes `model`.
 
     Each task steps through its texts from the shared weights and hands on every row's change,
-    weighted by its uses; rows are summed by blocks in separate tasks. The model has one size
-    whatever the input.
+    weighted by its uses; rows are summed by blocks in separate tasks. A task hands on a whole model
+    at most, so there are no more tasks than cores or `tokens` (of all training texts) pay for.
     """
     shared = coded.sparkSession.sparkContext.broadcast(model)
     schema = "block int, r int, uses long, change binary"
@@ -294,7 +294,9 @@ def train_round(coded: DataFrame, model: Model, rate: float) -> None:
             mean = [(v[1] / v[0]).astype(np.float32).tobytes() for v in total.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(mean, pa.binary())], ["r", "change"])
 
-    updates = coded.select("leaves").mapInArrow(run, schema)
+    size = model.class_w.nbytes + model.leaf_w.nbytes
+    tasks = max(coded.sparkSession.sparkContext.defaultParallelism, 4 * tokens // size)
+    updates = coded.select("leaves").coalesce(tasks).mapInArrow(run, schema)
     for r in updates.repartition(12, "block").mapInArrow(add, "r int, change binary").toLocalIterator(prefetchPartitions=True):
         w, at = (model.class_w, r["r"]) if r["r"] < CLASS_ROWS else (model.leaf_w, r["r"] - CLASS_ROWS)
         w[at] += np.frombuffer(r["change"], np.float32)
@@ -321,7 +323,7 @@ def scores(docs: DataFrame, rounds: int = 4, limit: int = 4_000_000) -> DataFram
     coded = materialize(encode(rows, shared), "leaves")
     for k in range(rounds):
         part = coded.where("not held_out").where(F.pmod(F.xxhash64("row_key", F.lit(17)), F.lit(rounds)) == k)
-        train_round(part, model, rate=0.5)
+        train_round(part, model, rate=0.5, tokens=vocabulary.tokens)
     trained = spark.sparkContext.broadcast(model)
     room = np.log10(vocabulary.leaf_mass + 1.0)
     n, v = vocabulary.tokens, vocabulary.types
