@@ -16,25 +16,56 @@ from examlake.llm.common import materialize, slices, text_or_empty, words_of
 
 END = b""  # words are never empty
 WIDTH = 64  # classes, and leaves in a class
-FREQUENT = WIDTH * WIDTH // 2  # words with a leaf of their own; the rest share leaves by their ending
-LEAVES = WIDTH * WIDTH
-BEFORE = LEAVES  # the leaf that stands before a text
-CLASS_ROWS, LEAF_ROWS = 1 << 13, 1 << 14
+LEAVES = WIDTH * WIDTH  # at least
+FREQUENT = LEAVES // 2  # words with a leaf of their own, at least; the rest share leaves by their ending
 STEP = 8192  # tokens in a mini-batch
 SCORES = "doc_id long, row_key long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+@dataclass(frozen=True)
+class Shape:
+    """Sizes of a model: the softmaxes' widths and their rows of weights."""
+
+    widths: tuple
+    rows: tuple
+
+    @property
+    def leaves(self) -> int:
+        return int(np.prod(self.widths))
+
+    def below(self, k: int) -> int:
+        """Leaves under one branch of softmax k."""
+        return int(np.prod(self.widths[k + 1 :], dtype=np.int64))
+
+
+def shape_for(types: int) -> Shape:
+    """Powers of two by the counted types V: a leaf for each 16 types, a class row for each 128.
+
+    4,096 to 262,144 leaves, half of them for one frequent word each; 8,192 to 65,536 class rows and
+    twice that for each further softmax. So weights take 84 MB at most, and a training task holds
+    three times that (weights, their start, expected counts).
+    """
+    power = lambda x: 1 << max(0, x - 1).bit_length()
+    third = min(WIDTH, power(-(-types // (16 * LEAVES))))
+    rows = min(1 << 16, max(1 << 13, power(-(-types // 128))))
+    return Shape((WIDTH, WIDTH), (rows, 2 * rows)) if third == 1 else Shape((WIDTH, WIDTH, third), (rows, 2 * rows, 2 * rows))
+
+
+LEAST = shape_for(0)
+
+
 @dataclass
 class Vocabulary:
     """What tasks get of the training counts; `digests` and `counts` are empty beyond the size limit."""
 
     tokens: int  # N
     types: int  # V
-    frequent: dict  # word -> leaf, FREQUENT words at most
+    frequent: dict  # word -> leaf, for half of the leaves
     leaf_mass: np.ndarray  # sum of count + 1 over a leaf's words
     digests: np.ndarray  # sorted XXH64 of all words
     counts: np.ndarray
     whole: bool
+    shape: Shape = LEAST
 
 
 def held_out():
@@ -64,32 +95,39 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(text_or_empty().alias("text")).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def leaf_of(word: bytes, frequent: dict, tails: dict) -> int:
+def nth_leaf(i: int, shape: Shape) -> int:
+    """The i-th leaf to be given out: the first 4,096 differ in the first two softmaxes already."""
+    return i % LEAVES * (shape.leaves // LEAVES) + i // LEAVES
+
+
+def leaf_of(word: bytes, frequent: dict, tails: dict, shape: Shape) -> int:
     """A frequent word's own leaf, else that of its last three characters; `tails` remembers those."""
     found = frequent.get(word)
     if found is None:
         tail = word[-3:] if word.isascii() else word.decode()[-3:].encode()
         found = tails.get(tail)
         if found is None:
-            found = tails[tail] = FREQUENT + xxhash.xxh64_intdigest(tail, 42) % (LEAVES - FREQUENT)
+            own = shape.leaves // 2
+            found = tails[tail] = nth_leaf(own + xxhash.xxh64_intdigest(tail, 42) % own, shape)
     return found
 
 
 def build_vocabulary(counts: DataFrame, limit: int) -> Vocabulary:
     """counts: the written word counts. More than `limit` types stay in the table (see `scores`)."""
     n, v, h = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.countDistinct(F.xxhash64("word"))).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
-    frequent = {r["word"].encode(): i for i, r in enumerate(top)}
+    shape = shape_for(v)
+    top = counts.orderBy(F.desc("c"), "word").limit(shape.leaves // 2).collect()
+    frequent = {r["word"].encode(): nth_leaf(i, shape) for i, r in enumerate(top)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mass, tails = np.zeros(LEAVES, np.int64), {}
+        mass, tails = np.zeros(shape.leaves, np.int64), {}
         for batch in batches:
-            leaves = [leaf_of(w.encode(), frequent, tails) for w in batch.column(0).to_pylist()]
-            mass += np.bincount(leaves, weights=batch.column(1).to_numpy() + 1, minlength=LEAVES).astype(np.int64)
+            leaves = [leaf_of(w.encode(), frequent, tails, shape) for w in batch.column(0).to_pylist()]
+            mass += np.bincount(leaves, weights=batch.column(1).to_numpy() + 1, minlength=shape.leaves).astype(np.int64)
         some = np.flatnonzero(mass)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(mass[some])], ["leaf", "mass"])
 
-    leaf_mass = np.zeros(LEAVES, np.int64)
+    leaf_mass = np.zeros(shape.leaves, np.int64)
     for r in counts.mapInArrow(run, "leaf long, mass long").groupBy("leaf").agg(F.sum("mass").alias("mass")).collect():
         leaf_mass[r["leaf"]] = r["mass"]
     whole = v <= limit and h == v  # equal digests of two words: keep to the table
@@ -99,7 +137,7 @@ def build_vocabulary(counts: DataFrame, limit: int) -> Vocabulary:
         digests, values = got.column("h").to_numpy().view(np.uint64), got.column("c").to_numpy()
         order = np.argsort(digests)
         digests, values = digests[order], values[order].astype(np.int64)
-    return Vocabulary(int(n), int(v), frequent, leaf_mass, digests, values, whole)
+    return Vocabulary(int(n), int(v), frequent, leaf_mass, digests, values, whole, shape)
 
 
 class Encoder:
@@ -126,7 +164,7 @@ class Encoder:
             self.clear()
         known = self.known
         if new := list(set(words).difference(known)):
-            leaves = np.array([leaf_of(w, self.v.frequent, self.tails) for w in new], np.int64)
+            leaves = np.array([leaf_of(w, self.v.frequent, self.tails, self.v.shape) for w in new], np.int64)
             counts = np.zeros(len(new), np.int64)
             if len(self.v.digests):
                 h = np.array([xxhash.xxh64_intdigest(w, 42) for w in new], np.uint64)
@@ -141,35 +179,41 @@ class Encoder:
 class Model:
     """P(leaf | history) = P(class | features) * P(leaf | class, features), two softmaxes of 64.
 
-    Features, all hashed to rows of weights: the last word (n-gram), the last two (n-gram), the one
-    before the last and the one before that (skips). For the second softmax the rows also depend on
-    the class. Log shares of the leaves' counts stand in as fixed biases, so a model without
-    weights is the base model over leaves.
+    A larger vocabulary has a third below them (see `shape_for`). Features, all hashed to rows of
+    weights: the last word (n-gram), the last two (n-gram), the one before the last and the one
+    before that (skips). For the later softmaxes the rows also depend on the branch taken so far.
+    Log shares of the leaves' counts stand in as fixed biases, so a model without weights is the
+    base model over leaves.
     """
 
-    def __init__(self, leaf_mass: np.ndarray):
-        mass = (leaf_mass + 1.0).reshape(WIDTH, WIDTH)
-        self.class_bias = np.log(mass.sum(axis=1) / mass.sum()).astype(np.float32)
-        self.leaf_bias = np.log(mass / mass.sum(axis=1, keepdims=True)).astype(np.float32)
-        self.class_w = np.zeros((CLASS_ROWS, WIDTH), np.float32)
-        self.leaf_w = np.zeros((LEAF_ROWS, WIDTH), np.float32)
+    def __init__(self, leaf_mass: np.ndarray, shape: Shape = LEAST):
+        self.shape, self.bias = shape, []
+        for k, width in enumerate(shape.widths):
+            mass = (leaf_mass + 1.0).reshape(-1, width, shape.below(k)).sum(axis=2)
+            self.bias.append(np.log(mass / mass.sum(axis=1, keepdims=True)).astype(np.float32))
+        self.w = [np.zeros(size, np.float32) for size in zip(shape.rows, shape.widths, strict=True)]
 
     @staticmethod
-    def rows(leaf: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Weight rows of each token: [4, token] for its class and [2, token] for its leaf."""
+    def rows(leaf: np.ndarray, doc: np.ndarray, shape: Shape = LEAST) -> list[np.ndarray]:
+        """Weight rows of each token: [4, token] for its class and [2, token] for each later softmax."""
         past = []
         for k in (1, 2, 3):
-            p = np.full(len(leaf), BEFORE, np.uint64)
+            p = np.full(len(leaf), shape.leaves, np.uint64)  # the leaf that stands before a text
             if len(leaf) > k:
                 same = doc[k:] == doc[:-k]
                 p[k:][same] = leaf[:-k][same].astype(np.uint64)
             past.append(p)
         one, two, three = past
         mix = lambda x, kind: (x * np.uint64(8) + np.uint64(kind)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
-        in_class = np.stack([mix(one, 0), mix(two, 1), mix(three, 2), mix(one * np.uint64(LEAVES + 1) + two, 3)]) % np.uint64(CLASS_ROWS)
-        own = (leaf // WIDTH).astype(np.uint64)
-        in_leaf = np.stack([mix(one * np.uint64(WIDTH) + own, 4), mix(two * np.uint64(WIDTH) + own, 5)]) % np.uint64(LEAF_ROWS)
-        return in_class.astype(np.int64), in_leaf.astype(np.int64)
+        out = [np.stack([mix(one, 0), mix(two, 1), mix(three, 2), mix(one * np.uint64(shape.leaves + 1) + two, 3)])]
+        for k in range(1, len(shape.widths)):
+            own, branches = (leaf // shape.below(k - 1)).astype(np.uint64), np.uint64(shape.leaves // shape.below(k - 1))
+            out.append(np.stack([mix(one * branches + own, 2 + 2 * k), mix(two * branches + own, 3 + 2 * k)]))
+        return [(x % np.uint64(n)).astype(np.int64) for x, n in zip(out, shape.rows, strict=True)]
+
+    def targets(self, leaf: np.ndarray) -> list[np.ndarray]:
+        """The branch that each softmax is to choose."""
+        return [leaf // self.shape.below(k) % width for k, width in enumerate(self.shape.widths)]
 
     @staticmethod
     def _softmax(logits: np.ndarray) -> np.ndarray:
@@ -178,38 +222,40 @@ class Model:
         logits /= logits.sum(axis=1, keepdims=True)
         return logits
 
-    def probabilities(self, leaf: np.ndarray, rows: tuple) -> tuple[np.ndarray, np.ndarray]:
-        classes, leaves = self.class_bias + self.class_w[rows[0][0]], self.leaf_bias[leaf // WIDTH]
-        for r in rows[0][1:]:
-            classes += self.class_w[r]
-        for r in rows[1]:
-            leaves += self.leaf_w[r]
-        return self._softmax(classes), self._softmax(leaves)
+    def probabilities(self, leaf: np.ndarray, rows: list) -> list[np.ndarray]:
+        out = []
+        for k, width in enumerate(self.shape.widths):
+            logits = self.bias[k][leaf // (self.shape.below(k) * width)]
+            for r in rows[k]:
+                logits += self.w[k][r]
+            out.append(self._softmax(logits))
+        return out
 
     def log10(self, leaf: np.ndarray, doc: np.ndarray, block: int = 8192) -> np.ndarray:
         """log10 P(leaf | history) of every token."""
         out = np.zeros(len(leaf))
-        rows = self.rows(leaf, doc)
+        rows = self.rows(leaf, doc, self.shape)
         for a in range(0, len(leaf), block):
             part = leaf[a : a + block]
             at = np.arange(len(part))
-            p, q = self.probabilities(part, (rows[0][:, a : a + block], rows[1][:, a : a + block]))
-            out[a : a + block] = np.log10(p[at, part // WIDTH].astype(float)) + np.log10(q[at, part % WIDTH].astype(float))
+            probs = self.probabilities(part, [x[:, a : a + block] for x in rows])
+            out[a : a + block] = sum(np.log10(p[at, target].astype(float)) for p, target in zip(probs, self.targets(part), strict=True))
         return out
 
 
 class Trainer:
     """Steps by mini-batches: observed minus expected counts, over the expected counts so far."""
 
-    def __init__(self, model: Model, rate: float, prior: float = 2.0):
-        self.model, self.rate, self.prior = model, rate, prior
-        self.past = [np.zeros((CLASS_ROWS, WIDTH), np.float32), np.zeros((LEAF_ROWS, WIDTH), np.float32)]
-        self.start = [model.class_w.copy(), model.leaf_w.copy()]
-        self.used = [np.zeros(CLASS_ROWS, np.int64), np.zeros(LEAF_ROWS, np.int64)]
+    def __init__(self, start: Model, rate: float, prior: float = 2.0):
+        self.model, self.rate, self.prior = Model.__new__(Model), rate, prior
+        self.model.shape, self.model.bias, self.model.w = start.shape, start.bias, [w.copy() for w in start.w]
+        self.past = [np.zeros_like(w) for w in start.w]
+        self.start = start.w
+        self.used = [np.zeros(len(w), np.int64) for w in start.w]
 
-    def step(self, leaf: np.ndarray, rows: tuple) -> None:
+    def step(self, leaf: np.ndarray, rows: list) -> None:
         probs = self.model.probabilities(leaf, rows)
-        for k, (w, target) in enumerate(((self.model.class_w, leaf // WIDTH), (self.model.leaf_w, leaf % WIDTH))):
+        for k, (w, target) in enumerate(zip(self.model.w, self.model.targets(leaf), strict=True)):
             for r in rows[k]:
                 order = np.argsort(r, kind="stable")
                 starts = np.flatnonzero(np.diff(r[order], prepend=-1))
@@ -218,17 +264,19 @@ class Trainer:
                 past = self.past[k][at] + expected
                 self.past[k][at] = past
                 np.negative(expected, out=expected)
-                cells = np.repeat(np.arange(len(at)) * WIDTH, uses) + target[order]
+                cells = np.repeat(np.arange(len(at)) * w.shape[1], uses) + target[order]
                 np.add.at(expected.ravel(), cells, np.float32(1))
                 expected /= past + np.float32(self.prior)
                 w[at] += np.clip(expected * np.float32(self.rate), -1, 1)
                 self.used[k][at] += uses
 
     def changes(self) -> Iterator[tuple[int, int, bytes]]:
-        """(row, uses, change * uses) of each row that was used."""
-        for k, (w, base) in enumerate(((self.model.class_w, self.start[0]), (self.model.leaf_w, self.start[1]))):
-            for r in np.flatnonzero(self.used[k]):
-                yield int(r) + k * CLASS_ROWS, int(self.used[k][r]), ((w[r] - base[r]) * np.float32(self.used[k][r])).tobytes()
+        """(row, uses, change in 16-bit floats) of each row that was used; rows of all softmaxes count on."""
+        first = 0
+        for w, base, used in zip(self.model.w, self.start, self.used, strict=True):
+            for r in np.flatnonzero(used):
+                yield first + int(r), int(used[r]), (w[r] - base[r]).astype(np.float16).tobytes()
+            first += len(w)
 
 
 def encode(rows: DataFrame, shared) -> DataFrame:
@@ -237,45 +285,48 @@ def encode(rows: DataFrame, shared) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
+        code = leaf_code(shared.value.shape)
         for batch in batches:
             texts = batch.column(3).to_pylist()
             for a, b in slices(texts):
                 leaf, c, doc = encoder.encode(texts[a:b])
                 ends = np.cumsum(np.bincount(doc, minlength=b - a))
-                packed = [x.tobytes() for x in np.split(leaf.astype("<u2"), ends[:-1])]
+                packed = [x.tobytes() for x in np.split(leaf.astype(code), ends[:-1])]
                 known, own = (np.bincount(doc, weights=x, minlength=b - a) for x in (c > 0, np.log10(c + 1.0)))
                 yield pa.RecordBatch.from_arrays([*(x[a:b] for x in batch.columns[:3]), pa.array(np.diff(ends, prepend=0)), pa.array(known.astype(np.int64)), pa.array(own), pa.array(packed, pa.binary())], [f.split()[0] for f in schema.split(", ")])
 
     return rows.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "held_out", "text").mapInArrow(run, schema)
 
 
-def _joined(column: pa.Array, most: int = 500_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def leaf_code(shape: Shape) -> np.dtype:
+    return np.dtype("<u2" if shape.leaves <= 1 << 16 else "<u4")
+
+
+def _joined(column: pa.Array, code: np.dtype, most: int = 500_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row, leaves, text number) of stretches of a column of packed texts."""
     packed = column.to_pylist()
-    sizes = np.array([len(x) // 2 for x in packed])
-    for a, b in slices(packed, 2 * most):
-        yield a, b, np.frombuffer(b"".join(packed[a:b]), "<u2").astype(np.int64), np.repeat(np.arange(b - a), sizes[a:b])
+    sizes = np.array([len(x) // code.itemsize for x in packed])
+    for a, b in slices(packed, code.itemsize * most):
+        yield a, b, np.frombuffer(b"".join(packed[a:b]), code).astype(np.int64), np.repeat(np.arange(b - a), sizes[a:b])
 
 
 def train_round(coded: DataFrame, model: Model, rate: float, tokens: int = 0) -> None:
     """One round of distributed updates over encoded texts; changes `model`.
 
-    Each task steps through its texts from the shared weights and hands on every row's change,
-    weighted by its uses; rows are summed by blocks in separate tasks. A task hands on a whole model
+    Each task steps through its texts from the shared weights and hands on every row's change and
+    uses, by which changes are weighted; rows are summed by blocks in separate tasks. A task hands on a whole model
     at most, so there are no more tasks than cores or `tokens` (of all training texts) pay for.
     """
     shared = coded.sparkSession.sparkContext.broadcast(model)
-    schema = "block int, r int, uses long, change binary"
+    schema, shape = "block int, r int, uses long, change binary", model.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model.__new__(Model)
-        m.__dict__.update({k: v.copy() for k, v in shared.value.__dict__.items()})
-        trainer = Trainer(m, rate)
+        trainer = Trainer(shared.value, rate)
         for batch in batches:
-            for _, _, leaf, doc in _joined(batch.column(0)):
-                rows = Model.rows(leaf, doc)
+            for _, _, leaf, doc in _joined(batch.column(0), leaf_code(shape)):
+                rows = Model.rows(leaf, doc, shape)
                 for k in range(0, len(leaf), STEP):
-                    trainer.step(leaf[k : k + STEP], (rows[0][:, k : k + STEP], rows[1][:, k : k + STEP]))
+                    trainer.step(leaf[k : k + STEP], [x[:, k : k + STEP] for x in rows])
         if found := list(trainer.changes()):
             r, uses, change = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array([x // 512 for x in r], pa.int32()), pa.array(r, pa.int32()), pa.array(uses, pa.int64()), pa.array(change, pa.binary())], ["block", "r", "uses", "change"])
@@ -284,7 +335,7 @@ def train_round(coded: DataFrame, model: Model, rate: float, tokens: int = 0) ->
         total: dict[int, list] = {}
         for batch in batches:
             for r, uses, change in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
-                x = np.frombuffer(change, np.float32).astype(np.float64)
+                x = np.frombuffer(change, np.float16).astype(np.float64) * uses
                 if r in total:
                     total[r][0] += uses
                     total[r][1] += x
@@ -294,19 +345,21 @@ def train_round(coded: DataFrame, model: Model, rate: float, tokens: int = 0) ->
             mean = [(v[1] / v[0]).astype(np.float32).tobytes() for v in total.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(mean, pa.binary())], ["r", "change"])
 
-    size = model.class_w.nbytes + model.leaf_w.nbytes
-    tasks = max(coded.sparkSession.sparkContext.defaultParallelism, 4 * tokens // size)
+    size = sum(w.nbytes for w in model.w)
+    tasks = max(coded.sparkSession.sparkContext.defaultParallelism, 2 * tokens // size)
     updates = coded.select("leaves").coalesce(tasks).mapInArrow(run, schema)
+    firsts = np.cumsum([0, *shape.rows[:-1]])
     for r in updates.repartition(12, "block").mapInArrow(add, "r int, change binary").toLocalIterator(prefetchPartitions=True):
-        w, at = (model.class_w, r["r"]) if r["r"] < CLASS_ROWS else (model.leaf_w, r["r"] - CLASS_ROWS)
-        w[at] += np.frombuffer(r["change"], np.float32)
+        k = int(np.searchsorted(firsts, r["r"], side="right")) - 1
+        model.w[k][r["r"] - firsts[k]] += np.frombuffer(r["change"], np.float32)
+    shared.destroy()
 
 
 def scores(docs: DataFrame, rounds: int = 4, limit: int = 4_000_000) -> DataFrame:
     """SCORES of each row, learned from the rows that are not held out.
 
     Word counts cover every training text. Up to `limit` types (12 bytes each) go to the tasks as
-    sorted digests; beyond it words stay in the table and each text's words are joined with it, to
+    sorted digests, and the model's size follows the number of types (`shape_for`); beyond it words stay in the table and each text's words are joined with it, to
     the same scores. Training takes `rounds` rounds of distributed updates, each over its own part
     of all training texts, so every text is used once. A token's probability is its leaf's times
     its share (count+1) of the leaf; a word not seen counts as one more of its leaf. A null or
@@ -319,7 +372,7 @@ def scores(docs: DataFrame, rounds: int = 4, limit: int = 4_000_000) -> DataFram
     counts = materialize(word_counts(training), "words")
     vocabulary = build_vocabulary(counts, limit)
     shared = spark.sparkContext.broadcast(vocabulary)
-    model = Model(vocabulary.leaf_mass)
+    model = Model(vocabulary.leaf_mass, vocabulary.shape)
     coded = materialize(encode(rows, shared), "leaves")
     for k in range(rounds):
         part = coded.where("not held_out").where(F.pmod(F.xxhash64("row_key", F.lit(17)), F.lit(rounds)) == k)
@@ -330,7 +383,7 @@ def scores(docs: DataFrame, rounds: int = 4, limit: int = 4_000_000) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, leaf, doc in _joined(batch.column(6)):
+            for a, b, leaf, doc in _joined(batch.column(6), leaf_code(trained.value.shape)):
                 score = np.bincount(doc, weights=trained.value.log10(leaf, doc) - room[leaf], minlength=b - a)
                 tokens, own = batch.column(3)[a:b].to_numpy(), batch.column(5)[a:b].to_numpy()
                 yield pa.RecordBatch.from_arrays([*(x[a:b] for x in batch.columns[:5]), pa.array(np.full(b - a, n, np.int64)), pa.array(own - tokens * np.log10(n + v + 1)), pa.array(score + own)], [f.split()[0] for f in SCORES.split(", ")])

@@ -18,3 +18,31 @@ def test_features_reach_three_words_back():
 
 def test_words_with_a_leaf_of_their_own():
     assert (lm.FREQUENT, lm.LEAVES) == (2048, 4096)
+
+
+def test_sizes_follow_the_vocabulary():
+    sizes = [(s.leaves, s.rows[0]) for s in map(lm.shape_for, (0, 1 << 16, 1 << 18, 1 << 20, 1 << 22))]
+    assert sizes == [(1 << 12, 1 << 13), (1 << 12, 1 << 13), (1 << 14, 1 << 13), (1 << 16, 1 << 13), (1 << 18, 1 << 15)]
+    top = lm.shape_for(1 << 40)
+    assert sum(4 * r * w for r, w in zip(top.rows, top.widths, strict=True)) < 85e6
+
+
+def test_three_softmaxes_are_one_distribution():
+    shape = lm.shape_for(1 << 17)
+    assert len({lm.nth_leaf(i, shape) for i in range(shape.leaves)}) == shape.leaves == 8192
+    rng = np.random.default_rng(3)
+    model = lm.Model(rng.integers(0, 50, shape.leaves), shape)
+    for w in model.w:
+        w += rng.normal(size=w.shape).astype(np.float32)
+    leaf = np.tile(np.array([[5], [6], [7], [0]]), shape.leaves)
+    leaf[3] = np.arange(shape.leaves)
+    doc = np.repeat(np.arange(shape.leaves), 4)
+    last = model.log10(leaf.T.ravel(), doc)[3::4]
+    assert abs((10**last).sum() - 1) < 1e-4
+
+
+def test_vocabulary_of_many_words(spark):
+    rows = [(i, " ".join(f"w{k}x" for k in range(i % 2 * 70_000, 140_000))) for i in range(4)]
+    counts = lm.word_counts(spark.createDataFrame(rows, "doc_id long, text string")).cache()
+    v = lm.build_vocabulary(counts, 4_000_000)
+    assert v.shape.leaves == 16384 and len(v.frequent) == 8192 and v.leaf_mass.sum() == v.tokens + v.types
