@@ -197,15 +197,29 @@ def review_statuses(spark, d):
     return e.select("event_id", T.review_status(c).alias("status"), T.percent(c * 100).alias("percent"))
 
 
-def classify_vector(spark, d):
-    v = src.read(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    first = v.groupBy("label").agg(F.min_by("e", "vec_id").alias("title_embedding"), F.max_by("e", "vec_id").alias("summary_embedding"))
-    concepts = v.where("vec_id % 50 = 0").groupBy("label").agg(F.collect_list("e").alias("concepts"))
-    profiles = first.join(concepts, "label", "left").withColumnRenamed("label", "chapter_id")
-    out = ops.classify_vector(v.where("vec_id % 10 <> 0").select(F.col("vec_id").alias("question_id"), F.col("e").alias("embedding")), profiles)
+def _classified(v, questions, concepts):
+    profiles = v.groupBy("label").agg(F.min_by("e", "vec_id").alias("title_embedding"), F.max_by("e", "vec_id").alias("summary_embedding")).withColumnRenamed("label", "chapter_id")
+    rows = questions.select(F.col("vec_id").alias("question_id"), F.col("e").alias("embedding"))
+    out = ops.classify_vector(rows, profiles, concept_rows=concepts.select(F.col("label").alias("chapter_id"), F.col("e").alias("concept")))
     return out.select("question_id", "chapter_id", "rank", F.round("confidence", 3).alias("confidence"))
 
 
+def _vectors(spark, d):
+    return src.read(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+
+
+def classify_vector(spark, d):
+    v = _vectors(spark, d)
+    return _classified(v, v.where("vec_id % 10 <> 0"), v.where("vec_id % 50 = 0"))
+
+
+def classify_all_vectors(spark, d):
+    """Every embedding, against 30 concepts of each chapter."""
+    v = _vectors(spark, d)
+    w = Window.partitionBy("label").orderBy("vec_id")
+    return _classified(v, v, v.withColumn("n", F.row_number().over(w)).where("n <= 30"))
+
+
 VECTOR = """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 p AS (SELECT label, arg_min(e, vec_id) AS te, arg_max(e, vec_id) AS se, list(e) FILTER (vec_id % 50 = 0) AS cs FROM v GROUP BY label),
 s AS (SELECT q.vec_id AS question_id, p.label AS chapter_id, list_cosine_similarity(q.e, te) AS t, list_cosine_similarity(q.e, se) AS s, list_max(list_transform(cs, lambda c: list_cosine_similarity(q.e, c))) AS c FROM v q, p WHERE q.vec_id % 10 <> 0),
@@ -213,6 +227,7 @@ b AS (SELECT *, CASE WHEN c IS NULL THEN .15 / .5 * t + .35 / .5 * s ELSE greate
 r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chapter_id) AS rank FROM b),
 k AS (SELECT *, exp((score - max(score) OVER (PARTITION BY question_id)) / .06) AS x FROM r WHERE rank <= 3)
 SELECT question_id, chapter_id, rank::INT AS rank, round(x / sum(x) OVER (PARTITION BY question_id), 3) AS confidence FROM k"""
+ALL_VECTORS = VECTOR.replace(" WHERE q.vec_id % 10 <> 0", "").replace("FILTER (vec_id % 50 = 0)", "FILTER (n <= 30)").replace(" AS e FROM embeddings", " AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings")
 
 
 def compared_reports(spark, d):
@@ -264,6 +279,7 @@ QUERIES = {
     "marks_from_text": (marks_from_text, f"WITH {TEXTS} SELECT row_order, question_no AS marks FROM texts"),
     "review_statuses": (review_statuses, "WITH c AS (SELECT event_id, greatest(0, least(1, abs(value) / 100)) AS c FROM events WHERE value IS NOT NULL) SELECT event_id, CASE WHEN c >= .85 THEN 'AUTO_APPROVED' WHEN c >= .6 THEN 'SUGGEST_REVIEW' ELSE 'MANUAL_REVIEW_REQUIRED' END AS status, floor(least(100, c * 100) + .5)::INT AS percent FROM c"),
     "classify_vector": (classify_vector, VECTOR),
+    "classify_all_vectors": (classify_all_vectors, ALL_VECTORS),
     "compared_reports": (compared_reports, None),
     "storage_paths": (storage_paths, "SELECT p_partkey, p_brand || '/' || p_partkey || '-' || substr(regexp_replace(p_name, '[^a-zA-Z0-9._-]+', '_', 'g'), 1, 80) AS path FROM part"),
 }

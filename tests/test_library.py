@@ -49,3 +49,22 @@ def test_streams(spark, tmp_path):
     q = latest_jobs(spark.readStream.schema(changes.schema).parquet(str(tmp_path / "jobs")), str(tmp_path / "store"), str(tmp_path / "cp"))
     q.awaitTermination()
     assert {(r["job_id"], r["status"]) for r in spark.read.parquet(str(tmp_path / "store" / "v=0")).collect()} == {(1, "b"), (2, "a")}
+
+
+def test_every_vector_is_classified(spark, sf):
+    from examlake.plans import registry
+
+    want = {r["vec_id"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    assert {r["question_id"] for r in registry.queries()["classify_all_vectors"](spark, sf).collect()} == want
+
+
+def test_concepts_in_blocks_are_not_broadcast_by_hint(spark):
+    vectors = [(i, i % 3, [float(i % 7), float(i % 11), 1.0]) for i in range(4000)]
+    v = spark.createDataFrame(vectors, "question_id long, chapter_id long, embedding array<double>")
+    profiles = v.groupBy("chapter_id").agg(F.min_by("embedding", "question_id").alias("title_embedding"), F.max_by("embedding", "question_id").alias("summary_embedding"))
+    whole = v.groupBy("chapter_id").agg(F.collect_list("embedding").alias("concepts"))
+    few = v.where("question_id < 50").select("question_id", "embedding")
+    want = ops.classify_vector(few, profiles.join(whole, "chapter_id"))
+    got = ops.classify_vector(few, profiles, concept_rows=v.select("chapter_id", F.col("embedding").alias("concept")))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert "broadcast" not in got._jdf.queryExecution().analyzed().toString().lower()
