@@ -187,10 +187,17 @@ def numbered_split(spark, d):
 
 def marks_from_text(spark, d):
     t = src.text_bank(spark, d)
-    said = F.concat(F.substring("question_text", 1, 20), F.lit(" ["), F.col("question_no").cast("string"), F.lit(" marks]"))
+    said = F.concat("question_text", F.lit(" ["), F.col("question_no").cast("string"), F.lit(" marks]"))
     return t.select("row_order", T.marks_in_text(said).alias("marks"))
 
 
+def marks_in_whole_texts(spark, d):
+    """Each way of writing marks, and none, behind whole texts."""
+    n, way = F.col("question_no").cast("string"), F.col("row_order") % 5
+    said = F.when(way == 0, "").when(way == 1, F.concat(F.lit(" ["), n, F.lit(" Marks] or so"))).when(way == 2, F.concat(F.lit(" ("), n, F.lit(" mark) [7]"))).when(way == 3, F.concat(F.lit(" "), n, F.lit(" marks "))).otherwise(F.concat(F.lit(" ["), n, F.lit("] in all")))
+    return src.text_bank(spark, d).select("row_order", T.marks_in_text(F.concat("question_text", said)).alias("marks"))
+
+
 def review_statuses(spark, d):
     e = src.read(spark, d, "events").where("value is not null")
     c = T.clamp(F.abs(F.col("value")) / 100, 0, 1)
@@ -246,6 +253,9 @@ _NORM = "trim(regexp_replace(regexp_replace(lower(question_text), '[^a-z0-9_ \\n
 _SOLID = "length(regexp_replace(question_text, '[\\s\\x{00a0}\\x{feff}]', '', 'g'))"
 _LETTERS = "length(regexp_replace(question_text, '[^A-Za-z]', '', 'g'))"
 
+MARKS = rf"""WITH {TEXTS}, s AS (SELECT row_order, question_text || CASE row_order % 5 WHEN 0 THEN '' WHEN 1 THEN ' [' || question_no || ' Marks] or so' WHEN 2 THEN ' (' || question_no || ' mark) [7]' WHEN 3 THEN ' ' || question_no || ' marks ' ELSE ' [' || question_no || '] in all' END AS t FROM texts)
+SELECT row_order, coalesce(nullif(regexp_extract(t, '(?i)\[(\d{{1,2}})\s*marks?\]', 1), ''), nullif(regexp_extract(t, '(?i)\((\d{{1,2}})\s*marks?\)', 1), ''), nullif(regexp_extract(t, '(?i)(\d{{1,2}})\s*marks?\s*$', 1), ''), nullif(regexp_extract(t, '\[(\d{{1,2}})\]', 1), ''))::INT AS marks FROM s"""
+
 QUERIES = {
     "quality_report": (quality_report, QUALITY),
     "catalog_index": (catalog_index, "SELECT c_custkey AS chapter_id, n_nationkey AS unit_id, c_name AS name, r_name || ' — ' || n_name AS unit_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"),
@@ -277,6 +287,7 @@ QUERIES = {
     "event_json": (event_json, "SELECT event_id, coalesce(json_valid(props), false) AS valid, length(props)::INT AS n FROM events"),
     "numbered_split": (numbered_split, "SELECT conv_id, (turn + 1)::INT AS question_no, length(trim(replace(text, chr(10), ' ')))::INT AS n FROM conversations WHERE length(trim(replace(text, chr(10), ' '))) > 8"),
     "marks_from_text": (marks_from_text, f"WITH {TEXTS} SELECT row_order, question_no AS marks FROM texts"),
+    "marks_in_whole_texts": (marks_in_whole_texts, MARKS),
     "review_statuses": (review_statuses, "WITH c AS (SELECT event_id, greatest(0, least(1, abs(value) / 100)) AS c FROM events WHERE value IS NOT NULL) SELECT event_id, CASE WHEN c >= .85 THEN 'AUTO_APPROVED' WHEN c >= .6 THEN 'SUGGEST_REVIEW' ELSE 'MANUAL_REVIEW_REQUIRED' END AS status, floor(least(100, c * 100) + .5)::INT AS percent FROM c"),
     "classify_vector": (classify_vector, VECTOR),
     "classify_all_vectors": (classify_all_vectors, ALL_VECTORS),

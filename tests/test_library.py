@@ -68,3 +68,15 @@ def test_concepts_in_blocks_are_not_broadcast_by_hint(spark):
     got = ops.classify_vector(few, profiles, concept_rows=v.select("chapter_id", F.col("embedding").alias("concept")))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert "broadcast" not in got._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_marks_behind_long_texts(spark, tmp_path):
+    from examlake.plans import registry
+
+    long = "Find the focal length of the given lens. " * 5
+    rows = [(i, long + end) for i, end in enumerate(["(4 marks) is said.", "x", "x", "x", "x"])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    q = registry.queries()
+    got = {r["row_order"]: r["marks"] for r in q["marks_in_whole_texts"](spark, str(tmp_path)).collect()}
+    assert got == {0: 4, 1: 2, 2: 5, 3: 10, 4: 17}
+    assert q["marks_from_text"](spark, str(tmp_path)).where("row_order = 3").first()["marks"] == 10
