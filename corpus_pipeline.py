@@ -42,7 +42,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: Classifiers, components and tokens can't be said in SQL; tests hold run() against brute force.
+#: Classifiers, components and tokens can't be said in SQL. No test runs run() yet (see README).
 ORACLE_SQL = None
 
 
