@@ -15,9 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder named in spark.checkpoint.dir.
+
+    Where that is unset, a local session gets a temporary one; on a cluster it is an error, as
+    executors would write where the driver can't read.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -31,6 +37,39 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_key():
+    """A hash of doc_id and text, which tells rows apart where doc_id is null or repeated."""
+    return F.xxhash64("doc_id", "text")
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """name, with underscores put behind until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def rows_by_key(docs: DataFrame, keys: DataFrame, how: str, one_each: bool = False) -> DataFrame:
+    """Rows of docs whose row_key is ('left_semi') or isn't ('left_anti') in the table of one column, keys; `one_each` row_key."""
+    own, other = fresh_name(docs, "__own_key"), fresh_name(docs, "__other_key")
+    kept = docs.withColumn(own, row_key()).join(keys.toDF(other), F.col(own) == F.col(other), how)
+    return (kept.dropDuplicates([own]) if one_each else kept).drop(own)
+
+
+def join_by_key(big: DataFrame, small: DataFrame, keys: list[str], most: int = 10_000) -> DataFrame:
+    """Inner join with a table of one row a key, `n` of them being how many rows of big have the key.
+
+    Keys that hold more than one part in `most` of all rows are `most` at most, so they are broadcast
+    and their rows stay where they are; only the rest is shuffled. `n` is left out. big is read twice.
+    """
+    total = small.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.col("n") > F.lit(max(1000, total // most))
+    frequent = F.broadcast(small.where(hot).drop("n"))
+    rest = big.join(frequent.select(*keys), keys, "left_anti")
+    return big.join(frequent, keys).unionByName(rest.join(small.where(~hot).drop("n"), keys))
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

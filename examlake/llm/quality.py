@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from examlake.llm.common import kth_largest, materialize, slices, text_or_empty
+from examlake.llm.common import kth_largest, materialize, row_key, rows_by_key, slices, text_or_empty
 
 BUCKETS = 1 << 15
 SCORES = "doc_id long, row_key long, n_grams long, log_ratio double"
@@ -88,60 +89,55 @@ def score(docs: DataFrame, log_ratio: np.ndarray) -> DataFrame:
             texts = batch.column(2).to_pylist()
             for a, b in slices(texts):
                 grams, n = hasher.grams(texts[a:b])
-                total = np.bincount(np.repeat(np.arange(b - a), n), weights=ratio[grams], minlength=b - a)
+                total = np.bincount(np.repeat(np.arange(b - a), n), weights=ratio[grams], minlength=b - a).astype(float)  # whole numbers where no row has a word
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(n.astype(np.int64)), pa.array(total)], [f.split()[0] for f in SCORES.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("row_key"), text_or_empty().alias("text")).mapInArrow(run, SCORES)
+    return docs.select(F.col("doc_id").cast("long"), row_key().alias("row_key"), text_or_empty().alias("text")).mapInArrow(run, SCORES)
 
 
-def mean_ratio():
-    """Log ratio per n-gram, shrunk toward zero in texts of few n-grams."""
-    return F.col("log_ratio") / (F.col("n_grams") + F.lit(30))
+def share_of_targets(labels: DataFrame, z: float) -> float:
+    """Upper limit (Wilson's, z standard errors) of the share of target documents that labels show; 1 if none is labelled or none is a target."""
+    found = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).agg(F.count("q"), F.sum((F.col("q") == 1).cast("long"))).first()
+    n, good = found[0], found[1] or 0
+    if not n or not good:
+        return 1.0
+    p = good / n
+    return min(1.0, (p + z * z / (2 * n) + z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n))
 
 
-def cut_point(scored: DataFrame, labels: DataFrame, sample: int) -> float:
-    """The mean ratio that best tells labelled good rows from bad ones, on a bounded sample.
-
-    Losing a share of the good rows weighs five times keeping the same share of the bad ones.
-    """
-    lab = labels.where("quality is not null").select(F.col("doc_id").alias("__lab_id"), "quality").dropDuplicates(["__lab_id"])
-    lab = lab.orderBy(F.xxhash64("__lab_id"), "__lab_id").limit(sample)
-    rows = scored.join(F.broadcast(lab), scored["doc_id"] == lab["__lab_id"]).select("s", "quality").collect()
-    good = np.sort([r["s"] for r in rows if r["quality"]])
-    bad = np.sort([r["s"] for r in rows if not r["quality"]])
-    if not len(good) or not len(bad):
-        return float("-inf")
-    at = np.unique(np.concatenate((good, bad)))
-    at = np.concatenate(([at[0] - 1], (at[1:] + at[:-1]) / 2))
-    wrong = 5 * np.searchsorted(good, at) / len(good) + 1 - np.searchsorted(bad, at) / len(bad)
-    best = np.flatnonzero(wrong <= wrong.min() + 1e-12)
-    return float(at[best[len(best) // 2]])
-
-
-def resample(docs: DataFrame, labels: DataFrame, sample: int = 20_000, temperature: float = 0.01, keep: int | None = None, seed: int = 11, buckets: int = BUCKETS) -> DataFrame:
-    """SCORES with `sort_key`, `threshold` and `kept` for each row, by Gumbel top-k.
-
-    The target model learns from up to `sample` labelled documents of quality 1 (the bound, chosen
-    by the hash of doc_id), the raw model from all documents. sort_key = mean log(p/q) / temperature
-    + Gumbel noise drawn from the hash of the row, so drawing the k largest samples rows without
-    replacement in proportion to their weight. k is `keep`, or by default the number of rows whose
-    weight is above the cut that tells labelled good from bad. Rows at the k-th key all stay. With
-    no labels every row is kept. A null or empty text has weight 1 (mean 0). Repeated rows draw the
-    same noise and share their fate. Other columns are not read.
-    """
-    lab = labels.where(F.col("doc_id").isNotNull())
-    good = lab.where("quality = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    scored = materialize(score(docs, fit(docs, materialize(good, "targets"), buckets)).withColumn("s", mean_ratio()), "weights")
-    cut = cut_point(scored, lab, sample)
+def draw_keys(weighted: DataFrame, temperature: float, seed: int) -> DataFrame:
+    """Adds sort_key = log weight / temperature + Gumbel noise drawn from the hash of the row."""
     u = (F.pmod(F.xxhash64("row_key", F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    keyed = scored.withColumn("sort_key", F.col("s") / F.lit(temperature) - F.log(-F.log(u)))
-    k = keep if keep is not None else scored.where(F.col("s") >= F.lit(cut)).count()
+    return weighted.withColumn("sort_key", F.col("log_ratio") / F.lit(float(temperature)) - F.log(-F.log(u)))
+
+
+def draw(weighted: DataFrame, k: int, temperature: float = 1.0, seed: int = 11) -> DataFrame:
+    """Adds sort_key, threshold and kept: k rows without replacement, each draw in proportion to weight ** (1 / temperature)."""
+    keyed = draw_keys(weighted, temperature, seed)
     least = kth_largest(keyed, "sort_key", k)
     least = float("-inf") if least is None else least
-    return keyed.withColumn("threshold", F.lit(least)).withColumn("kept", F.col("sort_key") >= F.lit(least)).drop("s")
+    return keyed.withColumn("threshold", F.lit(least)).withColumn("kept", F.col("sort_key") >= F.lit(least))
+
+
+def resample(docs: DataFrame, labels: DataFrame, sample: int = 20_000, keep: int | None = None, temperature: float = 1.0, z: float = 3.0, seed: int = 11, buckets: int = BUCKETS) -> DataFrame:
+    """SCORES with `sort_key`, `threshold` and `kept` for each row: importance resampling by Gumbel top-k.
+
+    A row's weight is p(text) / q(text), the product of its n-grams' ratios. The target model p
+    learns from up to `sample` labelled documents of quality 1 (the bound, chosen by the hash of
+    doc_id; of a document labelled twice the lower quality counts), the raw model q from all
+    documents. k rows are drawn without replacement in proportion to weight ** (1 / temperature).
+    k is `keep`, or else the share of target documents among the labelled ones, taken `z` standard
+    errors up so that documents like the target are not crowded out, times the rows. With no
+    target label every row is kept. Rows at the k-th key all stay. A null or empty text has weight
+    1. Repeated rows draw the same noise and share their fate. Other columns are not read.
+    """
+    lab = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality")
+    good = lab.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    scored = materialize(score(docs, fit(docs, materialize(good, "targets"), buckets)), "weights")
+    k = math.ceil(share_of_targets(lab, z) * scored.count()) if keep is None else keep
+    return draw(scored, k, temperature, seed)
 
 
 def keep_sampled(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs that `resample` keeps, with their columns as they are."""
-    kept = resample(docs, labels, **options).where("kept").select(F.col("row_key").alias("__row_key")).distinct()
-    return docs.withColumn("__own_key", F.xxhash64("doc_id", "text")).join(kept, F.col("__own_key") == F.col("__row_key"), "left_semi").drop("__own_key")
+    return rows_by_key(docs, resample(docs, labels, **options).where("kept").select("row_key").distinct(), "left_semi")
