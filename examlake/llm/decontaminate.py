@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from examlake.llm.common import slices, text_or_empty
+from examlake.llm.common import row_key, rows_by_key, slices, text_or_empty
 
 LEAKS = "doc_id long, row_key long, item_id long, start_word long, score double, question_overlap double, answer_overlap double"
 K1, B = 1.2, 0.75
@@ -154,7 +154,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, window:
     texts and items match nothing; an empty benchmark gives no rows. Repeated rows give the same
     rows each. row_key = xxhash64(doc_id, text) tells rows apart where doc_id is null or repeated.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("row_key"), text_or_empty().alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long"), row_key().alias("row_key"), text_or_empty().alias("text"))
     items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").dropDuplicates()
     shards = max(1, -(-items.count() // shard))
     out = None
@@ -204,5 +204,4 @@ class _Names:
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without the rows that hold a benchmark item; columns as they are."""
-    bad = leaks(docs, benchmark, **options).select(F.col("row_key").alias("__row_key")).distinct()
-    return docs.withColumn("__own_key", F.xxhash64("doc_id", "text")).join(bad, F.col("__own_key") == F.col("__row_key"), "left_anti").drop("__own_key")
+    return rows_by_key(docs, leaks(docs, benchmark, **options).select("row_key").distinct(), "left_anti")

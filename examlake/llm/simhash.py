@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from examlake.llm.common import materialize, text_or_empty, words_of
+from examlake.llm.common import join_by_key, materialize, row_key, rows_by_key, text_or_empty, words_of
 from examlake.llm.components import connected_components
 
 BITS = 64
@@ -46,14 +46,14 @@ def masks(radius: int) -> list[int]:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long)."""
+    """doc_id, row_key, fp (the fingerprint as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t, width) for t in batch.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["doc_id", "row_key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), row_key().alias("row_key"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, row_key long, fp long")
 
 
 def _links(fps: np.ndarray, radius: int, free: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -124,29 +124,31 @@ def fingerprint_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
-    """doc_id, fp, component_id for each row of docs.
+    """doc_id, row_key, fp, root (a fingerprint that names the group), component_id for each row of docs.
 
     Equal fingerprints are one node with its smallest doc_id, so copies never make pairs. A null or
-    empty text has fingerprint zero and is linked like any other. Repeated rows give a row each. A
-    null doc_id keeps its row; component_id is the smallest id that is not null, or null.
+    empty text has fingerprint zero and is linked like any other. Repeated rows give a row each;
+    row_key tells rows of one doc_id apart. A null doc_id keeps its row; component_id is the
+    smallest id that is not null, or null.
     """
     fps = materialize(fingerprints(docs, width), "fingerprints")
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprint_nodes")
+    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "fingerprint_nodes")
     links = materialize(fingerprint_links(nodes.select("fp"), radius).distinct(), "fingerprint_links")
     linked = connected_components(links)
     comp = nodes.join(linked.select(F.col("node").alias("fp"), "root"), "fp", "inner")
     ids = comp.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = comp.join(ids, "root").select("fp", "component_id")
-    label = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return fps.join(label, "fp").select("doc_id", "fp", "component_id")
+    named = comp.join(ids, "root").select("fp", "root", "component_id")
+    label = nodes.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first_id").alias("component_id"), "n")
+    return join_by_key(fps, materialize(label, "fingerprint_labels"), ["fp"]).select("doc_id", "row_key", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
-    """docs with one document of each group of near-duplicates: the one with the smallest doc_id.
+    """docs with one row of each group of near-duplicates: the smallest doc_id's (null last).
 
-    Repeated rows of a doc_id become one. Rows whose doc_id is null can't be named and all stay.
+    Of different texts under that doc_id in one group the one with the smaller row_key stays, of
+    rows with equal doc_id and text any one. Rows of one doc_id in different groups are different
+    documents. Columns stay as they are.
     """
-    keep = near_duplicates(docs.where(F.col("doc_id").isNotNull()), radius, width).where(F.col("doc_id") == F.col("component_id"))
-    keep = keep.select(F.col("doc_id").alias("__keep_id")).distinct()
-    kept = docs.join(keep, docs["doc_id"] == keep["__keep_id"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")
+    keep = near_duplicates(docs, radius, width).groupBy("root").agg(F.min(first).alias("first")).select("first.row_key")
+    return rows_by_key(docs, keep, "left_semi", one_each=True)
