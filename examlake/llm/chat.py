@@ -24,15 +24,52 @@ def unescape(text):
     return F.regexp_replace(text, F.lit(UNESCAPE), F.lit("$1"))
 
 
-def with_depth(nodes: DataFrame) -> DataFrame:
+def escape_role(role):
+    """A role on one line: ~ becomes ~0 and a line break ~1, then as `escape`."""
+    return escape(F.regexp_replace(F.regexp_replace(role, "~", "~0"), "\n", "~1"))
+
+
+def unescape_role(role):
+    return F.regexp_replace(F.regexp_replace(unescape(role), "~1", "\n"), "~0", "~")
+
+
+def _rounds(nodes: DataFrame) -> int:
+    """Doublings of reach that pass every chain of a tree: log2 of the most nodes in one tree."""
+    most = nodes.groupBy("tree_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return (most or 0).bit_length()
+
+
+def without_cycles(nodes: DataFrame) -> DataFrame:
+    """nodes (tree_id, node_id, parent_id, score) with each cycle of replies cut above its smallest node_id, which becomes a root.
+
+    Pointers are doubled as in `with_depth`, with the smallest node passed on the way; what has not
+    reached a root after log2 of the tree's nodes never will, and then points into its cycle.
+    """
+    at = nodes.where("parent_id is not null").select("tree_id", "node_id", F.col("parent_id").alias("up"), F.col("node_id").alias("least"))
+    for _ in range(_rounds(nodes)):
+        at = materialize(at, "cycles")
+        far = at.select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), F.col("up").alias("up2"), F.col("least").alias("l2"))
+        at = at.join(far, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n"))).select("tree_id", "node_id", F.col("up2").alias("up"), F.least("least", "l2").alias("least"))
+    at = materialize(at, "cycles")
+    inside = at.select(F.col("tree_id").alias("t"), F.col("up").alias("n")).distinct()
+    roots = at.join(inside, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("node_id") == F.col("n")), "left_semi").where("node_id = least").select(F.col("tree_id").alias("t"), F.col("node_id").alias("root"))
+    cut = nodes.join(roots, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("node_id") == F.col("root")), "left")
+    return cut.select("tree_id", "node_id", F.when(F.col("root").isNull(), F.col("parent_id")).alias("parent_id"), "score")
+
+
+def with_depth(nodes: DataFrame) -> DataFrame | None:
     """Adds `depth` (nodes from the root) and `total` (their scores' sum), by pointer jumping.
 
     nodes: tree_id, node_id, parent_id, score. Each round joins every node with the node its
-    pointer reaches and doubles the reach, so a chain of n turns takes log2(n) joins.
+    pointer reaches and doubles the reach, so a chain of n turns takes log2(n) joins. None if some
+    pointers never end, as replies go round in a cycle.
     """
     at = nodes.select("tree_id", "node_id", F.col("parent_id").alias("up"), F.lit(1).cast("long").alias("depth"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("total"))
-    at = materialize(at, "tree")
+    at, rounds = materialize(at, "tree"), _rounds(nodes)
     while at.where("up is not null").limit(1).count():
+        if rounds < 0:
+            return None
+        rounds -= 1
         far = at.select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("total").alias("s2"))
         moved = at.where("up is not null").join(far, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")), "left")
         moved = moved.select("tree_id", "node_id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("s2", F.lit(0.0))).alias("total"))
@@ -40,9 +77,8 @@ def with_depth(nodes: DataFrame) -> DataFrame:
     return at.drop("up")
 
 
-def ranked_leaves(nodes: DataFrame, per_tree: int = 1) -> DataFrame:
-    """tree_id, leaf, branch (rank from 1), depth: leaves by mean path score, then depth, then id."""
-    at = with_depth(nodes)
+def ranked_leaves(nodes: DataFrame, at: DataFrame, per_tree: int = 1) -> DataFrame:
+    """tree_id, leaf, branch (rank from 1), depth: leaves by mean path score, then depth, then id; `at` is `with_depth` of nodes."""
     parents = nodes.where("parent_id is not null").select(F.col("tree_id").alias("t"), F.col("parent_id").alias("p")).distinct()
     leaves = at.join(parents, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("node_id") == F.col("p")), "left_anti")
     order = Window.partitionBy("tree_id").orderBy(F.desc(F.col("total") / F.col("depth")), F.desc("depth"), "node_id")
@@ -82,8 +118,8 @@ def format_paths(nodes: DataFrame, path: DataFrame) -> DataFrame:
     The loss mask is the segments flagged `loss`: assistants' texts.
     """
     said = nodes.select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    turns = path.join(said, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("node_id") == F.col("n")))
-    head = F.concat(F.lit(TURN), F.regexp_replace(escape(F.col("role")), "\n", " "), F.lit(f"\n{BODY}\n"))
+    turns = path.join(said, F.col("tree_id").eqNullSafe(F.col("t")) & F.col("node_id").eqNullSafe(F.col("n")))
+    head = F.concat(F.lit(TURN), escape_role(F.col("role")), F.lit(f"\n{BODY}\n"))
     parts = F.array(F.struct(head.alias("text"), F.lit(False).alias("loss")), F.struct(escape(F.col("text")).alias("text"), (F.col("role") == "assistant").alias("loss")), F.struct(F.lit(f"\n{END}\n").alias("text"), F.lit(False).alias("loss")))
     turns = turns.select("tree_id", "branch", F.struct((-F.col("up_from_leaf")).alias("at"), parts.alias("parts")).alias("turn"))
     grouped = turns.groupBy("tree_id", "branch").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
@@ -101,7 +137,7 @@ def read_back(formatted):
         at = F.instr(x, body)
         role = F.substr(x, F.lit(1), at - 1)
         rest = F.substr(x, at + F.lit(len(body)))
-        return F.struct(unescape(role).alias("role"), unescape(F.substr(rest, F.lit(1), F.length(rest) - F.lit(len(f"\n{END}\n")))).alias("text"))
+        return F.struct(unescape_role(role).alias("role"), unescape(F.substr(rest, F.lit(1), F.length(rest) - F.lit(len(f"\n{END}\n")))).alias("text"))
 
     return F.transform(turns, turn)
 
@@ -115,14 +151,21 @@ def format_trees(nodes: DataFrame, per_tree: int = 1) -> DataFrame:
     """The best `per_tree` branches of each reply tree, each as one formatted conversation.
 
     nodes: tree_id, node_id, parent_id (null: a root), role, text, score. Null role or text counts
-    as empty, a null score as 0; a parent_id that no row has ends the path there. node_id must be
-    unique in its tree. A null tree_id is a tree of its own. Line breaks in a role become spaces.
+    as empty, a null score as 0; a parent_id that no row has ends the path there, and a cycle of
+    replies is cut above its smallest node_id. Of rows with equal tree_id and node_id the first by
+    parent_id, role, text and score stands; a null node_id is one node that no reply names. A null
+    tree_id is a tree of its own. Branches are ranked by mean score, then depth, then the leaf's id.
+    An empty table gives no rows; other columns are not read.
     """
-    nodes = materialize(nodes.select("tree_id", "node_id", "parent_id", "role", "text", "score"), "nodes")
+    one = nodes.groupBy("tree_id", "node_id").agg(F.min(F.struct("parent_id", "role", "text", "score")).alias("x"))
+    nodes = materialize(one.select("tree_id", "node_id", "x.parent_id", "x.role", "x.text", "x.score"), "nodes")
     known = nodes.select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"))
     links = nodes.select("tree_id", "node_id", "parent_id", "score").join(known, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("parent_id") == F.col("n")), "left")
     links = materialize(links.select("tree_id", "node_id", F.col("n").alias("parent_id"), "score"), "links")
-    return format_paths(nodes, path_nodes(links, ranked_leaves(links, per_tree)))
+    if (at := with_depth(links)) is None:
+        links = materialize(without_cycles(links), "links")
+        at = with_depth(links)
+    return format_paths(nodes, path_nodes(links, ranked_leaves(links, at, per_tree)))
 
 
 def conversation_nodes(conversations: DataFrame) -> DataFrame:

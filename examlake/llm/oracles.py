@@ -7,7 +7,7 @@ WITH turns AS (
   UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), escaped AS (
   SELECT *, length(regexp_replace(text, '(\\\\*)(<\\|turn\\|>|<\\|text\\|>|<\\|end\\|>|<s>|</s>|\\[INST\\]|\\[/INST\\]|<<SYS>>|<</SYS>>|<\\|im_start\\|>|<\\|im_end\\|>|<\\|endoftext\\|>|<\\|startoftext\\|>)', '\\\\\\1\\2', 'g'))
-         + length(regexp_replace(role, '(\\\\*)(<\\|turn\\|>|<\\|text\\|>|<\\|end\\|>|<s>|</s>|\\[INST\\]|\\[/INST\\]|<<SYS>>|<</SYS>>|<\\|im_start\\|>|<\\|im_end\\|>|<\\|endoftext\\|>|<\\|startoftext\\|>)', '\\\\\\1\\2', 'g')) AS escaped_chars
+         + length(regexp_replace(replace(replace(role, '~', '~0'), chr(10), '~1'), '(\\\\*)(<\\|turn\\|>|<\\|text\\|>|<\\|end\\|>|<s>|</s>|\\[INST\\]|\\[/INST\\]|<<SYS>>|<</SYS>>|<\\|im_start\\|>|<\\|im_end\\|>|<\\|endoftext\\|>|<\\|startoftext\\|>)', '\\\\\\1\\2', 'g')) AS escaped_chars
   FROM turns
 )
 SELECT conv_id, count(*) AS n_turns,
