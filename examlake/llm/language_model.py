@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -12,13 +12,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from examlake.llm.common import materialize, slices, text_or_empty, words_of
+from examlake.llm.common import materialize, row_key, slices, text_or_empty, words_of
 
 END = b""  # words are never empty
 WIDTH = 64  # classes, and leaves in a class
 LEAVES = WIDTH * WIDTH  # at least
 FREQUENT = LEAVES // 2  # words with a leaf of their own, at least; the rest share leaves by their ending
-STEP = 8192  # tokens in a mini-batch
+STEP = 16384  # tokens in a numpy batch
+MOST_WEIGHT = np.float32(8)
 SCORES = "doc_id long, row_key long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -56,7 +57,7 @@ LEAST = shape_for(0)
 
 @dataclass
 class Vocabulary:
-    """What tasks get of the training counts; `digests` and `counts` are empty beyond the size limit."""
+    """What tasks get of the training counts; beyond the size limit, `digests` and `counts` are empty and `known` holds frequent words' counts."""
 
     tokens: int  # N
     types: int  # V
@@ -66,6 +67,7 @@ class Vocabulary:
     counts: np.ndarray
     whole: bool
     shape: Shape = LEAST
+    known: dict = field(default_factory=dict)
 
 
 def held_out():
@@ -137,7 +139,8 @@ def build_vocabulary(counts: DataFrame, limit: int) -> Vocabulary:
         digests, values = got.column("h").to_numpy().view(np.uint64), got.column("c").to_numpy()
         order = np.argsort(digests)
         digests, values = digests[order], values[order].astype(np.int64)
-    return Vocabulary(int(n), int(v), frequent, leaf_mass, digests, values, whole, shape)
+    known = {} if whole else {r["word"].encode(): r["c"] for r in top}
+    return Vocabulary(int(n), int(v), frequent, leaf_mass, digests, values, whole, shape, known)
 
 
 class Encoder:
@@ -170,6 +173,8 @@ class Encoder:
                 h = np.array([xxhash.xxh64_intdigest(w, 42) for w in new], np.uint64)
                 at = np.minimum(np.searchsorted(self.v.digests, h), len(self.v.digests) - 1)
                 counts = np.where(self.v.digests[at] == h, self.v.counts[at], 0)
+            elif self.v.known:
+                counts = np.array([self.v.known.get(w, 0) for w in new], np.int64)
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
             self.leaves, self.counts = np.append(self.leaves, leaves), np.append(self.counts, counts)
         at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
@@ -215,68 +220,82 @@ class Model:
         """The branch that each softmax is to choose."""
         return [leaf // self.shape.below(k) % width for k, width in enumerate(self.shape.widths)]
 
-    @staticmethod
-    def _softmax(logits: np.ndarray) -> np.ndarray:
-        logits -= logits.max(axis=1, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(axis=1, keepdims=True)
-        return logits
-
-    def probabilities(self, leaf: np.ndarray, rows: list) -> list[np.ndarray]:
-        out = []
-        for k, width in enumerate(self.shape.widths):
-            logits = self.bias[k][leaf // (self.shape.below(k) * width)]
-            for r in rows[k]:
-                logits += self.w[k][r]
-            out.append(self._softmax(logits))
+    def logits(self, k: int, leaf: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """[token, branch] of softmax k. Weights stay within MOST_WEIGHT, so their exp needs no shift."""
+        out = np.take(self.w[k], rows[0], axis=0)
+        for r in rows[1:]:
+            out += np.take(self.w[k], r, axis=0)
+        bias = self.bias[k]
+        out += bias[0] if len(bias) == 1 else np.take(bias, leaf // (self.shape.below(k) * self.shape.widths[k]), axis=0)
         return out
 
-    def log10(self, leaf: np.ndarray, doc: np.ndarray, block: int = 8192) -> np.ndarray:
+    def probabilities(self, k: int, leaf: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        out = self.logits(k, leaf, rows)
+        np.exp(out, out=out)
+        out /= (out @ np.ones(out.shape[1], np.float32))[:, None]
+        return out
+
+    def log10(self, leaf: np.ndarray, doc: np.ndarray, block: int = STEP) -> np.ndarray:
         """log10 P(leaf | history) of every token."""
         out = np.zeros(len(leaf))
         rows = self.rows(leaf, doc, self.shape)
         for a in range(0, len(leaf), block):
             part = leaf[a : a + block]
             at = np.arange(len(part))
-            probs = self.probabilities(part, [x[:, a : a + block] for x in rows])
-            out[a : a + block] = sum(np.log10(p[at, target].astype(float)) for p, target in zip(probs, self.targets(part), strict=True))
-        return out
-
+            for k, target in enumerate(self.targets(part)):
+                logits = self.logits(k, part, rows[k][:, a : a + block])
+                chosen = logits[at, target].astype(float)
+                np.exp(logits, out=logits)
+                out[a : a + block] += chosen - np.log(logits @ np.ones(logits.shape[1], np.float32))
+        return out / np.log(10)
+
+
+def add_rows(total: np.ndarray, values: np.ndarray, rows: np.ndarray) -> None:
+    """total[rows[i]] += values[i], by runs of equal rows: long runs are summed, short ones added rank by rank."""
+    order = np.argsort(rows.astype(np.uint16) if len(total) <= 1 << 16 else rows, kind="stable")
+    at = rows[order]
+    starts = np.flatnonzero(np.diff(at, prepend=-1))
+    size = np.diff(starts, append=len(at))
+    by = np.argsort(-size, kind="stable")
+    starts, size = starts[by], size[by]
+    long = int(np.searchsorted(-size, -16))
+    for a, n in zip(starts[:long].tolist(), size[:long].tolist(), strict=True):
+        total[at[a]] += values[order[a : a + n]].sum(axis=0)
+    starts, size = starts[long:], size[long:]
+    if len(starts):
+        sums = np.take(values, order[starts], axis=0)
+        for rank in range(1, int(size[0])):
+            n = int(np.searchsorted(-size, -rank))
+            sums[:n] += np.take(values, order[starts[:n] + rank], axis=0)
+        total[at[starts]] += sums
+
+
+class Gradient:
+    """Observed and expected counts of every (row, branch) under one model: the two parts of its gradient."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.observed = [np.zeros_like(w) for w in model.w]
+        self.expected = [np.zeros_like(w) for w in model.w]
+
+    def add(self, leaf: np.ndarray, rows: list) -> None:
+        for k, target in enumerate(self.model.targets(leaf)):
+            probs = self.model.probabilities(k, leaf, rows[k])
+            for r in rows[k]:
+                add_rows(self.expected[k], probs, r)
+                np.add.at(self.observed[k].reshape(-1), r * probs.shape[1] + target, np.float32(1))
 
-class Trainer:
-    """Steps by mini-batches: observed minus expected counts, over the expected counts so far."""
+    def blocks(self, size: int = 512) -> Iterator[tuple[int, int, bytes, bytes]]:
+        """(softmax, first row, observed, expected) of each block of rows that was used."""
+        for k, (o, e) in enumerate(zip(self.observed, self.expected, strict=True)):
+            for a in range(0, len(o), size):
+                if o[a : a + size].any():
+                    yield k, a, o[a : a + size].tobytes(), e[a : a + size].tobytes()
 
-    def __init__(self, start: Model, rate: float, prior: float = 2.0):
-        self.model, self.rate, self.prior = Model.__new__(Model), rate, prior
-        self.model.shape, self.model.bias, self.model.w = start.shape, start.bias, [w.copy() for w in start.w]
-        self.past = [np.zeros_like(w) for w in start.w]
-        self.start = start.w
-        self.used = [np.zeros(len(w), np.int64) for w in start.w]
 
-    def step(self, leaf: np.ndarray, rows: list) -> None:
-        probs = self.model.probabilities(leaf, rows)
-        for k, (w, target) in enumerate(zip(self.model.w, self.model.targets(leaf), strict=True)):
-            for r in rows[k]:
-                order = np.argsort(r, kind="stable")
-                starts = np.flatnonzero(np.diff(r[order], prepend=-1))
-                at, uses = r[order][starts], np.diff(np.append(starts, len(r)))
-                expected = np.add.reduceat(probs[k][order], starts, axis=0)
-                past = self.past[k][at] + expected
-                self.past[k][at] = past
-                np.negative(expected, out=expected)
-                cells = np.repeat(np.arange(len(at)) * w.shape[1], uses) + target[order]
-                np.add.at(expected.ravel(), cells, np.float32(1))
-                expected /= past + np.float32(self.prior)
-                w[at] += np.clip(expected * np.float32(self.rate), -1, 1)
-                self.used[k][at] += uses
-
-    def changes(self) -> Iterator[tuple[int, int, bytes]]:
-        """(row, uses, change in 16-bit floats) of each row that was used; rows of all softmaxes count on."""
-        first = 0
-        for w, base, used in zip(self.model.w, self.start, self.used, strict=True):
-            for r in np.flatnonzero(used):
-                yield first + int(r), int(used[r]), (w[r] - base[r]).astype(np.float16).tobytes()
-            first += len(w)
+def step(observed: np.ndarray, expected: np.ndarray, features: int, prior: float) -> np.ndarray:
+    """Iterative scaling: each of a token's `features` weights takes its share of log(observed / expected)."""
+    return (np.log((observed + prior) / (expected + prior)) / features).astype(np.float32)
 
 
 def encode(rows: DataFrame, shared) -> DataFrame:
@@ -295,7 +314,7 @@ def encode(rows: DataFrame, shared) -> DataFrame:
                 known, own = (np.bincount(doc, weights=x, minlength=b - a) for x in (c > 0, np.log10(c + 1.0)))
                 yield pa.RecordBatch.from_arrays([*(x[a:b] for x in batch.columns[:3]), pa.array(np.diff(ends, prepend=0)), pa.array(known.astype(np.int64)), pa.array(own), pa.array(packed, pa.binary())], [f.split()[0] for f in schema.split(", ")])
 
-    return rows.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "held_out", "text").mapInArrow(run, schema)
+    return rows.select("doc_id", row_key().alias("row_key"), "held_out", "text").mapInArrow(run, schema)
 
 
 def leaf_code(shape: Shape) -> np.dtype:
@@ -310,48 +329,45 @@ def _joined(column: pa.Array, code: np.dtype, most: int = 500_000) -> Iterator[t
         yield a, b, np.frombuffer(b"".join(packed[a:b]), code).astype(np.int64), np.repeat(np.arange(b - a), sizes[a:b])
 
 
-def train_round(coded: DataFrame, model: Model, rate: float, tokens: int = 0) -> None:
-    """One round of distributed updates over encoded texts; changes `model`.
+def train_round(coded: DataFrame, model: Model, tokens: int = 0, prior: float = 2.0) -> None:
+    """One distributed gradient update over encoded texts; changes `model`.
 
-    Each task steps through its texts from the shared weights and hands on every row's change and
-    uses, by which changes are weighted; rows are summed by blocks in separate tasks. A task hands on a whole model
-    at most, so there are no more tasks than cores or `tokens` (of all training texts) pay for.
+    Tasks sum observed and expected counts under the shared weights, other tasks add them by blocks
+    of rows and turn them into changes of weights. So the update does not depend on how the rows are
+    dealt. A task hands on twice a whole model at most, so there are no more tasks than cores or
+    `tokens` (of all training texts) pay for.
     """
     shared = coded.sparkSession.sparkContext.broadcast(model)
-    schema, shape = "block int, r int, uses long, change binary", model.shape
+    schema, shape = "k int, first int, observed binary, expected binary", model.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer = Trainer(shared.value, rate)
+        gradient = Gradient(shared.value)
         for batch in batches:
             for _, _, leaf, doc in _joined(batch.column(0), leaf_code(shape)):
                 rows = Model.rows(leaf, doc, shape)
-                for k in range(0, len(leaf), STEP):
-                    trainer.step(leaf[k : k + STEP], [x[:, k : k + STEP] for x in rows])
-        if found := list(trainer.changes()):
-            r, uses, change = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array([x // 512 for x in r], pa.int32()), pa.array(r, pa.int32()), pa.array(uses, pa.int64()), pa.array(change, pa.binary())], ["block", "r", "uses", "change"])
+                for a in range(0, len(leaf), STEP):
+                    gradient.add(leaf[a : a + STEP], [x[:, a : a + STEP] for x in rows])
+        for k, first, observed, expected in gradient.blocks():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([first], pa.int32()), pa.array([observed], pa.binary()), pa.array([expected], pa.binary())], ["k", "first", "observed", "expected"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, list] = {}
+        total: dict[tuple, list] = {}
         for batch in batches:
-            for r, uses, change in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
-                x = np.frombuffer(change, np.float16).astype(np.float64) * uses
-                if r in total:
-                    total[r][0] += uses
-                    total[r][1] += x
-                else:
-                    total[r] = [uses, x]
-        if total:
-            mean = [(v[1] / v[0]).astype(np.float32).tobytes() for v in total.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(mean, pa.binary())], ["r", "change"])
+            for k, first, *counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                values = [np.frombuffer(x, np.float32).astype(np.float64) for x in counts]
+                total[k, first] = [a + b for a, b in zip(total[k, first], values, strict=True)] if (k, first) in total else values
+        for (k, first), (observed, expected) in total.items():
+            change = step(observed, expected, 4 if k == 0 else 2, prior)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([first], pa.int32()), pa.array([change.tobytes()], pa.binary())], ["k", "first", "change"])
 
     size = sum(w.nbytes for w in model.w)
-    tasks = max(coded.sparkSession.sparkContext.defaultParallelism, 2 * tokens // size)
-    updates = coded.select("leaves").coalesce(tasks).mapInArrow(run, schema)
-    firsts = np.cumsum([0, *shape.rows[:-1]])
-    for r in updates.repartition(12, "block").mapInArrow(add, "r int, change binary").toLocalIterator(prefetchPartitions=True):
-        k = int(np.searchsorted(firsts, r["r"], side="right")) - 1
-        model.w[k][r["r"] - firsts[k]] += np.frombuffer(r["change"], np.float32)
+    tasks = max(coded.sparkSession.sparkContext.defaultParallelism, tokens // (2 * size))
+    counts = coded.select("leaves").coalesce(tasks).mapInArrow(run, schema)
+    for r in counts.repartition(12, "k", "first").mapInArrow(add, "k int, first int, change binary").toLocalIterator(prefetchPartitions=True):
+        w = model.w[r["k"]]
+        change = np.frombuffer(r["change"], np.float32).reshape(-1, w.shape[1])
+        part = w[r["first"] : r["first"] + len(change)]
+        np.clip(part + change, -MOST_WEIGHT, MOST_WEIGHT, out=part)
     shared.destroy()
 
 
@@ -359,9 +375,10 @@ def scores(docs: DataFrame, rounds: int = 4, limit: int = 4_000_000) -> DataFram
     """SCORES of each row, learned from the rows that are not held out.
 
     Word counts cover every training text. Up to `limit` types (12 bytes each) go to the tasks as
-    sorted digests, and the model's size follows the number of types (`shape_for`); beyond it words stay in the table and each text's words are joined with it, to
-    the same scores. Training takes `rounds` rounds of distributed updates, each over its own part
-    of all training texts, so every text is used once. A token's probability is its leaf's times
+    sorted digests, and the model's size follows the number of types (`shape_for`); beyond it words
+    stay in the table and each text's rarer words are joined with it, to the same scores. Training
+    takes `rounds` distributed gradient updates, each over its own part of all training texts, so
+    every text is used once; how rows are dealt to tasks does not matter. A token's probability is its leaf's times
     its share (count+1) of the leaf; a word not seen counts as one more of its leaf. A null or
     empty text is one end token. With no training rows N = V = 0 and the model is uniform over
     leaves. Repeated rows are scored alike, and count as often in training.
@@ -376,7 +393,7 @@ def scores(docs: DataFrame, rounds: int = 4, limit: int = 4_000_000) -> DataFram
     coded = materialize(encode(rows, shared), "leaves")
     for k in range(rounds):
         part = coded.where("not held_out").where(F.pmod(F.xxhash64("row_key", F.lit(17)), F.lit(rounds)) == k)
-        train_round(part, model, rate=0.5, tokens=vocabulary.tokens)
+        train_round(part, model, tokens=vocabulary.tokens)
     trained = spark.sparkContext.broadcast(model)
     room = np.log10(vocabulary.leaf_mass + 1.0)
     n, v = vocabulary.tokens, vocabulary.types
@@ -389,27 +406,30 @@ def scores(docs: DataFrame, rounds: int = 4, limit: int = 4_000_000) -> DataFram
                 yield pa.RecordBatch.from_arrays([*(x[a:b] for x in batch.columns[:5]), pa.array(np.full(b - a, n, np.int64)), pa.array(own - tokens * np.log10(n + v + 1)), pa.array(score + own)], [f.split()[0] for f in SCORES.split(", ")])
 
     scored = coded.mapInArrow(run, SCORES)
-    whole = vocabulary.whole or not vocabulary.types
-    keyed = rows.select(F.xxhash64("doc_id", "text").alias("row_key"), "text")
-    return scored if whole else _with_counts(scored, keyed, counts)
+    if vocabulary.whole or not vocabulary.types:
+        return scored
+    return _with_rare(scored, rows.select(row_key().alias("row_key"), "text"), counts, shared)
 
 
-def _with_counts(scored: DataFrame, keyed: DataFrame, counts: DataFrame) -> DataFrame:
-    """Adds what the words' counts give, by a join of each text's words with the table of counts."""
+def _with_rare(scored: DataFrame, keyed: DataFrame, counts: DataFrame, shared) -> DataFrame:
+    """Adds what rare words' counts give, by a join of each text's words with the table of counts.
+
+    Frequent words are in the tasks' vocabulary already, so no word that is left is a hot key.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = shared.value.known
         for batch in batches:
             key, word, n = [], [], []
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = Counter(words_of(text))
-                own[END] += 1
+                own = {w: m for w, m in Counter(words_of(text)).items() if w not in frequent}
                 key += [k] * len(own)
                 word += [w.decode() for w in own]
                 n += own.values()
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(word, pa.string()), pa.array(n, pa.int64())], ["k", "word", "n"])
 
-    words = keyed.select("row_key", "text").dropDuplicates(["row_key"]).mapInArrow(run, "k long, word string, n long")
+    words = keyed.dropDuplicates(["row_key"]).mapInArrow(run, "k long, word string, n long")
     found = words.join(counts, "word").groupBy("k").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("own"), F.sum("n").alias("seen"))
     joined = scored.join(found, scored["row_key"] == found["k"], "left")
     own = F.coalesce("own", F.lit(0.0))
-    return joined.select("doc_id", "row_key", "held_out", "n_tokens", F.coalesce("seen", F.lit(0)).alias("n_known"), "train_tokens", (F.col("base_score") + own).alias("base_score"), (F.col("score") + own).alias("score"))
+    return joined.select("doc_id", "row_key", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), "train_tokens", (F.col("base_score") + own).alias("base_score"), (F.col("score") + own).alias("score"))

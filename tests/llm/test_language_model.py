@@ -46,3 +46,49 @@ def test_vocabulary_of_many_words(spark):
     counts = lm.word_counts(spark.createDataFrame(rows, "doc_id long, text string")).cache()
     v = lm.build_vocabulary(counts, 4_000_000)
     assert v.shape.leaves == 16384 and len(v.frequent) == 8192 and v.leaf_mass.sum() == v.tokens + v.types
+
+
+def test_rows_are_summed_by_runs():
+    rng = np.random.default_rng(1)
+    rows, values = rng.zipf(1.3, 3000) % 500, rng.random((3000, 8), np.float32)
+    got, want = np.zeros((500, 8), np.float32), np.zeros((500, 8))
+    lm.add_rows(got, values, rows)
+    np.add.at(want, rows, values)
+    assert np.allclose(got, want, atol=1e-3)
+
+
+def test_gradient_is_observed_minus_expected():
+    rng = np.random.default_rng(2)
+    leaf, doc = rng.integers(0, lm.LEAST.leaves, 300), np.repeat([0, 1], 150)
+    model = lm.Model(rng.integers(0, 50, lm.LEAST.leaves))
+    for w in model.w:
+        w += rng.normal(size=w.shape).astype(np.float32) * 0.3
+    rows, gradient = lm.Model.rows(leaf, doc), lm.Gradient(model)
+    gradient.add(leaf, rows)
+    k, row, branch = 1, int(rows[1][0, 7]), int(leaf[7] % lm.WIDTH)
+    log = lambda: model.log10(leaf, doc).sum() * np.log(10)
+    eps = np.float32(0.05)
+    model.w[k][row, branch] += eps
+    up = log()
+    model.w[k][row, branch] -= 2 * eps
+    slope = (up - log()) / (2 * float(eps))
+    assert abs(slope - (gradient.observed[k][row, branch] - gradient.expected[k][row, branch])) < 1e-2
+
+
+def test_scores_do_not_depend_on_partitions(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    one, many = ({r["doc_id"]: r for r in lm.scores(docs.repartition(n)).collect()} for n in (1, 13))
+    for i, r in one.items():
+        assert abs(r["score"] - many[i]["score"]) < 1e-4 * max(1, abs(r["score"])), i
+    held = [r for r in one.values() if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held) + 0.1 * sum(r["n_tokens"] for r in held)
+
+
+def test_words_share_their_leaf(spark, sf):
+    """Each leaf's words, and one unknown word, share its probability, so all words and leaves make up 1."""
+    counts = lm.word_counts(spark.read.parquet(f"{sf}/documents.parquet")).cache()
+    v = lm.build_vocabulary(counts, 4_000_000)
+    mass, tails = np.zeros(v.shape.leaves), {}
+    for r in counts.collect():
+        mass[lm.leaf_of(r["word"].encode(), v.frequent, tails, v.shape)] += (r["c"] + 1) / (v.leaf_mass[lm.leaf_of(r["word"].encode(), v.frequent, tails, v.shape)] + 1)
+    assert np.allclose(mass + 1 / (v.leaf_mass + 1), 1)
