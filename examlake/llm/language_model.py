@@ -271,19 +271,32 @@ def add_rows(total: np.ndarray, values: np.ndarray, rows: np.ndarray) -> None:
 
 
 class Gradient:
-    """Observed and expected counts of every (row, branch) under one model: the two parts of its gradient."""
+    """Observed and expected counts of every (row, branch) under one model: the two parts of its gradient.
+
+    While no weight is set, a token's probabilities are the biases of its branch, so expected counts
+    follow from how often each row meets each branch, without a softmax for each token.
+    """
 
     def __init__(self, model: Model):
-        self.model = model
+        self.model, self.fresh = model, not any(w.any() for w in model.w)
         self.observed = [np.zeros_like(w) for w in model.w]
         self.expected = [np.zeros_like(w) for w in model.w]
 
     def add(self, leaf: np.ndarray, rows: list) -> None:
         for k, target in enumerate(self.model.targets(leaf)):
-            probs = self.model.probabilities(k, leaf, rows[k])
+            width, bias = self.model.shape.widths[k], self.model.bias[k]
+            probs = None if self.fresh else self.model.probabilities(k, leaf, rows[k])
+            own = leaf // (self.model.shape.below(k) * width)
             for r in rows[k]:
-                add_rows(self.expected[k], probs, r)
-                np.add.at(self.observed[k].reshape(-1), r * probs.shape[1] + target, np.float32(1))
+                np.add.at(self.observed[k].reshape(-1), r * width + target, np.float32(1))
+                if self.fresh:
+                    pairs = np.sort((r * len(bias) + own).astype(np.uint32))
+                    at = np.flatnonzero(np.diff(pairs, prepend=-1)) if len(pairs) else np.zeros(0, np.int64)
+                    n = np.diff(at, append=len(pairs)).astype(np.float32)
+                    met = pairs[at].astype(np.int64)
+                    add_rows(self.expected[k], n[:, None] * np.exp(bias[met % len(bias)]), met // len(bias))
+                else:
+                    add_rows(self.expected[k], probs, r)
 
     def blocks(self, size: int = 512) -> Iterator[tuple[int, int, bytes, bytes]]:
         """(softmax, first row, observed, expected) of each block of rows that was used; see `packed`."""
@@ -343,7 +356,7 @@ def train_round(coded: DataFrame, model: Model, tokens: int, prior: float = 2.0)
 
     Tasks sum observed and expected counts under the shared weights, other tasks add them by blocks
     of rows and turn them into changes of weights. So the update does not depend on how the rows are
-    dealt. A task hands on as much as the model is large, so there is one for each as many tokens as
+    dealt. A task hands on as much as the model is large, so there is one for half as many tokens as
     the model has weights: what is exchanged grows with the texts and a task's work stays the same.
     """
     shared = coded.sparkSession.sparkContext.broadcast(model)
@@ -354,8 +367,9 @@ def train_round(coded: DataFrame, model: Model, tokens: int, prior: float = 2.0)
         for batch in batches:
             for _, _, leaf, doc in _joined(batch.column(0), leaf_code(shape)):
                 rows = Model.rows(leaf, doc, shape)
-                for a in range(0, len(leaf), STEP):
-                    gradient.add(leaf[a : a + STEP], [x[:, a : a + STEP] for x in rows])
+                size = 8 * STEP if gradient.fresh else STEP
+                for a in range(0, len(leaf), size):
+                    gradient.add(leaf[a : a + size], [x[:, a : a + size] for x in rows])
         for k, first, observed, expected in gradient.blocks():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([first], pa.int32()), pa.array([observed], pa.binary()), pa.array([expected], pa.binary())], ["k", "first", "observed", "expected"])
 
@@ -369,7 +383,7 @@ def train_round(coded: DataFrame, model: Model, tokens: int, prior: float = 2.0)
             change = step(observed, expected, 4 if k == 0 else 2, prior)
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([first], pa.int32()), pa.array([change.tobytes()], pa.binary())], ["k", "first", "change"])
 
-    tasks = max(1, -(-tokens // sum(w.size for w in model.w)))
+    tasks = max(1, -(-2 * tokens // sum(w.size for w in model.w)))
     counts = coded.select("leaves").coalesce(tasks).mapInArrow(run, schema)
     for r in counts.repartition(12, "k", "first").mapInArrow(add, "k int, first int, change binary").toLocalIterator(prefetchPartitions=True):
         w = model.w[r["k"]]

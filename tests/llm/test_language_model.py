@@ -92,3 +92,18 @@ def test_words_share_their_leaf(spark, sf):
     for r in counts.collect():
         mass[lm.leaf_of(r["word"].encode(), v.frequent, tails, v.shape)] += (r["c"] + 1) / (v.leaf_mass[lm.leaf_of(r["word"].encode(), v.frequent, tails, v.shape)] + 1)
     assert np.allclose(mass + 1 / (v.leaf_mass + 1), 1)
+
+
+def test_first_gradient_needs_no_softmax():
+    rng = np.random.default_rng(4)
+    shape = lm.shape_for(1 << 17)
+    leaf, doc = rng.zipf(1.2, 2000) % shape.leaves, np.repeat(np.arange(20), 100)
+    model = lm.Model(rng.integers(0, 50, shape.leaves), shape)
+    rows, plain = lm.Model.rows(leaf, doc, shape), lm.Gradient(model)
+    plain.fresh = False
+    quick = lm.Gradient(model)
+    assert quick.fresh
+    for g in (plain, quick):
+        g.add(leaf, rows)
+    for a, b in zip(plain.expected + plain.observed, quick.expected + quick.observed, strict=True):
+        assert np.allclose(a, b, atol=1e-3)
