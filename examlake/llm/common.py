@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,16 +59,22 @@ def rows_by_key(docs: DataFrame, keys: DataFrame, how: str, one_each: bool = Fal
 
 
 def join_by_key(big: DataFrame, small: DataFrame, keys: list[str], most: int = 10_000) -> DataFrame:
-    """Inner join with a table of one row a key, `n` of them being how many rows of big have the key.
+    """Inner join on long keys with a written table of one row a key, `n` of them being how many rows of big have the key.
 
-    Keys that hold more than one part in `most` of all rows are `most` at most, so they are broadcast
-    and their rows stay where they are; only the rest is shuffled. `n` is left out. big is read twice.
+    Keys that hold more than one part in `most` of all rows are `most` at most, so they are broadcast,
+    and their rows pass the shuffle of the rest under keys drawn from the row, dealt evenly. `n` is left out.
     """
     total = small.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = F.col("n") > F.lit(max(1000, total // most))
-    frequent = F.broadcast(small.where(hot).drop("n"))
-    rest = big.join(frequent.select(*keys), keys, "left_anti")
-    return big.join(frequent, keys).unionByName(rest.join(small.where(~hot).drop("n"), keys))
+    values = F.struct(*[c for c in small.columns if c not in (*keys, "n")])
+    frequent = F.broadcast(small.where(hot).select(*[F.col(k).alias(f"__hot_{k}") for k in keys], values.alias("__hot")))
+    rare = small.where(~hot).select(*[F.col(k).alias(f"__rare_{k}") for k in keys], values.alias("__rare"))
+    same = [F.col(k) == F.col(f"__hot_{k}") for k in keys]
+    rows = big.join(frequent, reduce(lambda a, b: a & b, same), "left")
+    spread = [F.when(F.col("__hot").isNull(), F.col(k)).otherwise(F.xxhash64(F.lit(i), *big.columns)) == F.col(f"__rare_{k}") for i, k in enumerate(keys)]
+    rows = rows.join(rare, reduce(lambda a, b: a & b, [*spread, F.col("__hot").isNull()]), "left")
+    found = F.coalesce("__hot", "__rare")
+    return rows.where(found.isNotNull()).select(*big.columns, found.alias("__found")).select(*big.columns, "__found.*")
 
 
 def text_or_empty(column: str = "text"):

@@ -20,7 +20,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.repeated_spans(table(spark, sf_dir, "documents"))
+    return substring.repeated_spans(table(spark, sf_dir, "documents")).drop("row_key")
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
