@@ -197,10 +197,29 @@ def layouts(texts: list[str], others: list[str], seed: int) -> tuple[str, list[i
     return "".join(page), labels
 
 
+#: Elements and names (in class, id or role) of parts that are not the article, and names of containers that hold one.
+ASIDE = frozenset("t:nav t:header t:footer t:aside t:form t:dialog t:fieldset t:button t:select".split()) | frozenset(
+    f"c:{x}"
+    for x in "menu nav navigation navbar breadcrumbs masthead banner footer copyright contentinfo sidebar widget related recommended cookie cookies notice alert consent gdpr popup modal ad ads advert advertisement sponsored promo adsbygoogle newsletter subscribe login signup comment comments discussion replies disqus reviews respond share social".split()
+)
+MARKED = frozenset(("t:article", "t:main", "c:main"))
+NAMED = frozenset(f"c:{x}" for x in "article content entry post story".split())
+
+
 def own_labels(page: list[Block]) -> list[int]:
-    """Labels of a page that marks its article itself: inside article or main, outside its other parts."""
-    aside = {f"t:{t}" for t in ("nav", "header", "footer", "aside", "form", "dialog", "fieldset", "button", "select")} | {f"c:{c}" for c in ("ad", "ads", "advert", "comment", "comments", "sidebar", "cookie", "notice", "promo", "sponsored", "related", "share", "newsletter")}
-    return [int(bool(b.node.names & {"t:article", "t:main"}) and not b.node.names & aside) for b in page]
+    """Labels of a page's blocks by how it is built; none is 1 if nothing tells its article.
+
+    The article is what stands in marked containers (article, main), or else in containers named
+    for one, or else from the first to the last block of prose (a longer text that ends as a
+    sentence, not mostly links); in each case without what stands in other parts of the page.
+    """
+    free = [not b.node.names & ASIDE for b in page]
+    for inside in (MARKED, NAMED):
+        labels = [int(f and bool(b.node.names & inside)) for f, b in zip(free, page, strict=True)]
+        if any(labels):
+            return labels
+    prose = [i for i, b in enumerate(page) if free[i] and len(b.text) >= 60 and b.text[-1] in ".!?" and b.link_chars < 0.3 * len(b.text)]
+    return [int(f and bool(prose) and prose[0] <= i <= prose[-1]) for i, f in enumerate(free)]
 
 
 # --- the chain ------------------------------------------------------------------------------
@@ -267,30 +286,43 @@ def viterbi(model: dict, page: list[list[int]]) -> list[int]:
     return out[::-1][: len(score)]
 
 
+def stretches(x: list, n: int) -> list[list]:
+    return [x[i : i + n] for i in range(0, len(x), n)]
+
+
+def training_data(pages: list[list[Block]], variants: int = 4, stretch: int = 200, most: int = 200_000) -> list[tuple[list, list[int]]]:
+    """(features, labels) of chains to learn from: the pages as `own_labels` reads them, and layouts made of their texts.
+
+    A page is cut into chains of `stretch` blocks; beyond `most` blocks no further page is taken
+    (a part of the sample's bound). For each page's article `variants` layouts set 40 of its blocks
+    among other usual page parts. Where no page tells its article, its sentences stand for one.
+    """
+    features, data, prose, taken = Features(), [], [], 0
+    sentences = [s for p in pages for b in p for s in re.split(r"(?<=[.!?])\s+", b.text) if s.strip()]
+    for page in pages:
+        labels = own_labels(page)
+        if any(labels) and taken < most:
+            taken += len(page)
+            data += zip(stretches(features.of(page), stretch), stretches(labels, stretch), strict=True)
+            prose.append([b.text for b, y in zip(page, labels, strict=True) if y])
+    for i, texts in enumerate(prose or stretches(sentences[: 40 * len(pages)], 5)):
+        parts = stretches(texts, 40)
+        for v in range(variants):
+            made, labels = layouts(parts[v * len(parts) // variants], sentences, i * 101 + v)
+            data.append((features.of(blocks(made)), labels))
+    return data
+
+
 def fit_pages(pages: DataFrame, sample: int = 300, variants: int = 4) -> dict:
-    """A CRF trained in one task on up to `sample` pages (the bound, chosen by the hash of page_id).
+    """A CRF trained in one task on up to `sample` pages (the bound, chosen by the hash of page_id; see `training_data`).
 
-    Labelled pages are those that mark their article themselves, and for each, `variants` layouts
-    that set its article's blocks among other usual page parts, with known labels.
+    Ids are chosen first, so only the chosen pages' html leaves its task.
     """
-    chosen = pages.where("html is not null").select("page_id", "html").dropDuplicates(["page_id"])
-    chosen = chosen.orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
+    ids = pages.select(F.col("page_id").alias("__id")).distinct().orderBy(F.xxhash64("__id"), "__id").limit(sample)
+    chosen = pages.where("html is not null").select("page_id", "html").join(F.broadcast(ids), F.col("page_id").eqNullSafe(F.col("__id")), "left_semi").limit(sample)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        features, data, prose = Features(), [], []
-        parsed = [blocks(h) for h in pdf.sort_values("page_id")["html"]]
-        marked = [(p, own_labels(p)) for p in parsed]
-        sentences = [s for p in parsed for b in p for s in re.split(r"(?<=[.!?])\s+", b.text) if s.strip()] or ["x"]
-        for p, labels in marked:
-            if any(labels):
-                data.append((features.of(p), labels))
-                prose.append([b.text for b, y in zip(p, labels, strict=True) if y])
-        for i, texts in enumerate(prose):
-            for v in range(variants):
-                page, labels = layouts(texts[:40], sentences, i * 101 + v)
-                made = blocks(page)
-                if len(made) == len(labels):
-                    data.append((features.of(made), labels))
+        data = training_data([blocks(h) for h in pdf.sort_values(["page_id", "html"])["html"]], variants)
         model = train_crf(data)
         return pd.DataFrame({"w": [model["w"].astype("<f8").tobytes()], "move": [model["move"].astype("<f8").tobytes()], "pages": [len(data)]})
 
@@ -303,8 +335,8 @@ def fit_pages(pages: DataFrame, sample: int = 300, variants: int = 4) -> dict:
 def main_text(pages: DataFrame, model: dict | None = None, sample: int = 300) -> DataFrame:
     """page_id, url, text, n_chars, n_blocks for each row of pages, without a shuffle.
 
-    A null or empty html gives an empty text; so does a page with no article block. Broken markup
-    is read as far as it goes. Repeated rows give a row each; a null page_id or url stays null.
+    A null or empty html gives an empty text; so does a page with no article block. Without any
+    text to learn from every page is empty. Broken markup is read as far as it goes. Repeated rows give a row each; a null page_id or url stays null.
     """
     shared = pages.sparkSession.sparkContext.broadcast(fit_pages(pages, sample) if model is None else model)
     schema = "page_id long, url string, text string, n_chars long, n_blocks long"
