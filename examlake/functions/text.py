@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters taken for misread glyphs, and the mathematical signs.
+#: Characters taken for misread glyphs; signs that no question may hold; any other sign beyond ASCII is notation.
 MOJIBAKE = "[§$©¶|~<>^&•`]"
-MATH = "[∫∑√±×÷≤≥≠∞∂∇αβγδθλμπρσφω]"
-SPACE = r"[\s ﻿]"
+DISALLOWED = r"[\x{0900}-\x{097F}§©¶]"
+NOTATION = r"[^\x20-\x7E\n\r\t\x{0900}-\x{097F}§©¶]"
+SPACE = r"[\s ﻿]"
+
+
+def worked_out(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once a row: filters and later columns read the values, as the optimizer does not move them past the generator."""
+    held = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("__held")
+    return df.select(*[c for c in df.columns if c not in columns], held).select("*", "__held.*").drop("__held")
+
+
+def once(value: Column, use) -> Column:
+    """use(value) with value computed once, though use may name it several times."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def english_only(text: Column) -> Column:
@@ -33,7 +45,8 @@ def readability(text: Column) -> Column:
 
 
 def comparable(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9_ \n\t]", " "), "[ \n\t]+", " "))
+    """Lower case, white space as one blank, then every sign but letters, digits and underscores deleted: don't -> dont."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), f"{SPACE}+", " "), "[^a-z0-9_ ]", ""))
 
 
 def key_words(text: Column) -> Column:
@@ -46,15 +59,23 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(both / F.size(F.array_union(a, b)))
 
 
+def disallowed(text: Column) -> Column:
+    """How many signs a text has that no question may hold."""
+    return F.regexp_count(text, F.lit(DISALLOWED))
+
+
 def accepts_model_text(text: Column) -> Column:
-    need = F.when(text.rlike(MATH), 0.30).otherwise(0.45)
-    return (F.length(text) >= 10) & ~text.rlike(r"[ऀ-ॿ]") & (letter_ratio(text) >= need) & (F.regexp_count(text, F.lit("[A-Za-z]{2,}")) >= 2)
+    """True for English prose of 10 characters or more, with fewer letters where there is notation."""
+    need = F.when(text.rlike(NOTATION), 0.30).otherwise(0.45)
+    return (F.length(text) >= 10) & ~text.rlike(DISALLOWED) & (letter_ratio(text) >= need) & (F.regexp_count(text, F.lit("[A-Za-z]{2,}")) >= 2)
 
 
 def accepts_plain_text(text: Column) -> Column:
-    math = text.rlike(MATH)
+    """True for text that reads as English: stricter than `accepts_model_text`, for what was cut out by rules."""
+    math = text.rlike(NOTATION)
     words = F.regexp_count(text, F.lit("[A-Za-z]{3,}"))
-    return (F.length(text) >= 12) & (letter_ratio(text) >= F.when(math, 0.35).otherwise(0.55)) & (math | (words >= 2)) & ~text.rlike(MOJIBAKE) & (math | (readability(text) >= 18))
+    clean = ~text.rlike(DISALLOWED) & ~text.rlike(MOJIBAKE)
+    return (F.length(text) >= 12) & clean & (letter_ratio(text) >= F.when(math, 0.35).otherwise(0.55)) & (math | (words >= 2)) & (math | (readability(text) >= 18))
 
 
 def marks_in_text(text: Column) -> Column:
@@ -109,12 +130,10 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def ranges(numbers: Column) -> Column:
-    """Sorted distinct numbers as '22-25, 31'; runs of three or more are joined."""
-    step = F.aggregate(
-        numbers, F.expr("cast(array() as array<struct<a:int,b:int>>)"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["b"] == x - 1), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["a"].alias("a"), x.cast("int").alias("b"))))).otherwise(F.concat(acc, F.array(F.struct(x.cast("int").alias("a"), x.cast("int").alias("b"))))),
-    )
-    return F.array_join(F.transform(step, lambda r: F.when(r["a"] == r["b"], r["a"].cast("string")).otherwise(F.concat_ws("-", r["a"].cast("string"), r["b"].cast("string")))), ", ")
+    """Sorted distinct numbers as '22-25, 31': runs by their first and last number."""
+    first = F.filter(numbers, lambda x: ~F.array_contains(numbers, x - 1))
+    last = F.filter(numbers, lambda x: ~F.array_contains(numbers, x + 1))
+    return F.array_join(F.zip_with(first, last, lambda a, b: F.when(a == b, a.cast("string")).otherwise(F.concat_ws("-", a.cast("string"), b.cast("string")))), ", ")
 
 
 def strip(text: Column) -> Column:
@@ -218,23 +237,26 @@ def _parts(text: Column, pattern: str, least: int = 1) -> Column:
 def question_chunks(text: Column) -> Column:
     """Plain text cut into questions by the first way that finds two or more, else the whole.
 
-    Ways: marked starts, numbered starts, numbered starts inside pages, blank lines, numbered lines.
+    Ways: marked starts, numbered starts, numbered starts inside pages, blank lines, numbered lines. A
+    way is tried only where the ones before it failed, and its cut is made once.
     """
     clean = strip(F.regexp_replace(F.regexp_replace(text, "\r\n", "\n"), "[ \t]+\n", "\n"))
+    none = F.array().cast("array<string>")
 
     def of_page(page: Column) -> Column:
-        cut = _parts(page, NUMBERED_START, 20)
-        return F.when(F.size(cut) > 1, cut).when(F.length(page) >= 30, F.array(page)).otherwise(F.array().cast("array<string>"))
-
-    pages = _parts(clean, PAGE_MARK)
-    ways = [
-        _parts(clean, MARKED_START),
-        _parts(clean, NUMBERED_START),
-        F.when(F.size(pages) > 1, F.flatten(F.transform(pages, of_page))),
-        _parts(clean, r"\n{2,}"),
-        F.filter(_parts(clean, r"\n", 20), lambda p: p.rlike(r"^\d{1,2}\.\s")),
-    ]
-    return F.coalesce(*[F.when(F.size(w) > 1, w) for w in ways], F.when(clean != "", F.array(clean)), F.array().cast("array<string>"))
+        return once(_parts(page, NUMBERED_START, 20), lambda cut: F.when(F.size(cut) > 1, cut).when(F.length(page) >= 30, F.array(page)).otherwise(none))
+
+    def cut(t: Column) -> Column:
+        ways = [
+            _parts(t, MARKED_START),
+            _parts(t, NUMBERED_START),
+            once(_parts(t, PAGE_MARK), lambda pages: F.when(F.size(pages) > 1, F.flatten(F.transform(pages, of_page)))),
+            _parts(t, r"\n{2,}"),
+            F.filter(_parts(t, r"\n", 20), lambda p: p.rlike(r"^\d{1,2}\.\s")),
+        ]
+        return F.coalesce(*[once(w, lambda x: F.when(F.size(x) > 1, x)) for w in ways], F.when(t != "", F.array(t)), none)
+
+    return once(clean, cut)
 
 
 def chunk_number(chunk: Column, position: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from examlake.functions import text as T
+from examlake.operators.scans import keys_of
 
 ASSIGNED = ["chapter_id", "unit_id", "chapter_name", "chapter_confidence"]
 _CHAPTER_NO = r"(?i)chapter[-\s]*(\d+)"
@@ -36,11 +37,11 @@ def chapter_number(label: Column) -> Column:
 
 
 def chapters_by_class(chapters: DataFrame) -> DataFrame:
-    """class_id, chapters: the class's chapters in their order, with key and key words."""
+    """class_id (and owner_id, where chapters have it), chapters: the class's chapters in their order, with key and key words."""
     key = chapter_key(F.col("name"))
     words = F.filter(F.split(key, r"\W+"), lambda w: F.length(w) > 3)
     one = F.struct("chapter_pos", "chapter_id", "unit_id", "name", key.alias("key"), words.alias("words"))
-    return chapters.groupBy("class_id").agg(F.array_sort(F.collect_list(one)).alias("chapters"))
+    return chapters.groupBy(*keys_of(chapters, keys=("class_id",))).agg(F.array_sort(F.collect_list(one)).alias("chapters"))
 
 
 def _keyword_score(text: Column, c: Column) -> Column:
@@ -55,7 +56,7 @@ def classify_keyword(questions: DataFrame, chapters: DataFrame) -> DataFrame:
 
     Needs class_id and question_text. No match, a null text or a class without chapters: nulls.
     """
-    rows = questions.drop(*ASSIGNED).join(chapters_by_class(chapters), "class_id", "left")
+    rows = questions.drop(*ASSIGNED).join(chapters_by_class(chapters), keys_of(questions, chapters, keys=("class_id",)), "left")
     text = F.lower(F.coalesce("question_text", F.lit("")))
     scored = F.transform("chapters", lambda c: F.struct(_keyword_score(text, c).alias("score"), (-c["chapter_pos"]).alias("early"), c["chapter_id"].alias("chapter_id"), c["unit_id"].alias("unit_id"), c["name"].alias("name")))
     best = F.array_max(scored)
@@ -91,8 +92,9 @@ def apply_assignments(questions: DataFrame, assignments: DataFrame, chapters: Da
     question's chapter; a question without any keeps what it has.
     """
     last = F.max_by(F.struct("chapter_id", "chapter_name", "confidence"), "pos").alias("given")
-    given = assignments.where("question_no is not null").groupBy("paper_id", "question_no").agg(last)
-    rows = questions.join(given, ["paper_id", "question_no"], "left").join(chapters_by_class(chapters), "class_id", "left")
+    keys = keys_of(questions, assignments, keys=("paper_id", "question_no"))
+    given = assignments.where("question_no is not null").groupBy(*keys).agg(last)
+    rows = questions.join(given, keys, "left").join(chapters_by_class(chapters), keys_of(questions, chapters, keys=("class_id",)), "left")
     rows = rows.withColumn("meant", resolve_chapter(F.col("chapters"), F.col("given.chapter_id"), F.col("given.chapter_name")))
     known = F.col("meant").isNotNull()
     sure = F.when(F.col("given.confidence").isNotNull() & ~F.isnan(F.col("given.confidence")), T.clamp(F.floor(F.col("given.confidence") + 0.5), 0, 100)).cast("int")
@@ -110,9 +112,11 @@ def apply_overrides(questions: DataFrame, overrides: DataFrame, chapters: DataFr
 
     A choice whose chapter the class no longer has is passed over. Unique on (paper_id, question_no).
     """
-    put = overrides.select("paper_id", "question_no", F.col("chapter_id").alias("put_id"), F.col("confidence").alias("put_confidence"))
-    index = chapters.select("class_id", F.col("chapter_id").alias("put_id"), F.col("unit_id").alias("put_unit"), F.col("name").alias("put_name"))
-    rows = questions.join(put, ["paper_id", "question_no"], "left").join(index, ["class_id", "put_id"], "left")
+    keys = keys_of(questions, overrides, keys=("paper_id", "question_no"))
+    of_class = keys_of(questions, chapters, keys=("class_id",))
+    put = overrides.select(*keys, F.col("chapter_id").alias("put_id"), F.col("confidence").alias("put_confidence"))
+    index = chapters.select(*of_class, F.col("chapter_id").alias("put_id"), F.col("unit_id").alias("put_unit"), F.col("name").alias("put_name"))
+    rows = questions.join(put, keys, "left").join(index, [*of_class, "put_id"], "left")
     sure = T.clamp(F.floor(F.coalesce("put_confidence", F.lit(0.0)) * 100 + 0.5), 0, 100).cast("int")
     values = {"chapter_id": F.col("put_id"), "unit_id": F.col("put_unit"), "chapter_name": F.col("put_name"), "chapter_confidence": sure}
     return rows.select(*_chosen(F.col("put_name").isNotNull(), values, [c for c in questions.columns if c not in ASSIGNED]))

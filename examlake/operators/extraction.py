@@ -51,11 +51,13 @@ def lines_of_items(items: DataFrame) -> DataFrame:
         part = F.array_join(F.transform(F.filter("items", lambda i: (i["x"] < w * MARGIN) & keep(i)), lambda i: i["s"]), " ")
         return T.strip(F.regexp_replace(part, r"\s+", " "))
 
-    lines = lines.select("*", text_of(lambda i: i["x"] < w * 0.5).alias("left"), text_of(lambda i: i["x"] >= w * 0.5).alias("right"), text_of(lambda i: i["x"] >= w * ENGLISH_BAND).alias("band"), text_of(lambda i: F.lit(True)).alias("all"))
-    a, b, c = (T.readability(F.col(x)) for x in ("right", "band", "left"))
+    lines = T.worked_out(lines, left=text_of(lambda i: i["x"] < w * 0.5), right=text_of(lambda i: i["x"] >= w * 0.5), band=text_of(lambda i: i["x"] >= w * ENGLISH_BAND), all=text_of(lambda i: F.lit(True)))
+    lines = T.worked_out(lines, a=T.readability(F.col("right")), b=T.readability(F.col("band")), c=T.readability(F.col("left")))
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
     best = F.when((a >= c) & (a >= b) & (a > 0), F.col("right")).when((b >= c) & (b > 0), F.col("band")).when(c > 0, F.col("left")).otherwise(F.col("all"))
     marks = F.filter("items", lambda i: (i["x"] >= w * MARGIN) & F.trim(i["s"]).rlike(r"^\d{1,2}(\.\d+)?$"))
-    return lines.select("paper_id", "page_no", "line_no", T.english_only(best).alias("body"), F.trim(F.try_element_at(marks, F.lit(-1))["s"]).cast("double").alias("margin_mark"))
+    lines = T.worked_out(lines, body=T.english_only(best), margin_mark=F.trim(F.try_element_at(marks, F.lit(-1))["s"]).cast("double"))
+    return lines.select("paper_id", "page_no", "line_no", "body", "margin_mark")
 
 
 def layout_questions(items: DataFrame) -> DataFrame:
@@ -66,17 +68,20 @@ def layout_questions(items: DataFrame) -> DataFrame:
     """
     lines = lines_of_items(items).where((F.col("body") != "") & ~F.col("body").rlike(HEADER_LINE))
     rest = T.strip(F.regexp_extract("body", r"(?s)^\d{1,2}\.(?!\d)\s*(.*)$", 1))
+    lines = T.worked_out(lines, __rest=rest)
+    rest = F.col("__rest")
     starts = F.col("body").rlike(r"^\d{1,2}\.(?!\d)") & ((rest == "") | (~rest.rlike(r"^\d") & ((T.readability(rest) >= 8) | rest.rlike(r"(?i)^\(?[A-D]\)?[).:\s]"))))
-    lines = lines.withColumns({"__starts": starts, "__rest": rest})
+    lines = T.worked_out(lines, __starts=starts, __goes_on=F.col("body").rlike(OPTION_LINE) | T.accepts_plain_text(F.col("body")))
     w = Window.partitionBy("paper_id").orderBy("page_no", "line_no")
     lines = lines.withColumn("__seg", F.sum(F.col("__starts").cast("int")).over(w)).where("__seg > 0")
-    lines = lines.where(F.col("__starts") | F.col("body").rlike(OPTION_LINE) | T.accepts_plain_text(F.col("body")))
+    lines = lines.where(F.col("__starts") | F.col("__goes_on"))
     one = F.struct("page_no", "line_no", F.when(F.col("__starts"), F.col("__rest")).otherwise(F.col("body")).alias("t"), F.col("margin_mark").alias("m"))
     first = F.when(F.col("__starts"), F.regexp_extract("body", r"^(\d{1,2})\.", 1).cast("int"))
     found = lines.groupBy("paper_id", F.col("__seg").alias("row_order")).agg(F.max(first).alias("question_no"), F.array_sort(F.collect_list(one)).alias("lines"))
     body = T.strip(F.array_join(F.filter(F.transform("lines", lambda x: x["t"]), lambda t: t != ""), "\n"))
     margin = F.try_element_at(F.filter(F.transform("lines", lambda x: x["m"]), lambda m: m > 0), F.lit(1))
-    found = found.withColumn("question_text", T.notation(body)).withColumn("marks", F.coalesce(margin, T.marks_in_text(body).cast("double")))
+    found = T.worked_out(found, __body=body, __margin=margin)
+    found = T.worked_out(found, question_text=T.notation(F.col("__body")), marks=F.coalesce(F.col("__margin"), T.marks_in_text(F.col("__body")).cast("double")))
     found = found.where((F.length("question_text") >= SHORTEST) & T.accepts_plain_text(F.col("question_text")))
     return _capped(drop_near_copies(found.withColumn("has_figure", F.lit(False)).select(*QUESTION_COLUMNS)))
 
@@ -93,8 +98,8 @@ def text_questions(documents: DataFrame) -> DataFrame:
     """
     cut = documents.select("paper_id", F.posexplode(T.question_chunks(F.col("text"))).alias("pos", "chunk"))
     rows = cut.where(F.length("chunk") >= SHORTEST)
-    text = T.notation(T.english_only(F.col("chunk")))
-    out = rows.select("paper_id", F.col("pos").cast("long").alias("row_order"), T.chunk_number(F.col("chunk"), F.col("pos")).alias("question_no"), text.alias("question_text"), T.marks_in_text(F.col("chunk")).cast("double").alias("marks"), F.lit(False).alias("has_figure"))
+    rows = T.worked_out(rows, question_text=T.notation(T.english_only(F.col("chunk"))))
+    out = rows.select("paper_id", F.col("pos").cast("long").alias("row_order"), T.chunk_number(F.col("chunk"), F.col("pos")).alias("question_no"), "question_text", T.marks_in_text(F.col("chunk")).cast("double").alias("marks"), F.lit(False).alias("has_figure"))
     return _capped(out.where(F.col("question_text") != ""))
 
 
@@ -147,7 +152,7 @@ def flatten_model_answers(answers: DataFrame) -> DataFrame:
     text = T.notation(T.english_only(T.strip(F.coalesce("q.questionText", "q.question_text", "q.text"))))
     no = F.coalesce(F.coalesce("q.questionNo", "q.question_no").try_cast("int"), F.col("__j") + 1)
     order = F.row_number().over(Window.partitionBy("paper_id").orderBy("answer_no", "__i", "__j")).cast("long")
-    rows = rows.withColumn("question_text", text).where(T.accepts_model_text(F.col("question_text")))
+    rows = T.worked_out(rows, question_text=text).where(T.accepts_model_text(F.col("question_text")))
     rows = rows.select("paper_id", order.alias("row_order"), no.alias("question_no"), "question_text", F.col("q.marks").try_cast("double").alias("marks"), F.coalesce("q.hasFigure", F.lit(False)).alias("has_figure"), F.when(F.col("__meta.total") >= 1, F.col("__meta.total")).alias("total_questions"), F.col("__meta.instructions").alias("instructions"))
     return infer_marks(rows, T.section_rules(F.col("instructions")))
 

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from examlake.functions import text as T
 
-#: Most concepts a chapter, and the messages of failed builds.
+#: Fixed value: most concepts a chapter.
 MOST_CONCEPTS = 30
-NO_FILE = "Could not load syllabus file from cloud storage."
-NO_TEXT = "The syllabus file has no readable text."
-NO_CONCEPTS = "No concepts could be extracted from this syllabus."
+#: Why a build failed.
+NO_FILE = "The syllabus file is not in storage."
+NO_TEXT = "No text was found in the syllabus file."
+NO_CONCEPTS = "The syllabus gave no concepts."
 
 
 def concept_key(name: Column) -> Column:
@@ -76,4 +77,4 @@ def middle_out(text: Column, most: int = 12_000) -> Column:
     """Head and tail of a text longer than `most` characters, with a mark between."""
     t = T.strip(text)
     half = most // 2
-    return F.when(F.length(t) <= most, t).otherwise(F.concat(F.substring(t, 1, half), F.lit("\n\n[... middle omitted ...]\n\n"), F.right(t, F.lit(half))))
+    return F.when(F.length(t) <= most, t).otherwise(F.concat(F.substring(t, 1, half), F.lit("\n\n[…]\n\n"), F.right(t, F.lit(half))))

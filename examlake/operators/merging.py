@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,139 +12,125 @@ from pyspark.sql import functions as F
 from examlake.functions import text as T
 from examlake.operators.bank import near_duplicate_pairs
 from examlake.operators.folds import Fold, fold_sorted
+from examlake.operators.scans import keys_of, paper_order, set_key, set_order
 
-#: Word-set shares from which texts count as the same question, copy, or repeated block; lengths.
+#: Word-set shares from which texts count as the same question, copy, or repeated section; lengths.
 SAME_TEXT, SAME_QUESTION, SAME_BLOCK = 0.35, 0.38, 0.42
 LONG_TEXT, SHORTEST_PART = 850, 8
 FIGURE_NUMBERS = (17, 28)
+#: Option lines, roman sub-parts, a line that opens a stem: option (A), or a capital, quote or bracket that is no option and runs on or ends as a question.
 _OPTION_A, _OPTION_D = re.compile(r"^\(A\)", re.M), re.compile(r"^\(D\)", re.M)
-_SUB_PART, _ROMAN = re.compile(T.SUB_PART), re.compile(r"\([ivx]+\)", re.I)
+_ROMAN = re.compile(r"\([ivx]+\)", re.I)
+_STEM = re.compile(r"\s*(?:\([Aa]\)\s|(?!\([A-D]\)|\((?i:[ivx]+)\)|\.\.\.)[A-Z\"'(](?:.*[?:]\s*$|.{40}))")
+_SECTION = re.compile(r"\n[ \t]*\n|\n(?=\.\.\.)")
+_NOT_WORD, _SUB_PART = re.compile(r"[^a-z0-9_\s]"), re.compile(T.SUB_PART)
 
 
-def word_set(text: str) -> frozenset[str]:
-    plain = re.sub(r"[^a-z0-9_\s]", "", re.sub(r"\s+", " ", text.lower()))
-    return frozenset(w for w in plain.split() if len(w) > 3)
+@dataclass(frozen=True)
+class Telling:
+    """A text and what merging asks of it, worked out once."""
 
+    text: str
+    words: frozenset
+    head: str  # how it begins, for texts that break off
+    options: bool  # a full set of options
+    studies: int  # roman sub-parts
+    score: int  # the better of two has more
 
-def share(a: str, b: str) -> float:
-    x, y = word_set(a), word_set(b)
-    return len(x & y) / len(x | y) if x and y else 0.0
+    @staticmethod
+    def of(text: str, marks: float | None = None) -> Telling:
+        plain = " ".join(text.lower().split())
+        options = bool(_OPTION_A.search(text) and _OPTION_D.search(text))
+        score = len(text) + (50 if marks and marks > 0 else 0) + (30 if options else 0) - (40 if text.lstrip().startswith("...") else 0)
+        return Telling(text, frozenset(w for w in _NOT_WORD.sub("", plain).split() if len(w) > 3), plain[:120], options, len(_ROMAN.findall(text)), score)
 
+    def share(self, other: Telling) -> float:
+        return len(self.words & other.words) / len(self.words | other.words) if self.words and other.words else 0.0
 
-def has_options(text: str) -> bool:
-    return bool(_OPTION_A.search(text) and _OPTION_D.search(text))
+    def same_matter(self, other: Telling) -> bool:
+        """True where both tell the same, or one begins inside the beginning of the other."""
+        heads = bool(self.head and other.head) and (self.head[:40] in other.head or other.head[:40] in self.head)
+        return heads or self.share(other) >= SAME_TEXT
 
 
-def quality(text: str, marks: float | None = None) -> int:
-    """Length, with 50 for known marks, 30 for a full set of options, less 40 for a start in dots."""
-    return len(text) + 50 * bool(marks and marks > 0) + 30 * has_options(text) - 40 * text.strip().startswith("...")
-
-
-def heads_overlap(a: str, b: str) -> bool:
-    a, b = (" ".join(t.lower().split())[:120] for t in (a, b))
-    return bool(a and b) and (b[:40] in a or a[:40] in b)
+def better(a: Telling, b: Telling) -> Telling:
+    return b if b.score > a.score else a
 
 
 def joined(base: str, more: str) -> str:
     """base with more behind it, or the better of the two where they tell the same."""
     base, more = base.rstrip(), more.strip()
-    if not base or not more:
+    if not (base and more):
         return base or more
-    if share(base, more) >= SAME_TEXT or heads_overlap(base, more):
-        return max(base.strip(), more, key=quality)
-    return f"{base}\n{more}"
-
-
-def _starts_stem(line: str) -> bool:
-    t = line.strip()
-    if re.match(r"\(A\)\s", t, re.I):
-        return True
-    if re.match(r"\([A-D]\)|(?i:\([ivx]+\))|\.\.\.", t):
-        return False
-    return bool(re.match(r"[A-Z\"'(]", t)) and (t[-1] in "?:" or len(t) > 40)
-
-
-def blocks(text: str) -> list[str]:
-    """Parts between blank lines, before '...' and between one full set of options and the next stem."""
-    out: list[list[str]] = [[]]
-    for part in re.split(r"\n(?=\.\.\.)", text.strip()):
-        out.append([])
-        for line in part.strip().split("\n"):
-            if not line.strip():
-                out.append([])
-                continue
-            so_far = "\n".join(out[-1])
-            if has_options(so_far) and not _ROMAN.search(so_far) and _starts_stem(line):
-                out.append([])
-            out[-1].append(line)
-    return ["\n".join(b) for b in out if b]
+    a, b = Telling.of(base.strip()), Telling.of(more)
+    return better(a, b).text if a.same_matter(b) else f"{base}\n{more}"
+
+
+def sections(text: str) -> Iterator[str]:
+    """Parts between blank lines, before '...', and from one full set of options to the next stem."""
+    for piece in _SECTION.split(text):
+        lines = [line for line in piece.split("\n") if line.strip()]
+        while lines:
+            told = lambda i: Telling.of("\n".join(lines[:i]))  # noqa: B023, E731
+            cut = next((i for i in range(1, len(lines)) if _STEM.match(lines[i]) and told(i).options and not told(i).studies), len(lines))
+            yield "\n".join(lines[:cut])
+            lines = lines[cut:]
 
 
 def without_repeats(text: str) -> str:
-    """The one block that tells the question, where its stem or options were written twice.
+    """The one section that tells the question, where its stem or options were written twice.
 
-    Similar blocks become the better one. Of several left: the first case study (two sub-parts or
-    more), the first full multiple choice if there are two, else the best.
+    Like sections become the better one. Of several left it is the first case study (two sub-parts or
+    more), else the first full multiple choice if there are two, else the best.
     """
-    found = blocks(text)
-    if len(found) <= 1:
-        return text.strip()
-    kept: list[str] = []
-    for block in found:
-        same = next((i for i, k in enumerate(kept) if share(k, block) >= SAME_BLOCK), None)
-        if same is None:
-            kept.append(block)
+    kept: list[Telling] = []
+    for told in map(Telling.of, sections(text.strip())):
+        like = [i for i, k in enumerate(kept) if k.share(told) >= SAME_BLOCK]
+        if like:
+            kept[like[0]] = better(kept[like[0]], told)
         else:
-            kept[same] = max(kept[same], block, key=quality)
-    if len(kept) == 1:
-        return kept[0].strip()
-    studies = [b for b in kept if len(_ROMAN.findall(b)) >= 2]
-    full = [b for b in kept if not b.strip().startswith("...") and has_options(b.strip()) and len(b.strip().split("\n")[0]) > 25]
-    if studies:
-        return studies[0].strip()
-    if len(full) > 1:
-        return min(full, key=text.find).strip()
-    return max(kept, key=quality).strip()
-
-
-def merge_two(a: tuple, b: tuple) -> tuple:
-    """(text, marks, has_figure, order) of two rows of one question, `a` read first."""
-    part_a, part_b = (bool(_SUB_PART.match(x[0].strip())) for x in (a, b))
-    alike = share(a[0], b[0]) >= SAME_QUESTION
-    figure = bool(a[2] or b[2])
-    if alike or not (part_a or part_b):
-        best = max(a, b, key=lambda x: quality(x[0], x[1]))
-        return best[0], a[1] if a[1] is not None else b[1], figure, best[3]
-    if part_a and part_b:
-        first, then = (a, b) if a[3] <= b[3] else (b, a)
-        text = without_repeats(joined(first[0], then[0]))
-    else:
-        first, then = (b, a) if part_a else (a, b)
-        text = joined(first[0], then[0])
-    return text, first[1] if first[1] is not None else then[1], figure, first[3]
+            kept.append(told)
+    if len(kept) < 2:
+        return kept[0].text.strip() if kept and len(list(sections(text.strip()))) > 1 else text.strip()
+    full = [k for k in kept if k.options and not k.text.lstrip().startswith("...") and len(k.text.strip().split("\n")[0]) > 25]
+    studies = [k for k in kept if k.studies > 1]
+    first = studies[:1] or (sorted(full, key=lambda k: text.find(k.text))[:1] if len(full) > 1 else [])
+    return (first or [max(kept, key=lambda k: k.score)])[0].text.strip()
 
 
 class _Merge(Fold):
+    """A question as its stem and the sub-parts behind it: the best stem stands, parts follow in order."""
+
     def __init__(self) -> None:
-        self.key, self.row = None, None
+        self.key, self.stem, self.parts, self.marks, self.figure, self.order = None, None, "", None, False, None
 
     def feed(self, row) -> list[tuple]:
-        new = (row.question_text, row.marks, bool(row.has_figure), row.row_order)
-        self.key = (row.paper_id, row.question_no)
-        self.row = merge_two(self.row, new) if self.row else new
+        self.key = tuple(getattr(row, k) for k in row._fields if k in ("owner_id", "paper_id", "question_no"))
+        told, part = Telling.of(row.question_text, row.marks), bool(_SUB_PART.match(row.question_text.strip()))
+        same = self.stem is not None and self.stem.share(told) >= SAME_QUESTION
+        if part and not same:
+            self.parts = joined(self.parts, row.question_text)
+            self.order = row.row_order if self.order is None else self.order
+        elif self.stem is None or better(self.stem, told) is told:
+            self.stem, self.order = told, row.row_order
+        self.marks = row.marks if self.marks is None else self.marks
+        self.figure |= bool(row.has_figure)
         return []
 
     def end(self) -> list[tuple]:
-        text, marks, figure, order = self.row
-        return [(*self.key, without_repeats(text), marks, figure, order)]
-
-
-_MERGED = "paper_id long, question_no int, question_text string, marks double, has_figure boolean, row_order long"
+        text = joined(self.stem.text if self.stem else "", self.parts) if self.parts else self.stem.text
+        return [(*self.key, without_repeats(text), self.marks, self.figure, self.order)]
 
 
 def _merge_by_number(rows: DataFrame) -> DataFrame:
-    rows = rows.select("paper_id", "question_no", "question_text", F.col("marks").cast("double").alias("marks"), "has_figure", "row_order")
-    return fold_sorted(rows, ["paper_id", "question_no"], ["row_order", "question_text"], _MERGED, _Merge)
+    """One row a number. Numbers of one row and one section pass by in the JVM; only the others are folded."""
+    keys = [*keys_of(rows), "question_no"]
+    rows = rows.select(*keys, "question_text", F.col("marks").cast("double").alias("marks"), F.coalesce("has_figure", F.lit(False)).alias("has_figure"), "row_order")
+    of_number = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    marked = rows.withColumn("__simple", (of_number == 1) & ~F.col("question_text").rlike(r"\n[ \t]*\n|\n\.\.\.|(?m)^\(D\)"))
+    schema = ", ".join([*[f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys], "question_text string, marks double, has_figure boolean, row_order long"])
+    folded = fold_sorted(marked.where(~F.col("__simple")).drop("__simple"), keys, ["row_order", "question_text"], schema, _Merge)
+    return folded.unionByName(marked.where("__simple").drop("__simple").withColumn("question_text", T.strip(F.col("question_text"))))
 
 
 def merge_questions(questions: DataFrame) -> DataFrame:
@@ -152,10 +140,11 @@ def merge_questions(questions: DataFrame) -> DataFrame:
     question opened last before it; a paper's first row opens one whatever it is. Rows without text
     are dropped; a null number is a number of its own.
     """
-    by_order = Window.partitionBy("paper_id").orderBy("row_order")
+    keys = keys_of(questions)
+    by_order = Window.partitionBy(*keys).orderBy("row_order")
     rows = questions.where(F.col("question_text").rlike(r"\S"))
     rows = rows.withColumn("__main", ~T.is_sub_part(F.col("question_text")) | (F.row_number().over(by_order) == 1))
-    same = Window.partitionBy("paper_id", "question_no", "__main").orderBy("row_order")
+    same = Window.partitionBy(*keys, "question_no", "__main").orderBy("row_order")
     rows = rows.withColumn("__opens", F.col("__main") & (F.row_number().over(same) == 1))
     opened = F.last(F.when(F.col("__opens"), F.struct("question_no")), ignorenulls=True).over(by_order)
     rows = rows.withColumn("__to", opened).withColumn("question_no", F.when(F.col("__main"), F.col("question_no")).otherwise(F.col("__to.question_no")))
@@ -185,7 +174,7 @@ def finalize_questions(questions: DataFrame, papers: DataFrame) -> DataFrame:
     papers: paper_id, instructions (null: the usual sections). Rows without a number are dropped.
     """
     parts = split_long_rows(merge_questions(questions)).where(F.col("question_no").isNotNull())
-    rows = _merge_by_number(parts).join(papers.select("paper_id", T.section_rules(F.col("instructions")).alias("__rules")), "paper_id", "left")
+    rows = _merge_by_number(parts).join(papers.select(*keys_of(parts, papers), T.section_rules(F.col("instructions")).alias("__rules")), keys_of(parts, papers), "left")
     return infer_marks(rows, F.col("__rules")).drop("__rules")
 
 
@@ -198,27 +187,58 @@ def infer_marks(questions: DataFrame, rules) -> DataFrame:
 
 
 class _Greedy(Fold):
-    """Drops a row that is like an earlier row that was kept; `earlier` lists the earlier like rows."""
+    """Fed pairs (place, earlier) by place: a place is dropped if one of its like earlier places was kept."""
 
     def __init__(self) -> None:
-        self.dropped: set = set()
+        self.key, self.place, self.hit, self.dropped = None, None, False, set()
 
-    def feed(self, row) -> list[tuple]:
-        if all(e in self.dropped for e in row.earlier):
+    def _decided(self) -> list[tuple]:
+        if not self.hit:
             return []
-        self.dropped.add(row.row_order)
-        return [(row.paper_id, row.row_order)]
+        self.dropped.add(self.place)
+        return [(*self.key, self.place)]
+
+    def feed(self, row) -> list[tuple]:
+        out = []
+        if row.place != self.place:
+            out = self._decided()
+            self.key, self.place, self.hit = tuple(getattr(row, k) for k in row._fields if k in ("owner_id", "paper_id")), row.place, False
+        self.hit |= row.earlier not in self.dropped
+        return out
+
+    def end(self) -> list[tuple]:
+        return self._decided()
+
+
+def best_per_number(questions: DataFrame) -> DataFrame:
+    """One row for each paper, set (series:set:code, where questions have them) and number: the best, of equals the first.
+
+    A longer text is better; known marks count 50 characters, notation 10. A null number is one number.
+    """
+    keys = keys_of(questions)
+    score = F.length(F.coalesce("question_text", F.lit(""))) + F.when(F.col("marks") > 0, 50).otherwise(0) + F.when(F.col("question_text").rlike(T.NOTATION), 10).otherwise(0)
+    sets = [set_key()] if {"series", "set", "code_no"} <= set(questions.columns) else []
+    best = Window.partitionBy(*keys, *sets, "question_no").orderBy(F.desc(score), "row_order")
+    return questions.withColumn("__rn", F.row_number().over(best)).where("__rn = 1").drop("__rn")
 
 
 def drop_near_copies(questions: DataFrame, threshold: float = 0.72) -> DataFrame:
-    """questions without rows that are like an earlier kept row of their paper (Jaccard of word sets).
+    """The best row of each number, without rows that are like an earlier kept row of their paper (Jaccard of word sets).
 
-    Only rows with a like one before them enter the ordered pass.
+    Rows are read by set, then number (unknown last), then row_order. Of rows with one word set the
+    first stands for all: whatever drops it drops the others, and it drops them if it is kept. Only
+    like pairs of such firsts enter the ordered pass.
     """
-    pairs = near_duplicate_pairs(questions, threshold)
-    marked = pairs.groupBy("paper_id", F.col("row_b").alias("row_order")).agg(F.collect_set("row_a").alias("earlier"))
-    gone = fold_sorted(marked, ["paper_id"], ["row_order"], "paper_id long, row_order long", _Greedy)
-    return questions.join(gone, ["paper_id", "row_order"], "left_anti")
+    keys = keys_of(questions)
+    has_sets = {"series", "set", "code_no"} <= set(questions.columns)
+    order = Window.partitionBy(*keys).orderBy(*(set_order() if has_sets else paper_order()), "row_order")
+    placed = best_per_number(questions).withColumn("__place", F.row_number().over(order).cast("long"))
+    pairs = near_duplicate_pairs(placed.select(*keys, F.col("__place").alias("row_order"), "question_text"), threshold)
+    like = pairs.where("kind = 'like'").select(*keys, F.col("row_b").alias("place"), F.col("row_a").alias("earlier"))
+    schema = ", ".join([*[f"{k} {questions.schema[k].dataType.simpleString()}" for k in keys], "place long"])
+    gone = fold_sorted(like, keys, ["place", "earlier"], schema, _Greedy)
+    copies = pairs.where("kind = 'copy'").select(*keys, F.col("row_b").alias("place"))
+    return placed.join(gone.unionByName(copies).withColumnRenamed("place", "__place"), [*keys, "__place"], "left_anti").select(*questions.columns)
 
 
 class _Continue(Fold):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from examlake.operators.scans import keys_of, set_key
+
 #: What marks a row as printed instructions, the most a number may be where no total is known, the page mark.
 INSTRUCTIONS = r"(?im)General Instructions|All questions are compulsory|contains \d+ questions|Read the following instructions|SECTION\s*[-–—]\s*[A-E]\s*$"
 MOST_NUMBERS = 500
@@ -18,32 +20,35 @@ def is_question(no: Column, text: Column, most: Column) -> Column:
 
 
 def validated_questions(questions: DataFrame, expected: DataFrame) -> DataFrame:
-    """One valid row for each paper and number: the one with the longest text, then the first by row_order.
+    """One valid row for each paper, set (series:set:code, where questions have them) and number: the longest text's, then the first by row_order.
 
-    `expected` has paper_id, expected_count (null: unknown). Null numbers are dropped.
+    `expected` has the paper keys and expected_count (null: unknown). Null numbers are dropped.
     """
-    rows = questions.join(expected, "paper_id", "left")
+    keys = keys_of(questions, expected)
+    rows = questions.join(expected.select(*keys, "expected_count"), keys, "left")
     rows = rows.where(is_question(F.col("question_no"), F.col("question_text"), F.col("expected_count")))
-    w = Window.partitionBy("paper_id", "question_no").orderBy(F.desc(F.length("question_text")), "row_order")
+    sets = [set_key()] if {"series", "set", "code_no"} <= set(questions.columns) else []
+    w = Window.partitionBy(*keys, *sets, "question_no").orderBy(F.desc(F.length("question_text")), "row_order")
     return rows.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
 def validation_report(questions: DataFrame, expected: DataFrame) -> DataFrame:
-    """paper_id, expected_count, actual_count, dropped, missing (ascending), confirmed; papers of `expected` without rows too.
+    """Paper keys, expected_count, actual_count, dropped, missing (ascending), confirmed; papers of `expected` without rows too.
 
-    confirmed is null where no total is known.
+    actual_count counts the rows kept, of all sets. confirmed is null where no total is known.
     """
-    kept = validated_questions(questions, expected).groupBy("paper_id").agg(F.collect_set("question_no").alias("present"))
-    read = questions.groupBy("paper_id").agg(F.count(F.lit(1)).alias("n_read"))
-    rows = expected.join(read, "paper_id", "left").join(kept, "paper_id", "left")
+    keys = keys_of(questions, expected)
+    kept = validated_questions(questions, expected).groupBy(*keys).agg(F.collect_set("question_no").alias("present"), F.count(F.lit(1)).alias("n_kept"))
+    read = questions.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_read"))
+    rows = expected.join(read, keys, "left").join(kept, keys, "left")
     present = F.coalesce("present", F.array().cast("array<int>"))
     total = F.col("expected_count")
     known = total.isNotNull() & (total > 0)
     rows = rows.withColumn("present", present)
     missing = F.when(known, F.array_except(F.sequence(F.lit(1), total), "present")).otherwise(F.array().cast("array<int>"))
     rows = rows.withColumn("missing", missing)
-    n = F.size("present").cast("long")
-    return rows.select("paper_id", "expected_count", n.alias("actual_count"), (F.coalesce("n_read", F.lit(0)) - n).alias("dropped"), "missing", F.when(known, (F.size("missing") == 0) & (n == total)).alias("confirmed"))
+    n = F.coalesce("n_kept", F.lit(0))
+    return rows.select(*keys, "expected_count", n.alias("actual_count"), (F.coalesce("n_read", F.lit(0)) - n).alias("dropped"), "missing", F.when(known, (F.size("missing") == 0) & (n == total)).alias("confirmed"))
 
 
 def apply_continuations(questions: DataFrame, continuations: DataFrame) -> DataFrame:

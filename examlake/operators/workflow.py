@@ -9,6 +9,8 @@ from examlake.operators.bank import classify_vector, persist_questions
 from examlake.operators.classify import ASSIGNED, apply_assignments, apply_overrides, classify_keyword
 from examlake.operators.merging import finalize_questions
 from examlake.operators.papers import validated_questions, validation_report
+from examlake.operators.scans import keys_of
+from examlake.options import Options
 
 
 def classify(questions: DataFrame, chapters: DataFrame, profiles: DataFrame | None = None, assignments: DataFrame | None = None) -> DataFrame:
@@ -31,40 +33,52 @@ def classify(questions: DataFrame, chapters: DataFrame, profiles: DataFrame | No
             bare = bare.withColumn(c, F.lit(None).cast(questions.schema[c].dataType))
         routes.append(("assignments", apply_assignments(bare, assignments, chapters)))
     routes.append(("keyword", classify_keyword(questions, chapters)))
-    keys = ["paper_id", "row_order"]
+    keys = keys_of(questions, keys=("paper_id", "row_order"))
+    papers = keys[:-1]
     every = None
     for rank, (name, found) in enumerate(routes):
         part = found.select(*keys, F.struct(*[F.col(c) for c in ASSIGNED]).alias("__found"), F.lit(rank).alias("__rank"), F.lit(name).alias("classified_by"))
         every = part if every is None else every.unionByName(part)
-    used = every.where(F.col("__found.chapter_id").isNotNull()).groupBy("paper_id").agg(F.min("__rank").alias("__rank"))
-    chosen = every.join(used, ["paper_id", "__rank"]).drop("__rank")
+    used = every.where(F.col("__found.chapter_id").isNotNull()).groupBy(*papers).agg(F.min("__rank").alias("__rank"))
+    chosen = every.join(used, [*papers, "__rank"]).drop("__rank")
     rest = [c for c in questions.columns if c not in ASSIGNED]
     rows = questions.join(chosen, keys, "left")
     return rows.select(*rest, *[F.col(f"__found.{c}").alias(c) for c in ASSIGNED], F.coalesce("classified_by", F.lit("none")).alias("classified_by"))
 
 
-def process_papers(bank: DataFrame, extracted: DataFrame, papers: DataFrame, chapters: DataFrame, overrides: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(bank, reports) after a run: questions finalised, checked, classified by key words, overridden and persisted.
+def process_papers(bank: DataFrame, extracted: DataFrame, papers: DataFrame, chapters: DataFrame, overrides: DataFrame, assignments: DataFrame | None = None, profiles: DataFrame | None = None, options: Options = Options()) -> tuple[DataFrame, DataFrame]:
+    """(bank, reports) after a run: questions finalised, checked, classified, overridden and persisted.
 
-    extracted: rows for merge_questions; papers: paper_id, class_id, expected_count, instructions; bank:
-    paper_id, question_no, question_text, marks and the ASSIGNED columns. Papers without a question
-    keep their bank rows.
+    extracted: rows for merge_questions; papers: paper keys, class_id, expected_count, instructions;
+    bank: paper keys, question_no, question_text, marks and the ASSIGNED columns. Chapters come by
+    vectors (if profiles are given and extracted has embeddings), assignments or key words. Papers
+    without a question keep their bank rows; options may leave out classification or the write.
     """
-    expected = papers.select("paper_id", "expected_count")
+    keys = keys_of(extracted, papers)
+    expected = papers.select(*keys, "expected_count")
     final = finalize_questions(extracted, papers)
-    rows = validated_questions(final, expected).join(papers.select("paper_id", "class_id"), "paper_id")
+    rows = validated_questions(final, expected).join(papers.select(*keys, "class_id"), keys)
     for c in ASSIGNED:
         rows = rows.withColumn(c, F.lit(None).cast(bank.schema[c].dataType))
-    rows = apply_overrides(classify_keyword(rows, chapters), overrides, chapters)
+    if options.classify:
+        vectors = profiles if options.use_vectors and "embedding" in rows.columns else None
+        rows = classify(rows, chapters, vectors, assignments).drop("classified_by")
+    rows = apply_overrides(rows, overrides, chapters)
+    reports = validation_report(final, expected)
+    if not options.persist:
+        return bank, reports
+    paper = F.struct(*keys)
     new = rows.select(*bank.columns)
-    return persist_questions(bank, new, "paper_id", ["paper_id", "question_no"]), validation_report(final, expected)
+    kept = persist_questions(bank.withColumn("__paper", paper), new.withColumn("__paper", paper), "__paper", [*keys, "question_no"])
+    return kept.drop("__paper"), reports
 
 
 def library_view(chapters: DataFrame, papers: DataFrame, bank: DataFrame, classifications: DataFrame) -> DataFrame:
     """Bank rows with their paper, chapter and unit names and the confidence shown: the classification's, else the row's."""
-    index = chapters.select("chapter_id", "unit_id", F.col("name").alias("chapter_name"))
+    of_chapter, of_paper, of_question = keys_of(bank, chapters, keys=("chapter_id",)), keys_of(bank, papers), keys_of(bank, classifications, keys=("paper_id", "question_no"))
+    index = chapters.select(*of_chapter, "unit_id", F.col("name").alias("chapter_name"))
     sure = F.floor(F.col("confidence") * 100 + 0.5).cast("int")
-    shown = classifications.select("paper_id", "question_no", sure.alias("__sure"), "review_status")
-    rows = bank.drop("unit_id", "chapter_name").join(papers.drop("class_id"), "paper_id").join(index, "chapter_id", "left")
-    rows = rows.join(shown, ["paper_id", "question_no"], "left")
+    shown = classifications.select(*of_question, sure.alias("__sure"), "review_status")
+    rows = bank.drop("unit_id", "chapter_name").join(papers.drop("class_id"), of_paper).join(index, of_chapter, "left")
+    rows = rows.join(shown, of_question, "left")
     return rows.withColumn("chapter_confidence", F.coalesce("__sure", "chapter_confidence")).drop("__sure")
