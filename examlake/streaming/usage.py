@@ -1,25 +1,58 @@
-"""Usage roll-up as a Structured Streaming job."""
+"""Usage roll-up, job states and extracted questions as Structured Streaming jobs."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from examlake.operators.bank import persist_questions
+from examlake.operators.papers import is_question
+from examlake.operators.records import normalized_questions
+from examlake.operators.scans import keys_of
+from examlake.streaming.store import rewrite_buckets
+
 
 def daily_usage(events: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """Calls and tokens by action and day; works on a batch or a stream, where late rows beyond the watermark drop."""
+    """Calls and tokens by owner (where events have one), action and day; a batch, or a stream that drops rows later than the watermark."""
     e = events.withWatermark("created_at", watermark) if events.isStreaming else events
-    out = e.groupBy(F.window("created_at", "1 day").alias("w"), "action").agg(F.count(F.lit(1)).alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"))
-    return out.select(F.col("w.start").alias("day"), "action", "calls", "prompt_tokens")
+    owner = ["owner_id"] if "owner_id" in events.columns else []
+    out = e.groupBy(F.window("created_at", "1 day").alias("w"), *owner, "action").agg(F.count(F.lit(1)).alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"))
+    return out.select(F.col("w.start").alias("day"), *owner, "action", "calls", "prompt_tokens")
+
+
+def _latest(rows: DataFrame) -> DataFrame:
+    key = keys_of(rows, keys=("job_id",))
+    rest = [c for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct("updated_at", "status")).alias("s")).select(*key, "s.*")
 
 
 def latest_jobs(changes: DataFrame, store: str, checkpoint: str):
-    """Keeps the last state of each job in a table at `store`, batch by batch; replays change nothing."""
+    """Keeps the last state of each job in a bucketed table at `store`; replays change nothing."""
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark, path = batch.sparkSession, f"{store}/v={number}"
-        old = spark.read.schema(batch.schema).parquet(f"{store}/v={number - 1}") if number else batch.limit(0)
-        rows = old.unionByName(batch)
-        rows.groupBy("job_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "job_id"]), F.struct("updated_at", "status")).alias("s")).select("job_id", "s.*").write.mode("overwrite").parquet(path)
+    def merge(batch: DataFrame, _: int) -> None:
+        rewrite_buckets(_latest(batch), store, keys_of(batch, keys=("job_id",)), lambda old, new: _latest(old.unionByName(new)))
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def persist_stream(extracted: DataFrame, store: str, checkpoint: str):
+    """Writes newly extracted questions to the bank at `store`, paper by paper: checked, then put in place of the paper's rows.
+
+    extracted: a stream for `normalized_questions`. Of a number's rows the longest text stands, of equals
+    the first. A paper without a fit question keeps its rows. A batch that comes twice changes nothing.
+    """
+
+    def merge(batch: DataFrame, _: int) -> None:
+        rows = normalized_questions(batch)
+        key = keys_of(rows)
+        fit = rows.where(is_question(F.col("question_no"), F.col("question_text"), F.lit(None).cast("int")))
+        rest = [c for c in fit.columns if c not in (*key, "question_no")]
+        first = fit.groupBy(*key, "question_no").agg(F.max_by(F.struct(*rest), F.struct(F.length("question_text"), -F.col("row_order"))).alias("s")).select(*key, "question_no", "s.*")
+        paper = F.struct(*key)
+
+        def put(old: DataFrame, new: DataFrame) -> DataFrame:
+            return persist_questions(old.withColumn("__paper", paper), new.withColumn("__paper", paper), "__paper", [*key, "question_no"]).drop("__paper")
+
+        rewrite_buckets(first, store, key, put)
+
+    return extracted.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
