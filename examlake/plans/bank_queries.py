@@ -7,31 +7,36 @@ from pyspark.sql import functions as F
 
 from examlake.functions import text as T
 from examlake.operators import bank as ops
+from examlake.operators import usage
 from examlake.sources import tables as src
 from examlake.streaming.usage import daily_usage
 
 PAPERS = "papers AS (SELECT 'u' || (o_custkey % 7) AS owner_id, o_orderkey AS paper_id, o_orderstatus AS class_id, year(o_orderdate) AS year, o_orderpriority AS paper_source, (4 + o_orderkey % 4)::INT AS expected_count, o_orderdate AS stored_at FROM orders)"
-BANK = "bank AS (SELECT l_orderkey AS paper_id, l_linenumber AS question_no, l_quantity::DECIMAL(10,2) AS marks, l_partkey AS chapter_id, l_suppkey AS material_id FROM lineitem)"
+BANK = "bank AS (SELECT l_orderkey AS paper_id, l_linenumber AS question_no, l_quantity::DECIMAL(10,2) AS marks, l_partkey AS chapter_id, l_suppkey AS material_id, 'Question ' || repeat('a', (l_suppkey % 9)::INT) AS question_text, l_partkey * 100000 + l_suppkey AS row_order FROM lineitem)"
 TEXTS = "texts AS (SELECT doc_id // 40 AS paper_id, doc_id AS row_order, (1 + doc_id * doc_id % 37)::INT AS question_no, text AS question_text FROM documents)"
-USAGE = "usage AS (SELECT event_id, user_id AS job_id, event_type AS action, floor(abs(value))::BIGINT * 100 AS prompt_tokens, floor(abs(value))::BIGINT AS completion_tokens, ts AS created_at FROM events)"
+USAGE = "usage AS (SELECT event_id, 'u' || (user_id % 7) AS owner_id, ['gpt-4o', 'gpt-4o-mini', 'text-embedding-3-small', 'gpt-4o-mini-2024', 'gpt-4o-2024', 'other-embedding', 'unknown'][event_id % 7 + 1] AS model, user_id AS job_id, event_type AS action, floor(abs(value))::BIGINT * 100 AS prompt_tokens, floor(abs(value))::BIGINT AS completion_tokens, ts AS created_at FROM events)"
 _RANGES = "coalesce((SELECT string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ', ' ORDER BY a) FROM (SELECT min(x) AS a, max(x) AS b FROM (SELECT x, x - row_number() OVER (ORDER BY x) AS g FROM (SELECT unnest({}) AS x)) GROUP BY g)), '')"
 
 
+def _reports(spark, d, bank=None):
+    return ops.quality_report(src.papers(spark, d).drop("owner_id"), src.bank(spark, d) if bank is None else bank)
+
+
 def quality_report(spark, d):
-    return ops.quality_report(src.papers(spark, d), src.bank(spark, d))
+    return _reports(spark, d).drop("expected_marks").withColumn("issues", F.array_join("issues", "; "))
 
 
-QUALITY = f"""WITH {PAPERS}, {BANK}, per AS (
- SELECT paper_id, sum(n) AS row_count, list(question_no ORDER BY question_no) FILTER (question_no >= 1) AS numbers,
-  list(question_no ORDER BY question_no) FILTER (question_no >= 1 AND n > 1) AS dup, sum(marks) FILTER (question_no >= 1 AND marks > 0) AS ms
- FROM (SELECT paper_id, question_no, count(*) AS n, max(marks) AS marks FROM bank GROUP BY ALL) GROUP BY paper_id),
-j AS (SELECT p.paper_id, expected_count, coalesce(row_count, 0)::BIGINT AS row_count, coalesce(numbers, []) AS numbers, coalesce(dup, []) AS dup, coalesce(ms, 0) AS ms FROM papers p LEFT JOIN per USING (paper_id)),
+QUALITY = f"""WITH {PAPERS}, {BANK}, best AS (SELECT *, count(*) OVER (PARTITION BY paper_id, question_no) AS n, row_number() OVER (PARTITION BY paper_id, question_no ORDER BY length(trim(question_text)) DESC, row_order, marks DESC) AS rn FROM bank),
+per AS (SELECT paper_id, sum(n) AS row_count, list(question_no ORDER BY question_no) FILTER (question_no >= 1) AS numbers, list(question_no ORDER BY question_no) FILTER (question_no >= 1 AND n > 1) AS dup,
+  sum(marks) FILTER (question_no >= 1 AND marks > 0) AS ms, count(*) FILTER (question_no >= 1 AND marks > 0) AS wm FROM best WHERE rn = 1 GROUP BY paper_id),
+j AS (SELECT p.paper_id, expected_count, coalesce(row_count, 0)::BIGINT AS row_count, coalesce(numbers, []) AS numbers, coalesce(dup, []) AS dup, coalesce(ms, 0)::DECIMAL(20,2) AS ms, coalesce(wm, 0)::INT AS wm FROM papers p LEFT JOIN per USING (paper_id)),
 x AS (SELECT *, list_filter(range(1, expected_count + 1), lambda v: NOT list_contains(numbers, v::INT)) AS miss, list_filter(numbers, lambda v: v > expected_count) AS ext FROM j),
 runs AS (SELECT paper_id, kind, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ', ' ORDER BY a) AS s FROM (
   SELECT paper_id, kind, min(v) AS a, max(v) AS b FROM (SELECT paper_id, kind, v, v - row_number() OVER (PARTITION BY paper_id, kind ORDER BY v) AS g FROM (
     SELECT paper_id, 'm' AS kind, unnest(miss) AS v FROM x UNION ALL SELECT paper_id, 'd', unnest(dup) FROM x UNION ALL SELECT paper_id, 'e', unnest(ext) FROM x)) GROUP BY paper_id, kind, g) GROUP BY paper_id, kind)
-SELECT x.paper_id, expected_count, row_count, len(numbers)::INT AS extracted, coalesce(m.s, '') AS missing, coalesce(q.s, '') AS duplicates, coalesce(e.s, '') AS extra, ms::DECIMAL(20,2) AS marks_sum,
- CASE WHEN row_count = 0 THEN 'Not Extracted' WHEN len(numbers) = 0 THEN 'Failed' WHEN m.s IS NULL AND q.s IS NULL AND e.s IS NULL THEN 'Passed' ELSE 'Needs Review' END AS status
+SELECT x.paper_id, expected_count, row_count, len(numbers)::INT AS extracted, coalesce(m.s, '') AS missing, coalesce(q.s, '') AS duplicates, coalesce(e.s, '') AS extra, ms AS marks_sum, len(numbers)::INT - wm AS without_marks,
+ CASE WHEN row_count = 0 THEN 'no questions yet' ELSE concat_ws('; ', CASE WHEN len(numbers) <> expected_count THEN len(numbers) || ' of ' || expected_count || ' questions found' END, 'missing: ' || m.s, 'repeated: ' || q.s, 'beyond the last number: ' || e.s, CASE WHEN len(numbers) > wm THEN (len(numbers) - wm) || ' without marks' END) END AS issues,
+ CASE WHEN row_count = 0 THEN 'Not Extracted' WHEN len(numbers) = 0 THEN 'Failed' WHEN m.s IS NULL AND q.s IS NULL AND e.s IS NULL AND len(numbers) = wm THEN 'Passed' ELSE 'Needs Review' END AS status
 FROM x LEFT JOIN runs m ON m.paper_id = x.paper_id AND m.kind = 'm' LEFT JOIN runs q ON q.paper_id = x.paper_id AND q.kind = 'd' LEFT JOIN runs e ON e.paper_id = x.paper_id AND e.kind = 'e'"""
 
 
@@ -69,7 +74,7 @@ def english_text(spark, d):
 
 def accepted_text(spark, d):
     t = F.col("question_text")
-    return src.text_bank(spark, d).select("row_order", T.accepts_model_text(t).alias("model_ok"), (F.length(F.trim(t)) >= 12).alias("long_enough"))
+    return src.text_bank(spark, d).select("row_order", T.accepts_model_text(t).alias("model_ok"), (F.length(F.trim(t)) >= 12).alias("long_enough"), T.accepts_plain_text(t).alias("plain_ok"), T.disallowed(t).alias("n_disallowed"), F.round(T.readability(t), 6).alias("readability"))
 
 
 def word_sets(spark, d):
@@ -80,8 +85,14 @@ def near_duplicates_in_papers(spark, d):
     return ops.near_duplicate_pairs(src.text_bank(spark, d))
 
 
+NEAR = """WITH {texts}, w AS (SELECT paper_id, row_order, list_sort(list_distinct(list_filter(string_split({norm}, ' '), lambda w: length(w) > 3))) AS s FROM texts),
+c AS (SELECT *, min(row_order) OVER (PARTITION BY paper_id, s) AS rep FROM w WHERE len(s) > 0), r AS (SELECT * FROM c WHERE row_order = rep)
+SELECT paper_id, rep AS row_a, row_order AS row_b, 'copy' AS kind FROM c WHERE row_order > rep
+UNION ALL SELECT a.paper_id, a.rep, b.rep, 'like' FROM r a JOIN r b ON a.paper_id = b.paper_id AND a.rep < b.rep WHERE len(list_intersect(a.s, b.s)) >= .72 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))"""
+
+
 def usage_rollup(spark, d):
-    return ops.usage_rollup(src.usage_events(spark, d))
+    return usage.usage_rollup(src.usage_events(spark, d))
 
 
 def usage_by_action_30_days(spark, d):
@@ -91,7 +102,7 @@ def usage_by_action_30_days(spark, d):
 
 
 def usage_by_day(spark, d):
-    return daily_usage(src.usage_events(spark, d)).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "action", "calls", "prompt_tokens")
+    return daily_usage(src.usage_events(spark, d)).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "owner_id", "action", "calls", "prompt_tokens")
 
 
 def latest_job(spark, d):
@@ -104,7 +115,9 @@ def papers_to_reprocess(spark, d):
 
 
 def repair_set(spark, d):
-    return ops.repair_set(src.bank(spark, d), 7)
+    p = src.papers(spark, d).select("paper_id", F.when(F.col("paper_id") % 6 > 0, F.lit(7)).otherwise(0).alias("expected_count"))
+    rows = src.bank(spark, d).withColumn("question_no", F.col("question_no") + F.when(F.col("question_no") == 6, 11).otherwise(0))
+    return ops.repair_set(rows.withColumn("question_text", F.repeat("question_text", 60)), p)
 
 
 def _updates(spark, d):
@@ -227,6 +240,21 @@ def classify_all_vectors(spark, d):
     return _classified(v, v, v.withColumn("n", F.row_number().over(w)).where("n <= 30"))
 
 
+def classify_in_class(spark, d):
+    """Every embedding against the chapters of its class only, the best with its alternatives."""
+    v = _vectors(spark, d)
+    profiles = v.groupBy("label").agg(F.min_by("e", "vec_id").alias("title_embedding"), F.max_by("e", "vec_id").alias("summary_embedding")).withColumnRenamed("label", "chapter_id").withColumn("class_id", F.col("chapter_id") % 3).withColumn("concepts", F.lit(None).cast("array<array<double>>"))
+    rows = v.select(F.col("vec_id").alias("question_id"), (F.col("vec_id") % 3).cast("int").alias("class_id"), F.col("e").alias("embedding"))
+    out = ops.best_with_alternatives(ops.classify_vector(rows, profiles))
+    return out.select("question_id", "chapter_id", F.round("confidence", 3).alias("confidence"), "review_status", F.array_join(F.transform("alternatives", lambda a: a["chapter_id"].cast("string")), ",").alias("others"))
+
+
+IN_CLASS = """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), p AS (SELECT label, label % 3 AS cls, arg_min(e, vec_id) AS te, arg_max(e, vec_id) AS se FROM v GROUP BY label),
+b AS (SELECT q.vec_id AS question_id, p.label AS chapter_id, .15 / .5 * list_cosine_similarity(q.e, te) + .35 / .5 * list_cosine_similarity(q.e, se) AS score FROM v q JOIN p ON q.vec_id % 3 = cls),
+r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chapter_id) AS rank FROM b), k AS (SELECT *, exp((score - max(score) OVER (PARTITION BY question_id)) / .06) AS x FROM r WHERE rank <= 3),
+c AS (SELECT *, x / sum(x) OVER (PARTITION BY question_id) AS c FROM k)
+SELECT question_id, max(chapter_id) FILTER (rank = 1) AS chapter_id, round(max(c) FILTER (rank = 1), 3) AS confidence, CASE WHEN max(c) FILTER (rank = 1) >= .85 THEN 'AUTO_APPROVED' WHEN max(c) FILTER (rank = 1) >= .6 THEN 'SUGGEST_REVIEW' ELSE 'MANUAL_REVIEW_REQUIRED' END AS review_status,
+ coalesce(string_agg(chapter_id::VARCHAR, ',' ORDER BY rank) FILTER (rank > 1), '') AS others FROM c GROUP BY question_id"""
 VECTOR = """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 p AS (SELECT label, arg_min(e, vec_id) AS te, arg_max(e, vec_id) AS se, list(e) FILTER (vec_id % 50 = 0) AS cs FROM v GROUP BY label),
 s AS (SELECT q.vec_id AS question_id, p.label AS chapter_id, list_cosine_similarity(q.e, te) AS t, list_cosine_similarity(q.e, se) AS s, list_max(list_transform(cs, lambda c: list_cosine_similarity(q.e, c))) AS c FROM v q, p WHERE q.vec_id % 10 <> 0),
@@ -238,9 +266,17 @@ ALL_VECTORS = VECTOR.replace(" WHERE q.vec_id % 10 <> 0", "").replace("FILTER (v
 
 
 def compared_reports(spark, d):
-    a = quality_report(spark, d)
-    b = ops.quality_report(src.papers(spark, d), src.bank(spark, d).where("question_no <> 3"))
-    return ops.compare_reports(a, b)
+    return ops.compare_reports(_reports(spark, d), _reports(spark, d, src.bank(spark, d).where("question_no <> 3")))
+
+
+def _report_of(bank: str) -> str:
+    inner = QUALITY.replace(BANK, bank, 1)
+    return f"SELECT *, NULL AS e FROM ({inner})"
+
+
+COMPARED = f"""WITH a AS ({_report_of(BANK)}), b AS ({_report_of(BANK.replace("FROM lineitem", "FROM lineitem WHERE l_linenumber <> 3"))})
+SELECT paper_id, concat_ws(',', CASE WHEN a.extracted <> b.extracted THEN 'extracted' END, CASE WHEN a.missing <> b.missing THEN 'missing' END, CASE WHEN a.duplicates <> b.duplicates THEN 'duplicates' END, CASE WHEN a.extra <> b.extra THEN 'extra' END,
+ CASE WHEN a.marks_sum <> b.marks_sum THEN 'marks_sum' END, CASE WHEN a.status <> b.status THEN 'status' END) AS differs, a.status <> b.status AS status_differs, abs(a.extracted - b.extracted) <= 1 AS acceptable FROM a JOIN b USING (paper_id)"""
 
 
 def storage_paths(spark, d):
@@ -249,10 +285,23 @@ def storage_paths(spark, d):
 
 
 _CLEAN = "list_filter(list_transform(string_split(regexp_replace(regexp_replace(question_text, '[\\x{0900}-\\x{097F}]+', ' ', 'g'), '[§$©¶|~<>^&•`]', ' ', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'))), lambda x: x <> '')"
-_NORM = "trim(regexp_replace(regexp_replace(lower(question_text), '[^a-z0-9_ \\n\\t]', ' ', 'g'), '[ \\n\\t]+', ' ', 'g'))"
+_NORM = "trim(regexp_replace(regexp_replace(lower(question_text), '[\\s\\x{00a0}\\x{feff}]+', ' ', 'g'), '[^a-z0-9_ ]', '', 'g'))"
 _SOLID = "length(regexp_replace(question_text, '[\\s\\x{00a0}\\x{feff}]', '', 'g'))"
 _LETTERS = "length(regexp_replace(question_text, '[^A-Za-z]', '', 'g'))"
 
+#: Signs beyond ASCII are notation, except Devanagari and four misread glyphs; those are disallowed. DuckDB's \\s lacks the no-break space.
+ACCEPTED = rf"""WITH {TEXTS}, f AS (SELECT row_order, question_text AS t, {_LETTERS} AS l, {_SOLID} AS solid, regexp_matches(question_text, '[^\x20-\x7E\n\r\t\x{{0900}}-\x{{097F}}§©¶]') AS math,
+ len(regexp_extract_all(question_text, '[\x{{0900}}-\x{{097F}}§©¶]'))::INT AS n_disallowed, len(regexp_extract_all(question_text, '[A-Za-z]{{2,}}')) AS two, len(regexp_extract_all(question_text, '[A-Za-z]{{3,}}')) AS three,
+ len(regexp_extract_all(question_text, '[§$©¶|~<>^&•`]')) AS weird FROM texts), r AS (SELECT *, CASE WHEN solid > 0 THEN l / solid ELSE 0 END AS ratio FROM f), s AS (SELECT *, three * 12 + ratio * 40 - weird * 8 AS score FROM r)
+SELECT row_order, length(t) >= 10 AND n_disallowed = 0 AND ratio >= (CASE WHEN math THEN .30 ELSE .45 END) AND two >= 2 AS model_ok, length(trim(t)) >= 12 AS long_enough,
+ length(t) >= 12 AND n_disallowed = 0 AND weird = 0 AND ratio >= (CASE WHEN math THEN .35 ELSE .55 END) AND (math OR three >= 2) AND (math OR score >= 18) AS plain_ok, n_disallowed, round(score, 6) AS readability FROM s"""
+#: Rates in dollars a million tokens by model; a cost is rounded to six places for each event.
+PRICED = """priced AS (SELECT *, round(prompt_tokens::DECIMAL(18,0) * i + completion_tokens::DECIMAL(18,0) * o, 0) AS micros FROM (SELECT *,
+ (CASE WHEN model IN ('gpt-4o', 'gpt-4o-2024') THEN 2.5 WHEN model IN ('gpt-4o-mini', 'gpt-4o-mini-2024') THEN 0.15 WHEN model LIKE '%embedding%' THEN 0.02 ELSE 0 END)::DECIMAL(6,2) AS i,
+ (CASE WHEN model IN ('gpt-4o', 'gpt-4o-2024') THEN 10 WHEN model IN ('gpt-4o-mini', 'gpt-4o-mini-2024') THEN 0.6 ELSE 0 END)::DECIMAL(6,2) AS o FROM usage))"""
+_SUMS = "count(*) AS calls, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(completion_tokens)::BIGINT AS completion_tokens, sum(prompt_tokens + completion_tokens)::BIGINT AS total_tokens, (sum(micros) / 1000000)::DOUBLE AS cost"
+ROLLUP = f"WITH {USAGE}, {PRICED} SELECT owner_id, job_id, action, {_SUMS}, grouping(action) = 1 AS is_total FROM priced GROUP BY GROUPING SETS ((owner_id, job_id, action), (owner_id, job_id))"
+
 MARKS = rf"""WITH {TEXTS}, s AS (SELECT row_order, question_text || CASE row_order % 5 WHEN 0 THEN '' WHEN 1 THEN ' [' || question_no || ' Marks] or so' WHEN 2 THEN ' (' || question_no || ' mark) [7]' WHEN 3 THEN ' ' || question_no || ' marks ' ELSE ' [' || question_no || '] in all' END AS t FROM texts)
 SELECT row_order, coalesce(nullif(regexp_extract(t, '(?i)\[(\d{{1,2}})\s*marks?\]', 1), ''), nullif(regexp_extract(t, '(?i)\((\d{{1,2}})\s*marks?\)', 1), ''), nullif(regexp_extract(t, '(?i)(\d{{1,2}})\s*marks?\s*$', 1), ''), nullif(regexp_extract(t, '\[(\d{{1,2}})\]', 1), ''))::INT AS marks FROM s"""
 
@@ -264,15 +313,15 @@ QUERIES = {
     "paper_meta": (paper_meta, f"WITH {TEXTS} SELECT paper_id, max(question_no) AS max_no, count(DISTINCT question_no) AS distinct_no, count(*) FILTER (question_no > 33) AS above_33, sum(CASE WHEN question_no <= 16 THEN 1 WHEN question_no <= 21 THEN 2 WHEN question_no <= 28 THEN 3 WHEN question_no <= 30 THEN 4 WHEN question_no <= 33 THEN 5 END)::BIGINT AS marks_total FROM texts GROUP BY paper_id"),
     "longest_per_number": (longest_per_number, f"WITH {TEXTS} SELECT paper_id, question_no, row_order, n::INT AS n FROM (SELECT *, length(trim(question_text)) AS n, row_number() OVER (PARTITION BY paper_id, question_no ORDER BY length(trim(question_text)) DESC, row_order) AS rn FROM texts) WHERE rn = 1"),
     "english_text": (english_text, f"WITH {TEXTS}, c AS (SELECT row_order, array_to_string({_CLEAN}, chr(10)) AS clean FROM texts) SELECT row_order, clean, length(regexp_replace(clean, '[^A-Za-z]', '', 'g'))::INT AS letters FROM c"),
-    "accepted_text": (accepted_text, f"WITH {TEXTS} SELECT row_order, length(question_text) >= 10 AND NOT regexp_matches(question_text, '[\\x{{0900}}-\\x{{097F}}]') AND (CASE WHEN {_SOLID} > 0 THEN {_LETTERS} / {_SOLID} ELSE 0 END) >= (CASE WHEN regexp_matches(question_text, '{T.MATH}') THEN .30 ELSE .45 END) AND len(regexp_extract_all(question_text, '[A-Za-z]{{2,}}')) >= 2 AS model_ok, length(trim(question_text)) >= 12 AS long_enough FROM texts"),
+    "accepted_text": (accepted_text, ACCEPTED),
     "word_sets": (word_sets, f"WITH {TEXTS} SELECT row_order, len(list_distinct(list_filter(string_split({_NORM}, ' '), lambda w: length(w) > 3)))::INT AS n_words, md5({_NORM}) AS norm_md5 FROM texts"),
-    "near_duplicates_in_papers": (near_duplicates_in_papers, f"WITH {TEXTS}, w AS (SELECT paper_id, row_order, list_distinct(list_filter(string_split({_NORM}, ' '), lambda w: length(w) > 3)) AS s FROM texts) SELECT a.paper_id, a.row_order AS row_a, b.row_order AS row_b FROM w a JOIN w b ON a.paper_id = b.paper_id AND a.row_order < b.row_order WHERE len(a.s) > 0 AND len(b.s) > 0 AND len(list_intersect(a.s, b.s)) >= .72 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))"),
-    "usage_rollup": (usage_rollup, f"WITH {USAGE} SELECT job_id, action, count(*) AS calls, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(completion_tokens)::BIGINT AS completion_tokens, round((sum(prompt_tokens) * 2.5 / 1000000 + sum(completion_tokens) * 10.0 / 1000000)::DOUBLE, 4) AS cost FROM usage GROUP BY GROUPING SETS ((job_id, action), (job_id))"),
+    "near_duplicates_in_papers": (near_duplicates_in_papers, NEAR.format(texts=TEXTS, norm=_NORM)),
+    "usage_rollup": (usage_rollup, ROLLUP),
     "usage_by_action_30_days": (usage_by_action_30_days, f"WITH {USAGE} SELECT action, count(*) AS calls, sum(prompt_tokens)::BIGINT AS prompt_tokens FROM usage WHERE created_at > (SELECT max(created_at) FROM usage) - INTERVAL 30 DAY GROUP BY action"),
-    "usage_by_day": (usage_by_day, f"WITH {USAGE} SELECT strftime(created_at, '%Y-%m-%d') AS day, action, count(*) AS calls, sum(prompt_tokens)::BIGINT AS prompt_tokens FROM usage GROUP BY 1, 2"),
+    "usage_by_day": (usage_by_day, f"WITH {USAGE} SELECT strftime(created_at, '%Y-%m-%d') AS day, owner_id, action, count(*) AS calls, sum(prompt_tokens)::BIGINT AS prompt_tokens FROM usage GROUP BY 1, 2, 3"),
     "latest_job": (latest_job, f"WITH {USAGE} SELECT job_id, event_id, action FROM usage QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY created_at DESC, event_id DESC) = 1"),
     "papers_to_reprocess": (papers_to_reprocess, f"WITH {PAPERS}, {BANK} SELECT paper_id, count(question_no) AS n_rows FROM papers LEFT JOIN bank USING (paper_id) GROUP BY paper_id HAVING count(question_no) < 3"),
-    "repair_set": (repair_set, f"WITH {BANK}, n AS (SELECT paper_id, question_no, count(*) AS n FROM bank GROUP BY ALL), g AS (SELECT p.paper_id, x.no, n.n FROM (SELECT DISTINCT paper_id FROM bank) p CROSS JOIN (SELECT unnest(range(1, 8)) AS no) x LEFT JOIN n ON n.paper_id = p.paper_id AND n.question_no = x.no) SELECT paper_id, coalesce(string_agg(no::VARCHAR, ',' ORDER BY no) FILTER (n IS NULL OR n > 1), '') AS numbers FROM g GROUP BY paper_id"),
+    "repair_set": (repair_set, f"WITH {BANK}, n AS (SELECT paper_id, CASE WHEN question_no = 6 THEN 17 ELSE question_no END AS question_no, count(*) AS n, max(length(question_text)) * 60 - CASE WHEN max(length(question_text)) = 9 THEN 1 ELSE 0 END AS size FROM bank GROUP BY ALL), p AS (SELECT DISTINCT paper_id FROM bank WHERE paper_id IN (SELECT o_orderkey FROM orders)), g AS (SELECT paper_id, x.no FROM p CROSS JOIN (SELECT unnest(range(1, 8)) AS no) x WHERE paper_id % 6 > 0 AND NOT EXISTS (SELECT 1 FROM n WHERE n.paper_id = p.paper_id AND n.question_no = x.no) UNION ALL SELECT paper_id, question_no FROM n WHERE n > 1 OR (size >= 850 AND question_no BETWEEN 17 AND 28)) SELECT b.paper_id, coalesce(string_agg(no::VARCHAR, ',' ORDER BY no), '') AS numbers FROM (SELECT DISTINCT paper_id FROM bank) b LEFT JOIN g USING (paper_id) GROUP BY b.paper_id"),
     "upsert_papers": (upsert_papers, f"WITH {PAPERS} SELECT paper_id, CASE WHEN paper_id % 5 = 0 THEN 'edited' ELSE paper_source END AS paper_source FROM papers UNION ALL SELECT -1 - i, 'new' FROM range(3) t(i)"),
     "persist_questions": (persist_questions, f"WITH {BANK}, b AS (SELECT paper_id, question_no, max(marks) AS marks FROM bank GROUP BY ALL), t AS (SELECT DISTINCT paper_id FROM b WHERE paper_id % 3 = 0 AND question_no <= 2) SELECT paper_id, question_no, (CASE WHEN paper_id IN (SELECT paper_id FROM t) THEN 1 ELSE marks END)::DECIMAL(10,2) AS marks FROM b WHERE paper_id NOT IN (SELECT paper_id FROM t) OR question_no <= 2"),
     "cascade_delete": (cascade_delete, f"WITH {PAPERS}, {BANK} SELECT paper_id, count(*) AS n FROM bank WHERE paper_id NOT IN (SELECT paper_id FROM papers WHERE year < 1995) GROUP BY paper_id"),
@@ -290,7 +339,8 @@ QUERIES = {
     "marks_in_whole_texts": (marks_in_whole_texts, MARKS),
     "review_statuses": (review_statuses, "WITH c AS (SELECT event_id, greatest(0, least(1, abs(value) / 100)) AS c FROM events WHERE value IS NOT NULL) SELECT event_id, CASE WHEN c >= .85 THEN 'AUTO_APPROVED' WHEN c >= .6 THEN 'SUGGEST_REVIEW' ELSE 'MANUAL_REVIEW_REQUIRED' END AS status, floor(least(100, c * 100) + .5)::INT AS percent FROM c"),
     "classify_vector": (classify_vector, VECTOR),
+    "classify_in_class": (classify_in_class, IN_CLASS),
     "classify_all_vectors": (classify_all_vectors, ALL_VECTORS),
-    "compared_reports": (compared_reports, None),
+    "compared_reports": (compared_reports, COMPARED),
     "storage_paths": (storage_paths, "SELECT p_partkey, p_brand || '/' || p_partkey || '-' || substr(regexp_replace(p_name, '[^a-zA-Z0-9._-]+', '_', 'g'), 1, 80) AS path FROM part"),
 }

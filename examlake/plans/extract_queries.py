@@ -13,7 +13,7 @@ from examlake.operators import merging as M
 from examlake.operators import papers as P
 from examlake.operators import workflow as W
 from examlake.plans.bank_queries import BANK, PAPERS
-from examlake.plans.paper_queries import CHAPTERS, GIVEN, QUESTIONS, _expected, _given, _overrides, _questions
+from examlake.plans.paper_queries import ASSIGNED, CHAPTERS, GIVEN, KEYWORD, QUESTIONS, _expected, _given, _overrides, _questions
 from examlake.sources import tables as src
 
 _SHOWN = ["paper_id", "question_no", "row_order"]
@@ -225,14 +225,31 @@ REASONS = r"""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'No model is configur
  WHEN doc_id % 3 = 0 THEN (doc_id % 4) || ' page image(s) in ' || (doc_id % 2) || ' batch(es) were read, but none held a valid question.'
  WHEN coalesce(length(regexp_replace(text, '[^A-Za-z]', '', 'g')), 0) < 25 THEN 'The file has no selectable text, and no page image was read.' ELSE 'The model returned no valid question.' END AS reason FROM documents"""
 
+DISTINCT = rf"""WITH RECURSIVE t AS (SELECT doc_id // 40 AS paper_id, doc_id AS row_order, (1 + doc_id * doc_id % 37)::INT AS question_no, text, list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[\s\x{{00a0}}\x{{feff}}]+', ' ', 'g'), '[^a-z0-9_ ]', '', 'g')), ' '), lambda w: length(w) > 3)) AS s FROM documents),
+ best AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY paper_id, question_no ORDER BY length(text) + CASE WHEN row_order % 4 = 0 THEN 50 ELSE 0 END + CASE WHEN regexp_matches(text, '[^\x20-\x7E\n\r\t\x{{0900}}-\x{{097F}}§©¶]') THEN 10 ELSE 0 END DESC, row_order) = 1),
+ p AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY question_no, row_order) AS place FROM best),
+ l AS (SELECT b.paper_id, b.place, list(a.place) FILTER (len(a.s) > 0 AND len(b.s) > 0 AND len(list_intersect(a.s, b.s)) >= .72 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))) AS likes, any_value(b.row_order) AS row_order, any_value(b.question_no) AS question_no FROM p b LEFT JOIN p a ON a.paper_id = b.paper_id AND a.place < b.place GROUP BY ALL),
+ g AS (SELECT paper_id, place, [place] AS kept FROM l WHERE place = 1 UNION ALL SELECT l.paper_id, l.place, CASE WHEN list_has_any(g.kept, coalesce(l.likes, [])) THEN g.kept ELSE list_append(g.kept, l.place) END FROM g JOIN l ON l.paper_id = g.paper_id AND l.place = g.place + 1)
+SELECT l.paper_id, l.question_no, l.row_order FROM g JOIN l USING (paper_id, place) WHERE list_contains(g.kept, g.place)"""
+
+CHUNKS = r"""WITH RECURSIVE t AS (SELECT doc_id // 40 AS paper_id, doc_id, trim(text, e' \t\r\n\f\v') AS t FROM documents WHERE regexp_matches(text, '\S')), p AS (SELECT *, length(t) AS n, row_number() OVER (PARTITION BY paper_id ORDER BY doc_id) AS rn FROM t),
+ g AS (SELECT paper_id, rn, 0 AS chunk_no, n AS size FROM p WHERE rn = 1 UNION ALL SELECT p.paper_id, p.rn, CASE WHEN g.size + p.n + 14 > 28000 THEN chunk_no + 1 ELSE chunk_no END, CASE WHEN g.size + p.n + 14 > 28000 THEN p.n ELSE g.size + p.n + 14 END FROM g JOIN p ON p.paper_id = g.paper_id AND p.rn = g.rn + 1),
+ c AS (SELECT paper_id, chunk_no, string_agg(t, e'\n\n---PAGE---\n\n' ORDER BY rn) AS text FROM g JOIN p USING (paper_id, rn) GROUP BY ALL)
+SELECT paper_id, chunk_no::INT AS chunk_no, length(text) AS n_chars, md5(text) AS text_md5 FROM c"""
+
+_BARE = QUESTIONS.replace("CASE WHEN doc_id % 3 = 0 THEN 'old' END AS chapter_id", "NULL::VARCHAR AS chapter_id").replace("CASE WHEN doc_id % 3 = 0 THEN 'Old' END AS chapter_name", "NULL::VARCHAR AS chapter_name").replace("CASE WHEN doc_id % 3 = 0 THEN 50 END AS chapter_confidence", "NULL::INT AS chapter_confidence")
+ROUTED = f"""WITH a AS ({ASSIGNED.replace(QUESTIONS, _BARE).replace(GIVEN, GIVEN.replace("FROM documents", "FROM documents WHERE (doc_id // 40) % 2 = 0"))}), k AS ({KEYWORD.replace(QUESTIONS, _BARE)}),
+ r AS (SELECT row_order // 40 AS paper_id, 0 AS rank, 'assignments' AS classified_by, * FROM a UNION ALL SELECT row_order // 40, 1, 'keyword', * FROM k), u AS (SELECT paper_id, min(rank) AS rank FROM r WHERE chapter_id IS NOT NULL GROUP BY ALL)
+SELECT d.doc_id AS row_order, coalesce(classified_by, 'none') AS classified_by, chapter_id, chapter_confidence FROM documents d LEFT JOIN (SELECT r.* FROM r JOIN u USING (paper_id, rank)) x ON x.row_order = d.doc_id"""
+
 QUERIES = {
     "catalog_chapters": (catalog_chapters, CATALOG),
     "failure_reasons": (failure_reasons, REASONS),
     "merged_questions": (merged_questions, None),
-    "distinct_questions": (distinct_questions, None),
+    "distinct_questions": (distinct_questions, DISTINCT),
     "finalized_questions": (finalized_questions, None),
     "text_questions": (text_questions, None),
-    "text_chunks": (text_chunks, None),
+    "text_chunks": (text_chunks, CHUNKS),
     "layout_lines": (layout_lines, LINES),
     "layout_questions": (layout_questions, None),
     "model_answers": (model_answers, None),
@@ -243,7 +260,7 @@ QUERIES = {
     "notation_counts": (notation_counts, None),
     "concept_names": (concept_names, f"WITH {CONCEPTS} SELECT * FROM concepts"),
     "built_knowledge": (built_knowledge, BUILT),
-    "classified_papers": (classified_papers, None),
+    "classified_papers": (classified_papers, ROUTED),
     "processed_papers": (processed_papers, None),
     "library_view": (library_view, VIEW),
 }

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from examlake.functions import text as T
 from examlake.operators import bank as ops
-from examlake.streaming.usage import daily_usage, latest_jobs
+from examlake.operators import usage
+from examlake.streaming.usage import daily_usage, latest_jobs, persist_stream
 
 
 def one(spark, column, **values):
@@ -48,7 +49,7 @@ def test_streams(spark, tmp_path):
     changes.write.parquet(str(tmp_path / "jobs"))
     q = latest_jobs(spark.readStream.schema(changes.schema).parquet(str(tmp_path / "jobs")), str(tmp_path / "store"), str(tmp_path / "cp"))
     q.awaitTermination()
-    assert {(r["job_id"], r["status"]) for r in spark.read.parquet(str(tmp_path / "store" / "v=0")).collect()} == {(1, "b"), (2, "a")}
+    assert {(r["job_id"], r["status"]) for r in spark.read.parquet(str(tmp_path / "store")).collect()} == {(1, "b"), (2, "a")}
 
 
 def test_every_vector_is_classified(spark, sf):
@@ -80,3 +81,49 @@ def test_marks_behind_long_texts(spark, tmp_path):
     got = {r["row_order"]: r["marks"] for r in q["marks_in_whole_texts"](spark, str(tmp_path)).collect()}
     assert got == {0: 4, 1: 2, 2: 5, 3: 10, 4: 17}
     assert q["marks_from_text"](spark, str(tmp_path)).where("row_order = 3").first()["marks"] == 10
+
+
+def test_expected_zero_is_unknown(spark):
+    papers = spark.createDataFrame([(1, 0), (2, None), (3, 2), (4, 3)], "paper_id long, expected_count int")
+    bank = spark.createDataFrame([(1, 1, "a", 1.0, 1), (2, 2, "b", 1.0, 1), (3, 1, "short", 9.0, 1), (3, 1, "the longer text", 2.0, 2), (3, 2, "x", None, 3)], "paper_id long, question_no int, question_text string, marks double, row_order long")
+    got = {r["paper_id"]: r for r in ops.quality_report(papers, bank).collect()}
+    assert (got[1]["missing"], got[1]["extra"], got[1]["status"]) == ("", "", "Needs Review") == (got[2]["missing"], got[2]["extra"], got[2]["status"])
+    assert (float(got[3]["marks_sum"]), got[3]["without_marks"], got[3]["duplicates"]) == (2.0, 1, "1")
+    assert got[3]["issues"] == ["repeated: 1", "1 without marks"] and got[4]["issues"] == ["no questions yet"]
+
+
+def test_tenants_stay_apart(spark):
+    papers = spark.createDataFrame([("a", 1, 1), ("b", 1, 2)], "owner_id string, paper_id long, expected_count int")
+    bank = spark.createDataFrame([("a", 1, 1, "q", 1.0, 1), ("b", 1, 1, "q", 1.0, 1), ("b", 1, 2, "q", 1.0, 2)], "owner_id string, paper_id long, question_no int, question_text string, marks double, row_order long")
+    assert {(r["owner_id"], r["extracted"], r["status"]) for r in ops.quality_report(papers, bank).collect()} == {("a", 1, "Passed"), ("b", 2, "Passed")}
+    pairs = ops.near_duplicate_pairs(bank.withColumn("question_text", F.lit("several longer words here")))
+    assert {(r["owner_id"], r["row_a"], r["row_b"], r["kind"]) for r in pairs.collect()} == {("b", 1, 2, "copy")}
+
+
+def test_price_overrides():
+    assert usage.price_overrides('{"m": {"inputPerMillion": 3}}') == {"m": (3.0, 0.0)}
+    assert usage.price_overrides("no json") == usage.price_overrides(None) == usage.price_overrides("[1]") == {}
+
+
+def test_costs(spark):
+    rows = [("gpt-4o", 420_000, 12_000), (" gpt-4o-mini-x ", 1_000_000, 1_000_000), ("my-embedding", 1_000_000, 5), ("other", 5, 5), ("m", 1, 0), (None, 1, 1)]
+    df = spark.createDataFrame(rows, "model string, p long, c long")
+    got = [float(r["x"]) for r in df.select(usage.cost_usd(F.col("model"), F.col("p"), F.col("c"), {"m": (3.0, 0.0)}).alias("x")).collect()]
+    assert got == [1.17, 0.75, 0.02, 0.0, 0.000003, 0.0]
+
+
+def test_questions_are_persisted_once(spark, tmp_path):
+    raw = [("a", 1, 0, "What is the speed of light in vacuum", "1"), ("a", 1, 1, "What is the speed of light in vacuum today", "1"), ("a", 1, 2, "short", "2"), ("b", 1, 0, "State the second law of motion", None)]
+    df = spark.createDataFrame(raw, "owner_id string, paper_id long, row_order long, question_text string, questionNo string")
+    df.write.parquet(str(tmp_path / "in"))
+    for checkpoint in ("one", "two"):  # the second reads everything anew
+        q = persist_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), str(tmp_path / "bank"), str(tmp_path / checkpoint))
+        q.awaitTermination()
+        got = {(r["owner_id"], r["paper_id"], r["question_no"], r["question_text"]) for r in spark.read.parquet(str(tmp_path / "bank")).collect()}
+        assert got == {("a", 1, 1, raw[1][3]), ("b", 1, 1, raw[3][3])}
+    assert spark.read.parquet(str(tmp_path / "bank")).count() == 2
+
+
+def test_last_years(spark):
+    got = one(spark, usage.last_years(3), n=1)
+    assert got == [datetime.date.today().year - k for k in range(3)]
