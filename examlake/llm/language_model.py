@@ -118,8 +118,9 @@ def build_vocabulary(counts: DataFrame, limit: int) -> Vocabulary:
     """counts: the written word counts. More than `limit` types stay in the table (see `scores`)."""
     n, v, h = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.countDistinct(F.xxhash64("word"))).first()
     shape = shape_for(v)
-    top = counts.orderBy(F.desc("c"), "word").limit(shape.leaves // 2).collect()
-    frequent = {r["word"].encode(): nth_leaf(i, shape) for i, r in enumerate(top)}
+    top = counts.orderBy(F.desc("c"), "word").limit(shape.leaves // 2).toArrow()
+    often = [w.encode() for w in top.column("word").to_pylist()]
+    frequent = {w: nth_leaf(i, shape) for i, w in enumerate(often)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mass, tails = np.zeros(shape.leaves, np.int64), {}
@@ -130,8 +131,8 @@ def build_vocabulary(counts: DataFrame, limit: int) -> Vocabulary:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(mass[some])], ["leaf", "mass"])
 
     leaf_mass = np.zeros(shape.leaves, np.int64)
-    for r in counts.mapInArrow(run, "leaf long, mass long").groupBy("leaf").agg(F.sum("mass").alias("mass")).collect():
-        leaf_mass[r["leaf"]] = r["mass"]
+    found = counts.mapInArrow(run, "leaf long, mass long").groupBy("leaf").agg(F.sum("mass").alias("mass")).toArrow()
+    leaf_mass[found.column("leaf").to_numpy()] = found.column("mass").to_numpy()
     whole = v <= limit and h == v  # equal digests of two words: keep to the table
     digests, values = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if whole and v:
@@ -139,7 +140,7 @@ def build_vocabulary(counts: DataFrame, limit: int) -> Vocabulary:
         digests, values = got.column("h").to_numpy().view(np.uint64), got.column("c").to_numpy()
         order = np.argsort(digests)
         digests, values = digests[order], values[order].astype(np.int64)
-    known = {} if whole else {r["word"].encode(): r["c"] for r in top}
+    known = {} if whole else dict(zip(often, top.column("c").to_pylist(), strict=True))
     return Vocabulary(int(n), int(v), frequent, leaf_mass, digests, values, whole, shape, known)
 
 
@@ -281,6 +282,7 @@ class Gradient:
         self.model, self.fresh = model, not any(w.any() for w in model.w)
         self.observed = [np.zeros_like(w) for w in model.w]
         self.expected = [np.zeros_like(w) for w in model.w]
+        self.met = np.zeros(len(model.w[0]), np.int64)  # uses of the class rows while fresh
 
     def add(self, leaf: np.ndarray, rows: list) -> None:
         for k, target in enumerate(self.model.targets(leaf)):
@@ -289,7 +291,9 @@ class Gradient:
             own = leaf // (self.model.shape.below(k) * width)
             for r in rows[k]:
                 np.add.at(self.observed[k].reshape(-1), r * width + target, np.float32(1))
-                if self.fresh:
+                if self.fresh and k == 0:  # one branch: every row expects the same shares
+                    self.met += np.bincount(r, minlength=len(self.met))
+                elif self.fresh:
                     pairs = np.sort((r * len(bias) + own).astype(np.uint32))
                     at = np.flatnonzero(np.diff(pairs, prepend=-1)) if len(pairs) else np.zeros(0, np.int64)
                     n = np.diff(at, append=len(pairs)).astype(np.float32)
@@ -298,8 +302,13 @@ class Gradient:
                 else:
                     add_rows(self.expected[k], probs, r)
 
+    def finish(self) -> None:
+        self.expected[0] += self.met[:, None] * np.exp(self.model.bias[0][0])
+        self.met[:] = 0
+
     def blocks(self, size: int = 512) -> Iterator[tuple[int, int, bytes, bytes]]:
         """(softmax, first row, observed, expected) of each block of rows that was used; see `packed`."""
+        self.finish()
         for k, (o, e) in enumerate(zip(self.observed, self.expected, strict=True)):
             for a in range(0, len(o), size):
                 if o[a : a + size].any():
