@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from examlake.llm.common import slices, text_or_empty
 
 SYMBOLS = "#*$%&|<>"
-#: Largest share of a text's characters that may lie inside duplicated n-grams (by n) or lines.
-NGRAM_LIMITS = {5: 0.25, 6: 0.24, 7: 0.23, 8: 0.22, 9: 0.21, 10: 0.20}
+#: Largest share of a text's characters that may lie inside duplicated n-grams (by n) or lines. Three words
+#: catch runs of one word or pair, which hold few different 5-word windows.
+NGRAM_LIMITS = {3: 0.30, 5: 0.25, 6: 0.24, 7: 0.23, 8: 0.22, 9: 0.21, 10: 0.20}
 LINE_LIMIT = 0.30
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, dup_line_share double, dup_ngram_share double, base_failed boolean, kept boolean"
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
