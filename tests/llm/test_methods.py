@@ -30,13 +30,13 @@ def test_retrieval_is_exhaustive_bm25(spark, sf):
     passages = [p for _, t in sorted(items) for p in decontaminate.passages_of(t)[2]]
     index = decontaminate.build_index(items)
     none = len(index.vocabulary)
-    words = np.array([index.vocabulary.get(decontaminate._EDGE.sub(b"", w), none) for ws in docs for w in ws])
+    words = np.array([index.vocabulary.get(w.strip(decontaminate.EDGE), none) for ws in docs for w in ws])
     for threshold in (0.2, 0.5):
         win, term, doc, start = decontaminate.windows_of(words, np.repeat(np.arange(len(docs)), [len(d) for d in docs]), none, 96, 48)
         got = {(w, p): s for w, p, s in decontaminate.retrieve(index, win, term, threshold, room=20_000)}
         want = {}
         for w, (d, s) in enumerate(zip(doc.tolist(), start.tolist(), strict=True)):
-            terms = {decontaminate._EDGE.sub(b"", x) for x in docs[d][s : s + 96]}
+            terms = {x.strip(decontaminate.EDGE) for x in docs[d][s : s + 96]}
             want |= {(w, p): x for p, x in enumerate(_plain_scores(passages, terms)) if x >= threshold}
         assert got.keys() == want.keys() and want
         assert all(abs(got[k] - x) < 1e-9 for k, x in want.items())
