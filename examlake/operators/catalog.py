@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from examlake.operators.scans import keys_of
+
 #: Fixed value: fewer English letters than this in a text mean that it can't be read as text.
 LEAST_LETTERS = 25
 
@@ -40,3 +44,69 @@ def failure_reasons(runs: DataFrame) -> DataFrame:
         .otherwise("The model returned no valid question.")
     )
     return runs.withColumn("reason", reason)
+
+
+def chapter_index(classes: DataFrame, units: DataFrame, chapters: DataFrame) -> DataFrame:
+    """owner_id (where all have it), class_id, unit_id, chapter_id, name, unit_name (`name — title`) of every chapter in its unit and class."""
+    owner = keys_of(classes, units, chapters, keys=())
+    c = classes.select(*owner, F.col("id").alias("class_id"))
+    u = units.select(*owner, "class_id", F.col("id").alias("unit_id"), F.concat_ws(" — ", "name", F.nullif(F.col("title"), F.lit(""))).alias("unit_name"))
+    inside = u.join(c, [*owner, "class_id"])
+    return chapters.select(*owner, "unit_id", F.col("id").alias("chapter_id"), "name").join(inside, [*owner, "unit_id"]).select(*owner, "class_id", "unit_id", "chapter_id", "name", "unit_name")
+
+
+def attach_files(files: DataFrame, chapters: DataFrame, order: list) -> DataFrame:
+    """files whose class, unit and chapter are all one chapter's; of rows with one file_id the first by `order`."""
+    owner = keys_of(files, chapters, keys=())
+    keys = [*owner, "class_id", "unit_id", "chapter_id"]
+    first = Window.partitionBy(*owner, "file_id").orderBy(*order)
+    fitting = files.join(chapters.select(*keys).distinct(), keys, "left_semi")
+    return fitting.withColumn("__rn", F.row_number().over(first)).where("__rn = 1").drop("__rn")
+
+
+def merge_remote(local: DataFrame, remote: DataFrame, keys: list[str], keep_local: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of both by key: the remote value where there is one, else the local; in `keep_local` columns the other way round."""
+    columns = [c for c in dict.fromkeys([*local.columns, *remote.columns]) if c not in keys]
+    a = local.select(*keys, *[F.col(c).alias(f"__l_{c}") for c in columns if c in local.columns])
+    b = remote.select(*keys, *[F.col(c).alias(f"__r_{c}") for c in columns if c in remote.columns])
+
+    def value(c: str) -> Column:
+        sides = [f"__r_{c}"] * (c in remote.columns) + [f"__l_{c}"] * (c in local.columns)
+        return F.coalesce(*(reversed(sides) if c in keep_local else sides)).alias(c)
+
+    return a.join(b, keys, "full_outer").select(*keys, *[value(c) for c in columns])
+
+
+def with_previous_page(pages: DataFrame) -> DataFrame:
+    """pages (paper keys, page_no, text) with previous_text, the page before it; null for the first."""
+    w = Window.partitionBy(*keys_of(pages)).orderBy("page_no")
+    return pages.withColumn("previous_text", F.lag("text").over(w))
+
+
+def with_batch_no(rows: DataFrame, group: list[str], order: list, size: int) -> DataFrame:
+    """rows with batch_no from 0: `size` rows of a group each, in `order`."""
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1
+    return rows.withColumn("batch_no", F.floor(place / size).cast("int"))
+
+
+def storage_path(name: Column, *folders: Column, id_: Column) -> Column:
+    """folder/.../id-name: the name's unsafe signs as underscores, 80 characters of it."""
+    safe = F.substring(F.regexp_replace(name, "[^a-zA-Z0-9._-]+", "_"), 1, 80)
+    return F.concat_ws("/", *folders, F.concat(id_.cast("string"), F.lit("-"), safe))
+
+
+def path_owner(path: Column) -> Column:
+    """The first folder of a stored path: whoever owns it."""
+    return F.split_part(path, F.lit("/"), F.lit(1))
+
+
+def owned_files(files: DataFrame) -> DataFrame:
+    """files whose path lies in their owner's folder."""
+    return files.where(path_owner(F.col("path")) == F.col("owner_id"))
+
+
+def replace_all(base: DataFrame, parents: list[tuple[DataFrame, DataFrame]], on: list[str]) -> DataFrame:
+    """base after several replacements (parents, their new children) in turn: a parent's children are all replaced, none stays."""
+    from examlake.operators.bank import replace_children
+
+    return reduce(lambda rows, x: replace_children(rows, x[0], x[1], on), parents, base)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from examlake.functions import text as T
 from examlake.operators import bank as ops
-from examlake.operators import usage
+from examlake.operators import catalog, usage
 from examlake.sources import tables as src
 from examlake.streaming.usage import daily_usage
 
@@ -42,8 +42,9 @@ FROM x LEFT JOIN runs m ON m.paper_id = x.paper_id AND m.kind = 'm' LEFT JOIN ru
 
 def catalog_index(spark, d):
     r, n, c = (src.read(spark, d, t) for t in ("region", "nation", "customer"))
-    j = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))
-    return j.select(F.col("c_custkey").alias("chapter_id"), F.col("n_nationkey").alias("unit_id"), F.col("c_name").alias("name"), F.concat_ws(" — ", "r_name", "n_name").alias("unit_name"))
+    units = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("class_id"), F.col("r_name").alias("name"), F.col("n_name").alias("title"))
+    index = catalog.chapter_index(r.select(F.col("r_regionkey").alias("id")), units, c.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("unit_id"), F.col("c_name").alias("name")))
+    return index.select("chapter_id", "unit_id", "name", "unit_name")
 
 
 def bank_search(spark, d):
@@ -176,8 +177,52 @@ def attach_files(spark, d):
 
 def merged_catalog(spark, d):
     local = src.read(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")).where("id < 15")
-    remote = src.read(spark, d, "nation").where("n_nationkey > 8").select(F.col("n_nationkey").alias("id"), F.lower("n_name").alias("remote_name"))
-    return local.join(remote, "id", "full_outer").select("id", F.coalesce("remote_name", "name").alias("name"))
+    remote = src.read(spark, d, "nation").where("n_nationkey > 8").select(F.col("n_nationkey").alias("id"), F.lower("n_name").alias("name"))
+    return catalog.merge_remote(local, remote, ["id"])
+
+
+def merged_papers(spark, d):
+    """Papers of a device and of the server: the server's fields win, names given on the device stay."""
+    p = src.papers(spark, d)
+    name = F.concat(F.lit("Paper "), F.col("paper_id").cast("string"))
+    local = p.where("paper_id % 3 < 2").select("owner_id", "paper_id", F.lit(1990).alias("year"), F.when(F.col("paper_id") % 5 > 0, name).alias("name"), F.lit("here").alias("device"))
+    remote = p.where("paper_id % 3 > 0").select("owner_id", "paper_id", F.when(F.col("paper_id") % 7 > 0, F.col("year")).alias("year"), F.lower(name).alias("name"))
+    return catalog.merge_remote(local, remote, ["owner_id", "paper_id"], keep_local=("name",))
+
+
+MERGED_PAPERS = f"""WITH {PAPERS} SELECT owner_id, paper_id, CASE WHEN paper_id % 3 > 0 AND paper_id % 7 > 0 THEN year WHEN paper_id % 3 < 2 THEN 1990 END::INT AS year,
+ CASE WHEN paper_id % 3 < 2 AND paper_id % 5 > 0 THEN 'Paper ' || paper_id WHEN paper_id % 3 > 0 THEN 'paper ' || paper_id END AS name, CASE WHEN paper_id % 3 < 2 THEN 'here' END AS device FROM papers"""
+
+
+def attached_files(spark, d):
+    """Materials at chapters that match in class, unit and chapter; a file listed twice is attached once."""
+    m = src.materials(spark, d).select((F.col("material_id") % 400).alias("file_id"), "class_id", "unit_id", "chapter_id", F.col("material_id").alias("row"))
+    chapters = src.read(spark, d, "part").where("p_size % 3 > 0").select((F.col("p_size") % 4).alias("class_id"), F.when(F.col("p_size") % 5 > 0, F.col("p_size") % 10).otherwise(99).alias("unit_id"), F.col("p_size").alias("chapter_id"))
+    return catalog.attach_files(m, chapters, ["row"])
+
+
+ATTACHED = "SELECT p_partkey % 400 AS file_id, p_size % 4 AS class_id, p_size % 10 AS unit_id, p_size AS chapter_id, p_partkey AS row FROM part WHERE p_size % 3 > 0 AND p_size % 5 > 0 QUALIFY row_number() OVER (PARTITION BY p_partkey % 400 ORDER BY p_partkey) = 1"
+
+
+def page_contexts(spark, d):
+    """Pages with the page before, in batches of three a paper."""
+    c = src.read(spark, d, "conversations").select(F.col("conv_id").alias("paper_id"), F.col("turn").alias("page_no"), "text")
+    out = catalog.with_batch_no(catalog.with_previous_page(c), ["paper_id"], ["page_no"], 3)
+    return out.select("paper_id", "page_no", F.md5("previous_text").alias("previous"), "batch_no")
+
+
+CONTEXTS = "SELECT conv_id AS paper_id, turn AS page_no, md5(lag(text) OVER w) AS previous, ((row_number() OVER w - 1) // 3)::INT AS batch_no FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)"
+
+
+def replaced_children(spark, d):
+    """Rows of every fourth paper and of a new one put in place of what those papers had; one paper loses all."""
+    b = src.bank(spark, d).select("paper_id", "question_no", "marks")
+    p = src.papers(spark, d).where("paper_id % 4 = 0").select("paper_id")
+    new = p.where("paper_id > 0").select("paper_id", F.lit(9).alias("question_no"), F.lit(5).cast("decimal(10,2)").alias("marks"))
+    return catalog.replace_all(b, [(p, new), (spark.range(1).select(F.lit(1).cast("long").alias("paper_id")), b.limit(0))], ["paper_id"])
+
+
+CHILDREN = f"WITH {BANK} SELECT paper_id, question_no, marks FROM bank WHERE paper_id <> 1 AND NOT (paper_id % 4 = 0 AND paper_id IN (SELECT o_orderkey FROM orders)) UNION ALL SELECT o_orderkey, 9, 5 FROM orders WHERE o_orderkey % 4 = 0 AND o_orderkey > 0"
 
 
 def set_operations(spark, d):
@@ -281,7 +326,19 @@ SELECT paper_id, concat_ws(',', CASE WHEN a.extracted <> b.extracted THEN 'extra
 
 def storage_paths(spark, d):
     p = src.read(spark, d, "part")
-    return p.select("p_partkey", F.concat_ws("/", "p_brand", F.concat(F.col("p_partkey").cast("string"), F.lit("-"), F.substring(F.regexp_replace("p_name", "[^a-zA-Z0-9._-]+", "_"), 1, 80))).alias("path"))
+    return p.select("p_partkey", catalog.storage_path(F.col("p_name"), F.col("p_brand"), id_=F.col("p_partkey")).alias("path"))
+
+
+def owned_paths(spark, d):
+    """Stored paths of all owners, those outside their owner's folder left out."""
+    p = src.read(spark, d, "part")
+    owner = F.concat(F.lit("u"), (F.col("p_partkey") % 7).cast("string"))
+    folder = F.when(F.col("p_partkey") % 5 == 0, "u0").otherwise(owner)
+    path = catalog.storage_path(F.concat("p_name", F.lit(" (é).pdf")), folder, (F.col("p_size") % 4).cast("string"), (F.col("p_size") % 10).cast("string"), F.col("p_size").cast("string"), id_=F.col("p_partkey"))
+    return catalog.owned_files(p.select(owner.alias("owner_id"), path.alias("path")))
+
+
+OWNED = "SELECT 'u' || (p_partkey % 7) AS owner_id, 'u' || (p_partkey % 7) || '/' || (p_size % 4) || '/' || (p_size % 10) || '/' || p_size || '/' || p_partkey || '-' || substr(regexp_replace(p_name || ' (é).pdf', '[^a-zA-Z0-9._-]+', '_', 'g'), 1, 80) AS path FROM part WHERE p_partkey % 5 > 0 OR p_partkey % 7 = 0"
 
 
 _CLEAN = "list_filter(list_transform(string_split(regexp_replace(regexp_replace(question_text, '[\\x{0900}-\\x{097F}]+', ' ', 'g'), '[§$©¶|~<>^&•`]', ' ', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'))), lambda x: x <> '')"
@@ -332,6 +389,11 @@ QUERIES = {
     "running_positions": (running_positions, "SELECT conv_id, turn, (row_number() OVER w - 1)::INT AS position, length(lag(text) OVER w)::INT AS previous_chars, ((row_number() OVER w - 1) // 3)::INT AS batch, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4 AS in_last_four FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)"),
     "attach_files": (attach_files, f"WITH {PAPERS}, {BANK} SELECT material_id, chapter_id FROM bank JOIN papers USING (paper_id) WHERE class_id = 'F' QUALIFY row_number() OVER (PARTITION BY material_id ORDER BY chapter_id, paper_id) = 1"),
     "merged_catalog": (merged_catalog, "SELECT n_nationkey AS id, CASE WHEN n_nationkey > 8 THEN lower(n_name) ELSE n_name END AS name FROM nation"),
+    "merged_papers": (merged_papers, MERGED_PAPERS),
+    "attached_files": (attached_files, ATTACHED),
+    "page_contexts": (page_contexts, CONTEXTS),
+    "replaced_children": (replaced_children, CHILDREN),
+    "owned_paths": (owned_paths, OWNED),
     "set_operations": (set_operations, f"WITH {BANK}, a AS (SELECT DISTINCT chapter_id FROM bank WHERE marks > 40), b AS (SELECT DISTINCT chapter_id FROM bank WHERE marks < 5) SELECT chapter_id, CASE WHEN chapter_id IN (SELECT chapter_id FROM b) THEN 'both' ELSE 'first' END AS kind FROM a"),
     "event_json": (event_json, "SELECT event_id, coalesce(json_valid(props), false) AS valid, length(props)::INT AS n FROM events"),
     "numbered_split": (numbered_split, "SELECT conv_id, (turn + 1)::INT AS question_no, length(trim(replace(text, chr(10), ' ')))::INT AS n FROM conversations WHERE length(trim(replace(text, chr(10), ' '))) > 8"),
