@@ -42,7 +42,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: Classifiers, components and tokens can't be said in SQL. No test runs run() yet (see README).
+#: Classifiers, components and tokens can't be said in SQL; tests/llm/test_pipeline.py holds each stage, and run(), against plain recomputations.
 ORACLE_SQL = None
 
 
