@@ -94,11 +94,11 @@ def test_planted_passages_are_found_whole(spark):
 
 
 def test_spans_against_a_plain_search(spark):
-    """Every span stands in an earlier document byte for byte, or in the same one further up."""
+    """Every span stands in an earlier document byte for byte, or in the same one further up; whole words only."""
     rng = random.Random(5)
     base = [_words(rng, 90) for _ in range(6)]
     rows = [(i, "\n".join(rng.choice(base) if rng.random() < 0.4 else _words(rng, 40) for _ in range(4))) for i in range(60)]
-    rows += [(100, "\n".join([base[0], base[0]])), (101, base[1] * 2)]
+    rows += [(100, "\n".join([base[0], base[0]])), (101, f"{base[1]} {base[1]}")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     texts = dict(rows)
     spans = substring.repeated_spans(docs).collect()
