@@ -24,6 +24,19 @@ _UNUSUAL = re.compile(r"[^\t\n\r\x20-\x7e\u00a0-\u012f\u0131-\u024f]|<\|")
 _CLOSING = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+#: What a tokenizer must do for words' ids to be cached: fold case, part words at white space, letters, digits and signs, mark words' ends.
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def caches_words(spec: dict) -> bool:
+    """True for a tokenizer (its JSON) by whose rules `WordCache` may look words up; texts for any other are encoded whole."""
+    steps = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    splits = [p.get("pattern", {}).get("Regex") for p in parts if p.get("type") == "Split"]
+    return steps == _NORMALIZERS and splits == [_WORDS] and spec["model"].get("end_of_word_suffix") == "</w>"
+
+
 class _Ragged:
     """Strings to runs of ids, the runs end to end in one array."""
 
@@ -60,6 +73,9 @@ class WordCache:
 
         self.whole, self.most = Tokenizer.from_file(path), most
         spec = json.loads(self.whole.to_str())
+        self.by_words = caches_words(spec)
+        if not self.by_words:
+            return
         bare = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
         spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, bare]}}
         self.letters = Tokenizer.from_str(json.dumps(spec))
@@ -99,6 +115,8 @@ class WordCache:
         self.words.add(new, ids, np.diff(ends[np.concatenate(([0], last))]))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.by_words:
+            return [np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4") for t in texts]
         usual = [i for i, t in enumerate(texts) if not _UNUSUAL.search(t)]
         words = [texts[i].lower().split() for i in usual]
         flat = [w for ws in words for w in ws]

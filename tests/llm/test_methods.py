@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from examlake.llm import decontaminate, quality, repetition, substring, toxicity
+from examlake.llm import decontaminate, packing, quality, repetition, substring, toxicity
 from examlake.llm.common import table
 
 
@@ -163,3 +163,14 @@ def test_verdict_follows_the_limits(spark, sf):
         assert rows[r["doc_id"]]["kept"] <= kept, r["doc_id"]
         rejected += not rows[r["doc_id"]]["kept"]
     assert rejected
+
+
+def test_other_tokenizers_encode_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = ["Hello  World's café, 12!", "", "a</s>b <|endoftext|>", "ÀÉ\u0130 x" * 3]
+    for name, cached in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        cache, plain = packing.WordCache(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
+        assert cache.by_words is cached
+        assert [x.tolist() for x in cache.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
