@@ -92,8 +92,8 @@ def chunks(docs: DataFrame, bits: int = 5, least: int = 24, most: int = 192) ->
     return named.select(F.col("doc_id").cast("long"), row_key().alias("row_key"), text_or_empty().alias("text")).mapInArrow(run, CHUNKS)
 
 
-def repeated_runs(docs: DataFrame, bits: int = 5, least: int = 24, most: int = 192) -> DataFrame:
-    """Runs of neighbouring chunks that stand in an earlier place too (by doc_id, row_key and start).
+def repeated_runs(docs: DataFrame, bits: int = 5, least: int = 24, most: int = 192, within: bool = False) -> DataFrame:
+    """Runs of neighbouring chunks that stand side by side in an earlier document too (by doc_id, row_key), or `within` the same one further up.
 
     doc_id, row_key, run, start, stop, n_chunks, first_doc_id; the earliest places of the first chunk
     (left_key, left_at: where it starts) and of the last one (right_key, right_at: where it ends).
@@ -101,14 +101,15 @@ def repeated_runs(docs: DataFrame, bits: int = 5, least: int = 24, most: int = 1
     pieces = chunks(docs, bits, least, most)
     place = F.struct("doc_id", "row_key", "start", "stop")
     shared = pieces.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.max(F.struct("doc_id", "row_key", "start")).alias("last"), F.count(F.lit(1)).alias("n"))
-    earlier = F.struct("first.doc_id", "first.row_key", "first.start")
-    shared = materialize(shared.where(earlier < F.col("last")).select("hi", "lo", "n", F.col("first.doc_id").alias("first_doc_id"), F.col("first.row_key").alias("first_key"), F.col("first.start").alias("first_start"), F.col("first.stop").alias("first_stop")), "shared_chunks")
-    again = join_by_key(pieces, shared, ["hi", "lo"]).drop("hi", "lo").where(F.struct("first_doc_id", "first_key", "first_start") < F.struct("doc_id", "row_key", "start"))
+    at = ["doc_id", "row_key", "start"] if within else ["doc_id", "row_key"]
+    shared = materialize(shared.where(F.struct(*[f"first.{c}" for c in at]) < F.struct(*[f"last.{c}" for c in at])).select("hi", "lo", "n", F.col("first.doc_id").alias("first_doc_id"), F.col("first.row_key").alias("first_key"), F.col("first.start").alias("first_start"), F.col("first.stop").alias("first_stop")), "shared_chunks")
+    again = join_by_key(pieces, shared, ["hi", "lo"]).drop("hi", "lo").where(F.struct("first_doc_id", "first_key", *["first_start"] * within) < F.struct(*at))
     # a document's chunks meet once; repeated rows are one document
     again = again.repartition("row_key").dropDuplicates(["row_key", "start"])
     order = Window.partitionBy("row_key").orderBy("start")
-    fresh = F.coalesce((F.lag("stop").over(order) < F.col("start")).cast("int"), F.lit(1))
-    again = again.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order)).drop("fresh")
+    shift = F.col("start") - F.col("first_start")
+    goes_on = (F.lag("stop").over(order) == F.col("start")) & (F.lag("first_key").over(order) == F.col("first_key")) & (F.lag(shift).over(order) == shift)
+    again = again.withColumn("fresh", F.coalesce((~goes_on).cast("int"), F.lit(1))).withColumn("run", F.sum("fresh").over(order)).drop("fresh")
     head, tail = F.min(F.struct("start", "first_key", F.col("first_start").alias("at"))), F.max(F.struct("stop", "first_key", F.col("first_stop").alias("at")))
     runs = again.groupBy("row_key", "run").agg(F.min("doc_id").alias("doc_id"), head.alias("head"), tail.alias("tail"), F.count(F.lit(1)).alias("n_chunks"), F.min("first_doc_id").alias("first_doc_id"))
     return runs.select("doc_id", "row_key", "run", "head.start", "tail.stop", "n_chunks", "first_doc_id", F.col("head.first_key").alias("left_key"), F.col("head.at").alias("left_at"), F.col("tail.first_key").alias("right_key"), F.col("tail.at").alias("right_at"))
@@ -155,22 +156,22 @@ def shared_words(own: bytes, other: bytes, after: bool, reach: int) -> int:
     return int(spaces[-1]) + 1 if len(spaces) else 0
 
 
-def repeated_spans(docs: DataFrame, min_bytes: int = 200, bits: int = 5, least: int = 24, most: int = 192) -> DataFrame:
-    """Byte ranges that repeat a passage of an earlier document, or of the same one further up.
+def repeated_spans(docs: DataFrame, min_bytes: int = 200, bits: int = 5, least: int = 24, most: int = 192, within: bool = False) -> DataFrame:
+    """Byte ranges that repeat a passage of an earlier document, or, if `within`, of the same one further up.
 
     doc_id, row_key, start, n_bytes, n_chunks, first_doc_id (the smallest doc_id that holds one of
     its chunks). Chunks are grouped by digest with map-side combining; of a digest's places the
-    first by doc_id, row_key and position keeps it. Neighbouring repeated chunks join to a run, and
-    each run is extended on both sides, byte by byte against the first place of its outer chunk and
-    as far as whole words agree (the longest chunk's length), since the chunk in progress at a
-    passage's edge never matches. Runs that meet are one span; spans under `min_bytes` are left
-    alone. Frequent digests are broadcast (see `join_by_key`), so a passage in a third of all rows
+    first by doc_id, row_key and position keeps it. Repeated chunks that are neighbours in both places
+    join to a run, and each run is extended on both sides, byte by byte against that place and as far
+    as whole words agree (the longest chunk's length), since the chunk in progress at a passage's edge
+    never matches. Runs under `min_bytes` are left alone then; of the others, those that meet are one
+    span. Frequent digests are broadcast (see `join_by_key`), so a passage in a third of all rows
     is spread over tasks. row_key tells different texts under one doc_id apart; repeated rows are
     one document. Null and empty texts have no chunks, rows with a null doc_id are not read. An
     empty table gives no rows.
     """
     reach = most + 64
-    runs = materialize(repeated_runs(docs, bits, least, most), "repeated_runs")
+    runs = materialize(repeated_runs(docs, bits, least, most, within), "repeated_runs")
     left = runs.select("row_key", "run", F.lit(0).alias("side"), (F.col("start") * 2).alias("code"), F.col("left_key").alias("first_key"), (F.col("left_at") * 2).alias("first_code"))
     right = runs.select("row_key", "run", F.lit(1).alias("side"), (F.col("stop") * 2 + 1).alias("code"), F.col("right_key").alias("first_key"), (F.col("right_at") * 2 + 1).alias("first_code"))
     edges = left.unionByName(right)
@@ -189,11 +190,12 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 200, bits: int = 5, least:
     grown = both.select("row_key", "run", "side", "around", "other").mapInArrow(extend, "row_key long, run long, side int, more long")
     grown = grown.groupBy("row_key", "run").agg(F.sum(F.when(F.col("side") == 0, F.col("more"))).alias("before"), F.sum(F.when(F.col("side") == 1, F.col("more"))).alias("after"))
     spans = runs.join(grown, ["row_key", "run"]).select("doc_id", "row_key", (F.col("start") - F.col("before")).alias("start"), (F.col("stop") + F.col("after")).alias("stop"), "n_chunks", "first_doc_id")
+    spans = spans.where(F.col("stop") - F.col("start") >= min_bytes)
     order = Window.partitionBy("row_key").orderBy("start", "stop")
     reached = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
     spans = spans.withColumn("fresh", F.coalesce((reached < F.col("start")).cast("int"), F.lit(1))).withColumn("span", F.sum("fresh").over(order))
     spans = spans.groupBy("row_key", "span").agg(F.min("doc_id").alias("doc_id"), F.min("start").alias("start"), (F.max("stop") - F.min("start")).alias("n_bytes"), F.sum("n_chunks").alias("n_chunks"), F.min("first_doc_id").alias("first_doc_id"))
-    return spans.where(F.col("n_bytes") >= min_bytes).select("doc_id", "row_key", "start", "n_bytes", "n_chunks", "first_doc_id")
+    return spans.select("doc_id", "row_key", "start", "n_bytes", "n_chunks", "first_doc_id")
 
 
 @F.pandas_udf(StringType())

@@ -101,7 +101,7 @@ def test_spans_against_a_plain_search(spark):
     rows += [(100, "\n".join([base[0], base[0]])), (101, f"{base[1]} {base[1]}")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     texts = dict(rows)
-    spans = substring.repeated_spans(docs).collect()
+    spans = substring.repeated_spans(docs, within=True).collect()
     cut = {}
     for r in spans:
         cut.setdefault(r["doc_id"], []).append((r["start"], r["start"] + r["n_bytes"]))
