@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from examlake.llm import chat, decontaminate, extraction, language_model, packing, quality, repetition, simhash, substring, toxicity
-from examlake.llm.common import table
+from examlake.llm import chat, decontaminate, extraction, language_model, mixing, packing, quality, repair, repetition, simhash, substring, toxicity, trie
+from examlake.llm.common import materialize, table
 
 SIZE = 4096
 
@@ -67,7 +67,32 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(table(spark, sf_dir, "documents"))
 
 
-OPERATORS = (op1_substring_dedup, op2_chat_formatting, op3_benchmark_decontamination, op4_toxicity, op5_html_extraction, op6_lm_scoring, op7_quality_classifier, op8_best_fit_packing, op9_simhash_near_dedup, op10_quality_rules)
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations")
+    report, turns = repair.repair(repair.damaged(said))
+    digests = repair.turn_digests(turns).select("conv_id", F.col("sha256").alias("repaired_sha256"))
+    numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    every = said.select("conv_id").distinct()
+    same = F.col("conv_id").eqNullSafe(F.col("c"))
+    out = every.join(report.withColumnRenamed("conv_id", "c"), same, "left").drop("c").join(digests.withColumnRenamed("conv_id", "c"), same, "left").drop("c")
+    filled = [F.coalesce(k, F.lit(0)).cast("long").alias(k) for k in numbers]
+    return out.select("conv_id", *filled, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = mixing.sized(table(spark, sf_dir, "documents")).select("doc_id", "source", "size")
+    return mixing.with_copies(materialize(sized, "sizes")).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = materialize(trie.numbered(table(spark, sf_dir, "conversations")), "turns")
+    nodes, ends = trie.prefix_trie(*trie.rebuilt(turns))
+    out = nodes.join(ends, "node", "left")
+    sha = F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256")
+    return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", sha)
+
+
+OPERATORS = (op1_substring_dedup, op2_chat_formatting, op3_benchmark_decontamination, op4_toxicity, op5_html_extraction, op6_lm_scoring, op7_quality_classifier, op8_best_fit_packing, op9_simhash_near_dedup, op10_quality_rules, op11_conversation_repair, op12_source_mixing, op13_prefix_trie)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
