@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 MOJIBAKE = "[§$©¶|~<>^&•`]"
 DISALLOWED = r"[\x{0900}-\x{097F}§©¶]"
 NOTATION = r"[^\x20-\x7E\n\r\t\x{0900}-\x{097F}§©¶]"
+ANY_SPACE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 SPACE = r"[\s ﻿]"
 
 
@@ -26,7 +27,7 @@ def once(value: Column, use) -> Column:
 def english_only(text: Column) -> Column:
     """Devanagari and misread glyphs become spaces; lines are squeezed, trimmed, and dropped when blank."""
     clean = F.regexp_replace(F.regexp_replace(text, r"[ऀ-ॿ]+", " "), MOJIBAKE, " ")
-    lines = F.transform(F.split(clean, "\n"), lambda x: F.trim(F.regexp_replace(x, "[ \t]+", " ")))
+    lines = F.transform(F.split(clean, "\n"), lambda x: F.regexp_replace(F.regexp_replace(x, f"^{ANY_SPACE}+|{ANY_SPACE}+$", ""), "[ \t]+", " "))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
@@ -79,9 +80,9 @@ def accepts_plain_text(text: Column) -> Column:
 
 
 def marks_in_text(text: Column) -> Column:
-    """Marks written as [n marks], (n marks), a closing 'n marks', or [n]."""
-    found = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in (r"(?i)\[(\d{1,2})\s*marks?\]", r"(?i)\((\d{1,2})\s*marks?\)", r"(?i)(\d{1,2})\s*marks?\s*$", r"\[(\d{1,2})\]")]
-    return F.coalesce(*found).cast("int")
+    """Marks, a double, written as [n marks], (n marks), 'n marks' at a line's end, or [n]; fractions inside brackets only."""
+    found = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in MARKS]
+    return F.coalesce(*found).cast("double")
 
 
 def stated_total(text: Column, patterns: list[str]) -> Column:
@@ -96,10 +97,24 @@ def default_marks(no: Column) -> Column:
 
 
 def split_numbered(no: Column, text: Column) -> Column:
-    """array<struct<no, text>>: a text cut before line-start numbers `n.` followed by a capital letter; the head keeps `no`."""
-    parts = F.split(text, r"\n(?=\d{1,2}\. \p{Lu})")
-    heads = F.transform(parts, lambda x, i: F.struct(F.when(i == 0, no).otherwise(F.nullif(F.regexp_extract(x, r"^(\d{1,2})\. ", 1), F.lit("")).cast("int")).alias("no"), F.when(i == 0, F.trim(x)).otherwise(F.trim(F.regexp_replace(x, r"^\d{1,2}\. ", ""))).alias("text")))
-    return F.filter(heads, lambda x: F.length(x["text"]) > 8)
+    """array<struct<no, text>>: a text cut before line-start numbers `n.`, white space, and A-Z, a quote or a bracket.
+
+    Parts lose their number; the head has `no` and loses a number too. Without a cut the text stays as it is.
+    """
+    def part(x: Column, i: Column) -> Column:
+        own = F.nullif(F.regexp_extract(x, r"^(\d{1,2})\.", 1), F.lit("")).cast("int")
+        return F.struct(F.when(i == 0, no).otherwise(own).alias("no"), without_number(x).alias("text"))
+
+    def cut(parts: Column) -> Column:
+        whole = F.array(F.struct(no.alias("no"), text.alias("text")))
+        return F.when(F.size(parts) > 1, F.filter(F.transform(parts, part), lambda x: F.length(x["text"]) > 8)).otherwise(whole)
+
+    return once(F.split(strip(text), r"\n(?=\d{1,2}\.\s+[A-Z\"(])"), cut)
+
+
+def without_number(text: Column) -> Column:
+    """text without white space around it and without a leading `n.`; a bare number stays."""
+    return strip(F.regexp_replace(strip(text), r"^\d{1,2}\.\s+", ""))
 
 
 def repair_escapes(text: Column) -> Column:
@@ -108,12 +123,20 @@ def repair_escapes(text: Column) -> Column:
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """x held to low..high; null stays null."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def percent(x: Column) -> Column:
-    """0 to 100, halves rounded up."""
-    return F.floor(clamp(x.cast("double"), 0, 100) + 0.5).cast("int")
+    """0 to 100, halves rounded up; null counts as 0, text that is no number and NaN give null."""
+    n = x.try_cast("double")
+    held = F.when(~F.isnan(n), F.floor(clamp(n, 0, 100) + 0.5).cast("int"))
+    return F.when(x.isNull(), 0).otherwise(held)
+
+
+def review_tier(confidence: Column) -> Column:
+    """high, medium or low, by the bounds of `review_status`."""
+    return F.when(F.isnan(confidence), "low").when(confidence >= 0.85, "high").when(confidence >= 0.6, "medium").otherwise("low")
 
 
 def review_status(confidence: Column) -> Column:
@@ -179,6 +202,9 @@ MISREAD_FRACTIONS = [
 ]
 PLAIN_FRACTIONS = [(r"(?<!\\frac\{)([−-]?[0-9]?R)/\(μ[−-]1\)", r"\\frac{$1}{μ−1}")]
 
+#: How marks are written, in this order.
+MARKS = (r"(?i)\[(\d+(?:\.\d+)?)\s*marks?\]", r"(?i)\((\d+(?:\.\d+)?)\s*marks?\)", r"(?im)(\d+)\s*marks?\s*$", r"\[(\d+(?:\.\d+)?)\]")
+
 #: How section rules are written, starts of questions, of sub-parts and of their later parts.
 SECTION_RULES = (
     r"(?is)Section\s+([A-E])\s*[–—-].*?Questions?\s*(?:no\.?\s*)?(\d{1,2})\s*(?:to|-)\s*(\d{1,2}).*?carries?\s*(\d{1,2})\s*marks?",

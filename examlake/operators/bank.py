@@ -149,36 +149,6 @@ def near_duplicate_pairs(rows: DataFrame, threshold: float = 0.72, most: int = 1
     return like.unionByName(copies)
 
 
-def classify_vector(questions: DataFrame, profiles: DataFrame, k: int = 3, temperature: float = 0.06, concept_rows: DataFrame | None = None) -> DataFrame:
-    """Top-k chapters of each question by cosine, their softmax, and a review status.
-
-    A question meets the chapters of its owner and class, where both tables have owner_id or class_id.
-    questions: question_id, embedding; profiles: chapter_id, title_embedding, summary_embedding,
-    concepts (array of vectors), or concept_rows (chapter_id, concept) where they are many: these are
-    joined in blocks of at most 1,024 vectors, and a chapter's best block counts. Nothing is broadcast
-    that exceeds Spark's own threshold.
-    """
-    if concept_rows is not None:
-        block = F.floor(F.monotonically_increasing_id() / 1024).alias("block")
-        blocks = concept_rows.select(F.col("chapter_id").alias("of_chapter"), "concept", block).groupBy("of_chapter", "block").agg(F.collect_list("concept").alias("concepts"))
-        profiles = profiles.join(blocks, F.col("chapter_id") == F.col("of_chapter"), "left").drop("of_chapter", "block")
-    title, summary = T.cosine(F.col("embedding"), F.col("title_embedding")), T.cosine(F.col("embedding"), F.col("summary_embedding"))
-    concept = F.array_max(F.transform("concepts", lambda c: T.cosine(F.col("embedding"), c)))
-    scope = [c for c in ("owner_id", "class_id") if c in questions.columns and c in profiles.columns]
-    met = questions.join(profiles, scope) if scope else questions.crossJoin(profiles)
-    scored = met.select("question_id", "chapter_id", title.alias("t"), summary.alias("s"), concept.alias("c"))
-    if concept_rows is not None:
-        scored = scored.groupBy("question_id", "chapter_id").agg(*[F.max(x).alias(x) for x in "tsc"])
-    with_both = F.greatest(0.15 * F.col("t") + 0.35 * F.col("s") + 0.5 * F.col("c"), 0.85 * F.col("c") + 0.15 * F.col("t"))
-    scored = scored.withColumn("score", F.when(F.col("c").isNull(), 0.15 / 0.5 * F.col("t") + 0.35 / 0.5 * F.col("s")).otherwise(with_both))
-    w = Window.partitionBy("question_id").orderBy(F.desc("score"), "chapter_id")
-    top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    whole = Window.partitionBy("question_id")
-    e = F.exp((F.col("score") - F.max("score").over(whole)) / temperature)
-    top = top.withColumn("e", e).withColumn("confidence", F.col("e") / F.sum("e").over(whole))
-    return top.select("question_id", "chapter_id", "rank", "confidence", T.review_status(F.col("confidence")).alias("review_status"))
-
-
 def compare_reports(a: DataFrame, b: DataFrame) -> DataFrame:
     """Full outer difference of two report sets: which fields differ, and whether the run is acceptable.
 

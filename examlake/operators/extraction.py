@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from examlake.functions import text as T
-from examlake.operators.folds import Fold, fold_sorted
+from examlake.operators.folds import Fold, fold_sorted, typed
 from examlake.operators.merging import drop_near_copies, infer_marks
+from examlake.operators.scans import keys_of
 
 #: Line tolerance, margin and column shares of the page width, shortest body, most questions a paper, chunk size.
 LINE_TOLERANCE, MARGIN, ENGLISH_BAND = 4.0, 0.68, 0.42
@@ -18,7 +19,7 @@ ANSWER = (
     "array<struct<question_no:string,questionNo:string,question_text:string,questionText:string,text:string,marks:string,hasFigure:boolean>>"
 )
 PAPER = f"struct<totalQuestions:string,total_questions:string,generalInstructions:string,general_instructions:string,questions:{ANSWER},continuations:array<struct<questionNo:string,question_no:string,appendText:string,append_text:string,questionText:string>>>"
-QUESTION_COLUMNS = ["paper_id", "row_order", "question_no", "question_text", "marks", "has_figure"]
+QUESTION_COLUMNS = ["row_order", "question_no", "question_text", "marks", "has_figure"]
 
 
 class _Lines(Fold):
@@ -30,22 +31,23 @@ class _Lines(Fold):
     def feed(self, row) -> list[tuple]:
         if self.y is None or abs(row.y - self.y) > LINE_TOLERANCE:
             self.line, self.y = self.line + 1, row.y
-        return [(row.paper_id, row.page_no, self.line, row.page_width, row.x, row.str)]
+        return [(*row[:-5], self.line, row.page_width, row.x, row.str)]
 
 
 def lines_of_items(items: DataFrame) -> DataFrame:
-    """paper_id, page_no, line_no, body, margin_mark of positioned items (paper_id, page_no, page_width, str, x, y).
+    """Paper keys, page_no, line_no, body, margin_mark of positioned items (paper keys, page_no, page_width, str, x, y).
 
     body is the most readable of the right half, the English column and the left half; a number at the
     far right is the line's mark. Blank items are dropped, null places count as 0.
     """
     rows = items.where(F.col("str").rlike(r"\S")).withColumns({"y": F.coalesce(F.col("y").cast("double"), F.lit(0.0)), "x": F.coalesce(F.col("x").cast("double"), F.lit(0.0)), "__down": -F.coalesce(F.col("y").cast("double"), F.lit(0.0))})
-    rows = rows.select("paper_id", "page_no", F.col("page_width").cast("double").alias("page_width"), "x", "y", "str", "__down")
-    schema = "paper_id long, page_no long, line_no int, page_width double, x double, str string"
-    numbered = fold_sorted(rows, ["paper_id", "page_no"], ["__down", "x", "str"], schema, _Lines)
+    page = [*keys_of(items), "page_no"]
+    rows = rows.select(*page, F.col("page_width").cast("double").alias("page_width"), "x", "y", "str", F.col("__down").alias("down"))
+    schema = typed(rows, page, "line_no int, page_width double, x double, str string")
+    numbered = fold_sorted(rows, page, ["down", "x", "str"], schema, _Lines)
     w = F.col("page_width")
     one = F.struct("x", F.col("str").alias("s"))
-    lines = numbered.groupBy("paper_id", "page_no", "line_no", "page_width").agg(F.array_sort(F.collect_list(one)).alias("items"))
+    lines = numbered.groupBy(*page, "line_no", "page_width").agg(F.array_sort(F.collect_list(one)).alias("items"))
 
     def text_of(keep) -> Column:
         part = F.array_join(F.transform(F.filter("items", lambda i: (i["x"] < w * MARGIN) & keep(i)), lambda i: i["s"]), " ")
@@ -57,14 +59,14 @@ def lines_of_items(items: DataFrame) -> DataFrame:
     best = F.when((a >= c) & (a >= b) & (a > 0), F.col("right")).when((b >= c) & (b > 0), F.col("band")).when(c > 0, F.col("left")).otherwise(F.col("all"))
     marks = F.filter("items", lambda i: (i["x"] >= w * MARGIN) & F.trim(i["s"]).rlike(r"^\d{1,2}(\.\d+)?$"))
     lines = T.worked_out(lines, body=T.english_only(best), margin_mark=F.trim(F.try_element_at(marks, F.lit(-1))["s"]).cast("double"))
-    return lines.select("paper_id", "page_no", "line_no", "body", "margin_mark")
+    return lines.select(*page, "line_no", "body", "margin_mark")
 
 
-def layout_questions(items: DataFrame) -> DataFrame:
+def layout_questions(items: DataFrame, most: int = MOST_QUESTIONS) -> DataFrame:
     """Questions of positioned items: a line `n. ...` starts one, readable lines and options go on with it.
 
     Lines before a paper's first start, headers and unreadable lines are dropped; of copies the first
-    stays; at most 300 a paper.
+    stays; the first `most` a paper (300) do too.
     """
     lines = lines_of_items(items).where((F.col("body") != "") & ~F.col("body").rlike(HEADER_LINE))
     rest = T.strip(F.regexp_extract("body", r"(?s)^\d{1,2}\.(?!\d)\s*(.*)$", 1))
@@ -72,35 +74,37 @@ def layout_questions(items: DataFrame) -> DataFrame:
     rest = F.col("__rest")
     starts = F.col("body").rlike(r"^\d{1,2}\.(?!\d)") & ((rest == "") | (~rest.rlike(r"^\d") & ((T.readability(rest) >= 8) | rest.rlike(r"(?i)^\(?[A-D]\)?[).:\s]"))))
     lines = T.worked_out(lines, __starts=starts, __goes_on=F.col("body").rlike(OPTION_LINE) | T.accepts_plain_text(F.col("body")))
-    w = Window.partitionBy("paper_id").orderBy("page_no", "line_no")
+    keys = keys_of(items)
+    w = Window.partitionBy(*keys).orderBy("page_no", "line_no")
     lines = lines.withColumn("__seg", F.sum(F.col("__starts").cast("int")).over(w)).where("__seg > 0")
     lines = lines.where(F.col("__starts") | F.col("__goes_on"))
     one = F.struct("page_no", "line_no", F.when(F.col("__starts"), F.col("__rest")).otherwise(F.col("body")).alias("t"), F.col("margin_mark").alias("m"))
     first = F.when(F.col("__starts"), F.regexp_extract("body", r"^(\d{1,2})\.", 1).cast("int"))
-    found = lines.groupBy("paper_id", F.col("__seg").alias("row_order")).agg(F.max(first).alias("question_no"), F.array_sort(F.collect_list(one)).alias("lines"))
+    found = lines.groupBy(*keys, F.col("__seg").alias("row_order")).agg(F.max(first).alias("question_no"), F.array_sort(F.collect_list(one)).alias("lines"))
     body = T.strip(F.array_join(F.filter(F.transform("lines", lambda x: x["t"]), lambda t: t != ""), "\n"))
     margin = F.try_element_at(F.filter(F.transform("lines", lambda x: x["m"]), lambda m: m > 0), F.lit(1))
     found = T.worked_out(found, __body=body, __margin=margin)
     found = T.worked_out(found, question_text=T.notation(F.col("__body")), marks=F.coalesce(F.col("__margin"), T.marks_in_text(F.col("__body")).cast("double")))
     found = found.where((F.length("question_text") >= SHORTEST) & T.accepts_plain_text(F.col("question_text")))
-    return _capped(drop_near_copies(found.withColumn("has_figure", F.lit(False)).select(*QUESTION_COLUMNS)))
+    return _capped(drop_near_copies(found.withColumn("has_figure", F.lit(False)).select(*keys, *QUESTION_COLUMNS)), most)
 
 
-def _capped(questions: DataFrame) -> DataFrame:
-    w = Window.partitionBy("paper_id").orderBy("row_order")
-    return questions.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= MOST_QUESTIONS).drop("__n")
+def _capped(questions: DataFrame, most: int) -> DataFrame:
+    w = Window.partitionBy(*keys_of(questions)).orderBy("row_order")
+    return questions.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).drop("__n")
 
 
-def text_questions(documents: DataFrame) -> DataFrame:
-    """Questions of plain texts (paper_id, text): chunks of 15 characters or more with their number and marks.
+def text_questions(documents: DataFrame, most: int = MOST_QUESTIONS) -> DataFrame:
+    """Questions of plain texts (paper keys, text): chunks of 15 characters or more with their number and marks.
 
-    The number is the one that a chunk starts with, else its position. At most 300 a paper.
+    The number is the one that a chunk starts with, else its position. The first `most` a paper (300) stay.
     """
-    cut = documents.select("paper_id", F.posexplode(T.question_chunks(F.col("text"))).alias("pos", "chunk"))
+    keys = keys_of(documents)
+    cut = documents.select(*keys, F.posexplode(T.question_chunks(F.col("text"))).alias("pos", "chunk"))
     rows = cut.where(F.length("chunk") >= SHORTEST)
     rows = T.worked_out(rows, question_text=T.notation(T.english_only(F.col("chunk"))))
-    out = rows.select("paper_id", F.col("pos").cast("long").alias("row_order"), T.chunk_number(F.col("chunk"), F.col("pos")).alias("question_no"), "question_text", T.marks_in_text(F.col("chunk")).cast("double").alias("marks"), F.lit(False).alias("has_figure"))
-    return _capped(out.where(F.col("question_text") != ""))
+    out = rows.select(*keys, F.col("pos").cast("long").alias("row_order"), T.chunk_number(F.col("chunk"), F.col("pos")).alias("question_no"), "question_text", T.marks_in_text(F.col("chunk")).cast("double").alias("marks"), F.lit(False).alias("has_figure"))
+    return _capped(out.where(F.col("question_text") != ""), most)
 
 
 class _Chunks(Fold):
@@ -114,30 +118,31 @@ class _Chunks(Fold):
         if self.size and self.size + more > CHUNK:
             self.chunk, self.size, more = self.chunk + 1, 0, row.n_chars
         self.size += more
-        return [(row.paper_id, row.page_no, self.chunk)]
+        return [(*row[:-1], self.chunk)]
 
 
 def text_chunks(pages: DataFrame) -> DataFrame:
-    """paper_id, chunk_no, text: pages (paper_id, page_no, text) joined by the page mark to 28,000 characters at most.
+    """Paper keys, chunk_no, text: pages (paper keys, page_no, text) joined by the page mark to 28,000 characters at most.
 
     A longer page is a chunk of its own. Blank pages are dropped.
     """
     rows = pages.where(F.col("text").rlike(r"\S")).withColumn("text", T.strip(F.col("text")))
-    sizes = rows.select("paper_id", "page_no", F.length("text").alias("n_chars"))
-    placed = fold_sorted(sizes, ["paper_id"], ["page_no"], "paper_id long, page_no long, chunk_no int", _Chunks)
+    keys = keys_of(pages)
+    sizes = rows.select(*keys, "page_no", F.length("text").alias("n_chars"))
+    placed = fold_sorted(sizes, keys, ["page_no"], typed(sizes, [*keys, "page_no"], "chunk_no int"), _Chunks)
     one = F.struct("page_no", "text")
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda p: p["text"]), T.PAGE_MARK)
-    return rows.join(placed, ["paper_id", "page_no"]).groupBy("paper_id", "chunk_no").agg(whole.alias("text"))
+    return rows.join(placed, [*keys, "page_no"]).groupBy(*keys, "chunk_no").agg(whole.alias("text"))
 
 
 def flatten_model_answers(answers: DataFrame) -> DataFrame:
-    """Questions, and their paper's metadata, of model answers (paper_id, answer_no, answer as JSON text).
+    """Questions, and their paper's metadata, of model answers (paper keys, answer_no, answer as JSON text).
 
     An answer is an array of questions, {questions: [...]} or {papers: [{questions: [...]}]}. Text that
     is not JSON gives no rows; entries without an acceptable text are dropped; a missing number is the
     entry's position; marks are filled by the rules in the paper's instructions.
     """
-    raw = F.col("answer")
+    raw, keys = F.col("answer"), keys_of(answers)
     listed = F.from_json(raw, ANSWER)
     held = F.from_json(raw, f"struct<papers:array<{PAPER}>,{PAPER[7:]}")
     whole = F.struct(*[held[c].alias(c) for c in ("totalQuestions", "total_questions", "generalInstructions", "general_instructions", "questions", "continuations")])
@@ -146,22 +151,22 @@ def flatten_model_answers(answers: DataFrame) -> DataFrame:
     metas = F.when(F.ltrim(raw).startswith("["), F.expr("cast(array() as array<struct<total:int,instructions:string>>)")).otherwise(
         F.transform(one, lambda p: F.struct(F.coalesce(p["totalQuestions"], p["total_questions"], held["totalQuestions"]).try_cast("int").alias("total"), F.coalesce(p["generalInstructions"], p["general_instructions"], held["generalInstructions"]).alias("instructions")))
     )
-    rows = answers.where(F.try_parse_json(raw).isNotNull()).select("paper_id", "answer_no", lists.alias("lists"), metas.alias("metas"))
-    rows = rows.select("paper_id", "answer_no", "metas", F.posexplode("lists").alias("__i", "list"))
-    rows = rows.select("paper_id", "answer_no", "__i", F.try_element_at("metas", F.col("__i") + 1).alias("__meta"), F.posexplode("list").alias("__j", "q"))
+    rows = answers.where(F.try_parse_json(raw).isNotNull()).select(*keys, "answer_no", lists.alias("lists"), metas.alias("metas"))
+    rows = rows.select(*keys, "answer_no", "metas", F.posexplode("lists").alias("__i", "list"))
+    rows = rows.select(*keys, "answer_no", "__i", F.try_element_at("metas", F.col("__i") + 1).alias("__meta"), F.posexplode("list").alias("__j", "q"))
     text = T.notation(T.english_only(T.strip(F.coalesce("q.questionText", "q.question_text", "q.text"))))
     no = F.coalesce(F.coalesce("q.questionNo", "q.question_no").try_cast("int"), F.col("__j") + 1)
-    order = F.row_number().over(Window.partitionBy("paper_id").orderBy("answer_no", "__i", "__j")).cast("long")
+    order = F.row_number().over(Window.partitionBy(*keys).orderBy("answer_no", "__i", "__j")).cast("long")
     rows = T.worked_out(rows, question_text=text).where(T.accepts_model_text(F.col("question_text")))
-    rows = rows.select("paper_id", order.alias("row_order"), no.alias("question_no"), "question_text", F.col("q.marks").try_cast("double").alias("marks"), F.coalesce("q.hasFigure", F.lit(False)).alias("has_figure"), F.when(F.col("__meta.total") >= 1, F.col("__meta.total")).alias("total_questions"), F.col("__meta.instructions").alias("instructions"))
+    rows = rows.select(*keys, order.alias("row_order"), no.alias("question_no"), "question_text", F.col("q.marks").try_cast("double").alias("marks"), F.coalesce("q.hasFigure", F.lit(False)).alias("has_figure"), F.when(F.col("__meta.total") >= 1, F.col("__meta.total")).alias("total_questions"), F.col("__meta.instructions").alias("instructions"))
     return infer_marks(rows, T.section_rules(F.col("instructions")))
 
 
 def choose_extraction(*routes: tuple[str, DataFrame]) -> DataFrame:
     """Each paper's questions by the first route, in the order given, that found any; extracted_by names it."""
-    every = None
+    every, keys = None, keys_of(*[found for _, found in routes])
     for rank, (name, found) in enumerate(routes):
-        part = found.select(*QUESTION_COLUMNS, F.lit(name).alias("extracted_by"), F.lit(rank).alias("__rank"))
+        part = found.select(*keys, *QUESTION_COLUMNS, F.lit(name).alias("extracted_by"), F.lit(rank).alias("__rank"))
         every = part if every is None else every.unionByName(part)
-    best = every.groupBy("paper_id").agg(F.min("__rank").alias("__rank"))
-    return every.join(best, ["paper_id", "__rank"]).drop("__rank")
+    best = every.groupBy(*keys).agg(F.min("__rank").alias("__rank"))
+    return every.join(best, [*keys, "__rank"]).drop("__rank")

@@ -19,6 +19,12 @@ class Fold:
         return []
 
 
+def typed(df: DataFrame, columns: list[str], more: str = "") -> str:
+    """DDL of some of df's columns, of `more` behind them."""
+    own = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+    return ", ".join(x for x in (own, more) if x)
+
+
 def fold_sorted(df: DataFrame, keys: list[str], order: list[str], schema: str, fold: Callable[[], Fold]) -> DataFrame:
     """Rows that a new fold() returns for every group of keys, fed in `order`.
 

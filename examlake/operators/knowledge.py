@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from examlake.functions import text as T
+from examlake.operators.scans import keys_of
 
 #: Fixed value: most concepts a chapter.
 MOST_CONCEPTS = 30
@@ -20,14 +21,15 @@ def concept_key(name: Column) -> Column:
 
 
 def concept_names(concepts: DataFrame) -> DataFrame:
-    """chapter_id, position from 0, concept_name: the first spelling of each concept (chapter_id, pos, name), 30 at most.
+    """Chapter keys, position from 0, concept_name: the first spelling of each concept (chapter keys, pos, name), 30 at most.
 
     Names that are null or have no letter, digit or underscore are dropped.
     """
     rows = concepts.withColumn("__key", concept_key(F.col("name"))).where(F.col("__key") != "")
-    first = rows.groupBy("chapter_id", "__key").agg(F.min(F.struct("pos", "name")).alias("f"))
-    w = Window.partitionBy("chapter_id").orderBy("f.pos", "f.name")
-    placed = first.select("chapter_id", (F.row_number().over(w) - 1).alias("position"), F.trim(F.col("f.name")).alias("concept_name"))
+    keys = keys_of(concepts, keys=("chapter_id",))
+    first = rows.groupBy(*keys, "__key").agg(F.min(F.struct("pos", "name")).alias("f"))
+    w = Window.partitionBy(*keys).orderBy("f.pos", "f.name")
+    placed = first.select(*keys, (F.row_number().over(w) - 1).alias("position"), F.trim(F.col("f.name")).alias("concept_name"))
     return placed.where(F.col("position") < MOST_CONCEPTS)
 
 
@@ -39,10 +41,11 @@ def build_knowledge(materials: DataFrame, concepts: DataFrame, vectors: DataFram
     on input, looked up by chapter name, summary and concept name. A chapter is `complete`, or `failed`
     with the reason; a failure without text or concepts still keeps the title's vector.
     """
-    newest = materials.groupBy("chapter_id").agg(F.max_by(F.struct(*[c for c in materials.columns if c != "chapter_id"]), F.struct("created_at", "material_id")).alias("m")).select("chapter_id", "m.*")
-    named = concept_names(concepts)
-    counts = named.groupBy("chapter_id").agg(F.count(F.lit(1)).alias("found"))
-    rows = newest.join(counts, "chapter_id", "left")
+    keys = keys_of(materials, concepts, keys=("chapter_id",))
+    newest = materials.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in materials.columns if c not in keys]), F.struct("created_at", "material_id")).alias("m")).select(*keys, "m.*")
+    named = concept_names(concepts.select(*keys, "pos", "name"))
+    counts = named.groupBy(*keys).agg(F.count(F.lit(1)).alias("found"))
+    rows = newest.join(counts, keys, "left")
     blank = ~F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
     reason = F.when(F.col("text").isNull(), NO_FILE).when(blank, NO_TEXT).when(F.col("error").isNotNull(), F.col("error")).when(F.coalesce("found", F.lit(0)) == 0, NO_CONCEPTS)
     rows = rows.withColumn("__why", reason)
@@ -53,7 +56,7 @@ def build_knowledge(materials: DataFrame, concepts: DataFrame, vectors: DataFram
     rows = rows.join(title, "chapter_name", "left").join(summary, "summary", "left")
     off = done & ~F.coalesce("matches_chapter", F.lit(True))
     knowledge = rows.select(
-        "chapter_id", "material_id", "chapter_name",
+        *keys, "material_id", "chapter_name",
         F.when(done, F.col("summary")).alias("summary"),
         F.when(keeps_title, F.col("__title")).alias("title_embedding"),
         F.when(done, F.col("__summary")).alias("summary_embedding"),
@@ -61,15 +64,17 @@ def build_knowledge(materials: DataFrame, concepts: DataFrame, vectors: DataFram
         F.col("__why").alias("extract_error"), off.alias("mismatch_warning"),
         F.when(done, F.col("found")).otherwise(0).cast("int").alias("concept_count"),
     )
-    built = named.join(knowledge.where("extract_status = 'complete'").select("chapter_id"), "chapter_id", "left_semi")
+    built = named.join(knowledge.where("extract_status = 'complete'").select(*keys), keys, "left_semi")
     by_name = vectors.select(F.col("input").alias("concept_name"), F.col("embedding").alias("concept_embedding"))
-    return knowledge, built.join(by_name, "concept_name", "left").select("chapter_id", "position", "concept_name", "concept_embedding")
+    return knowledge, built.join(by_name, "concept_name", "left").select(*keys, "position", "concept_name", "concept_embedding")
 
 
 def chapter_profiles(knowledge: DataFrame, concepts: DataFrame) -> DataFrame:
-    """chapter_id, title_embedding, summary_embedding, concepts (vectors by position); chapters with no vector are left out."""
-    per = concepts.where(F.col("concept_embedding").isNotNull()).groupBy("chapter_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "concept_embedding"))), lambda c: c["concept_embedding"]).alias("concepts"))
-    rows = knowledge.select("chapter_id", "title_embedding", "summary_embedding").join(per, "chapter_id", "left")
+    """Chapter keys, title_embedding, summary_embedding, concepts (vectors by position); chapters with no vector are left out."""
+    keys = keys_of(knowledge, concepts, keys=("chapter_id",))
+    scope = [c for c in ("class_id",) if c in knowledge.columns]
+    per = concepts.where(F.col("concept_embedding").isNotNull()).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "concept_embedding"))), lambda c: c["concept_embedding"]).alias("concepts"))
+    rows = knowledge.select(*keys, *scope, "title_embedding", "summary_embedding").join(per, keys, "left")
     return rows.where(F.coalesce("title_embedding", "summary_embedding").isNotNull() | F.col("concepts").isNotNull())
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from examlake.functions import text as T
 from examlake.operators.bank import near_duplicate_pairs
-from examlake.operators.folds import Fold, fold_sorted
+from examlake.operators.folds import Fold, fold_sorted, typed
 from examlake.operators.scans import keys_of, paper_order, set_key, set_order
 
 #: Word-set shares from which texts count as the same question, copy, or repeated section; lengths.
@@ -26,6 +26,10 @@ _SECTION = re.compile(r"\n[ \t]*\n|\n(?=\.\.\.)")
 _NOT_WORD, _SUB_PART = re.compile(r"[^a-z0-9_\s]"), re.compile(T.SUB_PART)
 
 
+#: Fixed value: a line that starts a question, 1 to 40, and no sub-part.
+_NUMBERED_LINE = r"[^\S\n]*(?:0?[1-9]|[1-3]\d|40)\.[^\S\n]+(?!(?i:\([a-d]\)|\([ivx]+\)))\S"
+
+
 @dataclass(frozen=True)
 class Telling:
     """A text and what merging asks of it, worked out once."""
@@ -154,17 +158,20 @@ def merge_questions(questions: DataFrame) -> DataFrame:
 def split_long_rows(questions: DataFrame) -> DataFrame:
     """questions with embedded ones as rows of their own; in rows of 850 characters or more, also lines that start `n.`
 
-    The latter holds for numbers 17 to 28 only. Other columns are repeated on each part.
+    The latter holds for numbers 17 to 28 only, and not before a sub-part, (a) or (iv); lines before
+    the first start are dropped. Other columns are repeated on each part.
     """
-    text, no = T.strip(F.col("question_text")), F.col("question_no")
-    cut = T.split_numbered(no, text)
-    by_line = F.filter(F.split(text, r"\n(?=\s*(?:[1-9]|[1-3]\d|40)[.)]\s)"), lambda p: p.rlike(r"^\s*\d{1,2}[.)]\s"))
-    parts = F.transform(by_line, lambda p: F.struct(F.regexp_extract(p, r"^\s*(\d{1,2})", 1).cast("int").alias("no"), T.strip(F.regexp_replace(p, r"^\s*\d{1,2}[.)]\s+", "")).alias("text")))
+    rows = T.worked_out(questions, __text=T.strip(F.col("question_text")))
+    text, no = F.col("__text"), F.col("question_no")
+    rows = T.worked_out(rows, __cut=T.split_numbered(no, text), __lines=F.filter(F.split(text, rf"\n(?={_NUMBERED_LINE})"), lambda p: p.rlike(rf"^{_NUMBERED_LINE}")))
+    cut, by_line = F.col("__cut"), F.col("__lines")
+    parts = F.transform(by_line, lambda p: F.struct(F.regexp_extract(p, r"^\s*(\d{1,2})", 1).cast("int").alias("no"), T.without_number(p).alias("text")))
     parts = F.filter(parts, lambda p: F.length(p["text"]) > SHORTEST_PART)
     long = (F.length(text) >= LONG_TEXT) & no.between(*FIGURE_NUMBERS) & (F.size(cut) <= 1) & (F.size(by_line) > 1)
     whole = F.array(F.struct(no.alias("no"), text.alias("text")))
     chosen = F.when(F.size(cut) > 1, cut).when(long, parts).otherwise(whole)
-    rest = [c for c in questions.columns if c not in ("question_no", "question_text")]
+    questions = rows
+    rest = [c for c in questions.columns if c not in ("question_no", "question_text", "__text", "__cut", "__lines")]
     return questions.select(*rest, F.explode(chosen).alias("__p")).select(*rest, F.col("__p.no").alias("question_no"), F.col("__p.text").alias("question_text"))
 
 
@@ -248,7 +255,7 @@ class _Continue(Fold):
         self.key, self.text = None, None
 
     def feed(self, row) -> list[tuple]:
-        self.key = (row.paper_id, row.question_no)
+        self.key = row[:-3]
         if self.text is None:
             self.text = row.text or "" if row.place == 0 else row.text.strip()
         else:
@@ -260,14 +267,14 @@ class _Continue(Fold):
 
 
 def continue_questions(questions: DataFrame, continuations: DataFrame) -> DataFrame:
-    """paper_id, question_no, question_text with continuations (paper_id, question_no, pos, append_text) worked in.
+    """Paper keys, question_no, question_text with continuations (paper keys, question_no, pos, append_text) worked in.
 
     A continuation that tells what the question tells already leaves the better of both; any other is
     put behind it. A number that the paper lacks becomes a row of its own. Blank texts and null numbers
-    among the continuations are passed over; questions are unique on (paper_id, question_no).
+    among the continuations are passed over; questions are unique on the paper keys and question_no.
     """
-    base = questions.select("paper_id", "question_no", F.lit(0).alias("place"), F.lit(0).cast("long").alias("pos"), F.col("question_text").alias("text"))
+    keys = [*keys_of(questions, continuations), "question_no"]
+    base = questions.select(*keys, F.lit(0).alias("place"), F.lit(0).cast("long").alias("pos"), F.col("question_text").alias("text"))
     more = continuations.where(F.col("question_no").isNotNull() & F.col("append_text").rlike(r"\S"))
-    more = more.select("paper_id", "question_no", F.lit(1).alias("place"), F.col("pos").cast("long").alias("pos"), F.col("append_text").alias("text"))
-    schema = "paper_id long, question_no int, question_text string"
-    return fold_sorted(base.unionByName(more), ["paper_id", "question_no"], ["place", "pos", "text"], schema, _Continue)
+    more = more.select(*keys, F.lit(1).alias("place"), F.col("pos").cast("long").alias("pos"), F.col("append_text").alias("text"))
+    return fold_sorted(base.unionByName(more), keys, ["place", "pos", "text"], typed(base, keys, "question_text string"), _Continue)

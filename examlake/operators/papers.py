@@ -52,20 +52,21 @@ def validation_report(questions: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def apply_continuations(questions: DataFrame, continuations: DataFrame) -> DataFrame:
-    """paper_id, question_no, question_text, with the paper's continuation texts put behind, in order of pos.
+    """Paper keys, question_no, question_text, with the paper's continuation texts put behind, in order of pos.
 
     Needs one row a paper and number. A number that the paper lacks becomes a row of its own. Blank
     texts and null numbers among the continuations are passed over.
     """
     more = continuations.where(F.col("question_no").isNotNull() & F.col("append_text").rlike(r"\S"))
     part = F.struct("pos", F.regexp_replace("append_text", r"^\s+|\s+$", "").alias("t"))
-    more = more.groupBy("paper_id", "question_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["t"]), "\n").alias("more"))
-    rows = questions.select("paper_id", "question_no", "question_text").join(more, ["paper_id", "question_no"], "full_outer")
-    return rows.select("paper_id", "question_no", F.concat_ws("\n", F.when(F.col("question_text") != "", F.col("question_text")), "more").alias("question_text"))
+    keys = [*keys_of(questions, continuations), "question_no"]
+    more = more.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["t"]), "\n").alias("more"))
+    rows = questions.select(*keys, "question_text").join(more, keys, "full_outer")
+    return rows.select(*keys, F.concat_ws("\n", F.when(F.col("question_text") != "", F.col("question_text")), "more").alias("question_text"))
 
 
 def document_text(pages: DataFrame) -> DataFrame:
-    """paper_id, text: the paper's pages (paper_id, page_no, text) in order, white space inside a page as one space."""
+    """Paper keys, text: the paper's pages (paper keys, page_no, text) in order, white space inside a page as one space."""
     clean = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "), "^ | $", "")
     one = F.struct("page_no", clean.alias("text"))
-    return pages.groupBy("paper_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda p: p["text"]), PAGE_BREAK).alias("text"))
+    return pages.groupBy(*keys_of(pages)).agg(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda p: p["text"]), PAGE_BREAK).alias("text"))

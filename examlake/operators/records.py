@@ -160,8 +160,8 @@ def classification_rows(questions: DataFrame, source: Column) -> DataFrame:
 
 
 def upsert_classifications(base: DataFrame, rows: DataFrame) -> DataFrame:
-    """Keyed write on (owner_id, question_id); confidences are held to 0..1."""
-    held = rows.withColumn("confidence", T.clamp(F.col("confidence").cast("double"), 0, 1).cast("decimal(4,3)"))
+    """Keyed write on (owner_id, question_id); confidences are held to 0..1, null is 0."""
+    held = rows.withColumn("confidence", F.coalesce(T.clamp(F.col("confidence").cast("double"), 0, 1), F.lit(0.0)).cast("decimal(4,3)"))
     return upsert(base, held, ["owner_id", "question_id"])
 
 

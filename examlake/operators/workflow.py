@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from examlake.operators.bank import classify_vector, persist_questions
+from examlake.operators.bank import persist_questions
 from examlake.operators.classify import ASSIGNED, apply_assignments, apply_overrides, classify_keyword
 from examlake.operators.merging import finalize_questions
 from examlake.operators.papers import validated_questions, validation_report
 from examlake.operators.scans import keys_of
+from examlake.operators.vectors import classify_vector
 from examlake.options import Options
 
 
@@ -17,14 +18,20 @@ def classify(questions: DataFrame, chapters: DataFrame, profiles: DataFrame | No
     """questions with chapters by the first route that assigns any question of the paper: vectors, assignments, key words.
 
     questions need paper_id, row_order, class_id and the ASSIGNED columns, and for vectors question_id
-    and embedding. classified_by names the paper's route, 'none' where no route assigned a question.
+    (unique with owner_id) and embedding. Vectors meet the chapters of their owner and class only; a
+    best chapter that the class's index lacks gives none. classified_by names the paper's route, 'none' where no route assigned a question.
     """
     routes = []
     if profiles is not None:
-        top = classify_vector(questions.where(F.col("embedding").isNotNull()).select("question_id", "embedding"), profiles).where("rank = 1")
-        index = chapters.select("chapter_id", F.col("unit_id").alias("__unit"), F.col("name").alias("__name"))
-        best = top.select("question_id", "chapter_id", F.col("confidence").alias("__c")).join(index, "chapter_id")
-        found = questions.drop(*ASSIGNED).join(best, "question_id", "left")
+        owner = keys_of(questions, profiles, keys=())
+        inside = [*owner, *(["class_id"] if "class_id" in profiles.columns else [])]
+        top = classify_vector(questions.where(F.col("embedding").isNotNull()).select(*inside, "question_id", "embedding"), profiles, scope=inside).where("rank = 1")
+        of_class = keys_of(questions, chapters, keys=("class_id",))
+        index = chapters.select(*of_class, "chapter_id", F.col("unit_id").alias("__unit"), F.col("name").alias("__name"))
+        asked = questions.select(*keys_of(questions, keys=("class_id", "question_id")))
+        best = top.select(*owner, "question_id", "chapter_id", F.col("confidence").alias("__c")).join(asked, [*owner, "question_id"]).join(index, [*of_class, "chapter_id"])
+        best = best.select(*owner, "question_id", "chapter_id", "__c", "__unit", "__name")
+        found = questions.drop(*ASSIGNED).join(best, [*owner, "question_id"], "left")
         sure = F.floor(F.col("__c") * 100 + 0.5).cast("int")
         routes.append(("vector", found.withColumn("unit_id", F.col("__unit")).withColumn("chapter_name", F.col("__name")).withColumn("chapter_confidence", sure).drop("__c", "__unit", "__name")))
     if assignments is not None:

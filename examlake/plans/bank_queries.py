@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from examlake.functions import text as T
 from examlake.operators import bank as ops
-from examlake.operators import catalog, usage
+from examlake.operators import catalog, usage, vectors
 from examlake.sources import tables as src
 from examlake.streaming.usage import daily_usage
 
@@ -252,20 +252,19 @@ def marks_from_text(spark, d):
 def marks_in_whole_texts(spark, d):
     """Each way of writing marks, and none, behind whole texts."""
     n, way = F.col("question_no").cast("string"), F.col("row_order") % 5
-    said = F.when(way == 0, "").when(way == 1, F.concat(F.lit(" ["), n, F.lit(" Marks] or so"))).when(way == 2, F.concat(F.lit(" ("), n, F.lit(" mark) [7]"))).when(way == 3, F.concat(F.lit(" "), n, F.lit(" marks "))).otherwise(F.concat(F.lit(" ["), n, F.lit("] in all")))
+    said = F.when(way == 0, "").when(way == 1, F.concat(F.lit(" ["), n, F.lit(".5 Marks] or so"))).when(way == 2, F.concat(F.lit(" ("), n, F.lit(" mark) [7]"))).when(way == 3, F.concat(F.lit(" "), n, F.lit(" marks\nand a line"))).otherwise(F.concat(F.lit(" ["), n, F.lit("] in all")))
     return src.text_bank(spark, d).select("row_order", T.marks_in_text(F.concat("question_text", said)).alias("marks"))
 
 
 def review_statuses(spark, d):
-    e = src.read(spark, d, "events").where("value is not null")
     c = T.clamp(F.abs(F.col("value")) / 100, 0, 1)
-    return e.select("event_id", T.review_status(c).alias("status"), T.percent(c * 100).alias("percent"))
+    return src.read(spark, d, "events").select("event_id", T.review_status(c).alias("status"), T.review_tier(c).alias("tier"), T.percent(c * 100).alias("percent"))
 
 
 def _classified(v, questions, concepts):
     profiles = v.groupBy("label").agg(F.min_by("e", "vec_id").alias("title_embedding"), F.max_by("e", "vec_id").alias("summary_embedding")).withColumnRenamed("label", "chapter_id")
     rows = questions.select(F.col("vec_id").alias("question_id"), F.col("e").alias("embedding"))
-    out = ops.classify_vector(rows, profiles, concept_rows=concepts.select(F.col("label").alias("chapter_id"), F.col("e").alias("concept")))
+    out = vectors.classify_vector(rows, profiles, scope=[], concept_rows=concepts.select(F.col("label").alias("chapter_id"), F.col("e").alias("concept")))
     return out.select("question_id", "chapter_id", "rank", F.round("confidence", 3).alias("confidence"))
 
 
@@ -275,7 +274,7 @@ def _vectors(spark, d):
 
 def classify_vector(spark, d):
     v = _vectors(spark, d)
-    return _classified(v, v.where("vec_id % 10 <> 0"), v.where("vec_id % 50 = 0"))
+    return _classified(v, v, v.where("vec_id % 50 = 0"))
 
 
 def classify_all_vectors(spark, d):
@@ -290,7 +289,7 @@ def classify_in_class(spark, d):
     v = _vectors(spark, d)
     profiles = v.groupBy("label").agg(F.min_by("e", "vec_id").alias("title_embedding"), F.max_by("e", "vec_id").alias("summary_embedding")).withColumnRenamed("label", "chapter_id").withColumn("class_id", F.col("chapter_id") % 3).withColumn("concepts", F.lit(None).cast("array<array<double>>"))
     rows = v.select(F.col("vec_id").alias("question_id"), (F.col("vec_id") % 3).cast("int").alias("class_id"), F.col("e").alias("embedding"))
-    out = ops.best_with_alternatives(ops.classify_vector(rows, profiles))
+    out = ops.best_with_alternatives(vectors.classify_vector(rows, profiles))
     return out.select("question_id", "chapter_id", F.round("confidence", 3).alias("confidence"), "review_status", F.array_join(F.transform("alternatives", lambda a: a["chapter_id"].cast("string")), ",").alias("others"))
 
 
@@ -302,12 +301,12 @@ SELECT question_id, max(chapter_id) FILTER (rank = 1) AS chapter_id, round(max(c
  coalesce(string_agg(chapter_id::VARCHAR, ',' ORDER BY rank) FILTER (rank > 1), '') AS others FROM c GROUP BY question_id"""
 VECTOR = """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 p AS (SELECT label, arg_min(e, vec_id) AS te, arg_max(e, vec_id) AS se, list(e) FILTER (vec_id % 50 = 0) AS cs FROM v GROUP BY label),
-s AS (SELECT q.vec_id AS question_id, p.label AS chapter_id, list_cosine_similarity(q.e, te) AS t, list_cosine_similarity(q.e, se) AS s, list_max(list_transform(cs, lambda c: list_cosine_similarity(q.e, c))) AS c FROM v q, p WHERE q.vec_id % 10 <> 0),
+s AS (SELECT q.vec_id AS question_id, p.label AS chapter_id, list_cosine_similarity(q.e, te) AS t, list_cosine_similarity(q.e, se) AS s, list_max(list_transform(cs, lambda c: list_cosine_similarity(q.e, c))) AS c FROM v q, p),
 b AS (SELECT *, CASE WHEN c IS NULL THEN .15 / .5 * t + .35 / .5 * s ELSE greatest(.15 * t + .35 * s + .5 * c, .85 * c + .15 * t) END AS score FROM s),
 r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chapter_id) AS rank FROM b),
 k AS (SELECT *, exp((score - max(score) OVER (PARTITION BY question_id)) / .06) AS x FROM r WHERE rank <= 3)
 SELECT question_id, chapter_id, rank::INT AS rank, round(x / sum(x) OVER (PARTITION BY question_id), 3) AS confidence FROM k"""
-ALL_VECTORS = VECTOR.replace(" WHERE q.vec_id % 10 <> 0", "").replace("FILTER (vec_id % 50 = 0)", "FILTER (n <= 30)").replace(" AS e FROM embeddings", " AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings")
+ALL_VECTORS = VECTOR.replace("FILTER (vec_id % 50 = 0)", "FILTER (n <= 30)").replace(" AS e FROM embeddings", " AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings")
 
 
 def compared_reports(spark, d):
@@ -341,7 +340,8 @@ def owned_paths(spark, d):
 OWNED = "SELECT 'u' || (p_partkey % 7) AS owner_id, 'u' || (p_partkey % 7) || '/' || (p_size % 4) || '/' || (p_size % 10) || '/' || p_size || '/' || p_partkey || '-' || substr(regexp_replace(p_name || ' (é).pdf', '[^a-zA-Z0-9._-]+', '_', 'g'), 1, 80) AS path FROM part WHERE p_partkey % 5 > 0 OR p_partkey % 7 = 0"
 
 
-_CLEAN = "list_filter(list_transform(string_split(regexp_replace(regexp_replace(question_text, '[\\x{0900}-\\x{097F}]+', ' ', 'g'), '[§$©¶|~<>^&•`]', ' ', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'))), lambda x: x <> '')"
+_EDGE = "[\\s\\x0b\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
+_CLEAN = "list_filter(list_transform(string_split(regexp_replace(regexp_replace(question_text, '[\\x{0900}-\\x{097F}]+', ' ', 'g'), '[§$©¶|~<>^&•`]', ' ', 'g'), chr(10)), lambda x: regexp_replace(regexp_replace(x, '^" + _EDGE + "+|" + _EDGE + "+$', '', 'g'), '[ \\t]+', ' ', 'g')), lambda x: x <> '')"
 _NORM = "trim(regexp_replace(regexp_replace(lower(question_text), '[\\s\\x{00a0}\\x{feff}]+', ' ', 'g'), '[^a-z0-9_ ]', '', 'g'))"
 _SOLID = "length(regexp_replace(question_text, '[\\s\\x{00a0}\\x{feff}]', '', 'g'))"
 _LETTERS = "length(regexp_replace(question_text, '[^A-Za-z]', '', 'g'))"
@@ -359,8 +359,16 @@ PRICED = """priced AS (SELECT *, round(prompt_tokens::DECIMAL(18,0) * i + comple
 _SUMS = "count(*) AS calls, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(completion_tokens)::BIGINT AS completion_tokens, sum(prompt_tokens + completion_tokens)::BIGINT AS total_tokens, (sum(micros) / 1000000)::DOUBLE AS cost"
 ROLLUP = f"WITH {USAGE}, {PRICED} SELECT owner_id, job_id, action, {_SUMS}, grouping(action) = 1 AS is_total FROM priced GROUP BY GROUPING SETS ((owner_id, job_id, action), (owner_id, job_id))"
 
-MARKS = rf"""WITH {TEXTS}, s AS (SELECT row_order, question_text || CASE row_order % 5 WHEN 0 THEN '' WHEN 1 THEN ' [' || question_no || ' Marks] or so' WHEN 2 THEN ' (' || question_no || ' mark) [7]' WHEN 3 THEN ' ' || question_no || ' marks ' ELSE ' [' || question_no || '] in all' END AS t FROM texts)
-SELECT row_order, coalesce(nullif(regexp_extract(t, '(?i)\[(\d{{1,2}})\s*marks?\]', 1), ''), nullif(regexp_extract(t, '(?i)\((\d{{1,2}})\s*marks?\)', 1), ''), nullif(regexp_extract(t, '(?i)(\d{{1,2}})\s*marks?\s*$', 1), ''), nullif(regexp_extract(t, '\[(\d{{1,2}})\]', 1), ''))::INT AS marks FROM s"""
+MARKS = rf"""WITH {TEXTS}, s AS (SELECT row_order, question_text || CASE row_order % 5 WHEN 0 THEN '' WHEN 1 THEN ' [' || question_no || '.5 Marks] or so' WHEN 2 THEN ' (' || question_no || ' mark) [7]' WHEN 3 THEN ' ' || question_no || ' marks' || chr(10) || 'and a line' ELSE ' [' || question_no || '] in all' END AS t FROM texts)
+SELECT row_order, coalesce(
+  nullif(regexp_extract(t, '\[(\d+(\.\d+)?)[\s\x0b]*[Mm][Aa][Rr][Kk][Ss]?\]', 1), ''), nullif(regexp_extract(t, '\((\d+(\.\d+)?)[\s\x0b]*[Mm][Aa][Rr][Kk][Ss]?\)', 1), ''),
+  nullif(regexp_extract(t, '(\d+)[\s\x0b]*[Mm][Aa][Rr][Kk][Ss]?[\s\x0b]*(\n|$)', 1), ''), nullif(regexp_extract(t, '\[(\d+(\.\d+)?)\]', 1), ''))::DOUBLE AS marks FROM s"""
+
+#: A turn opens a part if its text begins with A-Z, a quote or a bracket; others stay behind the turn before them, number and all.
+NUMBERED = r"""WITH t AS (SELECT conv_id, turn, replace(text, chr(10), ' ') AS t FROM conversations WHERE text IS NOT NULL),
+ s AS (SELECT *, turn > 0 AND regexp_matches(t, '^[\s\x0b]*[A-Z"(]') AS opens FROM t), g AS (SELECT *, sum(opens::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS seg FROM s),
+ p AS (SELECT conv_id, seg, min(turn) + 1 AS question_no, regexp_replace(string_agg(CASE WHEN opens OR turn = 0 THEN t ELSE (turn + 1) || '. ' || t END, chr(10) ORDER BY turn), '^[\s\x0b]+|[\s\x0b]+$', '', 'g') AS part FROM g GROUP BY ALL)
+SELECT conv_id, question_no::INT AS question_no, length(part)::INT AS n FROM p WHERE length(part) > 8 OR (SELECT count(*) FROM p q WHERE q.conv_id = p.conv_id) = 1"""
 
 QUERIES = {
     "quality_report": (quality_report, QUALITY),
@@ -396,10 +404,10 @@ QUERIES = {
     "owned_paths": (owned_paths, OWNED),
     "set_operations": (set_operations, f"WITH {BANK}, a AS (SELECT DISTINCT chapter_id FROM bank WHERE marks > 40), b AS (SELECT DISTINCT chapter_id FROM bank WHERE marks < 5) SELECT chapter_id, CASE WHEN chapter_id IN (SELECT chapter_id FROM b) THEN 'both' ELSE 'first' END AS kind FROM a"),
     "event_json": (event_json, "SELECT event_id, coalesce(json_valid(props), false) AS valid, length(props)::INT AS n FROM events"),
-    "numbered_split": (numbered_split, "SELECT conv_id, (turn + 1)::INT AS question_no, length(trim(replace(text, chr(10), ' ')))::INT AS n FROM conversations WHERE length(trim(replace(text, chr(10), ' '))) > 8"),
-    "marks_from_text": (marks_from_text, f"WITH {TEXTS} SELECT row_order, question_no AS marks FROM texts"),
+    "numbered_split": (numbered_split, NUMBERED),
+    "marks_from_text": (marks_from_text, f"WITH {TEXTS} SELECT row_order, question_no::DOUBLE AS marks FROM texts"),
     "marks_in_whole_texts": (marks_in_whole_texts, MARKS),
-    "review_statuses": (review_statuses, "WITH c AS (SELECT event_id, greatest(0, least(1, abs(value) / 100)) AS c FROM events WHERE value IS NOT NULL) SELECT event_id, CASE WHEN c >= .85 THEN 'AUTO_APPROVED' WHEN c >= .6 THEN 'SUGGEST_REVIEW' ELSE 'MANUAL_REVIEW_REQUIRED' END AS status, floor(least(100, c * 100) + .5)::INT AS percent FROM c"),
+    "review_statuses": (review_statuses, "WITH c AS (SELECT event_id, CASE WHEN value IS NOT NULL THEN greatest(0, least(1, abs(value) / 100)) END AS c FROM events) SELECT event_id, CASE WHEN c >= .85 THEN 'AUTO_APPROVED' WHEN c >= .6 THEN 'SUGGEST_REVIEW' ELSE 'MANUAL_REVIEW_REQUIRED' END AS status, CASE WHEN c >= .85 THEN 'high' WHEN c >= .6 THEN 'medium' ELSE 'low' END AS tier, coalesce(floor(least(100, c * 100) + .5), 0)::INT AS percent FROM c"),
     "classify_vector": (classify_vector, VECTOR),
     "classify_in_class": (classify_in_class, IN_CLASS),
     "classify_all_vectors": (classify_all_vectors, ALL_VECTORS),

@@ -116,7 +116,7 @@ def unfinished_questions(spark, d):
     return rows.select(*_SHOWN, F.regexp_replace(F.substring(T.strip(F.col("question_text")), 1, 80), "\n", " ").alias("snippet"))
 
 
-UNFINISHED = rf"""WITH {QUESTIONS}, l AS (SELECT *, trim(question_text, e' \t\r\n\f\v') AS t FROM q QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY row_order DESC) <= 4)
+UNFINISHED = rf"""WITH {QUESTIONS}, l AS (SELECT *, trim(question_text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM q QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY row_order DESC) <= 4)
 SELECT paper_id, question_no, row_order, replace(substring(t, 1, 80), chr(10), ' ') AS snippet FROM l
 WHERE (regexp_matches(question_text, '(?i)\([ia]\)\s') AND NOT regexp_matches(question_text, '(?i)\((iii|iv|v|vi|vii|viii|ix|x)\)\s'))
  OR (regexp_matches(question_text, '(?i)\(a\)\s') AND NOT regexp_matches(question_text, '(?i)\(b\)\s'))
@@ -232,7 +232,7 @@ DISTINCT = rf"""WITH RECURSIVE t AS (SELECT doc_id // 40 AS paper_id, doc_id AS
  g AS (SELECT paper_id, place, [place] AS kept FROM l WHERE place = 1 UNION ALL SELECT l.paper_id, l.place, CASE WHEN list_has_any(g.kept, coalesce(l.likes, [])) THEN g.kept ELSE list_append(g.kept, l.place) END FROM g JOIN l ON l.paper_id = g.paper_id AND l.place = g.place + 1)
 SELECT l.paper_id, l.question_no, l.row_order FROM g JOIN l USING (paper_id, place) WHERE list_contains(g.kept, g.place)"""
 
-CHUNKS = r"""WITH RECURSIVE t AS (SELECT doc_id // 40 AS paper_id, doc_id, trim(text, e' \t\r\n\f\v') AS t FROM documents WHERE regexp_matches(text, '\S')), p AS (SELECT *, length(t) AS n, row_number() OVER (PARTITION BY paper_id ORDER BY doc_id) AS rn FROM t),
+CHUNKS = r"""WITH RECURSIVE t AS (SELECT doc_id // 40 AS paper_id, doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM documents WHERE regexp_matches(text, '\S')), p AS (SELECT *, length(t) AS n, row_number() OVER (PARTITION BY paper_id ORDER BY doc_id) AS rn FROM t),
  g AS (SELECT paper_id, rn, 0 AS chunk_no, n AS size FROM p WHERE rn = 1 UNION ALL SELECT p.paper_id, p.rn, CASE WHEN g.size + p.n + 14 > 28000 THEN chunk_no + 1 ELSE chunk_no END, CASE WHEN g.size + p.n + 14 > 28000 THEN p.n ELSE g.size + p.n + 14 END FROM g JOIN p ON p.paper_id = g.paper_id AND p.rn = g.rn + 1),
  c AS (SELECT paper_id, chunk_no, string_agg(t, e'\n\n---PAGE---\n\n' ORDER BY rn) AS text FROM g JOIN p USING (paper_id, rn) GROUP BY ALL)
 SELECT paper_id, chunk_no::INT AS chunk_no, length(text) AS n_chars, md5(text) AS text_md5 FROM c"""

@@ -93,7 +93,7 @@ def validated_questions(spark, d):
 
 VALID = rf"""expected AS (SELECT DISTINCT doc_id // 40 AS paper_id, CASE WHEN (doc_id // 40) % 5 > 0 THEN (20 + (doc_id // 40) % 14)::INT END AS expected_count FROM documents),
  valid AS (SELECT q.paper_id, question_no, row_order FROM q JOIN expected USING (paper_id) WHERE question_no BETWEEN 1 AND coalesce(expected_count, 500)
-  AND length(trim(question_text, e' \t\r\n\f\v')) >= 12 AND NOT regexp_matches(question_text, '(?im)General Instructions|All questions are compulsory|contains \d+ questions|Read the following instructions|SECTION\s*[-–—]\s*[A-E]\s*$')
+  AND length(trim(question_text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) >= 12 AND NOT regexp_matches(question_text, '(?im)General Instructions|All questions are compulsory|contains \d+ questions|Read the following instructions|SECTION\s*[-–—]\s*[A-E]\s*$')
   QUALIFY row_number() OVER (PARTITION BY paper_id, question_no ORDER BY length(question_text) DESC, row_order) = 1)"""
 
 
@@ -115,7 +115,7 @@ def apply_continuations(spark, d):
 
 
 CONTINUED = rf"""WITH {QUESTIONS}, {VALID}, base AS (SELECT v.paper_id, v.question_no, q.question_text FROM valid v JOIN q USING (row_order)),
- more AS (SELECT conv_id // 10 AS paper_id, (turn + 1)::INT AS question_no, string_agg(trim(text, e' \t\r\n\f\v'), chr(10) ORDER BY conv_id, turn) AS more FROM conversations WHERE regexp_matches(text, '\S') GROUP BY ALL),
+ more AS (SELECT conv_id // 10 AS paper_id, (turn + 1)::INT AS question_no, string_agg(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), chr(10) ORDER BY conv_id, turn) AS more FROM conversations WHERE regexp_matches(text, '\S') GROUP BY ALL),
  out AS (SELECT paper_id, question_no, concat_ws(chr(10), nullif(question_text, ''), more) AS t FROM base FULL JOIN more USING (paper_id, question_no))
 SELECT paper_id, question_no, length(t) AS n_chars, md5(t) AS text_md5 FROM out"""
 

@@ -87,7 +87,7 @@ def syllabus_texts(spark, d):
     return R.syllabus_texts(f).select("owner_id", "class_id", F.length("text").alias("n"), F.md5("text").alias("text_md5"))
 
 
-SYLLABUS = r"""WITH f AS (SELECT 'u' || (doc_id % 7) AS owner_id, doc_id % 12 AS class_id, doc_id % 5 AS up, doc_id % 3 AS cp, doc_id, trim(text, e' \t\r\n\f\v') AS t FROM documents WHERE doc_id % 10 > 0 AND doc_id % 4 < 3 AND regexp_matches(text, '\S')),
+SYLLABUS = r"""WITH f AS (SELECT 'u' || (doc_id % 7) AS owner_id, doc_id % 12 AS class_id, doc_id % 5 AS up, doc_id % 3 AS cp, doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM documents WHERE doc_id % 10 > 0 AND doc_id % 4 < 3 AND regexp_matches(text, '\S')),
  g AS (SELECT owner_id, class_id, substring(string_agg('## Ch ' || (doc_id % 15) || ' (chapterId: ' || (doc_id % 15) || e')\n' || substring(t, 1, 6000), e'\n\n' ORDER BY up, cp, doc_id), 1, 40000) AS text FROM f GROUP BY ALL)
 SELECT owner_id, class_id, length(text)::INT AS n, md5(text) AS text_md5 FROM g"""
 
@@ -111,7 +111,7 @@ def split_solutions(spark, d):
     return t.select("row_order", s["solution"].alias("solution"), F.length(s["question_text"]).alias("n"), F.length(R.split_solution(F.col("t"))["question_text"]).alias("whole"))
 
 
-SOLUTIONS = rf"""WITH {TEXTS}, t AS (SELECT row_order, trim(substring(question_text, 1, 30), e' \t\r\n\f\v') AS head, trim(substring(question_text, 1, 30) || CASE row_order % 3 WHEN 0 THEN e'\nSolution: as shown\nabove' WHEN 1 THEN e'\nANSWER - x' ELSE ' the answer is' END, e' \t\r\n\f\v') AS whole FROM texts)
+SOLUTIONS = rf"""WITH {TEXTS}, t AS (SELECT row_order, trim(substring(question_text, 1, 30), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS head, trim(substring(question_text, 1, 30) || CASE row_order % 3 WHEN 0 THEN e'\nSolution: as shown\nabove' WHEN 1 THEN e'\nANSWER - x' ELSE ' the answer is' END, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS whole FROM texts)
 SELECT row_order, CASE row_order % 3 WHEN 0 THEN e'as shown\nabove' WHEN 1 THEN 'x' END AS solution, length(CASE WHEN row_order % 3 < 2 THEN head ELSE whole END)::INT AS n, length(whole)::INT AS whole FROM t"""
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from examlake.functions import text as T
 from examlake.operators import bank as ops
-from examlake.operators import usage
+from examlake.operators import usage, vectors
 from examlake.streaming.usage import daily_usage, latest_jobs, persist_stream
 
 
@@ -65,8 +65,8 @@ def test_concepts_in_blocks_are_not_broadcast_by_hint(spark):
     profiles = v.groupBy("chapter_id").agg(F.min_by("embedding", "question_id").alias("title_embedding"), F.max_by("embedding", "question_id").alias("summary_embedding"))
     whole = v.groupBy("chapter_id").agg(F.collect_list("embedding").alias("concepts"))
     few = v.where("question_id < 50").select("question_id", "embedding")
-    want = ops.classify_vector(few, profiles.join(whole, "chapter_id"))
-    got = ops.classify_vector(few, profiles, concept_rows=v.select("chapter_id", F.col("embedding").alias("concept")))
+    want = vectors.classify_vector(few, profiles.join(whole, "chapter_id"), scope=[])
+    got = vectors.classify_vector(few, profiles, scope=[], concept_rows=v.select("chapter_id", F.col("embedding").alias("concept")))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert "broadcast" not in got._jdf.queryExecution().analyzed().toString().lower()
 
