@@ -102,47 +102,90 @@ def without_repeats(text: str) -> str:
     return (first or [max(kept, key=lambda k: k.score)])[0].text.strip()
 
 
+@dataclass(frozen=True)
+class Standing:
+    """What stands for a question so far: its text, whether that is a sub-part only, and the row it came from."""
+
+    told: Telling
+    part: bool
+    marks: float | None
+    figure: bool
+    row: tuple
+
+    @staticmethod
+    def of(row) -> Standing:
+        text, marks = row.question_text or "", getattr(row, "marks", None)
+        marks = None if marks is None else float(marks)
+        return Standing(Telling.of(text, marks), bool(_SUB_PART.match(text.strip())), marks, bool(getattr(row, "has_figure", False)), row)
+
+    def saying(self, text: str, marks: float | None, figure: bool) -> Standing:
+        return Standing(Telling.of(text, marks), self.part, marks, figure, self.row)
+
+
+def met(a: Standing, b: Standing) -> Standing:
+    """One of two for the same question, a the earlier.
+
+    Texts that tell the same, and two whole questions, leave the better, of equals the earlier. A
+    sub-part goes behind its question, whichever comes first; of two sub-parts the later goes behind
+    the earlier. Marks are those of the text in front, or of the earlier where one text stands, else the
+    other's; a figure of either counts.
+    """
+    figure, alike = a.figure or b.figure, a.told.share(b.told) >= SAME_QUESTION
+    if alike or not (a.part or b.part):
+        stands = b if better(a.told, b.told) is b.told else a
+        return stands.saying(stands.told.text, b.marks if a.marks is None else a.marks, figure)
+    front, behind = (b, a) if a.part and not b.part else (a, b)
+    text = joined(front.told.text, behind.told.text)
+    return front.saying(without_repeats(text) if a.part and b.part else text, behind.marks if front.marks is None else front.marks, figure)
+
+
 class _Merge(Fold):
-    """A question as its stem and the sub-parts behind it: the best stem stands, parts follow in order."""
+    """Rows of one question, met in order; the row that stands keeps its other columns."""
 
-    def __init__(self) -> None:
-        self.key, self.stem, self.parts, self.marks, self.figure, self.order = None, None, "", None, False, None
+    def __init__(self, clean: bool, names: list[str]) -> None:
+        self.clean, self.names, self.now = clean, names, None
 
     def feed(self, row) -> list[tuple]:
-        self.key = tuple(getattr(row, k) for k in row._fields if k in ("owner_id", "paper_id", "question_no"))
-        told, part = Telling.of(row.question_text, row.marks), bool(_SUB_PART.match(row.question_text.strip()))
-        same = self.stem is not None and self.stem.share(told) >= SAME_QUESTION
-        if part and not same:
-            self.parts = joined(self.parts, row.question_text)
-            self.order = row.row_order if self.order is None else self.order
-        elif self.stem is None or better(self.stem, told) is told:
-            self.stem, self.order = told, row.row_order
-        self.marks = row.marks if self.marks is None else self.marks
-        self.figure |= bool(row.has_figure)
+        new = Standing.of(row)
+        self.now = met(self.now, new) if self.now else new
         return []
 
     def end(self) -> list[tuple]:
-        text = joined(self.stem.text if self.stem else "", self.parts) if self.parts else self.stem.text
-        return [(*self.key, without_repeats(text), self.marks, self.figure, self.order)]
+        text = without_repeats(self.now.told.text) if self.clean else self.now.told.text
+        put = {"question_text": text, "marks": self.now.marks, "has_figure": self.now.figure}
+        return [tuple(put.get(n, getattr(self.now.row, n)) for n in self.names)]
+
+
+def merge_rows(rows: DataFrame, keys: list[str], clean: bool = False) -> DataFrame:
+    """One row for each of keys: its rows met pairwise by row_order (see `met`); `clean` removes repeats inside the texts.
+
+    Columns beside question_text, marks (a double) and has_figure come from the row whose text stands,
+    or stands in front. Keys of one row, for `clean` with one section, pass by in the JVM.
+    """
+    if "marks" in rows.columns:
+        rows = rows.withColumn("marks", F.col("marks").cast("double"))
+    names = rows.columns
+    of_key = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    many = F.col("question_text").rlike(r"\n[ \t]*\n|\n\.\.\.|(?m)^\(D\)") if clean else F.lit(False)
+    marked = rows.withColumn("__simple", (of_key == 1) & ~F.coalesce(many, F.lit(False)))
+    folded = fold_sorted(marked.where(~F.col("__simple")).drop("__simple"), keys, ["row_order", "question_text"], typed(rows, names), lambda: _Merge(clean, names))
+    alone = marked.where("__simple").drop("__simple")
+    return folded.unionByName(alone.withColumn("question_text", T.strip(F.col("question_text"))) if clean else alone)
 
 
 def _merge_by_number(rows: DataFrame) -> DataFrame:
-    """One row a number. Numbers of one row and one section pass by in the JVM; only the others are folded."""
     keys = [*keys_of(rows), "question_no"]
-    rows = rows.select(*keys, "question_text", F.col("marks").cast("double").alias("marks"), F.coalesce("has_figure", F.lit(False)).alias("has_figure"), "row_order")
-    of_number = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    marked = rows.withColumn("__simple", (of_number == 1) & ~F.col("question_text").rlike(r"\n[ \t]*\n|\n\.\.\.|(?m)^\(D\)"))
-    schema = ", ".join([*[f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys], "question_text string, marks double, has_figure boolean, row_order long"])
-    folded = fold_sorted(marked.where(~F.col("__simple")).drop("__simple"), keys, ["row_order", "question_text"], schema, _Merge)
-    return folded.unionByName(marked.where("__simple").drop("__simple").withColumn("question_text", T.strip(F.col("question_text"))))
+    rows = rows.select(*keys, "question_text", "marks", F.coalesce("has_figure", F.lit(False)).alias("has_figure"), "row_order")
+    return merge_rows(rows, keys, clean=True)
 
 
 def merge_questions(questions: DataFrame) -> DataFrame:
     """One row for each paper and number: paper_id, question_no, question_text, marks, has_figure, row_order.
 
-    Rows are read by row_order, which is unique in a paper. A sub-part, (ii) or (b), goes to the
-    question opened last before it; a paper's first row opens one whatever it is. Rows without text
-    are dropped; a null number is a number of its own.
+    Rows are read by row_order, which is unique in a paper, and those of one question met pairwise in
+    that order. A sub-part, (ii) or (b), goes to the question opened last before it and takes its
+    number; a paper's first row opens one whatever it is. Rows without text are dropped; a null number
+    is a number of its own.
     """
     keys = keys_of(questions)
     by_order = Window.partitionBy(*keys).orderBy("row_order")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from examlake.operators.merging import merge_rows
 from examlake.operators.scans import keys_of, set_key
 
 #: What marks a row as printed instructions, the most a number may be where no total is known, the page mark.
@@ -20,35 +21,50 @@ def is_question(no: Column, text: Column, most: Column) -> Column:
 
 
 def validated_questions(questions: DataFrame, expected: DataFrame) -> DataFrame:
-    """One valid row for each paper, set (series:set:code, where questions have them) and number: the longest text's, then the first by row_order.
+    """One valid row for each paper, set (series:set:code, where questions have them) and number: its rows met pairwise by row_order.
 
-    `expected` has the paper keys and expected_count (null: unknown). Null numbers are dropped.
+    `expected` has the paper keys and expected_count (null: unknown). Null numbers are dropped. The row
+    whose text stands gives the other columns (see `merging.met`).
     """
     keys = keys_of(questions, expected)
     rows = questions.join(expected.select(*keys, "expected_count"), keys, "left")
     rows = rows.where(is_question(F.col("question_no"), F.col("question_text"), F.col("expected_count")))
-    sets = [set_key()] if {"series", "set", "code_no"} <= set(questions.columns) else []
-    w = Window.partitionBy(*keys, *sets, "question_no").orderBy(F.desc(F.length("question_text")), "row_order")
-    return rows.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    sets = {"series", "set", "code_no"} <= set(questions.columns)
+    rows = rows.withColumn("set_key", set_key() if sets else F.lit(""))
+    return merge_rows(rows, [*keys, "set_key", "question_no"]).drop("set_key")
+
+
+def confirm_numbering(questions: DataFrame, expected: DataFrame) -> DataFrame:
+    """Paper keys, expected_count, actual_count, missing, extra (both ascending), confirmed of question sets as they are.
+
+    extra are numbers below 1 or above the count; confirmed asks for none missing, none extra and as
+    many rows as expected. Where no count (or 0) is known, nothing is missing or extra and confirmed is
+    null. Papers of `expected` without rows are in the result.
+    """
+    keys = keys_of(questions, expected)
+    none, total = F.array().cast("array<int>"), F.col("expected_count")
+    per = questions.groupBy(*keys).agg(F.sort_array(F.collect_set(F.col("question_no").cast("int"))).alias("present"), F.count(F.lit(1)).alias("n"))
+    rows = expected.select(*keys, "expected_count").join(per, keys, "left").withColumn("present", F.coalesce("present", none))
+    known = F.coalesce(total > 0, F.lit(False))
+    missing = F.when(known, F.array_except(F.sequence(F.lit(1), total), "present")).otherwise(none)
+    extra = F.when(known, F.filter("present", lambda n: (n < 1) | (n > total))).otherwise(none)
+    rows = rows.withColumn("missing", missing).withColumn("extra", extra)
+    n = F.coalesce("n", F.lit(0))
+    return rows.select(*keys, F.when(known, total).alias("expected_count"), n.alias("actual_count"), "missing", "extra", F.when(known, (F.size("missing") == 0) & (F.size("extra") == 0) & (n == total)).alias("confirmed"))
 
 
 def validation_report(questions: DataFrame, expected: DataFrame) -> DataFrame:
-    """Paper keys, expected_count, actual_count, dropped, missing (ascending), confirmed; papers of `expected` without rows too.
+    """Paper keys, expected_count, actual_count, dropped, missing and extra (ascending), confirmed; papers of `expected` without rows too.
 
     actual_count counts the rows kept, of all sets. confirmed is null where no total is known.
     """
     keys = keys_of(questions, expected)
-    kept = validated_questions(questions, expected).groupBy(*keys).agg(F.collect_set("question_no").alias("present"), F.count(F.lit(1)).alias("n_kept"))
+    kept = validated_questions(questions, expected)
+    known = F.coalesce(F.col("expected_count") > 0, F.lit(False))
+    kept = kept.where(~known | (F.col("question_no") <= F.col("expected_count")))
     read = questions.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_read"))
-    rows = expected.join(read, keys, "left").join(kept, keys, "left")
-    present = F.coalesce("present", F.array().cast("array<int>"))
-    total = F.col("expected_count")
-    known = total.isNotNull() & (total > 0)
-    rows = rows.withColumn("present", present)
-    missing = F.when(known, F.array_except(F.sequence(F.lit(1), total), "present")).otherwise(F.array().cast("array<int>"))
-    rows = rows.withColumn("missing", missing)
-    n = F.coalesce("n_kept", F.lit(0))
-    return rows.select(*keys, "expected_count", n.alias("actual_count"), (F.coalesce("n_read", F.lit(0)) - n).alias("dropped"), "missing", F.when(known, (F.size("missing") == 0) & (n == total)).alias("confirmed"))
+    rows = confirm_numbering(kept.drop("expected_count"), expected).join(read, keys, "left")
+    return rows.select(*keys, "expected_count", "actual_count", (F.coalesce("n_read", F.lit(0)) - F.col("actual_count")).alias("dropped"), "missing", "extra", "confirmed")
 
 
 def apply_continuations(questions: DataFrame, continuations: DataFrame) -> DataFrame:

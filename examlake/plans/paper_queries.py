@@ -99,13 +99,27 @@ VALID = rf"""expected AS (SELECT DISTINCT doc_id // 40 AS paper_id, CASE WHEN (d
 
 def validation_report(spark, d):
     r = P.validation_report(src.text_bank(spark, d), _expected(spark, d))
-    return r.withColumn("missing", F.array_join("missing", ","))
+    return r.withColumn("missing", F.array_join("missing", ",")).withColumn("extra", F.array_join("extra", ","))
+
+
+def confirmed_numbering(spark, d):
+    """All rows' numbers against the expected counts, repeated and too large ones included."""
+    r = P.confirm_numbering(src.text_bank(spark, d), _expected(spark, d))
+    return r.withColumn("missing", F.array_join("missing", ",")).withColumn("extra", F.array_join("extra", ","))
+
+
+NUMBERING = rf"""WITH expected AS (SELECT DISTINCT doc_id // 40 AS paper_id, CASE WHEN (doc_id // 40) % 5 > 0 THEN (20 + (doc_id // 40) % 14)::INT END AS expected_count FROM documents),
+ q AS (SELECT doc_id // 40 AS paper_id, (1 + doc_id * doc_id % 37)::INT AS no FROM documents), p AS (SELECT paper_id, count(*) AS n, list_sort(list_distinct(list(no))) AS nos FROM q GROUP BY ALL),
+ r AS (SELECT paper_id, expected_count, n AS actual_count, CASE WHEN expected_count > 0 THEN [i FOR i IN range(1, expected_count + 1) IF NOT list_contains(nos, i)] ELSE [] END AS missing,
+  CASE WHEN expected_count > 0 THEN [i FOR i IN nos IF i < 1 OR i > expected_count] ELSE [] END AS extra FROM expected JOIN p USING (paper_id))
+SELECT paper_id, expected_count, actual_count, array_to_string(missing, ',') AS missing, array_to_string(extra, ',') AS extra,
+ CASE WHEN expected_count > 0 THEN len(missing) = 0 AND len(extra) = 0 AND actual_count = expected_count END AS confirmed FROM r"""
 
 
 REPORT = f"""WITH {QUESTIONS}, {VALID}, n AS (SELECT paper_id, count(*) AS n_read FROM q GROUP BY ALL), p AS (SELECT paper_id, list(question_no) AS present FROM valid GROUP BY ALL),
  r AS (SELECT e.paper_id, expected_count, coalesce(len(present), 0) AS actual_count, n_read, CASE WHEN expected_count IS NULL THEN [] ELSE [i FOR i IN range(1, expected_count + 1) IF NOT list_contains(coalesce(present, []), i)] END AS missing
   FROM expected e JOIN n USING (paper_id) LEFT JOIN p USING (paper_id))
-SELECT paper_id, expected_count, actual_count, n_read - actual_count AS dropped, array_to_string(missing, ',') AS missing, CASE WHEN expected_count IS NOT NULL THEN len(missing) = 0 AND actual_count = expected_count END AS confirmed FROM r"""
+SELECT paper_id, expected_count, actual_count, n_read - actual_count AS dropped, array_to_string(missing, ',') AS missing, '' AS extra, CASE WHEN expected_count IS NOT NULL THEN len(missing) = 0 AND actual_count = expected_count END AS confirmed FROM r"""
 
 
 def apply_continuations(spark, d):
@@ -135,6 +149,7 @@ QUERIES = {
     "reclassify_unassigned": (reclassify_unassigned, RECLASSIFIED),
     "validated_questions": (validated_questions, f"WITH {QUESTIONS}, {VALID} SELECT * FROM valid"),
     "validation_report": (validation_report, REPORT),
+    "confirmed_numbering": (confirmed_numbering, NUMBERING),
     "apply_continuations": (apply_continuations, CONTINUED),
     "document_text": (document_text, PAGES),
 }
