@@ -158,6 +158,8 @@ def parsed(rows: DataFrame) -> DataFrame:
     kind = rows.schema["conv_id"].dataType.simpleString()
     blocks = rows.groupBy("conv_id", F.floor(F.col("pos") / BLOCK).alias("block")).agg(F.max("last").alias("last"), F.array_sort(F.collect_list(F.struct("pos", "symbol"))).alias("x"))
     blocks = blocks.select("conv_id", "block", "last", F.array_join(F.transform("x", lambda r: r["symbol"]), "").alias("symbols"))
+    # few bytes and much work: dealt to a given number of tasks, which the optimizer does not join
+    blocks = blocks.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("conv_id", "block"))
     cells, done = materialize(blocks.mapInArrow(_parse_blocks, CELL_ROWS.format(id=kind)), "cells"), []
     whole = (F.col("block") == 0) & F.col("last")
     while True:
