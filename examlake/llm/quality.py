@@ -68,8 +68,9 @@ def fit(docs: DataFrame, target_ids: DataFrame, buckets: int = BUCKETS) -> np.nd
 
     `target_ids` is a bounded table of doc_ids. One row for each bucket reaches the driver.
     """
-    mark = target_ids.select(F.col("doc_id").alias("__target_id")).distinct()
-    marked = docs.join(F.broadcast(mark), docs["doc_id"] == mark["__target_id"], "left").select("text", F.col("__target_id").isNotNull().alias("is_target"))
+    texts = docs.select(F.col("doc_id").alias("doc"), "text")  # no other column can clash with the mark's
+    mark = target_ids.select(F.col("doc_id").alias("target")).distinct()
+    marked = texts.join(F.broadcast(mark), F.col("doc") == F.col("target"), "left").select("text", F.col("target").isNotNull().alias("is_target"))
     found = _counts(marked, buckets).toArrow()
     raw, target = np.zeros(buckets), np.zeros(buckets)
     at = found.column("bucket").to_numpy()
