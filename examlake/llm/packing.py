@@ -154,19 +154,23 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 4096)
     """PIECES of each document: its ids and end_id, cut every `size` ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _cache(tokenizer)
+        cache, collecting = _cache(tokenizer), gc.isenabled()
         gc.disable()  # many small lists, none in cycles
-        for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                rows = []
-                for doc_id, ids in zip(doc_ids[a:b], cache.encode(texts[a:b]), strict=True):
-                    ids = np.append(ids, np.array([end_id], "<u4")).astype("<u4")
-                    for k in range(0, len(ids), size):
-                        piece = ids[k : k + size]
-                        rows.append((doc_id, k // size, k, len(piece), zlib.crc32(piece.tobytes())))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [f.split()[0] for f in PIECES.split(", ")])
+        try:
+            for batch in batches:
+                doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                for a, b in slices(texts):
+                    rows = []
+                    for doc_id, ids in zip(doc_ids[a:b], cache.encode(texts[a:b]), strict=True):
+                        ids = np.append(ids, np.array([end_id], "<u4")).astype("<u4")
+                        for k in range(0, len(ids), size):
+                            piece = ids[k : k + size]
+                            rows.append((doc_id, k // size, k, len(piece), zlib.crc32(piece.tobytes())))
+                    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [f.split()[0] for f in PIECES.split(", ")])
+        finally:
+            if collecting:
+                gc.enable()
 
     return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, PIECES)
 
