@@ -98,7 +98,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     rows = distinct.select("fp", F.explode(keys).alias("x")).select(F.col("x.v").alias("v"), F.col("x.k").alias("k"), "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((3, 0), np.int64)
+        held: list[np.ndarray] = []  # parts of the bucket in progress, joined once it ends
 
         def buckets(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             cuts = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)) + 1
@@ -112,13 +112,16 @@ def fingerprint_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
-            rows = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])], axis=1)
+            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
             if not rows.shape[1]:
                 continue
             last = int(np.flatnonzero((rows[0] == rows[0, -1]) & (rows[1] == rows[1, -1]))[0])
-            held = np.ascontiguousarray(rows[:, last:])
-            yield from buckets(np.ascontiguousarray(rows[:, :last]))
-        yield from buckets(held)
+            if last or (held and (held[0][:2, 0] != rows[:2, 0]).any()):
+                yield from buckets(np.concatenate([*held, rows[:, :last]], axis=1))
+                held = []
+            held.append(rows[:, last:])
+        if held:
+            yield from buckets(np.concatenate(held, axis=1))
 
     return rows.repartition("v", "k").sortWithinPartitions("v", "k", "fp").mapInArrow(run, "a long, b long")
 
