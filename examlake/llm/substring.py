@@ -156,8 +156,8 @@ def shared_words(own: bytes, other: bytes, after: bool, reach: int) -> int:
     return int(spaces[-1]) + 1 if len(spaces) else 0
 
 
-def repeated_spans(docs: DataFrame, min_bytes: int = 200, bits: int = 5, least: int = 24, most: int = 192, within: bool = False) -> DataFrame:
-    """Byte ranges that repeat a passage of an earlier document, or, if `within`, of the same one further up.
+def repeated_spans(docs: DataFrame, min_bytes: int = 200, bits: int = 5, least: int = 24, most: int = 192, within: bool = True) -> DataFrame:
+    """Byte ranges that repeat a passage of an earlier document, or, if `within` (the default), of the same one further up.
 
     doc_id, row_key, start, n_bytes, n_chunks, first_doc_id (the smallest doc_id that holds one of
     its chunks). Chunks are grouped by digest with map-side combining; of a digest's places the
