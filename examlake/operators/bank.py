@@ -101,7 +101,11 @@ def papers_to_reprocess(papers: DataFrame, bank: DataFrame, least: int = 10, for
     return joined if force_all else joined.where(F.col("n_rows") < least)
 
 
-def repair_set(rows: DataFrame, expected: DataFrame, long: int = 850, figures: tuple[int, int] = (17, 28)) -> DataFrame:
+#: The length from which a text seems to hold two questions, and the numbers of which that is said.
+LONG_TEXT, FIGURES = 850, (17, 28)
+
+
+def repair_set(rows: DataFrame, expected: DataFrame, long: int = LONG_TEXT, figures: tuple[int, int] = FIGURES) -> DataFrame:
     """Numbers to read again for each paper, sorted: missing, repeated, and those (17 to 28) with a text of 850 characters or more.
 
     expected: paper keys, expected_count; below 1 or unknown, nothing is missing.

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from examlake.functions import text as T
 from examlake.operators.folds import Fold, fold_sorted, typed
 from examlake.operators.merging import drop_near_copies, infer_marks
+from examlake.operators.provider import Provider
 from examlake.operators.scans import keys_of
+from examlake.sources.written import written
 
 #: Line tolerance, margin and column shares of the page width, shortest body, most questions a paper, chunk size.
 LINE_TOLERANCE, MARGIN, ENGLISH_BAND = 4.0, 0.68, 0.42
@@ -135,13 +137,16 @@ def text_chunks(pages: DataFrame) -> DataFrame:
     return rows.join(placed, [*keys, "page_no"]).groupBy(*keys, "chunk_no").agg(whole.alias("text"))
 
 
-def flatten_model_answers(answers: DataFrame) -> DataFrame:
+def flatten_model_answers(answers: DataFrame, provider: Provider | None = None) -> DataFrame:
     """Questions, and their paper's metadata, of model answers (paper keys, answer_no, answer as JSON text).
 
     An answer is an array of questions, {questions: [...]} or {papers: [{questions: [...]}]}. Text that
     is not JSON gives no rows; entries without an acceptable text are dropped; a missing number is the
-    entry's position; marks are filled by the rules in the paper's instructions.
+    entry's position; marks are filled by the rules in the paper's instructions. With a provider,
+    `answers` are its requests (paper keys, answer_no, and what is asked); those that fail give no rows.
     """
+    if provider is not None:
+        answers = written(provider(answers), "answers")
     raw, keys = F.col("answer"), keys_of(answers)
     listed = F.from_json(raw, ANSWER)
     held = F.from_json(raw, f"struct<papers:array<{PAPER}>,{PAPER[7:]}")

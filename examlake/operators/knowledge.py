@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from examlake.functions import text as T
+from examlake.operators.provider import Provider, vectors_of
 from examlake.operators.scans import keys_of
+from examlake.sources.written import written
 
 #: Fixed value: most concepts a chapter.
 MOST_CONCEPTS = 30
@@ -33,17 +37,21 @@ def concept_names(concepts: DataFrame) -> DataFrame:
     return placed.where(F.col("position") < MOST_CONCEPTS)
 
 
-def build_knowledge(materials: DataFrame, concepts: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+def build_knowledge(materials: DataFrame, concepts: DataFrame, vectors: DataFrame | Provider) -> tuple[DataFrame, DataFrame]:
     """(knowledge, chapter_concepts) of every chapter with a syllabus, by its newest file.
 
     materials: chapter_id, chapter_name, material_id, created_at, text (null: the file can't be had),
     summary, matches_chapter, error; concepts: chapter_id, pos, name; vectors: input, embedding, unique
-    on input, looked up by chapter name, summary and concept name. A chapter is `complete`, or `failed`
+    on input, looked up by chapter name, summary and concept name, or a provider that is asked for them
+    once each. A chapter is `complete`, or `failed`
     with the reason; a failure without text or concepts still keeps the title's vector.
     """
     keys = keys_of(materials, concepts, keys=("chapter_id",))
     newest = materials.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in materials.columns if c not in keys]), F.struct("created_at", "material_id")).alias("m")).select(*keys, "m.*")
     named = concept_names(concepts.select(*keys, "pos", "name"))
+    if callable(vectors):
+        texts = [newest.select(F.col(c).alias("input")) for c in ("chapter_name", "summary")] + [named.select(F.col("concept_name").alias("input"))]
+        vectors = written(vectors_of(reduce(DataFrame.unionByName, texts), vectors), "vectors")
     counts = named.groupBy(*keys).agg(F.count(F.lit(1)).alias("found"))
     rows = newest.join(counts, keys, "left")
     blank = ~F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))

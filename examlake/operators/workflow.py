@@ -9,6 +9,7 @@ from examlake.operators.bank import persist_questions
 from examlake.operators.classify import ASSIGNED, apply_assignments, apply_overrides, classify_keyword
 from examlake.operators.merging import finalize_questions
 from examlake.operators.papers import validated_questions, validation_report
+from examlake.operators.rereading import Reader, reread
 from examlake.operators.scans import keys_of
 from examlake.operators.vectors import classify_vector
 from examlake.options import Options
@@ -53,17 +54,19 @@ def classify(questions: DataFrame, chapters: DataFrame, profiles: DataFrame | No
     return rows.select(*rest, *[F.col(f"__found.{c}").alias(c) for c in ASSIGNED], F.coalesce("classified_by", F.lit("none")).alias("classified_by"))
 
 
-def process_papers(bank: DataFrame, extracted: DataFrame, papers: DataFrame, chapters: DataFrame, overrides: DataFrame, assignments: DataFrame | None = None, profiles: DataFrame | None = None, options: Options = Options()) -> tuple[DataFrame, DataFrame]:
+def process_papers(bank: DataFrame, extracted: DataFrame, papers: DataFrame, chapters: DataFrame, overrides: DataFrame, assignments: DataFrame | None = None, profiles: DataFrame | None = None, options: Options = Options(), reader: Reader | None = None, rounds: int = 1) -> tuple[DataFrame, DataFrame]:
     """(bank, reports) after a run: questions finalised, checked, classified, overridden and persisted.
 
     extracted: rows for merge_questions; papers: paper keys, class_id, expected_count, instructions;
     bank: paper keys, question_no, question_text, marks and the ASSIGNED columns. Chapters come by
     vectors (if profiles are given and extracted has embeddings), assignments or key words. Papers
-    without a question keep their bank rows; options may leave out classification or the write.
+    without a question keep their bank rows; options may leave out classification or the write. With a
+    reader, numbers that lack or look merged are read again first (papers then need n_pages); `jobs.run_jobs`
+    is the run with all its tables.
     """
     keys = keys_of(extracted, papers)
     expected = papers.select(*keys, "expected_count")
-    final = finalize_questions(extracted, papers)
+    final = finalize_questions(extracted, papers) if reader is None else reread(extracted, papers, reader, rounds)[1]
     rows = validated_questions(final, expected).join(papers.select(*keys, "class_id"), keys)
     for c in ASSIGNED:
         rows = rows.withColumn(c, F.lit(None).cast(bank.schema[c].dataType))
