@@ -75,15 +75,15 @@ def chunks(docs: DataFrame, bits: int = 5, least: int = 24, most: int = 192) ->
 
         for batch in batches:
             found, rows, stops = [], [], []
-            for doc_id, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw, last = text.encode(), 0
+            for doc_id, key, text in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.columns[2], strict=True):
+                raw, last = text.as_py().encode(), 0
                 if cuts := boundaries(raw, bits, least, most):
                     for cut in cuts:
                         found.append(digest(raw[last:cut].strip()))
                         last = cut
                     rows.append((doc_id, key))
                     stops.append(cuts)
-                if len(found) > 200_000:
+                if len(found) > 50_000:
                     yield batch_of(found, rows, stops)
                     found, rows, stops = [], [], []
             yield batch_of(found, rows, stops)
@@ -125,14 +125,20 @@ def surroundings(docs: DataFrame, places: DataFrame, reach: int) -> DataFrame:
     found = texts.join(asked, F.col("row_key") == F.col("asked_key")).select("row_key", "codes", "text").dropDuplicates(["row_key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["row_key", "code", "around"])
+
         for batch in batches:
-            keys, at, around = [], [], []
-            for key, codes, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows: list[tuple] = []
+            for i in range(batch.num_rows):  # one text at a time, and few surroundings
+                key, codes, text = (c[i].as_py() for c in batch.columns)
                 raw = text.encode()
-                keys += [key] * len(codes)
-                at += codes
-                around += [raw[c // 2 : c // 2 + reach] if c % 2 else raw[max(0, c // 2 - reach) : c // 2] for c in codes]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(at, pa.int64()), pa.array(around, pa.binary())], ["row_key", "code", "around"])
+                for c in codes:
+                    rows.append((key, c, raw[c // 2 : c // 2 + reach] if c % 2 else raw[max(0, c // 2 - reach) : c // 2]))
+                    if len(rows) >= 20_000:
+                        yield batch_of(rows)
+                        rows = []
+            yield batch_of(rows)
 
     return found.mapInArrow(run, "row_key long, code long, around binary").select(F.xxhash64("row_key", "code").alias("place"), "around")
 
