@@ -110,3 +110,41 @@ def replace_all(base: DataFrame, parents: list[tuple[DataFrame, DataFrame]], on:
     from examlake.operators.bank import replace_children
 
     return reduce(lambda rows, x: replace_children(rows, x[0], x[1], on), parents, base)
+
+
+def merge_by_key(base: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
+    """base with the columns of updates (unique on keys) put in, nulls too; its other columns stay, new rows have them null."""
+    put = [c for c in updates.columns if c not in keys]
+    new = updates.select(*keys, F.struct(F.lit(True).alias("there"), *put).alias("__new"))
+    rows = base.withColumn("__old", F.lit(True)).join(new, keys, "full_outer")
+    known = F.col("__new").isNotNull()
+    return rows.select(*[F.when(known, F.col(f"__new.{c}")).otherwise(F.col(c)).cast(base.schema[c].dataType).alias(c) if c in put else F.col(c) for c in base.columns])
+
+
+def sync_catalog(classes: DataFrame, units: DataFrame, chapters: DataFrame, catalog: DataFrame, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(classes, units, chapters) with whole class trees written by (owner_id, id), positions as in the trees; nothing is deleted.
+
+    catalog: as for `flatten_catalog`; only: owner_id, id of the classes to write, all if None. Columns that
+    trees lack keep their values. Running it twice changes nothing.
+    """
+    trees = catalog if only is None else catalog.join(only.select("owner_id", "id").distinct(), ["owner_id", "id"], "left_semi")
+    flat = flatten_catalog(trees)
+    return tuple(merge_by_key(base, rows, ["owner_id", "id"]) for base, rows in zip((classes, units, chapters), flat, strict=True))
+
+
+def ensure_branches(classes: DataFrame, units: DataFrame, chapters: DataFrame, catalog: DataFrame, branches: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(classes, units, chapters, missing) with only the class, unit and chapter of each branch written from the trees.
+
+    branches: owner_id, class_id, unit_id, chapter_id. A branch that the trees don't have as a whole
+    writes nothing and is in `missing`.
+    """
+    keys = ["owner_id", "class_id", "unit_id", "chapter_id"]
+    flat = flatten_catalog(catalog)
+    paths = flat[2].select("owner_id", "class_id", "unit_id", F.col("id").alias("chapter_id"))
+    wanted = branches.select(*keys).distinct()
+    found = wanted.join(paths, keys, "left_semi")
+    out = []
+    for base, rows, column in zip((classes, units, chapters), flat, keys[1:], strict=True):
+        ids = found.select("owner_id", F.col(column).alias("id")).distinct()
+        out.append(merge_by_key(base, rows.join(ids, ["owner_id", "id"], "left_semi"), ["owner_id", "id"]))
+    return (*out, wanted.join(paths, keys, "left_anti"))

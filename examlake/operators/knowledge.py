@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from examlake.functions import text as T
+from examlake.operators.catalog import merge_by_key
 from examlake.operators.provider import Provider, vectors_of
 from examlake.operators.scans import keys_of
 from examlake.sources.written import written
@@ -91,3 +92,36 @@ def middle_out(text: Column, most: int = 12_000) -> Column:
     t = T.strip(text)
     half = most // 2
     return F.when(F.length(t) <= most, t).otherwise(F.concat(F.substring(t, 1, half), F.lit("\n\n[…]\n\n"), F.right(t, F.lit(half))))
+
+
+#: What a build leaves in a row of stored knowledge.
+PAYLOAD = ("summary", "title_embedding", "summary_embedding", "extract_error", "extracted_at")
+
+
+def mark_pending(stored: DataFrame, chapters: DataFrame) -> DataFrame:
+    """stored knowledge with the chapters to be built pending: payload and counts reset, by (owner_id, chapter_id).
+
+    chapters: owner_id, chapter_id, class_id, unit_id, material_id, chapter_name; those without a row get
+    one, with the id owner_id/chapter_id. Other rows stay.
+    """
+    null = {c: F.lit(None).cast(stored.schema[c].dataType) for c in PAYLOAD}
+    rows = chapters.withColumns({**null, "extract_status": F.lit("pending"), "mismatch_warning": F.lit(False), "concept_count": F.lit(0)})
+    return _with_ids(merge_by_key(stored, rows, ["owner_id", "chapter_id"]))
+
+
+def finish_builds(stored: DataFrame, concepts: DataFrame, built: DataFrame, named: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(stored, concepts) with results of `build_knowledge` put in by (owner_id, chapter_id), and the built chapters' concepts replaced.
+
+    concepts: owner_id, chapter_id, syllabus_knowledge_id, concept_name, concept_embedding, position. A
+    failed build leaves its chapter without concepts. Chapters without a result stay as they are,
+    pending ones too; running it twice changes nothing.
+    """
+    keys = ["owner_id", "chapter_id"]
+    rows = _with_ids(merge_by_key(stored, built.withColumn("extracted_at", now), keys))
+    ids = rows.select(*keys, F.col("id").alias("syllabus_knowledge_id"))
+    clean = named.withColumn("concept_name", T.repair_escapes(F.col("concept_name"))).join(ids, keys)
+    return rows, concepts.join(built.select(*keys).distinct(), keys, "left_anti").unionByName(clean.select(*concepts.columns))
+
+
+def _with_ids(stored: DataFrame) -> DataFrame:
+    return stored.withColumn("id", F.coalesce("id", F.concat_ws("/", F.col("owner_id").cast("string"), F.col("chapter_id").cast("string"))))

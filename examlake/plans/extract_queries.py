@@ -150,7 +150,8 @@ CONCEPTS = r"""named AS (SELECT doc_id // 40 AS chapter_id, doc_id AS pos, array
  concepts AS (SELECT chapter_id, (row_number() OVER (PARTITION BY chapter_id ORDER BY pos) - 1)::INT AS position, trim(name, ' ') AS concept_name FROM f QUALIFY row_number() OVER (PARTITION BY chapter_id ORDER BY pos) <= 30)"""
 
 
-def built_knowledge(spark, d):
+def knowledge_inputs(spark, d):
+    """Materials, concepts and vectors of chapters of forty documents."""
     doc = src.read(spark, d, "documents")
     i = F.col("doc_id")
     materials = doc.select(
@@ -158,7 +159,11 @@ def built_knowledge(spark, d):
         F.when(i % 11 > 0, F.when(i % 13 == 0, "").otherwise(F.col("text"))).alias("text"), F.concat(F.lit("v"), i.cast("string")).alias("summary"), (i % 2 == 0).alias("matches_chapter"), F.when(i % 17 == 0, "timeout").alias("error"),
     )
     vectors = src.read(spark, d, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("input"), "embedding")
-    knowledge, concepts = K.build_knowledge(materials, _concepts(spark, d), vectors)
+    return materials, _concepts(spark, d), vectors
+
+
+def built_knowledge(spark, d):
+    knowledge, concepts = K.build_knowledge(*knowledge_inputs(spark, d))
     profiles = K.chapter_profiles(knowledge, concepts).select("chapter_id", F.lit(True).alias("has_profile"))
     out = knowledge.join(profiles, "chapter_id", "left")
     return out.select("chapter_id", "material_id", "extract_status", "extract_error", "mismatch_warning", "concept_count", F.col("title_embedding").isNotNull().alias("has_title"), F.col("summary_embedding").isNotNull().alias("has_summary"), F.coalesce("has_profile", F.lit(False)).alias("has_profile"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("examlake.plans.bank_queries", "examlake.plans.paper_queries", "examlake.plans.extract_queries", "examlake.plans.tenant_queries", "examlake.plans.report_queries", "examlake.plans.job_queries")
+MODULES: tuple[str, ...] = ("examlake.plans.bank_queries", "examlake.plans.paper_queries", "examlake.plans.extract_queries", "examlake.plans.tenant_queries", "examlake.plans.report_queries", "examlake.plans.job_queries", "examlake.plans.graph_queries")
 
 
 def queries() -> dict:
