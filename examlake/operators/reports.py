@@ -190,12 +190,14 @@ def queued_jobs(papers: DataFrame, now: Column | None = None) -> DataFrame:
 def apply_job_changes(jobs: DataFrame, changes: DataFrame) -> DataFrame:
     """jobs with the latest change (owner_id, job_id, status, phase, question_count, error, updated_at) of each put in.
 
-    A change tells the whole state: a completed job has no error, a failed one keeps the count it had.
+    A change tells the whole state but for its count: the latest that is known stands, so a failed job
+    keeps the count it had. Of changes at one time the one with the greater status, then error, counts.
     """
     keys = ["owner_id", "job_id"]
-    last = changes.groupBy(*keys).agg(F.max_by(F.struct("status", "phase", "question_count", "error", "updated_at"), "updated_at").alias("__c"))
+    count = F.max_by("question_count", F.when(F.col("question_count").isNotNull(), F.struct("updated_at", "question_count")))
+    last = changes.groupBy(*keys).agg(F.max_by(F.struct("status", "phase", "error", "updated_at"), F.struct("updated_at", "status", "error")).alias("__c"), count.alias("__n"))
     new = F.col("__c").isNotNull()
-    put = {c: F.col(f"__c.{c}") for c in ("status", "phase", "error", "updated_at")} | {"question_count": F.coalesce("__c.question_count", "question_count")}
+    put = {c: F.col(f"__c.{c}") for c in ("status", "phase", "error", "updated_at")} | {"question_count": F.coalesce("__n", "question_count")}
     return jobs.join(last, keys, "left").select(*[F.when(new, put[c]).otherwise(F.col(c)).alias(c) if c in put else F.col(c) for c in jobs.columns])
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +23,66 @@ def daily_usage(events: DataFrame, watermark: str = "1 day") -> DataFrame:
     return out.select(F.col("w.start").alias("day"), *owner, "action", "calls", "prompt_tokens")
 
 
+def closed_days(events: DataFrame, path: str, checkpoint: str, watermark: str = "1 day"):
+    """Appends each day's sums to the Parquet files at `path` once the watermark has passed its end.
+
+    A row that comes later than that is dropped. The file sink's log makes every day's rows come once,
+    also after a restart; read the files by Spark (spark.read.parquet(path)), which follows that log.
+    """
+    days = daily_usage(events, watermark)
+    return days.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+#: States in which a job ends.
+FINISHED = ("completed", "failed")
+STATE = "status string, phase string, question_count long, error string, updated_at timestamp"
+_HELD = "status string, phase string, error string, updated_at long, question_count long, counted_at long"
+
+
+def job_states(changes: DataFrame, watermark: str = "1 day", keep: str = "1 hour") -> DataFrame:
+    """A stream of changes (owner_id, job_id, STATE) as a stream of the jobs' states, one row for each that differs from the one before.
+
+    State is kept for each job, not for the whole table: the latest change by updated_at, of equals the
+    one with the greater status and error, with the latest count that is known, as
+    `reports.apply_job_changes` has it. Repeated changes, and older ones without a count, give no row.
+    Changes later than the watermark are dropped; the state of a finished job is let go `keep` after
+    that, so what is held follows the jobs that are open or new. A job's last row is its state
+    (output mode update).
+    """
+    keep_ms = int(pd.Timedelta(keep).total_seconds() * 1000)
+    names = ["status", "phase", "error", "updated_at", "question_count"]
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = tuple(state.get) if state.exists else None
+        now = held or (None, None, None, None, None, None)
+        for batch in batches:
+            part = batch[names].astype(object)
+            for status, phase, error, at, count in part.where(part.notna(), None).itertuples(index=False, name=None):
+                at = int(at.value // 1000)
+                if now[3] is None or _order(at, status, error) > _order(now[3], now[0], now[2]):
+                    now = (status, phase, error, at, *now[4:])
+                if count is not None and (now[5] is None or (at, count) > (now[5], now[4])):
+                    now = (*now[:4], int(count), at)
+        if now == held:
+            return
+        state.update(now)
+        if now[0] in FINISHED:
+            state.setTimeoutTimestamp(max(now[3] // 1000, state.getCurrentWatermarkMs()) + keep_ms)
+        yield pd.DataFrame([[*key, now[0], now[1], now[4], now[2], pd.Timestamp(now[3], unit="us")]], columns=["owner_id", "job_id", "status", "phase", "question_count", "error", "updated_at"])
+
+    keyed = changes.select("owner_id", "job_id", *names).withWatermark("updated_at", watermark).groupBy("owner_id", "job_id")
+    kinds = [changes.schema[c].dataType.simpleString() for c in ("owner_id", "job_id")]
+    return keyed.applyInPandasWithState(step, f"owner_id {kinds[0]}, job_id {kinds[1]}, {STATE}", _HELD, "update", "EventTimeTimeout")
+
+
+def _order(at: int, status: str | None, error: str | None) -> tuple:
+    """By time, then status and error, null first."""
+    return (at, status is not None, status or "", error is not None, error or "")
+
+
 def _latest(rows: DataFrame) -> DataFrame:
     key = keys_of(rows, keys=("job_id",))
     rest = [c for c in rows.columns if c not in key]
@@ -27,7 +90,7 @@ def _latest(rows: DataFrame) -> DataFrame:
 
 
 def latest_jobs(changes: DataFrame, store: str, checkpoint: str):
-    """Keeps the last state of each job in a bucketed table at `store`; replays change nothing."""
+    """Keeps the last state of each job in a bucketed table at `store` (`store.read_store`); replays change nothing."""
 
     def merge(batch: DataFrame, _: int) -> None:
         rewrite_buckets(_latest(batch), store, keys_of(batch, keys=("job_id",)), lambda old, new: _latest(old.unionByName(new)))

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from examlake.functions import text as T
 from examlake.operators import bank as ops
-from examlake.operators import usage, vectors
+from examlake.operators import usage
+from examlake.operators import vectors as V
+from examlake.streaming.store import read_store
 from examlake.streaming.usage import daily_usage, latest_jobs, persist_stream
 
 
@@ -49,7 +51,7 @@ def test_streams(spark, tmp_path):
     changes.write.parquet(str(tmp_path / "jobs"))
     q = latest_jobs(spark.readStream.schema(changes.schema).parquet(str(tmp_path / "jobs")), str(tmp_path / "store"), str(tmp_path / "cp"))
     q.awaitTermination()
-    assert {(r["job_id"], r["status"]) for r in spark.read.parquet(str(tmp_path / "store")).collect()} == {(1, "b"), (2, "a")}
+    assert {(r["job_id"], r["status"]) for r in read_store(spark, str(tmp_path / "store"), changes.schema).collect()} == {(1, "b"), (2, "a")}
 
 
 def test_every_vector_is_classified(spark, sf):
@@ -65,8 +67,8 @@ def test_concepts_in_blocks_are_not_broadcast_by_hint(spark):
     profiles = v.groupBy("chapter_id").agg(F.min_by("embedding", "question_id").alias("title_embedding"), F.max_by("embedding", "question_id").alias("summary_embedding"))
     whole = v.groupBy("chapter_id").agg(F.collect_list("embedding").alias("concepts"))
     few = v.where("question_id < 50").select("question_id", "embedding")
-    want = vectors.classify_vector(few, profiles.join(whole, "chapter_id"), scope=[])
-    got = vectors.classify_vector(few, profiles, scope=[], concept_rows=v.select("chapter_id", F.col("embedding").alias("concept")))
+    want = V.classify_vector(few, profiles.join(whole, "chapter_id"), scope=[])
+    got = V.classify_vector(few, profiles, scope=[], concept_rows=v.select("chapter_id", F.col("embedding").alias("concept")))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert "broadcast" not in got._jdf.queryExecution().analyzed().toString().lower()
 
@@ -112,6 +114,9 @@ def test_costs(spark):
     assert got == [1.17, 0.75, 0.02, 0.0, 0.000003, 0.0]
 
 
+BANK = "owner_id string, paper_id long, question_no int, question_text string"
+
+
 def test_questions_are_persisted_once(spark, tmp_path):
     raw = [("a", 1, 0, "What is the speed of light in vacuum", "1"), ("a", 1, 1, "What is the speed of light in vacuum today", "1"), ("a", 1, 2, "short", "2"), ("b", 1, 0, "State the second law of motion", None)]
     df = spark.createDataFrame(raw, "owner_id string, paper_id long, row_order long, question_text string, questionNo string")
@@ -119,9 +124,9 @@ def test_questions_are_persisted_once(spark, tmp_path):
     for checkpoint in ("one", "two"):  # the second reads everything anew
         q = persist_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), str(tmp_path / "bank"), str(tmp_path / checkpoint))
         q.awaitTermination()
-        got = {(r["owner_id"], r["paper_id"], r["question_no"], r["question_text"]) for r in spark.read.parquet(str(tmp_path / "bank")).collect()}
+        got = {(r["owner_id"], r["paper_id"], r["question_no"], r["question_text"]) for r in read_store(spark, str(tmp_path / "bank"), BANK).collect()}
         assert got == {("a", 1, 1, raw[1][3]), ("b", 1, 1, raw[3][3])}
-    assert spark.read.parquet(str(tmp_path / "bank")).count() == 2
+    assert read_store(spark, str(tmp_path / "bank"), BANK).count() == 2
 
 
 def test_last_years(spark):
