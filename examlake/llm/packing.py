@@ -68,7 +68,7 @@ class WordCache:
     spaces; the marks of words' ends, or offsets, tell which ids are whose.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.whole, self.most = Tokenizer.from_file(path), most
