@@ -81,7 +81,7 @@ def test_marks_behind_long_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     q = registry.queries()
     got = {r["row_order"]: r["marks"] for r in q["marks_in_whole_texts"](spark, str(tmp_path)).collect()}
-    assert got == {0: 4, 1: 2, 2: 5, 3: 10, 4: 17}
+    assert got == {0: 4, 1: 2.5, 2: 5, 3: 10, 4: 17}
     assert q["marks_from_text"](spark, str(tmp_path)).where("row_order = 3").first()["marks"] == 10
 
 
