@@ -15,6 +15,8 @@ from examlake.sources.written import written
 #: Line tolerance, margin and column shares of the page width, shortest body, most questions a paper, chunk size.
 LINE_TOLERANCE, MARGIN, ENGLISH_BAND = 4.0, 0.68, 0.42
 SHORTEST, MOST_QUESTIONS, CHUNK = 15, 300, 28_000
+#: Rows of a paper that may go on on the next page, characters shown of them.
+LAST_ROWS, SNIPPET = 4, 80
 HEADER_LINE = r"(?i)^SECTION\s*[-–—]|^Page\s+\d+|^P\.T\.O\."
 OPTION_LINE = r"(?i)^\(\s*[A-D]\s*\)|^[A-D][).:\s]"
 ANSWER = (
@@ -167,6 +169,26 @@ def flatten_model_answers(answers: DataFrame, provider: Provider | None = None)
     return infer_marks(rows, T.section_rules(F.col("instructions")))
 
 
+def extracted_so_far(questions: DataFrame, expected: DataFrame | None = None, last: int = LAST_ROWS) -> DataFrame:
+    """Paper keys, numbers (ascending, different, from 1 on), expected_count, unfinished of questions already read.
+
+    unfinished: array<struct<question_no, ends>> of those among a paper's last four rows that seem to go on
+    on the next page, with the first 80 characters of their text on one line. It is what a reader of
+    the next page is told; expected is null where no count is known.
+    """
+    keys = keys_of(questions) if expected is None else keys_of(questions, expected)
+    w = Window.partitionBy(*keys).orderBy(F.desc("row_order"))
+    rows = questions.select(*keys, "row_order", "question_no", "question_text").withColumn("__last", F.row_number().over(w) <= last)
+    goes_on = F.col("__last") & T.looks_unfinished(F.col("question_no"), F.col("question_text"))
+    ends = F.regexp_replace(F.substring(T.strip(F.col("question_text")), 1, SNIPPET), "\n", " ")
+    one = F.when(goes_on, F.struct("row_order", F.struct("question_no", ends.alias("ends")).alias("q")))
+    numbers = F.array_sort(F.collect_set(F.when(F.col("question_no") >= 1, F.col("question_no"))))
+    out = rows.groupBy(*keys).agg(numbers.alias("numbers"), F.transform(F.array_sort(F.collect_list(one)), lambda x: x["q"]).alias("unfinished"))
+    if expected is None:
+        return out.withColumn("expected_count", F.lit(None).cast("int"))
+    return out.join(expected.select(*keys, F.when(F.col("expected_count") >= 1, F.col("expected_count")).alias("expected_count")), keys, "left")
+
+
 def choose_extraction(*routes: tuple[str, DataFrame]) -> DataFrame:
     """Each paper's questions by the first route, in the order given, that found any; extracted_by names it."""
     every, keys = None, keys_of(*[found for _, found in routes])

@@ -15,7 +15,7 @@ from examlake.operators.merging import finalize_questions
 from examlake.operators.papers import validated_questions
 from examlake.operators.provider import Provider, vectors_of
 from examlake.operators.records import bank_rows_of_papers, classification_rows, persist_bank_rows
-from examlake.operators.reports import stamp_reports, upsert_jobs
+from examlake.operators.reports import split_solution, stamp_reports, upsert_jobs
 from examlake.operators.rereading import Reader, reread
 from examlake.operators.scans import keys_of
 from examlake.operators.usage import usage_summaries
@@ -44,6 +44,18 @@ class Run:
     reports: DataFrame
 
 
+def as_told(rows: DataFrame, options: Options) -> DataFrame:
+    """Extracted rows with doubtful fractions rewritten too, where options do not ask for the text as it stands, and with solutions split off where they do."""
+    if not options.strict_verbatim:
+        rows = rows.withColumn("question_text", T.notation(F.col("question_text"), strict=False))
+    if options.extract_solutions:
+        parts = T.worked_out(rows, __parts=split_solution(F.col("question_text"), enabled=True))
+        told = F.col("__parts.solution")
+        kept = F.coalesce("solution", told) if "solution" in rows.columns else told
+        rows = parts.withColumn("question_text", F.col("__parts.question_text")).withColumn("solution", kept).drop("__parts")
+    return rows
+
+
 def _named(column: str, names: dict[str, str]) -> Column:
     out = F.lit(None).cast("string")
     for name, put in names.items():
@@ -67,13 +79,15 @@ def run_jobs(
     papers: owner_id, paper_id, class_id, paper_source, year, n_pages, last_quality_report,
     last_extraction_job_id; extracted: owner_id, paper_id, row_order, question_no, question_text, marks,
     has_figure, extracted_by and, where rows say them, total_questions, total_marks, instructions, rules;
-    usage: events with owner_id and job_id. With options.persist off bank and classifications stay.
+    usage: events with owner_id and job_id. With options.persist off bank and classifications stay; with
+    extract_solutions a number's first solution goes to the bank, with strict_verbatim off doubtful
+    fractions are rewritten.
     """
     mine = papers.join(jobs.select(*KEYS).distinct(), KEYS, "left_semi")
     rows = extracted.join(mine.select(*KEYS), KEYS, "left_semi")
     for c in META:
         rows = rows if c in rows.columns else rows.withColumn(c, F.lit(None).cast(META_KINDS[c]))
-    rows = written(rows, "extracted")
+    rows = written(as_told(rows, options), "extracted")
     meta = written(paper_meta(rows), "meta")
     told = mine.select(*KEYS, "n_pages").join(meta.select(*KEYS, "instructions"), KEYS, "left")
     counted = lambda some: expected_counts(some.drop(*META).join(meta, KEYS, "left"))
@@ -92,7 +106,11 @@ def run_jobs(
     reports = quality_report(expected.select(*KEYS, "expected_count", "expected_marks"), questions)
     questions = _classified(questions, chapters, overrides, assignments, profiles, embedder, options)
     by = rows.groupBy(*KEYS).agg(F.min("extracted_by").alias("extracted_by"))
-    questions = written(questions.join(by, KEYS, "left"), "classified")
+    questions = questions.join(by, KEYS, "left")
+    if "solution" in rows.columns:
+        told = rows.where("question_no is not null").groupBy(*KEYS, "question_no").agg(F.min_by("solution", F.when(F.col("solution").isNotNull(), F.col("row_order"))).alias("solution"))
+        questions = questions.join(told, [*KEYS, "question_no"], "left")
+    questions = written(questions, "classified")
     if options.persist:
         facts = F.create_map(F.lit("totalQuestions"), F.col("total_questions").cast("string"), F.lit("marksInferred"), F.when(F.col("marks_inferred"), "true"), F.lit("hasFigure"), F.when(F.col("has_figure"), "true"))
         new = bank_rows_of_papers(questions.withColumn("id", F.col("question_id")).withColumn("metadata", facts), mine)

@@ -6,8 +6,10 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from examlake.functions import text as T
 from examlake.operators.bank import near_duplicate_pairs
@@ -102,6 +104,21 @@ def without_repeats(text: str) -> str:
     return (first or [max(kept, key=lambda k: k.score)])[0].text.strip()
 
 
+#: Texts without one of these have one section.
+_MANY_SECTIONS = r"\n[ \t]*\n|\n\.\.\.|(?m)^\(D\)"
+
+
+@F.pandas_udf(StringType())
+def _without_repeats(texts: pd.Series) -> pd.Series:
+    return texts.map(without_repeats, na_action="ignore")
+
+
+def without_repeats_column(text: Column) -> Column:
+    """`without_repeats` of a column; texts of one section, most of them, are not sent to Python."""
+    many = F.coalesce(text.rlike(_MANY_SECTIONS), F.lit(False))
+    return F.when(many, _without_repeats(F.when(many, text))).otherwise(T.strip(text))
+
+
 @dataclass(frozen=True)
 class Standing:
     """What stands for a question so far: its text, whether that is a sub-part only, and the row it came from."""
@@ -166,7 +183,7 @@ def merge_rows(rows: DataFrame, keys: list[str], clean: bool = False) -> DataFra
         rows = rows.withColumn("marks", F.col("marks").cast("double"))
     names = rows.columns
     of_key = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    many = F.col("question_text").rlike(r"\n[ \t]*\n|\n\.\.\.|(?m)^\(D\)") if clean else F.lit(False)
+    many = F.col("question_text").rlike(_MANY_SECTIONS) if clean else F.lit(False)
     marked = rows.withColumn("__simple", (of_key == 1) & ~F.coalesce(many, F.lit(False)))
     folded = fold_sorted(marked.where(~F.col("__simple")).drop("__simple"), keys, ["row_order", "question_text"], typed(rows, names), lambda: _Merge(clean, names))
     alone = marked.where("__simple").drop("__simple")

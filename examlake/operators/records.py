@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from examlake.functions import text as T
 from examlake.operators.bank import apply_edits, persist_questions, upsert
+from examlake.operators.merging import without_repeats_column as without_repeats
 from examlake.operators.scans import keys_of
 
 #: The labels that columns may hold.
@@ -139,8 +140,13 @@ def bank_rows_of_materials(questions: DataFrame, materials: DataFrame) -> DataFr
     return _bank_rows(rows, **put, origin_type=F.lit("material"), material_id=F.col("material_id").cast("string"), question_paper_id=none, chapter_confidence=F.coalesce(first_of(rows, "chapter_confidence", kind="int"), F.lit(100)), question_no=F.col("question_no"), source=material_source(F.col("__exam_source")), year=F.lit(None).cast("int"))
 
 
-def bank_questions(bank: DataFrame) -> DataFrame:
-    """Bank rows as questions: numbers cast, unset values null, metadata as a map (empty if it is no JSON object), unknown extractor `existing`."""
+def bank_questions(bank: DataFrame, clean: bool = False) -> DataFrame:
+    """Bank rows as questions: numbers cast, unset values null, metadata as a map (empty if it is no JSON object), unknown extractor `existing`.
+
+    `clean` cuts texts down to English and takes out what is written twice in them.
+    """
+    if clean:
+        bank = bank.withColumn("question_text", without_repeats(T.english_only(F.col("question_text"))))
     meta = F.coalesce(F.from_json(F.col("metadata"), "map<string,string>"), F.create_map().cast("map<string,string>"))
     blank = lambda c: F.nullif(F.col(c), F.lit(""))
     return bank.select("owner_id", "id", "question_no", F.coalesce("question_text", F.lit("")).alias("question_text"), F.col("marks").cast("double").alias("marks"), blank("solution").alias("solution"), blank("topic").alias("topic"), "chapter_id", "chapter_name", F.col("chapter_confidence").cast("double").alias("chapter_confidence"), "unit_id", F.coalesce(blank("extracted_by"), F.lit("existing")).alias("extracted_by"), meta.alias("metadata"))

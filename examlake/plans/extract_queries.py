@@ -52,6 +52,15 @@ def text_questions(spark, d):
     return _digest(E.text_questions(docs))
 
 
+def question_table(spark, d):
+    """Chunks of every document by the table function, from SQL."""
+    from examlake.functions.tables import register
+
+    register(spark)
+    src.read(spark, d, "documents").createOrReplaceTempView("question_table_documents")
+    return spark.sql("SELECT doc_id AS paper_id, q.pos, q.question_no, length(q.chunk) AS n_chars, md5(q.chunk) AS text_md5 FROM question_table_documents, LATERAL question_chunks(text) q")
+
+
 def text_chunks(spark, d):
     pages = src.text_bank(spark, d).select("paper_id", F.col("row_order").alias("page_no"), F.col("question_text").alias("text"))
     return E.text_chunks(pages).select("paper_id", "chunk_no", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
@@ -116,6 +125,12 @@ def unfinished_questions(spark, d):
     return rows.select(*_SHOWN, F.regexp_replace(F.substring(T.strip(F.col("question_text")), 1, 80), "\n", " ").alias("snippet"))
 
 
+def extracted_so_far(spark, d):
+    out = E.extracted_so_far(src.text_bank(spark, d), _expected(spark, d))
+    said = F.transform("unfinished", lambda q: F.concat_ws(": ", q["question_no"].cast("string"), q["ends"]))
+    return out.select("paper_id", F.array_join("numbers", ",").alias("numbers"), "expected_count", F.array_join(said, "|").alias("unfinished"))
+
+
 UNFINISHED = rf"""WITH {QUESTIONS}, l AS (SELECT *, trim(question_text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM q QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY row_order DESC) <= 4)
 SELECT paper_id, question_no, row_order, replace(substring(t, 1, 80), chr(10), ' ') AS snippet FROM l
 WHERE (regexp_matches(question_text, '(?i)\([ia]\)\s') AND NOT regexp_matches(question_text, '(?i)\((iii|iv|v|vi|vii|viii|ix|x)\)\s'))
@@ -123,6 +138,11 @@ WHERE (regexp_matches(question_text, '(?i)\([ia]\)\s') AND NOT regexp_matches(qu
  OR (length(question_text) > 200 AND NOT regexp_matches(t, '[.?:]$') AND question_no >= 29)"""
 
 
+SO_FAR = rf"""WITH u AS ({UNFINISHED}), n AS (SELECT doc_id // 40 AS paper_id, list_sort(list_distinct(list((1 + doc_id * doc_id % 37)::INT))) AS nos FROM documents GROUP BY ALL),
+ s AS (SELECT paper_id, string_agg(question_no || ': ' || snippet, '|' ORDER BY row_order) AS said FROM u GROUP BY ALL)
+SELECT paper_id, array_to_string(nos, ',') AS numbers, CASE WHEN paper_id % 5 > 0 THEN (20 + paper_id % 14)::INT END AS expected_count, coalesce(said, '') AS unfinished FROM n LEFT JOIN s USING (paper_id)"""
+
+
 def continued_questions(spark, d):
     first = P.validated_questions(src.text_bank(spark, d), _expected(spark, d))
     more = src.read(spark, d, "conversations").select(F.expr("conv_id div 10").alias("paper_id"), (F.col("turn") + 1).cast("int").alias("question_no"), (F.col("conv_id") * 100 + F.col("turn")).alias("pos"), F.col("text").alias("append_text"))
@@ -262,6 +282,8 @@ QUERIES = {
     "inferred_marks": (inferred_marks, INFERRED),
     "continued_questions": (continued_questions, None),
     "unfinished_questions": (unfinished_questions, UNFINISHED),
+    "extracted_so_far": (extracted_so_far, SO_FAR),
+    "question_table": (question_table, None),
     "notation_counts": (notation_counts, None),
     "concept_names": (concept_names, f"WITH {CONCEPTS} SELECT * FROM concepts"),
     "built_knowledge": (built_knowledge, BUILT),

@@ -94,11 +94,11 @@ SELECT owner_id, class_id, length(text)::INT AS n, md5(text) AS text_md5 FROM g"
 
 def text_routes(spark, d):
     i = F.col("doc_id")
-    t = src.read(spark, d, "documents").select("doc_id", (i % 2 == 0).alias("is_pdf"), F.expr("substring(text, 1, cast(doc_id % 160 as int))").alias("layout_text"), F.expr("substring(text, 1, cast(doc_id * 7 % 200 as int))").alias("raw_text"))
+    t = src.read(spark, d, "documents").select("doc_id", (i % 2 == 0).alias("is_pdf"), F.when(i % 5 == 0, "").when(i % 7 == 0, F.regexp_replace("text", "[a-m]", "1")).otherwise(F.col("text")).alias("layout_text"), F.when(i % 3 == 0, " \n").otherwise(F.col("text")).alias("raw_text"))
     return R.text_route(t).select("doc_id", F.length("text").alias("n"), "by_text")
 
 
-TEXT_ROUTES = r"""WITH t AS (SELECT doc_id, doc_id % 2 = 0 AS pdf, substring(text, 1, (doc_id % 160)::INT) AS a, substring(text, 1, (doc_id * 7 % 200)::INT) AS b FROM documents),
+TEXT_ROUTES = r"""WITH t AS (SELECT doc_id, doc_id % 2 = 0 AS pdf, CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 7 = 0 THEN regexp_replace(text, '[a-m]', '1', 'g') ELSE text END AS a, CASE WHEN doc_id % 3 = 0 THEN ' ' || chr(10) ELSE text END AS b FROM documents),
  n AS (SELECT *, length(regexp_replace(a, '[^A-Za-z]', '', 'g')) AS la, length(regexp_replace(b, '[^A-Za-z]', '', 'g')) AS lb, regexp_matches(a, '\S') AS sa, regexp_matches(b, '\S') AS sb FROM t),
  c AS (SELECT *, CASE WHEN sa AND (NOT sb OR la >= lb) THEN a WHEN sb THEN b ELSE '' END AS text FROM n)
 SELECT doc_id, length(text)::INT AS n, (length(regexp_replace(text, '[^A-Za-z]', '', 'g')) >= 25 OR length(regexp_replace(text, '\s', '', 'g')) >= 120) AND (NOT pdf OR la >= 80) AS by_text FROM c"""
@@ -106,23 +106,23 @@ SELECT doc_id, length(text)::INT AS n, (length(regexp_replace(text, '[^A-Za-z]',
 
 def split_solutions(spark, d):
     i = F.col("row_order")
-    t = src.text_bank(spark, d).select("row_order", F.concat(F.substring("question_text", 1, 30), F.when(i % 3 == 0, "\nSolution: as shown\nabove").when(i % 3 == 1, "\nANSWER - x").otherwise(" the answer is")).alias("t"))
+    t = src.text_bank(spark, d).select("row_order", F.concat("question_text", F.when(i % 3 == 0, "\nSolution: as shown\nabove").when(i % 3 == 1, "\nANSWER - x").otherwise(" the answer is")).alias("t"))
     s = R.split_solution(F.col("t"), enabled=True)
     return t.select("row_order", s["solution"].alias("solution"), F.length(s["question_text"]).alias("n"), F.length(R.split_solution(F.col("t"))["question_text"]).alias("whole"))
 
 
-SOLUTIONS = rf"""WITH {TEXTS}, t AS (SELECT row_order, trim(substring(question_text, 1, 30), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS head, trim(substring(question_text, 1, 30) || CASE row_order % 3 WHEN 0 THEN e'\nSolution: as shown\nabove' WHEN 1 THEN e'\nANSWER - x' ELSE ' the answer is' END, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS whole FROM texts)
+SOLUTIONS = rf"""WITH {TEXTS}, t AS (SELECT row_order, trim(question_text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS head, trim(question_text || CASE row_order % 3 WHEN 0 THEN e'\nSolution: as shown\nabove' WHEN 1 THEN e'\nANSWER - x' ELSE ' the answer is' END, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS whole FROM texts)
 SELECT row_order, CASE row_order % 3 WHEN 0 THEN e'as shown\nabove' WHEN 1 THEN 'x' END AS solution, length(CASE WHEN row_order % 3 < 2 THEN head ELSE whole END)::INT AS n, length(whole)::INT AS whole FROM t"""
 
 
 def notation_tokens(spark, d):
     i = F.col("row_order")
-    t = src.text_bank(spark, d).select("row_order", F.concat(F.when(i % 2 == 0, "\\vec{E}"), F.substring("question_text", 1, 10), F.lit("\\frac{1}{2x}\\hat{i}"), F.when(i % 3 == 0, "[Figure: a lens]").otherwise(" end")).alias("t")).unionByName(src.text_bank(spark, d).where("row_order % 2 = 1").select((-F.col("row_order")).alias("row_order"), F.concat(F.substring("question_text", 1, 10), F.lit(" plain")).alias("t")))
+    t = src.text_bank(spark, d).select("row_order", F.concat(F.when(i % 2 == 0, "\\vec{E}"), "question_text", F.lit("\\frac{1}{2x}\\hat{i}"), F.when(i % 3 == 0, "[Figure: a lens]").otherwise(" end")).alias("t")).unionByName(src.text_bank(spark, d).where("row_order % 2 = 1").select((-F.col("row_order")).alias("row_order"), F.concat("question_text", F.lit(" plain")).alias("t")))
     x = t.select("row_order", F.posexplode(R.notation_tokens(F.col("t"))).alias("place", "x"))
     return x.select("row_order", "place", "x.kind", "x.value", "x.below")
 
 
-TOKENS = rf"""WITH {TEXTS}, s AS (SELECT row_order, substring(question_text, 1, 10) AS h FROM texts), k AS (SELECT row_order, [{{'kind': 'vec', 'value': 'E', 'below': NULL::VARCHAR}}, {{'kind': 'text', 'value': h, 'below': NULL}}, {{'kind': 'frac', 'value': '1', 'below': '2x'}}, {{'kind': 'hat', 'value': 'i', 'below': NULL}},
+TOKENS = rf"""WITH {TEXTS}, s AS (SELECT row_order, question_text AS h FROM texts), k AS (SELECT row_order, [{{'kind': 'vec', 'value': 'E', 'below': NULL::VARCHAR}}, {{'kind': 'text', 'value': h, 'below': NULL}}, {{'kind': 'frac', 'value': '1', 'below': '2x'}}, {{'kind': 'hat', 'value': 'i', 'below': NULL}},
  CASE WHEN row_order % 3 = 0 THEN {{'kind': 'figure', 'value': '[Figure: a lens]', 'below': NULL::VARCHAR}} ELSE {{'kind': 'text', 'value': ' end', 'below': NULL::VARCHAR}} END] AS x FROM s WHERE row_order % 2 = 0
  UNION ALL SELECT -row_order, [{{'kind': 'text', 'value': h || ' plain', 'below': NULL::VARCHAR}}] FROM s WHERE row_order % 2 = 1), u AS (SELECT row_order, unnest(list_filter(x, lambda t: t.value <> '')) AS t, unnest(range(len(list_filter(x, lambda t: t.value <> '')))) AS place FROM k)
 SELECT row_order, place::INT AS place, t.kind AS kind, t.value AS value, t.below AS below FROM u"""
