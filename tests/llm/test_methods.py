@@ -148,11 +148,14 @@ def test_quality_on_rows_not_trained_on(spark):
 
 
 def test_verdict_follows_the_limits(spark, sf):
-    """kept is the base rule and every share of characters within its limit, recomputed by plain loops."""
+    """kept is the base rule and every share of characters within its limit, recomputed by plain loops, on both sides of the limits."""
     limits = repetition.NGRAM_LIMITS
-    rows = {r["doc_id"]: r for r in repetition.repetition_rules(table(spark, sf, "documents")).collect()}
-    rejected = 0
-    for r in table(spark, sf, "documents").collect():
+    few = " ".join(f"{chr(97 + i % 26)}{i}" for i in range(90))
+    made = [(-1, f"{few} {'the same ' * 30}"), (-2, f"{few} one pair here one pair there"), (-3, "\n".join([few, *["a line that comes again and again"] * 2, few[::-1]])), (-4, "\n".join(f"{i} b{i} c{i} repeated words of line" for i in range(60))), (-5, few)]
+    docs = table(spark, sf, "documents").select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id long, text string"))
+    rows = {r["doc_id"]: r for r in repetition.repetition_rules(docs).collect()}
+    beyond_base = 0
+    for r in docs.collect():
         ws = [w.decode() for w in (r["text"] or "").encode().split()]
         chars = sum(map(len, ws))
         kept = not rows[r["doc_id"]]["base_failed"]
@@ -160,9 +163,15 @@ def test_verdict_follows_the_limits(spark, sf):
             grams = Counter(tuple(ws[j : j + n]) for j in range(len(ws) - n + 1))
             hit = {j + k for j in range(len(ws) - n + 1) if grams[tuple(ws[j : j + n])] > 1 for k in range(n)}
             kept &= not chars or sum(len(ws[j]) for j in hit) / chars <= limit
-        assert rows[r["doc_id"]]["kept"] <= kept, r["doc_id"]
-        rejected += not rows[r["doc_id"]]["kept"]
-    assert rejected
+        lines, again = set(), 0
+        for line in (r["text"] or "").split("\n"):
+            bare = line.encode().split()
+            again += sum(len(w.decode()) for w in bare) if line in lines else 0
+            lines |= {line} if bare else set()
+        kept &= not chars or again / chars <= repetition.LINE_LIMIT
+        assert rows[r["doc_id"]]["kept"] == kept, r["doc_id"]
+        beyond_base += not kept and not rows[r["doc_id"]]["base_failed"]
+    assert rows[-5]["kept"] and rows[-2]["kept"] and not rows[-1]["kept"] and beyond_base
 
 
 def test_other_tokenizers_encode_whole_texts():
