@@ -170,9 +170,10 @@ def notation(text: Column, strict: bool = True) -> Column:
     `strict` leaves doubtful readings of stacked fractions as they are.
     """
     rules = [*VECTORS, *SUBSCRIPTS, *UNIT_VECTORS, *([] if strict else MISREAD_FRACTIONS), *PLAIN_FRACTIONS]
+    out = text
     for pattern, put in rules:
-        text = F.regexp_replace(text, pattern, put)
-    return text
+        out = F.regexp_replace(out, pattern, put)
+    return F.when(text.rlike(ANY_SIGN), out).otherwise(text) if strict else out
 
 
 #: Spellings of signs, as (pattern, replacement), applied in this order.
@@ -192,6 +193,8 @@ UNIT_VECTORS = [
     (r"(?i)\bj\s*(?:hat|\^|\x{0302})", r"\\hat{j}"),
     (r"(?i)\bk\s*(?:hat|\^|\x{0302})", r"\\hat{k}"),
 ]
+#: Some of this is in every text that the rules above, or the last one, change; most texts hold none of it.
+ANY_SIGN = r"[\r→\x{20D7}îĵ\x{0302}^]|[A-Za-zμελρσπ]0|\b[ijkIJK]\s*(?i:hat)|R/\(μ"
 MISREAD_FRACTIONS = [
     (r"(?i)\(A\)\s*R\s*[-–—]\s*1/μ", r"(A) \\frac{R}{μ−1}"),
     (r"(?i)\(B\)\s*R\s*[-–—]\s*-?\s*1/μ", r"(B) \\frac{−R}{μ−1}"),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,16 +29,26 @@ PAPER = f"struct<totalQuestions:string,total_questions:string,generalInstruction
 QUESTION_COLUMNS = ["row_order", "question_no", "question_text", "marks", "has_figure"]
 
 
-class _Lines(Fold):
-    """Numbers a page's items, highest first: a new line starts beyond the tolerance from the line's first item."""
+def _with_line_no(rows: DataFrame, page: list[str]) -> DataFrame:
+    """rows with line_no: a page's items are read from the top, and a new line starts beyond the tolerance from the line's first item.
 
-    def __init__(self) -> None:
-        self.line, self.y = -1, None
+    Sorted pages stream through Arrow batches; only the keys and places are looked at one by one.
+    """
 
-    def feed(self, row) -> list[tuple]:
-        if self.y is None or abs(row.y - self.y) > LINE_TOLERANCE:
-            self.line, self.y = self.line + 1, row.y
-        return [(*row[:-5], self.line, row.page_width, row.x, row.str)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, line, top = None, -1, 0.0
+        for batch in batches:
+            numbers = []
+            for *key, y in zip(*[batch.column(c).to_pylist() for c in (*page, "y")], strict=True):
+                if key != at:
+                    at, line, top = key, 0, y
+                elif abs(y - top) > LINE_TOLERANCE:
+                    line, top = line + 1, y
+                numbers.append(line)
+            yield batch.append_column("line_no", pa.array(numbers, pa.int32()))
+
+    dealt = rows.repartition(*page).sortWithinPartitions(*page, F.desc("y"), "x", "str")
+    return dealt.mapInArrow(run, typed(rows, rows.columns, "line_no int"))
 
 
 def lines_of_items(items: DataFrame) -> DataFrame:
@@ -44,11 +57,9 @@ def lines_of_items(items: DataFrame) -> DataFrame:
     body is the most readable of the right half, the English column and the left half; a number at the
     far right is the line's mark. Blank items are dropped, null places count as 0.
     """
-    rows = items.where(F.col("str").rlike(r"\S")).withColumns({"y": F.coalesce(F.col("y").cast("double"), F.lit(0.0)), "x": F.coalesce(F.col("x").cast("double"), F.lit(0.0)), "__down": -F.coalesce(F.col("y").cast("double"), F.lit(0.0))})
-    page = [*keys_of(items), "page_no"]
-    rows = rows.select(*page, F.col("page_width").cast("double").alias("page_width"), "x", "y", "str", F.col("__down").alias("down"))
-    schema = typed(rows, page, "line_no int, page_width double, x double, str string")
-    numbered = fold_sorted(rows, page, ["down", "x", "str"], schema, _Lines)
+    page, place = [*keys_of(items), "page_no"], [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in "xy"]
+    rows = items.where(F.col("str").rlike(r"\S")).select(*page, F.col("page_width").cast("double").alias("page_width"), *place, "str")
+    numbered = _with_line_no(rows, page)
     w = F.col("page_width")
     one = F.struct("x", F.col("str").alias("s"))
     lines = numbered.groupBy(*page, "line_no", "page_width").agg(F.array_sort(F.collect_list(one)).alias("items"))

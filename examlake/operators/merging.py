@@ -15,6 +15,7 @@ from examlake.functions import text as T
 from examlake.operators.bank import near_duplicate_pairs
 from examlake.operators.folds import Fold, fold_sorted, typed
 from examlake.operators.scans import keys_of, paper_order, set_key, set_order
+from examlake.sources.written import written
 
 #: Word-set shares from which texts count as the same question, copy, or repeated section; lengths.
 SAME_TEXT, SAME_QUESTION, SAME_BLOCK = 0.35, 0.38, 0.42
@@ -184,7 +185,7 @@ def merge_rows(rows: DataFrame, keys: list[str], clean: bool = False) -> DataFra
     names = rows.columns
     of_key = F.count(F.lit(1)).over(Window.partitionBy(*keys))
     many = F.col("question_text").rlike(_MANY_SECTIONS) if clean else F.lit(False)
-    marked = rows.withColumn("__simple", (of_key == 1) & ~F.coalesce(many, F.lit(False)))
+    marked = written(rows.withColumn("__simple", (of_key == 1) & ~F.coalesce(many, F.lit(False))), "marked")
     folded = fold_sorted(marked.where(~F.col("__simple")).drop("__simple"), keys, ["row_order", "question_text"], typed(rows, names), lambda: _Merge(clean, names))
     alone = marked.where("__simple").drop("__simple")
     return folded.unionByName(alone.withColumn("question_text", T.strip(F.col("question_text"))) if clean else alone)
@@ -299,7 +300,7 @@ def drop_near_copies(questions: DataFrame, threshold: float = 0.72) -> DataFrame
     keys = keys_of(questions)
     has_sets = {"series", "set", "code_no"} <= set(questions.columns)
     order = Window.partitionBy(*keys).orderBy(*(set_order() if has_sets else paper_order()), "row_order")
-    placed = best_per_number(questions).withColumn("__place", F.row_number().over(order).cast("long"))
+    placed = written(best_per_number(questions).withColumn("__place", F.row_number().over(order).cast("long")), "placed")
     pairs = near_duplicate_pairs(placed.select(*keys, F.col("__place").alias("row_order"), "question_text"), threshold)
     like = pairs.where("kind = 'like'").select(*keys, F.col("row_b").alias("place"), F.col("row_a").alias("earlier"))
     schema = ", ".join([*[f"{k} {questions.schema[k].dataType.simpleString()}" for k in keys], "place long"])

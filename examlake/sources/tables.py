@@ -7,7 +7,14 @@ from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{str(sf_dir).rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{str(sf_dir).rstrip('/')}/{name}.parquet")
+    return dealt_round(df) if name == "documents" else df
+
+
+def dealt_round(df: DataFrame) -> DataFrame:
+    """df, its rows dealt to as many tasks as there are cores where its files give fewer: a file of one row group is one task's, however long its texts are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def papers(spark, sf_dir) -> DataFrame:
