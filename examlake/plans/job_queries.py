@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from examlake.operators import jobs as J
+from examlake.operators import provider as P
 from examlake.operators.records import BANK_COLUMNS
 from examlake.operators.rereading import table_reader
 from examlake.sources import tables as src
@@ -62,6 +63,15 @@ def job_classifications(spark, d):
     return c.select("owner_id", "question_id", "chapter_id", F.col("confidence").cast("double").alias("confidence"), "review_status", "classification_source")
 
 
+def provided_answers(spark, d):
+    """Every turn asked for, answers of even ones looked up in a table."""
+    c = src.read(spark, d, "conversations").select(F.col("conv_id").alias("paper_id"), F.col("turn").alias("answer_no"), "text")
+    provider = P.from_table(c.where("answer_no % 2 = 0").withColumnRenamed("text", "answer"), ["paper_id", "answer_no"])
+    return provider(c.drop("text")).select("paper_id", "answer_no", F.md5("answer").alias("answer_md5"), "attempts", "error")
+
+
+PROVIDED = f"""SELECT conv_id AS paper_id, turn AS answer_no, CASE WHEN turn % 2 = 0 THEN md5(text) END AS answer_md5, 1 AS attempts, CASE WHEN turn % 2 <> 0 THEN '{P.NO_ANSWER}' END AS error FROM conversations"""
+
 #: Numbers that a paper has in the end: extracted ones, and those on pages that it has, up to its count; none if nothing was extracted.
 JOBS = """o AS (SELECT 'u' || (o_custkey % 7) AS owner_id, o_orderkey AS k, 4 + o_orderkey % 4 AS total, 1 + o_orderkey % 3 AS n_pages, o_orderkey % 10 < 8 AS has_job, year(o_orderdate) AS y FROM orders),
  l AS (SELECT l_orderkey AS k, l_linenumber AS no, bool_or(l_partkey % 4 <> 0) AS extracted, min(CASE WHEN l_partkey % 4 = 0 THEN 1 + l_suppkey % 4 END) AS page FROM lineitem GROUP BY ALL),
@@ -90,4 +100,5 @@ QUERIES = {
     "job_bank": (job_bank, BANK_AFTER),
     "job_rows": (job_rows, JOB_ROWS),
     "job_classifications": (job_classifications, CLASSIFIED),
+    "provided_answers": (provided_answers, PROVIDED),
 }
