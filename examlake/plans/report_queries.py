@@ -151,8 +151,8 @@ def job_states(spark, d):
     return out.drop("updated_at").join(stamped, ["owner_id", "paper_id"]).select("owner_id", "paper_id", "job_id", "status", "phase", "question_count", "error", "prompt_version", "last_quality_report", "last_extraction_job_id")
 
 
-JOB_STATES = f"""WITH {PAPERS}, last AS (SELECT l_orderkey AS paper_id, max(l_linenumber) AS n FROM lineitem GROUP BY ALL)
-SELECT owner_id, p.paper_id, 'j' || p.paper_id AS job_id, CASE n % 3 WHEN 0 THEN 'running' WHEN 1 THEN 'completed' WHEN 2 THEN 'failed' ELSE 'queued' END AS status, CASE WHEN n IS NULL THEN 'queued' ELSE 'step ' || n END AS phase, CASE WHEN n % 3 = 1 THEN n END::BIGINT AS question_count, CASE WHEN n % 3 = 2 THEN 'timeout' END AS error, 'v3' AS prompt_version,
+JOB_STATES = f"""WITH {PAPERS}, last AS (SELECT l_orderkey AS paper_id, max(l_linenumber) AS n, max(l_linenumber) FILTER (l_linenumber % 3 = 1) AS c FROM lineitem GROUP BY ALL)
+SELECT owner_id, p.paper_id, 'j' || p.paper_id AS job_id, CASE n % 3 WHEN 0 THEN 'running' WHEN 1 THEN 'completed' WHEN 2 THEN 'failed' ELSE 'queued' END AS status, CASE WHEN n IS NULL THEN 'queued' ELSE 'step ' || n END AS phase, c::BIGINT AS question_count, CASE WHEN n % 3 = 2 THEN 'timeout' END AS error, 'v3' AS prompt_version,
  CASE WHEN n % 3 = 1 THEN '{{"question_count":' || n || '}}' END AS last_quality_report, CASE WHEN n % 3 = 1 THEN 'j' || p.paper_id END AS last_extraction_job_id FROM papers p LEFT JOIN last USING (paper_id)"""
 
 
