@@ -92,3 +92,33 @@ def test_long_rows_are_cut_before_lines_that_start_a_question(spark):
     got = [(r.question_no, r.question_text) for r in M.split_long_rows(spark.createDataFrame([(1, 0, 17, text, None, False)], ROWS)).collect()]
     assert got == [(p["no"], p["text"]) for p in plain.split({"no": 17, "text": text})]
     assert [no for no, _ in got] == [17, 20]
+
+
+def test_sections_are_looked_at_once(monkeypatch):
+    """A long text of many options and stems, and one of many unlike sections: the work grows with the text, not with its square."""
+    looked, compared = [], []
+    of, share = M.Telling.of, M.Telling.share
+    monkeypatch.setattr(M.Telling, "of", staticmethod(lambda text, marks=None: looked.append(len(text)) or of(text, marks)))
+    monkeypatch.setattr(M.Telling, "share", lambda self, other: compared.append(1) or share(self, other))
+    stems = "\n".join(f"What is the name of planet number{i} in the long list of them?" for i in range(300))
+    assert M.without_repeats(f"{stems}\n(D) none") == f"{stems}\n(D) none"
+    assert sum(looked) < 3 * len(stems)
+    unlike = [f"solar{i} lunar{i} comet{i} orbit{i}" for i in range(300)]
+    assert M.without_repeats("\n\n".join([*unlike, unlike[7] + " and pluto with all of its own moons"])).startswith(unlike[7] + " and")
+    assert len(compared) < 400
+
+
+def test_folds_hold_few_rows_as_values_and_keep_kinds(spark, monkeypatch):
+    """Rows of a large batch become Python values a slice at a time; whole numbers, nulls and arrays pass a fold as they are."""
+    from examlake.operators import folds
+
+    class Seen(folds.Fold):
+        def feed(self, row):
+            return [(row.k, row.n, row.d, row.a, type(row.n).__name__)]
+
+    df = spark.range(3000, numPartitions=1).selectExpr("id % 7 AS k", "CASE WHEN id % 3 > 0 THEN cast(id AS int) END AS n", "CASE WHEN id % 5 = 0 THEN double('NaN') ELSE id / 2 END AS d", "array(id, null) AS a")
+    out = folds.fold_sorted(df, ["k"], ["n"], folds.typed(df, df.columns, "kind string"), Seen)
+    assert out.count() == 3000
+    assert {r.kind for r in out.select("kind").distinct().collect()} == {"int", "NoneType"}
+    assert out.where("n is not null").select("k", "n", "a").exceptAll(df.where("n is not null").select("k", "n", "a")).count() == 0
+    assert out.where("d is null").count() == 600
