@@ -40,15 +40,14 @@ def chapters_by_class(chapters: DataFrame) -> DataFrame:
     """class_id (and owner_id, where chapters have it), chapters: the class's chapters in their order, with key and key words."""
     key = chapter_key(F.col("name"))
     words = F.filter(F.split(key, r"\W+"), lambda w: F.length(w) > 3)
-    one = F.struct("chapter_pos", "chapter_id", "unit_id", "name", key.alias("key"), words.alias("words"))
+    one = F.struct("chapter_pos", "chapter_id", "unit_id", "name", key.alias("key"), words.alias("words"), F.lower("name").alias("low"), chapter_number(F.col("name")).alias("number"))
     return chapters.groupBy(*keys_of(chapters, keys=("class_id",))).agg(F.array_sort(F.collect_list(one)).alias("chapters"))
 
 
 def _keyword_score(text: Column, c: Column) -> Column:
     hit = (F.length(c["key"]) >= 4) & F.contains(text, c["key"])
-    found = F.filter(c["words"], lambda w: F.contains(text, w))
-    by_words = F.aggregate(found, F.lit(0), lambda n, w: n + F.length(w))
-    return F.when(hit, F.length(c["key"]) + 40).when(by_words >= 10, by_words).otherwise(0)
+    by_words = F.aggregate(c["words"], F.lit(0), lambda n, w: n + F.when(F.contains(text, w), F.length(w)).otherwise(0), lambda n: F.when(n >= 10, n).otherwise(0))
+    return F.when(hit, F.length(c["key"]) + 40).otherwise(by_words)
 
 
 def classify_keyword(questions: DataFrame, chapters: DataFrame) -> DataFrame:
@@ -56,13 +55,15 @@ def classify_keyword(questions: DataFrame, chapters: DataFrame) -> DataFrame:
 
     Needs class_id and question_text. No match, a null text or a class without chapters: nulls.
     """
-    rows = questions.drop(*ASSIGNED).join(chapters_by_class(chapters), keys_of(questions, chapters, keys=("class_id",)), "left")
-    text = F.lower(F.coalesce("question_text", F.lit("")))
+    of_class = keys_of(questions, chapters, keys=("class_id",))
+    rows = T.worked_out(questions.drop(*ASSIGNED), __text=F.lower(F.coalesce("question_text", F.lit("")))).join(chapters_by_class(chapters), of_class, "left")
+    text = F.col("__text")
     scored = F.transform("chapters", lambda c: F.struct(_keyword_score(text, c).alias("score"), (-c["chapter_pos"]).alias("early"), c["chapter_id"].alias("chapter_id"), c["unit_id"].alias("unit_id"), c["name"].alias("name")))
-    best = F.array_max(scored)
-    rows = rows.withColumn("best", F.when(best["score"] > 0, best)).drop("chapters")
-    sure = F.least(F.lit(88), F.floor(35 + F.least(F.col("best.score"), F.lit(40)) * F.lit(1.2) + 0.5)).cast("int")
-    return rows.select("*", F.col("best.chapter_id").alias("chapter_id"), F.col("best.unit_id").alias("unit_id"), F.col("best.name").alias("chapter_name"), F.when(F.col("best").isNotNull(), sure).alias("chapter_confidence")).drop("best")
+    rows = T.worked_out(rows, __best=F.array_max(scored)).drop("chapters", "__text")
+    best, found = F.col("__best"), F.col("__best.score") > 0
+    sure = F.least(F.lit(88), F.floor(35 + F.least(best["score"], F.lit(40)) * F.lit(1.2) + 0.5)).cast("int")
+    put = {"chapter_id": best["chapter_id"], "unit_id": best["unit_id"], "chapter_name": best["name"], "chapter_confidence": sure}
+    return rows.select("*", *[F.when(found, c).alias(k) for k, c in put.items()]).drop("__best")
 
 
 def resolve_chapter(chapters: Column, chapter_id: Column, chapter_name: Column) -> Column:
@@ -73,12 +74,16 @@ def resolve_chapter(chapters: Column, chapter_id: Column, chapter_name: Column)
     def first(test) -> Column:
         return F.get(F.filter(chapters, test), 0)
 
-    return F.coalesce(
-        first(lambda c: c["chapter_id"] == chapter_id),
-        first(lambda c: (raw != "") & (F.lower(c["name"]) == raw)),
-        first(lambda c: (raw != "") & (F.contains(F.lower(c["name"]), raw) | F.contains(raw, F.lower(c["name"])))),
-        first(lambda c: chapter_number(c["name"]) == number),
-    )
+    def meant(told: Column) -> Column:
+        raw, number = told["raw"], told["number"]
+        return F.coalesce(
+            first(lambda c: c["chapter_id"] == chapter_id),
+            first(lambda c: (raw != "") & (c["low"] == raw)),
+            first(lambda c: (raw != "") & (F.contains(c["low"], raw) | F.contains(raw, c["low"]))),
+            first(lambda c: c["number"] == number),
+        )
+
+    return T.once(F.struct(raw.alias("raw"), number.alias("number")), meant)
 
 
 def _chosen(changed: Column, values: dict[str, Column], rest: list[str]) -> list[Column]:
@@ -95,7 +100,7 @@ def apply_assignments(questions: DataFrame, assignments: DataFrame, chapters: Da
     keys = keys_of(questions, assignments, keys=("paper_id", "question_no"))
     given = assignments.where("question_no is not null").groupBy(*keys).agg(last)
     rows = questions.join(given, keys, "left").join(chapters_by_class(chapters), keys_of(questions, chapters, keys=("class_id",)), "left")
-    rows = rows.withColumn("meant", resolve_chapter(F.col("chapters"), F.col("given.chapter_id"), F.col("given.chapter_name")))
+    rows = T.worked_out(rows, meant=resolve_chapter(F.col("chapters"), F.col("given.chapter_id"), F.col("given.chapter_name")))
     known = F.col("meant").isNotNull()
     sure = F.when(F.col("given.confidence").isNotNull() & ~F.isnan(F.col("given.confidence")), T.clamp(F.floor(F.col("given.confidence") + 0.5), 0, 100)).cast("int")
     values = {

@@ -1,0 +1,26 @@
+"""Costly expressions are worked out once a row, and what is read twice is written once."""
+
+from examlake.operators import classify as C
+from examlake.operators import workflow as W
+from examlake.plans import paper_queries as Q
+from examlake.sources import tables as src
+
+
+def _plan(df, capsys) -> str:
+    capsys.readouterr()
+    df.explain(True)
+    return capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+
+
+def test_a_text_is_lowered_once_for_all_chapters(spark, sf, capsys):
+    plan = _plan(Q.classify_keyword(spark, sf), capsys)
+    assert plan.count("lower(coalesce(question_text") + plan.count("lower(coalesce(text") == 1
+    assert plan.count("array_max(") == 1
+
+
+def test_routes_are_worked_out_once(spark, sf, capsys):
+    q = Q._questions(spark, sf)
+    for c in C.ASSIGNED:
+        q = q.withColumn(c, Q.F.lit(None).cast(q.schema[c].dataType))
+    plan = _plan(W.classify(q, src.chapters(spark, sf), assignments=Q._given(spark, sf)), capsys)
+    assert "array_max(" not in plan
