@@ -13,6 +13,7 @@ from examlake.operators.rereading import Reader, reread
 from examlake.operators.scans import keys_of
 from examlake.operators.vectors import classify_vector
 from examlake.options import Options
+from examlake.sources.written import written
 
 
 def classify(questions: DataFrame, chapters: DataFrame, profiles: DataFrame | None = None, assignments: DataFrame | None = None) -> DataFrame:
@@ -47,6 +48,7 @@ def classify(questions: DataFrame, chapters: DataFrame, profiles: DataFrame | No
     for rank, (name, found) in enumerate(routes):
         part = found.select(*keys, F.struct(*[F.col(c) for c in ASSIGNED]).alias("__found"), F.lit(rank).alias("__rank"), F.lit(name).alias("classified_by"))
         every = part if every is None else every.unionByName(part)
+    every = written(every, "routes")
     used = every.where(F.col("__found.chapter_id").isNotNull()).groupBy(*papers).agg(F.min("__rank").alias("__rank"))
     chosen = every.join(used, [*papers, "__rank"]).drop("__rank")
     rest = [c for c in questions.columns if c not in ASSIGNED]
