@@ -11,6 +11,7 @@ from examlake.operators import cascade
 from examlake.operators import catalog as C
 from examlake.operators import knowledge as K
 from examlake.sources import tables as src
+from examlake.sources.written import written
 
 _TEXT = "string"
 
@@ -35,7 +36,8 @@ def _tables(spark, d) -> dict[str, DataFrame]:
         "extraction_jobs": r("orders").select(text("o_orderkey").alias("id"), text("o_orderkey").alias("question_paper_id")),
         "openai_usage_events": r("events").select(text("event_id").alias("id"), text("event_id").alias("job_id")),
     }
-    return {n: t.crossJoin(spark.createDataFrame([("u0",), ("u1",)], "owner_id string")) for n, t in one.items()}
+    stored = {n: written(t, n) if n in ("question_bank", "question_classifications") else t for n, t in one.items()}
+    return {n: t.crossJoin(F.broadcast(spark.range(2).select(F.concat(F.lit("u"), "id").alias("owner_id")))) for n, t in stored.items()}
 
 
 def deleted_graph(spark, d):

@@ -2,6 +2,7 @@
 
 from examlake.operators import classify as C
 from examlake.operators import workflow as W
+from examlake.plans import graph_queries as G
 from examlake.plans import paper_queries as Q
 from examlake.sources import tables as src
 
@@ -24,3 +25,23 @@ def test_routes_are_worked_out_once(spark, sf, capsys):
         q = q.withColumn(c, Q.F.lit(None).cast(q.schema[c].dataType))
     plan = _plan(W.classify(q, src.chapters(spark, sf), assignments=Q._given(spark, sf)), capsys)
     assert "array_max(" not in plan
+
+
+def test_tables_of_the_delete_graph_are_derived_once(spark, sf, capsys):
+    """They are read by each of their references and for what stays: their different rows are found once."""
+    tables = G._tables(spark, sf)
+    assert not [n for n, t in tables.items() if "Aggregate" in _plan(t, capsys)]
+
+
+def test_papers_without_new_readings_are_not_finalised_again(spark, monkeypatch):
+    from examlake.operators import rereading as R
+
+    text = lambda p, n: f"Explain in words why the planet {p} has {n} moons of its own"
+    rows = spark.createDataFrame([(p, n, n, text(p, n), 1.0, False) for p in range(4) for n in (1, 3)], "paper_id long, row_order long, question_no int, question_text string, marks double, has_figure boolean")
+    papers = spark.createDataFrame([(p, 3, 1, None) for p in range(4)], "paper_id long, expected_count int, n_pages int, instructions string")
+    pages = spark.createDataFrame([(2, 1, 0, 2, text(2, 2))], "paper_id long, page_no int, pos int, question_no int, question_text string")
+    sizes, finalize = [], R.finalize_questions
+    monkeypatch.setattr(R, "finalize_questions", lambda some, p: sizes.append(some.count()) or finalize(some, p))
+    _, final = R.reread(rows, papers, R.table_reader(pages), 2)
+    assert sorted((r.paper_id, r.question_no) for r in final.collect()) == sorted([(p, n) for p in range(4) for n in (1, 3)] + [(2, 2)])
+    assert sizes == [8, 3]
