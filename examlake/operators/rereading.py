@@ -67,7 +67,8 @@ def reread(rows: DataFrame, papers: DataFrame, reader: Reader, rounds: int = 1)
 
     papers: paper keys, expected_count, n_pages, instructions. Each round asks for `numbers_to_read` of
     the finalised questions and, from the second on, only of papers whose set has shrunk; it ends
-    early when there are none or the reader finds nothing.
+    early when there are none or the reader finds nothing. Only papers of which something was found are
+    finalised anew.
     """
     keys = keys_of(rows, papers)
     final, before = written(finalize_questions(rows, papers), "questions"), None
@@ -86,8 +87,10 @@ def reread(rows: DataFrame, papers: DataFrame, reader: Reader, rounds: int = 1)
         place = F.row_number().over(Window.partitionBy(*keys).orderBy("page_no", "pos", "question_no"))
         put = found.join(behind, keys, "left").withColumn("row_order", (F.coalesce("__last", F.lit(-1)) + place).cast("long"))
         put = put.select(*[(F.col(c) if c in put.columns else F.lit(None)).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
+        changed = written(found.select(*keys).distinct(), "changed")
         rows = written(replace_numbers(rows, put), "rows")
-        final, before = written(finalize_questions(rows, papers), "questions"), sizes
+        anew = finalize_questions(rows.join(changed, keys, "left_semi"), papers)
+        final, before = written(final.join(changed, keys, "left_anti").unionByName(anew), "questions"), sizes
     return rows, final
 
 
