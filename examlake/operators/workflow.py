@@ -68,8 +68,9 @@ def process_papers(bank: DataFrame, extracted: DataFrame, papers: DataFrame, cha
     """
     keys = keys_of(extracted, papers)
     expected = papers.select(*keys, "expected_count")
-    final = finalize_questions(extracted, papers) if reader is None else reread(extracted, papers, reader, rounds)[1]
+    final = written(finalize_questions(extracted, papers), "questions") if reader is None else reread(extracted, papers, reader, rounds)[1]
     rows = validated_questions(final, expected).join(papers.select(*keys, "class_id"), keys)
+    rows = written(rows, "checked")
     for c in ASSIGNED:
         rows = rows.withColumn(c, F.lit(None).cast(bank.schema[c].dataType))
     if options.classify:
