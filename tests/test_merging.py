@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 from collections import defaultdict
+from types import SimpleNamespace
 
 import pytest
 
@@ -122,3 +123,12 @@ def test_folds_hold_few_rows_as_values_and_keep_kinds(spark, monkeypatch):
     assert {r.kind for r in out.select("kind").distinct().collect()} == {"int", "NoneType"}
     assert out.where("n is not null").select("k", "n", "a").exceptAll(df.where("n is not null").select("k", "n", "a")).count() == 0
     assert out.where("d is null").count() == 600
+
+
+def test_whole_questions_are_met_without_their_words():
+    """Two whole questions leave the better whatever words they share, so no word set is made for them; sub-parts need theirs."""
+    row = lambda text: SimpleNamespace(question_text=text, marks=None, has_figure=False)
+    a, b, part = (M.Standing.of(row(t)) for t in ("State the law of induction.", "State the law of induction in your own words.", "(ii) Give one use of it."))
+    now = M.met(a, b)
+    assert now.told.text == b.told.text and not any("words" in vars(s.told) for s in (a, b, now))
+    assert M.met(now, part).told.text == f"{b.told.text}\n{part.told.text}" and "words" in vars(part.told)
