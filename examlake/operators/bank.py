@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from examlake.functions import text as T
 from examlake.operators.scans import keys_of
+from examlake.sources.written import written
 
 
 def quality_report(papers: DataFrame, bank: DataFrame) -> DataFrame:
@@ -132,7 +133,8 @@ def near_duplicate_pairs(rows: DataFrame, threshold: float = 0.72, most: int = 1
     """
     keys = keys_of(rows)
     words = F.array_sort(F.transform(T.key_words(F.col("question_text")), lambda w: F.xxhash64(w)))
-    keyed = T.worked_out(rows.select(*keys, "row_order", "question_text"), words=words).drop("question_text").where(F.size("words") > 0).withColumn("word_set", F.xxhash64("words", F.size("words"))).repartition(*keys)
+    keyed = T.worked_out(rows.select(*keys, "row_order", "question_text"), words=words).drop("question_text").where(F.size("words") > 0).withColumn("word_set", F.xxhash64("words", F.size("words")))
+    keyed = written(keyed, "word_sets").repartition(*keys)
     sets = keyed.groupBy(*keys, "word_set").agg(F.min("row_order").alias("row"), F.max("words").alias("words"))
     copies = keyed.select(*keys, "word_set", "row_order").join(sets.select(*keys, "word_set", "row"), [*keys, "word_set"]).where("row_order > row")
     copies = copies.select(*keys, F.col("row").alias("row_a"), F.col("row_order").alias("row_b"), F.lit("copy").alias("kind"))

@@ -45,3 +45,42 @@ def test_papers_without_new_readings_are_not_finalised_again(spark, monkeypatch)
     _, final = R.reread(rows, papers, R.table_reader(pages), 2)
     assert sorted((r.paper_id, r.question_no) for r in final.collect()) == sorted([(p, n) for p in range(4) for n in (1, 3)] + [(2, 2)])
     assert sizes == [8, 3]
+
+
+def test_word_sets_are_worked_out_once_a_text(spark):
+    """Pairs of like questions read word sets that are written: no reader of them takes the texts apart again."""
+    from examlake.operators.bank import near_duplicate_pairs
+
+    rows = spark.createDataFrame([(1, 1, "state the second law of motion"), (1, 2, "State the second law of motion!")], "paper_id int, row_order int, question_text string")
+    pairs = near_duplicate_pairs(rows)
+    assert "regexp_replace" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.row_a, r.row_b, r.kind) for r in pairs.collect()] == [(1, 2, "copy")]
+
+
+def test_a_text_is_looked_through_once_for_each_thing_asked():
+    """Whether a text reads as English: its words are looked for once."""
+    from pyspark.sql import functions as F
+
+    from examlake.functions import text as T
+
+    plan = str(F.struct(T.accepts_plain_text(F.col("t"))))
+    assert plan.count("[A-Za-z]{3,}") == 1
+
+
+def test_signs_are_told_apart_as_written_out(spark):
+    """The classes that fail early for letters hold the same signs as those they stand for, over the whole basic plane and beyond."""
+    from pyspark.sql import functions as F
+
+    from examlake.functions import text as T
+
+    every = spark.range(0x10000).where("id < 55296 or id > 57343").select(F.udf(chr, "string")(F.col("id").cast("int")).alias("c"))
+    every = every.unionByName(spark.createDataFrame([("\U0001f600",), ("\U00010348",)], "c string"))
+    same = [(T.NOTATION, r"[^\x20-\x7E\n\r\t\x{0900}-\x{097F}§©¶]"), (f"^{T.LAST_SPACE}$", f"^{T.ANY_SPACE}$")]
+    for new, plain in same:
+        assert every.where(F.col("c").rlike(new) != F.col("c").rlike(plain)).count() == 0
+    low = F.lower("c")
+    assert every.where(F.regexp_replace(low, r"[^\w ]+", "") != F.regexp_replace(low, "[^a-z0-9_ ]", "")).count() == 0
+    assert every.where(T.letters(F.col("c")) != F.regexp_count("c", F.lit("[A-Za-z]"))).count() == 0
+    signs = r"[\r→\x{20D7}îĵ\x{0302}^]|[A-Za-zμελρσπ]0|\b[ijkIJK]\s*(?i:hat)|R/\(μ"
+    around = every.select(F.explode(F.array("c", F.concat("c", F.lit("0")), F.concat("c", F.lit(" hat")), F.concat(F.lit("R/("), "c"))).alias("c"))
+    assert around.where(F.col("c").rlike(T.ANY_SIGN) != F.col("c").rlike(signs)).count() == 0
