@@ -109,12 +109,14 @@ LONG_TEXT, FIGURES = 850, (17, 28)
 def repair_set(rows: DataFrame, expected: DataFrame, long: int = LONG_TEXT, figures: tuple[int, int] = FIGURES) -> DataFrame:
     """Numbers to read again for each paper, sorted: missing, repeated, and those (17 to 28) with a text of 850 characters or more.
 
-    expected: paper keys, expected_count; below 1 or unknown, nothing is missing.
+    expected: paper keys, expected_count; below 1 or unknown, nothing is missing. Only long texts of
+    those numbers are stripped to be measured.
     """
     keys = keys_of(rows, expected)
-    bloated = F.max(F.length(T.strip(F.col("question_text")))) >= long
+    text = F.col("question_text")
+    bloated = F.max(F.when(F.col("question_no").between(*figures) & (F.length(text) >= long), F.length(T.strip(text)))) >= long
     n = rows.groupBy(*keys, "question_no").agg(F.count(F.lit(1)).alias("n"), bloated.alias("bloated"))
-    again = (F.col("n") > 1) | (F.col("bloated") & F.col("question_no").between(*figures))
+    again = (F.col("n") > 1) | F.coalesce("bloated", F.lit(False))
     per = n.groupBy(*keys).agg(F.collect_list("question_no").alias("have"), F.collect_list(F.when(again & F.col("question_no").isNotNull(), F.col("question_no"))).alias("again"))
     joined = per.join(expected.select(*keys, "expected_count"), keys, "left")
     missing = F.when(F.col("expected_count") >= 1, F.array_except(F.sequence(F.lit(1), F.col("expected_count")), F.col("have"))).otherwise(F.array().cast("array<int>"))

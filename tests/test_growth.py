@@ -86,3 +86,14 @@ def test_signs_are_told_apart_as_written_out(spark):
     signs = r"[\r→\x{20D7}îĵ\x{0302}^]|[A-Za-zμελρσπ]0|\b[ijkIJK]\s*(?i:hat)|R/\(μ"
     around = every.select(F.explode(F.array("c", F.concat("c", F.lit("0")), F.concat("c", F.lit(" hat")), F.concat(F.lit("R/("), "c"))).alias("c"))
     assert around.where(F.col("c").rlike(T.ANY_SIGN) != F.col("c").rlike(signs)).count() == 0
+
+
+def test_only_long_texts_of_figure_numbers_are_measured(spark, capsys):
+    """Numbers to read again: a text is stripped, to be measured, only where its number and its whole length ask for it."""
+    from examlake.operators.bank import repair_set
+
+    rows = spark.createDataFrame([(1, 1, "x" * 900), (1, 17, "x" * 900), (1, 18, " " * 900 + "x"), (1, 19, None), (1, None, "x" * 900)], "paper_id long, question_no int, question_text string")
+    out = repair_set(rows, spark.createDataFrame([(1, 0)], "paper_id long, expected_count int"))
+    strip = next(x for x in _plan(out, capsys).splitlines() if "regexp_replace" in x).split("regexp_replace")[0]
+    assert "CASE WHEN" in strip and ">= 850" in strip
+    assert [r.numbers for r in out.collect()] == ["17"]
