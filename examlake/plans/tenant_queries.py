@@ -117,7 +117,7 @@ CHAPTER_QUESTIONS = f"WITH {FULL} SELECT 0 AS search, id FROM full_bank WHERE ch
 
 def practice_places(spark, d):
     b = src.full_bank(spark, d)
-    chapter, paper = Window.partitionBy("owner_id", "chapter_id").orderBy(*S.practice_order(), "id"), Window.partitionBy("owner_id", "question_paper_id").orderBy(*S.paper_order(), "id")
+    chapter, paper = Window.partitionBy("owner_id", "chapter_id").orderBy(*S.practice_order(), "id"), S.in_paper("id").orderBy(*S.paper_order(), "id")
     return b.select("id", F.row_number().over(chapter).alias("in_chapter"), F.when(F.col("question_paper_id").isNotNull(), F.row_number().over(paper)).alias("in_paper"))
 
 

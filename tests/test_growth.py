@@ -97,3 +97,13 @@ def test_only_long_texts_of_figure_numbers_are_measured(spark, capsys):
     strip = next(x for x in _plan(out, capsys).splitlines() if "regexp_replace" in x).split("regexp_replace")[0]
     assert "CASE WHEN" in strip and ">= 850" in strip
     assert [r.numbers for r in out.collect()] == ["17"]
+
+
+def test_rows_without_a_paper_are_not_gathered(spark):
+    """Places in papers: rows without one are dealt apart, so that they are no group of an owner's."""
+    from examlake.operators import scans as S
+
+    rows = spark.range(1000).selectExpr("'u1' AS owner_id", "CASE WHEN id < 3 THEN 'p' END AS question_paper_id", "id", "3 - id AS question_no")
+    placed = rows.withColumn("n", Q.F.row_number().over(S.in_paper("id").orderBy(*S.paper_order(), "id")))
+    assert {(r.id, r.n) for r in placed.where("question_paper_id is not null").collect()} == {(2, 1), (1, 2), (0, 3)}
+    assert placed.where("question_paper_id is null and n > 1").count() == 0
