@@ -9,6 +9,7 @@ from examlake.functions import text as T
 from examlake.operators.bank import apply_edits, persist_questions, upsert
 from examlake.operators.merging import without_repeats_column as without_repeats
 from examlake.operators.scans import keys_of
+from examlake.sources.written import written
 
 #: The labels that columns may hold.
 SOURCES = ("Class work", "Test", "Final exam", "Model exam", "Others")
@@ -202,6 +203,6 @@ def persist_bank_rows(bank: DataFrame, classifications: DataFrame, new: DataFram
     """
     # a paper belongs to its owner: both name it
     keyed = lambda df: df.withColumn("__paper", F.struct("owner_id", "question_paper_id"))
-    kept = persist_questions(keyed(bank), keyed(new), "__paper", ["owner_id", "id"]).drop("__paper")
-    written = upsert_classifications(classifications, rows)
-    return kept, written.join(kept.select("owner_id", F.col("id").alias("question_id")), ["owner_id", "question_id"], "left_semi")
+    kept = written(persist_questions(keyed(bank), keyed(new), "__paper", ["owner_id", "id"]).drop("__paper"), "kept")
+    told = upsert_classifications(classifications, rows)
+    return kept, told.join(kept.select("owner_id", F.col("id").alias("question_id")), ["owner_id", "question_id"], "left_semi")

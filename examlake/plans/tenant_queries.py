@@ -12,6 +12,7 @@ from examlake.operators import scans as S
 from examlake.operators import usage as U
 from examlake.plans.bank_queries import _SUMS, PRICED, TEXTS, USAGE
 from examlake.sources import tables as src
+from examlake.sources.written import written
 
 FULL = """full_bank AS (SELECT 'u' || (o_custkey % 7) AS owner_id, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_quantity::INT || l_linestatus || l_returnflag AS id, CASE WHEN l_linestatus = 'F' THEN 'question_paper' ELSE 'material' END AS origin_type,
  CASE WHEN l_linestatus <> 'F' THEN 'm' || l_suppkey END AS material_id, CASE WHEN l_linestatus = 'F' THEN 'p' || l_orderkey END AS question_paper_id, o_orderstatus AS class_id, l_returnflag AS unit_id, 'c' || (l_partkey % 50) AS chapter_id,
@@ -319,7 +320,8 @@ SELECT owner_id, id, CASE WHEN question_no = 1 THEN 'High' ELSE 'not Rated' END
 
 def persisted_bank(spark, d):
     """A run's bank rows and classifications written: touched papers replaced, vanished rows and their classifications gone."""
-    b = src.full_bank(spark, d).where("question_paper_id is not null").dropDuplicates(["owner_id", "id"])
+    b = src.full_bank(spark, d).where("question_paper_id is not null").select("owner_id", "id", "question_paper_id", "question_no", "topic")
+    b = written(b.dropDuplicates(["owner_id", "id"]), "bank")
     cls = b.select("owner_id", F.col("id").alias("question_id"), F.lit("old").alias("chapter_id"), F.lit(0.5).cast("decimal(4,3)").alias("confidence"))
     new = b.where("question_no <= 3 and owner_id in ('u1', 'u2')").withColumn("topic", F.lit("new"))
     rows = new.where("question_no = 1").select("owner_id", F.col("id").alias("question_id"), F.lit("set").alias("chapter_id"), F.lit(0.9).alias("confidence"))

@@ -107,3 +107,11 @@ def test_rows_without_a_paper_are_not_gathered(spark):
     placed = rows.withColumn("n", Q.F.row_number().over(S.in_paper("id").orderBy(*S.paper_order(), "id")))
     assert {(r.id, r.n) for r in placed.where("question_paper_id is not null").collect()} == {(2, 1), (1, 2), (0, 3)}
     assert placed.where("question_paper_id is null and n > 1").count() == 0
+
+
+def test_bank_rows_are_written_once(spark, sf, capsys):
+    """Rows that are kept or normalized are read by several: none works them out again."""
+    from examlake.plans import tenant_queries as N
+
+    plan = _plan(N.persisted_bank(spark, sf), capsys)
+    assert "Join" in plan and "o_custkey" not in plan
