@@ -98,10 +98,11 @@ def normalized_questions(raw: DataFrame, strict: bool = True, solutions: bool =
     """
     keys = keys_of(raw)
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("row_order"))
-    text = T.notation(T.english_only(T.strip(first_of(raw, "questionText", "question_text", "text"))), strict)
     told = T.english_only(T.strip(first_of(raw, "solution", "answer"))) if solutions else F.lit(None).cast("string")
     marks = finite(F.nullif(first_of(raw, "marks", "mark"), F.lit("")))
-    rows = raw.select(*keys, "row_order", F.coalesce(finite(first_of(raw, "questionNo", "question_no")).cast("int"), place).alias("question_no"), text.alias("question_text"), marks.alias("marks"), F.coalesce(first_of(raw, "hasFigure", "has_figure", kind="boolean"), F.lit(False)).alias("has_figure"), first_of(raw, "topic").alias("topic"), F.nullif(told, F.lit("")).alias("solution"))
+    plain = T.worked_out(raw, __plain=T.english_only(T.strip(first_of(raw, "questionText", "question_text", "text"))))
+    raw = T.worked_out(plain, __text=T.notation(F.col("__plain"), strict))
+    rows = raw.select(*keys, "row_order", F.coalesce(finite(first_of(raw, "questionNo", "question_no")).cast("int"), place).alias("question_no"), F.col("__text").alias("question_text"), marks.alias("marks"), F.coalesce(first_of(raw, "hasFigure", "has_figure", kind="boolean"), F.lit(False)).alias("has_figure"), first_of(raw, "topic").alias("topic"), F.nullif(told, F.lit("")).alias("solution"))
     return rows.where("question_text <> ''")
 
 

@@ -240,7 +240,7 @@ NORMALIZED = rf"""WITH {RAW} SELECT owner_id, paper_id, row_order, coalesce(no,
 
 
 def _paper_rows(spark, d):
-    q = R.normalized_questions(_raw_questions(spark, d)).select("*", F.concat(F.lit("q"), F.col("row_order").cast("string")).alias("id"), F.when(F.col("row_order") % 3 == 0, "Low").when(F.col("row_order") % 3 == 1, "hard").alias("difficulty_level"), F.create_map(F.lit("totalQuestions"), (F.col("row_order") % 3).cast("string"), F.lit("set"), F.when(F.col("row_order") % 2 == 0, "2").otherwise("")).alias("metadata"))
+    q = written(R.normalized_questions(_raw_questions(spark, d)), "normalized").select("*", F.concat(F.lit("q"), F.col("row_order").cast("string")).alias("id"), F.when(F.col("row_order") % 3 == 0, "Low").when(F.col("row_order") % 3 == 1, "hard").alias("difficulty_level"), F.create_map(F.lit("totalQuestions"), (F.col("row_order") % 3).cast("string"), F.lit("set"), F.when(F.col("row_order") % 2 == 0, "2").otherwise("")).alias("metadata"))
     labels = F.array(*[F.lit(x) for x in ("Final exam", "Model exam", "Mock", "Others")])
     p = q.select("owner_id", "paper_id").distinct().select("owner_id", "paper_id", (F.col("paper_id") % 4).cast("string").alias("class_id"), F.get(labels, (F.col("paper_id") % 4).cast("int")).alias("paper_source"), (2000 + F.col("paper_id") % 20).alias("year"))
     return R.bank_rows_of_papers(q, p)

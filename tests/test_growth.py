@@ -115,3 +115,4 @@ def test_bank_rows_are_written_once(spark, sf, capsys):
 
     plan = _plan(N.persisted_bank(spark, sf), capsys)
     assert "Join" in plan and "o_custkey" not in plan
+    assert "regexp_replace(" not in _plan(N._paper_rows(spark, sf).select("id", "year"), capsys)
