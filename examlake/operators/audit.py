@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from examlake.sources.written import written
+
 #: The values that columns may hold, by table.
 ALLOWED = {
     "materials": {"material_type": ("Question papers", "Class Notes", "Syllabus"), "source_kind": ("local", "drive", "other"), "exam_source": ("Class work", "Test")},
@@ -33,6 +35,8 @@ NEEDED = {
     "question_papers": ("owner_id", "id", "class_id", "name", "year"),
     "materials": ("owner_id", "id", "chapter_id", "name", "material_type"),
 }
+#: Fixed value: about as many rows a task groups or joins at once, however large the table is.
+ROWS = 500_000
 
 
 def row_rules(table: str, columns: list[str]) -> dict[str, Column]:
@@ -48,13 +52,19 @@ def row_rules(table: str, columns: list[str]) -> dict[str, Column]:
 def violations(rows: DataFrame, table: str, keys: list[str], parents: dict[str, DataFrame] | None = None) -> DataFrame:
     """table, key, rule: a row for each rule that a row breaks, for each repeated key, and for each reference without a parent.
 
-    parents: {column: table of (owner_id, id)}. The row rules are one pass without a shuffle.
+    parents: {column: table of (owner_id, id)}. The row rules are one pass without a shuffle; what it
+    finds is written once with the keys and references, and these are dealt to tasks by their number, so
+    that no task's memory grows with the table.
     """
-    key = F.concat_ws("/", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]).alias("key")
     broken = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in row_rules(table, rows.columns).items()]))
-    found = [rows.select(key, F.explode(broken).alias("rule"))]
-    found.append(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key, F.lit("key").alias("rule")))
+    links = ["owner_id", *parents] if parents else []
+    rows = written(rows.select(*dict.fromkeys([*keys, *links]), broken.alias("__broken")), "audited")
+    tasks = -(-rows.count() // ROWS) or 1
+    key = F.concat_ws("/", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]).alias("key")
+    found = [rows.select(key, F.explode("__broken").alias("rule"))]
+    found.append(rows.select(*keys).repartition(tasks, *keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key, F.lit("key").alias("rule")))
     for column, parent in (parents or {}).items():
-        known = parent.select("owner_id", F.col("id").alias(column)).distinct()
-        found.append(rows.where(F.col(column).isNotNull()).join(known, ["owner_id", column], "left_anti").select(key, F.lit(column).alias("rule")))
+        known = parent.select("owner_id", F.col("id").alias(column)).repartition(tasks, "owner_id", column)
+        referring = rows.where(F.col(column).isNotNull()).select(*dict.fromkeys([*keys, "owner_id", column])).repartition(tasks, "owner_id", column)
+        found.append(referring.join(known, ["owner_id", column], "left_anti").select(key, F.lit(column).alias("rule")))
     return reduce(DataFrame.unionByName, found).select(F.lit(table).alias("table"), "key", "rule")

@@ -116,3 +116,15 @@ def test_bank_rows_are_written_once(spark, sf, capsys):
     plan = _plan(N.persisted_bank(spark, sf), capsys)
     assert "Join" in plan and "o_custkey" not in plan
     assert "regexp_replace(" not in _plan(N._paper_rows(spark, sf).select("id", "year"), capsys)
+
+
+def test_keys_and_references_are_dealt_by_their_number(spark, monkeypatch):
+    """An audit's keys and references go to as many tasks as their number asks for; the rows they come from are worked out once."""
+    from examlake.operators import audit as A
+
+    monkeypatch.setattr(A, "ROWS", 100)
+    rows = spark.range(950).selectExpr("'u1' AS owner_id", "id div 2 AS id", "'p1' AS question_paper_id", "'m' AS material_id")
+    parents = {"question_paper_id": spark.createDataFrame([("u1", "p1")], "owner_id string, id string")}
+    found = A.violations(rows, "question_bank", ["owner_id", "id"], parents)
+    assert "RepartitionByExpression" in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and "], 10" in plan and "Range" not in plan
+    assert {(r.rule, r["count"]) for r in found.groupBy("rule").count().collect()} == {("key", 475), ("one origin", 950)}
