@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from examlake.llm.common import materialize, row_key, slices, text_or_empty, words_of
 
 END = b""  # words are never empty
-WIDTH = 64  # classes, and leaves in a class
+WIDTH = 64  # classes, and leaves in a class, of the smallest model
+NARROW = 16  # branches of a softmax of larger ones
 LEAVES = WIDTH * WIDTH  # at least
 FREQUENT = LEAVES // 2  # words with a leaf of their own, at least; the rest share leaves by their ending
 STEP = 16384  # tokens in a numpy batch
@@ -34,22 +36,36 @@ class Shape:
     def leaves(self) -> int:
         return int(np.prod(self.widths))
 
+    def branches(self, k: int) -> int:
+        """Branches that lead to softmax k."""
+        return int(np.prod(self.widths[:k], dtype=np.int64))
+
+    def features(self, k: int) -> int:
+        """Rows of weights of a token at softmax k: four at the first two, two at others and at the last."""
+        return 4 if k < min(2, len(self.widths) - 1) else 2
+
     def below(self, k: int) -> int:
         """Leaves under one branch of softmax k."""
         return int(np.prod(self.widths[k + 1 :], dtype=np.int64))
 
 
 def shape_for(types: int) -> Shape:
-    """Powers of two by the counted types V: a leaf for each 16 types, a class row for each 128.
+    """Powers of two by the counted types V: a leaf for each 16 types, a first row for each 128.
 
-    4,096 to 262,144 leaves, half of them for one frequent word each; 8,192 to 65,536 class rows and
-    twice that for each further softmax. So weights take 84 MB at most, and a training task holds
-    three times that (weights, their start, expected counts).
+    4,096 to 262,144 leaves, half of them for one frequent word each; 8,192 to 65,536 rows of the first
+    softmax. With 4,096 leaves there are two softmaxes of 64, the second of twice the rows. More leaves lie
+    below softmaxes of 16, the first one taking what is over (8 to 64), each of eight times the first's
+    rows, 262,144 at most and twice that for the second. So weights take 84 MB at most, and a training task
+    holds three times that (weights, observed and expected counts).
     """
     power = lambda x: 1 << max(0, x - 1).bit_length()
-    third = min(WIDTH, power(-(-types // (16 * LEAVES))))
+    more = min(WIDTH, power(-(-types // (16 * LEAVES))))
     rows = min(1 << 16, max(1 << 13, power(-(-types // 128))))
-    return Shape((WIDTH, WIDTH), (rows, 2 * rows)) if third == 1 else Shape((WIDTH, WIDTH, third), (rows, 2 * rows, 2 * rows))
+    if more == 1:
+        return Shape((WIDTH, WIDTH), (rows, 2 * rows))
+    widths = (more, NARROW, NARROW, NARROW) if more > 4 else (more * NARROW, NARROW, NARROW)
+    later = min(1 << 18, 8 * rows)
+    return Shape(widths, (rows, min(1 << 19, 8 * rows)) + (later,) * (len(widths) - 2))
 
 
 LEAST = shape_for(0)
@@ -75,24 +91,30 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word, c over all texts of docs, each with one end token (the empty word); summed in tasks first."""
+def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The words of `words_of`, by Arrow: different ones, every word's place among them, and how many words each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    coded = lists.flatten().dictionary_encode()
+    code, sizes = coded.indices.to_numpy(), pc.list_value_length(lists).to_numpy()
+    blank = np.flatnonzero(pc.binary_length(coded.dictionary).to_numpy() == 0)  # white space at an end leaves an empty word there
+    if len(blank):
+        kept = code != blank[0]
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[kept], minlength=len(sizes))
+        code = code[kept]
+    return coded.dictionary, code, sizes
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
 
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word, c over all texts of docs, each with one end token (the empty word); summed in slices of tasks first."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(words_of(text))
-                seen[END] += 1
-                if len(seen) > 500_000:
-                    yield out()
-                    seen.clear()
-        if seen:
-            yield out()
+            for a, b in slices(batch.column(0).to_pylist(), 8_000_000):
+                words, code, _ = words_in(batch.column(0)[a:b])
+                n = np.bincount(code, minlength=len(words))
+                used = np.flatnonzero(n)
+                words = pa.concat_arrays([words.take(pa.array(used)).cast(pa.string()), pa.array([END.decode()])])
+                yield pa.RecordBatch.from_arrays([words, pa.array(np.append(n[used], b - a), pa.int64())], ["word", "c"])
 
     return docs.select(text_or_empty().alias("text")).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -145,51 +167,41 @@ def build_vocabulary(counts: DataFrame, limit: int) -> Vocabulary:
 
 
 class Encoder:
-    """Texts to leaves and training counts of their tokens; the cache of words is bounded."""
+    """Texts to leaves and training counts of their tokens; each different word of a slice is looked up once."""
 
     def __init__(self, vocabulary: Vocabulary, most: int = 400_000):
         self.v, self.most = vocabulary, most
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
         self.tails: dict[bytes, int] = {}
-        self.leaves, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(leaf, count, text number) of every token, the end tokens included."""
-        words, doc = [], []
-        for t in texts:
-            ws = words_of(t)
-            words += ws
-            words.append(END)
-            doc.append(len(ws) + 1)
-        if len(self.known) > self.most:
-            self.clear()
-        known = self.known
-        if new := list(set(words).difference(known)):
-            leaves = np.array([leaf_of(w, self.v.frequent, self.tails, self.v.shape) for w in new], np.int64)
-            counts = np.zeros(len(new), np.int64)
-            if len(self.v.digests):
-                h = np.array([xxhash.xxh64_intdigest(w, 42) for w in new], np.uint64)
-                at = np.minimum(np.searchsorted(self.v.digests, h), len(self.v.digests) - 1)
-                counts = np.where(self.v.digests[at] == h, self.v.counts[at], 0)
-            elif self.v.known:
-                counts = np.array([self.v.known.get(w, 0) for w in new], np.int64)
-            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-            self.leaves, self.counts = np.append(self.leaves, leaves), np.append(self.counts, counts)
-        at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        return self.leaves[at], self.counts[at], np.repeat(np.arange(len(texts)), doc)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(leaf, count) of every token, the end tokens included, and how many tokens each text has."""
+        different, code, sizes = words_in(texts)
+        words = [*(w.encode() for w in different.to_pylist()), END]
+        if len(self.tails) > self.most:
+            self.tails.clear()
+        leaves = np.array([leaf_of(w, self.v.frequent, self.tails, self.v.shape) for w in words], np.int64)
+        counts = np.zeros(len(words), np.int64)
+        if len(self.v.digests):
+            h = np.array([xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64)
+            at = np.minimum(np.searchsorted(self.v.digests, h), len(self.v.digests) - 1)
+            counts = np.where(self.v.digests[at] == h, self.v.counts[at], 0)
+        elif self.v.known:
+            counts = np.array([self.v.known.get(w, 0) for w in words], np.int64)
+        sizes = sizes + 1
+        at = np.full(int(sizes.sum()), len(words) - 1)
+        inside = np.ones(len(at), bool)
+        inside[np.cumsum(sizes) - 1] = False
+        at[inside] = code
+        return leaves[at], counts[at], sizes
 
 
 class Model:
-    """P(leaf | history) = P(class | features) * P(leaf | class, features), two softmaxes of 64.
+    """P(leaf | history) is a product of softmaxes, each of which chooses among the branches below the last one's.
 
-    A larger vocabulary has a third below them (see `shape_for`). Features, all hashed to rows of
-    weights: the last word (n-gram), the last two (n-gram), the one before the last and the one
-    before that (skips). For the later softmaxes the rows also depend on the branch taken so far.
-    Log shares of the leaves' counts stand in as fixed biases, so a model without weights is the
-    base model over leaves.
+    Features, all hashed to rows of weights: the last word (n-gram), the last two (n-gram), the one before
+    the last and the one before that (skips); lower softmaxes take the last word and the one before only
+    (see `Shape.features`). But for the first, the rows also depend on the branch taken so far. Log shares
+    of the leaves' counts stand in as fixed biases, so a model without weights is the base model over leaves.
     """
 
     def __init__(self, leaf_mass: np.ndarray, shape: Shape = LEAST):
@@ -201,7 +213,7 @@ class Model:
 
     @staticmethod
     def rows(leaf: np.ndarray, doc: np.ndarray, shape: Shape = LEAST) -> list[np.ndarray]:
-        """Weight rows of each token: [4, token] for its class and [2, token] for each later softmax."""
+        """Weight rows of each token: [feature, token] for each softmax."""
         past = []
         for k in (1, 2, 3):
             p = np.full(len(leaf), shape.leaves, np.uint64)  # the leaf that stands before a text
@@ -211,11 +223,20 @@ class Model:
             past.append(p)
         one, two, three = past
         mix = lambda x, kind: (x * np.uint64(8) + np.uint64(kind)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
-        out = [np.stack([mix(one, 0), mix(two, 1), mix(three, 2), mix(one * np.uint64(shape.leaves + 1) + two, 3)])]
+        pair = one * np.uint64(shape.leaves + 1) + two
+        out = [np.stack([mix(one, 0), mix(two, 1), mix(three, 2), mix(pair, 3)])]
         for k in range(1, len(shape.widths)):
-            own, branches = (leaf // shape.below(k - 1)).astype(np.uint64), np.uint64(shape.leaves // shape.below(k - 1))
-            out.append(np.stack([mix(one * branches + own, 2 + 2 * k), mix(two * branches + own, 3 + 2 * k)]))
-        return [(x % np.uint64(n)).astype(np.int64) for x, n in zip(out, shape.rows, strict=True)]
+            own, branches = (leaf // shape.below(k - 1)).astype(np.uint64), np.uint64(shape.branches(k))
+            out.append(np.stack([mix(x * branches + own, 4 + i) for i, x in enumerate((one, two, three, pair)[: shape.features(k)])]))
+        return [(x & np.uint64(n - 1)).view(np.int64) for x, n in zip(out, shape.rows, strict=True)]
+
+    @staticmethod
+    def blocks(leaf: np.ndarray, doc: np.ndarray, shape: Shape, size: int = STEP) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+        """Stretches of `size` tokens and their rows, which see the three tokens before the stretch too."""
+        for a in range(0, len(leaf), size):
+            back = min(a, 3)
+            near = slice(a - back, a + size)
+            yield leaf[a : a + size], [x[:, back:] for x in Model.rows(leaf[near], doc[near], shape)]
 
     def targets(self, leaf: np.ndarray) -> list[np.ndarray]:
         """The branch that each softmax is to choose."""
@@ -238,37 +259,23 @@ class Model:
 
     def log10(self, leaf: np.ndarray, doc: np.ndarray, block: int = STEP) -> np.ndarray:
         """log10 P(leaf | history) of every token."""
-        out = np.zeros(len(leaf))
-        rows = self.rows(leaf, doc, self.shape)
-        for a in range(0, len(leaf), block):
-            part = leaf[a : a + block]
-            at = np.arange(len(part))
+        out, a = np.zeros(len(leaf)), 0
+        for part, rows in self.blocks(leaf, doc, self.shape, block):
+            at, b = np.arange(len(part)), a + len(part)
             for k, target in enumerate(self.targets(part)):
-                logits = self.logits(k, part, rows[k][:, a : a + block])
+                logits = self.logits(k, part, rows[k])
                 chosen = logits[at, target].astype(float)
                 np.exp(logits, out=logits)
-                out[a : a + block] += chosen - np.log(logits @ np.ones(logits.shape[1], np.float32))
+                out[a:b] += chosen - np.log(logits @ np.ones(logits.shape[1], np.float32))
+            a = b
         return out / np.log(10)
 
 
 def add_rows(total: np.ndarray, values: np.ndarray, rows: np.ndarray) -> None:
-    """total[rows[i]] += values[i], by runs of equal rows: long runs are summed, short ones added rank by rank."""
-    order = np.argsort(rows.astype(np.uint16) if len(total) <= 1 << 16 else rows, kind="stable")
-    at = rows[order]
-    starts = np.flatnonzero(np.diff(at, prepend=-1))
-    size = np.diff(starts, append=len(at))
-    by = np.argsort(-size, kind="stable")
-    starts, size = starts[by], size[by]
-    long = int(np.searchsorted(-size, -16))
-    for a, n in zip(starts[:long].tolist(), size[:long].tolist(), strict=True):
-        total[at[a]] += values[order[a : a + n]].sum(axis=0)
-    starts, size = starts[long:], size[long:]
-    if len(starts):
-        sums = np.take(values, order[starts], axis=0)
-        for rank in range(1, int(size[0])):
-            n = int(np.searchsorted(-size, -rank))
-            sums[:n] += np.take(values, order[starts[:n] + rank], axis=0)
-        total[at[starts]] += sums
+    """total[rows[i]] += values[i], two neighbouring 32-bit floats at a time as one complex number."""
+    pairs = total.shape[1] // 2
+    at = (rows * pairs)[:, None] + np.arange(pairs)
+    np.add.at(total.view(np.complex64).reshape(-1), at.reshape(-1), values.view(np.complex64).reshape(-1))
 
 
 class Gradient:
@@ -306,13 +313,14 @@ class Gradient:
         self.expected[0] += self.met[:, None] * np.exp(self.model.bias[0][0])
         self.met[:] = 0
 
-    def blocks(self, size: int = 512) -> Iterator[tuple[int, int, bytes, bytes]]:
-        """(softmax, first row, observed, expected) of each block of rows that was used; see `packed`."""
+    def blocks(self, size: int = 32_768) -> Iterator[tuple[int, int, bytes, bytes]]:
+        """(softmax, first row, observed, expected) of each block of about `size` weights that was used; see `packed`."""
         self.finish()
         for k, (o, e) in enumerate(zip(self.observed, self.expected, strict=True)):
-            for a in range(0, len(o), size):
-                if o[a : a + size].any():
-                    yield k, a, packed(o[a : a + size]), packed(e[a : a + size])
+            n = size // o.shape[1]
+            for a in range(0, len(o), n):
+                if o[a : a + n].any():
+                    yield k, a, packed(o[a : a + n]), packed(e[a : a + n])
 
 
 def packed(counts: np.ndarray) -> bytes:
@@ -337,13 +345,12 @@ def encode(rows: DataFrame, shared) -> DataFrame:
         encoder = Encoder(shared.value)
         code = leaf_code(shared.value.shape)
         for batch in batches:
-            texts = batch.column(3).to_pylist()
-            for a, b in slices(texts):
-                leaf, c, doc = encoder.encode(texts[a:b])
-                ends = np.cumsum(np.bincount(doc, minlength=b - a))
+            for a, b in slices(batch.column(3).to_pylist(), 4_000_000):
+                leaf, c, sizes = encoder.encode(batch.column(3)[a:b])
+                ends, doc = np.cumsum(sizes), np.repeat(np.arange(b - a), sizes)
                 packed = [x.tobytes() for x in np.split(leaf.astype(code), ends[:-1])]
                 known, own = (np.bincount(doc, weights=x, minlength=b - a) for x in (c > 0, np.log10(c + 1.0)))
-                yield pa.RecordBatch.from_arrays([*(x[a:b] for x in batch.columns[:3]), pa.array(np.diff(ends, prepend=0)), pa.array(known.astype(np.int64)), pa.array(own), pa.array(packed, pa.binary())], [f.split()[0] for f in schema.split(", ")])
+                yield pa.RecordBatch.from_arrays([*(x[a:b] for x in batch.columns[:3]), pa.array(sizes.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(own), pa.array(packed, pa.binary())], [f.split()[0] for f in schema.split(", ")])
 
     return rows.select("doc_id", row_key().alias("row_key"), "held_out", "text").mapInArrow(run, schema)
 
@@ -375,10 +382,8 @@ def train_round(coded: DataFrame, model: Model, tokens: int, prior: float = 2.0)
         gradient = Gradient(shared.value)
         for batch in batches:
             for _, _, leaf, doc in _joined(batch.column(0), leaf_code(shape)):
-                rows = Model.rows(leaf, doc, shape)
-                size = 8 * STEP if gradient.fresh else STEP
-                for a in range(0, len(leaf), size):
-                    gradient.add(leaf[a : a + size], [x[:, a : a + size] for x in rows])
+                for part, rows in Model.blocks(leaf, doc, shape, 8 * STEP if gradient.fresh else STEP):
+                    gradient.add(part, rows)
         for k, first, observed, expected in gradient.blocks():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([first], pa.int32()), pa.array([observed], pa.binary()), pa.array([expected], pa.binary())], ["k", "first", "observed", "expected"])
 
@@ -389,7 +394,7 @@ def train_round(coded: DataFrame, model: Model, tokens: int, prior: float = 2.0)
                 values = [unpacked(x) for x in counts]
                 total[k, first] = [a + b for a, b in zip(total[k, first], values, strict=True)] if (k, first) in total else values
         for (k, first), (observed, expected) in total.items():
-            change = step(observed, expected, 4 if k == 0 else 2, prior)
+            change = step(observed, expected, shape.features(k), prior)
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([first], pa.int32()), pa.array([change.tobytes()], pa.binary())], ["k", "first", "change"])
 
     tasks = max(1, -(-2 * tokens // sum(w.size for w in model.w)))

@@ -1,8 +1,11 @@
 """What the language model's features see of a text."""
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 
 from examlake.llm import language_model as lm
+from examlake.llm.common import words_of
 
 
 def test_features_reach_three_words_back():
@@ -108,3 +111,42 @@ def test_first_gradient_needs_no_softmax():
         g.finish()
     for a, b in zip(plain.expected + plain.observed, quick.expected + quick.observed, strict=True):
         assert np.allclose(a, b, atol=1e-3)
+
+
+def test_words_by_arrow_are_those_of_the_texts():
+    texts = [" a  b ", "", "  ", "a\x1cB\x85c\xa0d\x0be\x0cf\x00g", "\n", "ÄB\tb a\r\n", "x" * 70 + " B", "\x1f \v"]
+    for part in (texts, texts[:1], texts[1:3], ["b", "a b"], []):
+        for kind in (pa.string(), pa.large_string()):
+            words, code, sizes = lm.words_in(pa.array(part, kind))
+            found = [w.encode() for w in words.take(pa.array(code)).to_pylist()]
+            assert found == [w for t in part for w in words_of(t)] and sizes.tolist() == [len(words_of(t)) for t in part]
+
+
+def test_tokens_of_a_slice():
+    frequent = {b"a": 3, lm.END: 5}
+    h = np.array([xxhash.xxh64_intdigest(w, 42) for w in (b"a", b"zebra")], np.uint64)
+    order = np.argsort(h)
+    v = lm.Vocabulary(9, 2, frequent, np.zeros(lm.LEAVES, np.int64), h[order], np.array([7, 2])[order], True)
+    leaf, count, sizes = lm.Encoder(v).encode(pa.array(["A zebra", "", " a"]))
+    assert sizes.tolist() == [3, 1, 2] and count.tolist() == [7, 2, 0, 0, 7, 0]
+    assert leaf.tolist() == [3, lm.leaf_of(b"zebra", frequent, {}, v.shape), 5, 5, 3, 5]
+
+
+def test_stretches_have_the_rows_of_the_whole():
+    rng = np.random.default_rng(5)
+    shape = lm.shape_for(1 << 22)
+    leaf, doc = rng.integers(0, shape.leaves, 100), np.sort(rng.integers(0, 9, 100))
+    whole = lm.Model.rows(leaf, doc, shape)
+    for size in (1, 2, 7, 200):
+        parts = list(lm.Model.blocks(leaf, doc, shape, size))
+        assert np.array_equal(np.concatenate([p for p, _ in parts]), leaf)
+        for k, want in enumerate(whole):
+            assert np.array_equal(np.concatenate([r[k] for _, r in parts], axis=1), want)
+
+
+def test_a_token_meets_few_branches():
+    """Work per token: branches over all softmaxes, which were 192 for the largest model."""
+    for types in (1 << 17, 1 << 18, 1 << 19, 1 << 20, 1 << 22, 1 << 40):
+        shape = lm.shape_for(types)
+        assert sum(shape.widths) <= 112 and all(r & (r - 1) == 0 for r in shape.rows)
+        assert shape.leaves == min(1 << 18, types // 16)
