@@ -37,10 +37,13 @@ def chapter_number(label: Column) -> Column:
 
 
 def chapters_by_class(chapters: DataFrame) -> DataFrame:
-    """class_id (and owner_id, where chapters have it), chapters: the class's chapters in their order, with key and key words."""
+    """class_id (and owner_id, where chapters have it), chapters: the class's chapters in their order, with key, key words and probes.
+
+    A text that holds none of a chapter's probes (its words, else its key) scores nothing for it.
+    """
     key = chapter_key(F.col("name"))
     words = F.filter(F.split(key, r"\W+"), lambda w: F.length(w) > 3)
-    one = F.struct("chapter_pos", "chapter_id", "unit_id", "name", key.alias("key"), words.alias("words"), F.lower("name").alias("low"), chapter_number(F.col("name")).alias("number"))
+    one = F.struct("chapter_pos", "chapter_id", "unit_id", "name", key.alias("key"), words.alias("words"), F.when(F.size(words) > 0, words).otherwise(F.array(key)).alias("probes"), F.lower("name").alias("low"), chapter_number(F.col("name")).alias("number"))
     return chapters.groupBy(*keys_of(chapters, keys=("class_id",))).agg(F.array_sort(F.collect_list(one)).alias("chapters"))
 
 
@@ -58,7 +61,8 @@ def classify_keyword(questions: DataFrame, chapters: DataFrame) -> DataFrame:
     of_class = keys_of(questions, chapters, keys=("class_id",))
     rows = T.worked_out(questions.drop(*ASSIGNED), __text=F.lower(F.coalesce("question_text", F.lit("")))).join(chapters_by_class(chapters), of_class, "left")
     text = F.col("__text")
-    scored = F.transform("chapters", lambda c: F.struct(_keyword_score(text, c).alias("score"), (-c["chapter_pos"]).alias("early"), c["chapter_id"].alias("chapter_id"), c["unit_id"].alias("unit_id"), c["name"].alias("name")))
+    some = F.filter("chapters", lambda c: F.exists(c["probes"], lambda w: F.contains(text, w)))
+    scored = F.transform(some, lambda c: F.struct(_keyword_score(text, c).alias("score"), (-c["chapter_pos"]).alias("early"), c["chapter_id"].alias("chapter_id"), c["unit_id"].alias("unit_id"), c["name"].alias("name")))
     rows = T.worked_out(rows, __best=F.array_max(scored)).drop("chapters", "__text")
     best, found = F.col("__best"), F.col("__best.score") > 0
     sure = F.least(F.lit(88), F.floor(35 + F.least(best["score"], F.lit(40)) * F.lit(1.2) + 0.5)).cast("int")
@@ -112,19 +116,20 @@ def apply_assignments(questions: DataFrame, assignments: DataFrame, chapters: Da
     return rows.select(*_chosen(F.col("given").isNotNull(), values, [c for c in questions.columns if c not in ASSIGNED]))
 
 
-def apply_overrides(questions: DataFrame, overrides: DataFrame, chapters: DataFrame) -> DataFrame:
+def apply_overrides(questions: DataFrame, overrides: DataFrame, chapters: DataFrame, source: str | None = None) -> DataFrame:
     """questions with teachers' choices (paper_id, question_no, chapter_id, confidence 0-1) put over theirs.
 
     A choice whose chapter the class no longer has is passed over. Unique on (paper_id, question_no).
+    source names a column that is added: MANUAL_OVERRIDE for questions with a choice that counts, else null.
     """
     keys = keys_of(questions, overrides, keys=("paper_id", "question_no"))
     of_class = keys_of(questions, chapters, keys=("class_id",))
     put = overrides.select(*keys, F.col("chapter_id").alias("put_id"), F.col("confidence").alias("put_confidence"))
-    index = chapters.select(*of_class, F.col("chapter_id").alias("put_id"), F.col("unit_id").alias("put_unit"), F.col("name").alias("put_name"))
+    index = chapters.select(*of_class, F.col("chapter_id").alias("put_id"), F.col("unit_id").alias("put_unit"), F.col("name").alias("put_name"), F.lit("MANUAL_OVERRIDE").alias("put_source"))
     rows = questions.join(put, keys, "left").join(index, [*of_class, "put_id"], "left")
     sure = T.clamp(F.floor(F.coalesce("put_confidence", F.lit(0.0)) * 100 + 0.5), 0, 100).cast("int")
     values = {"chapter_id": F.col("put_id"), "unit_id": F.col("put_unit"), "chapter_name": F.col("put_name"), "chapter_confidence": sure}
-    return rows.select(*_chosen(F.col("put_name").isNotNull(), values, [c for c in questions.columns if c not in ASSIGNED]))
+    return rows.select(*_chosen(F.col("put_name").isNotNull(), values, [c for c in questions.columns if c not in ASSIGNED]), *([F.col("put_source").alias(source)] if source else []))
 
 
 def reclassify(bank: DataFrame, classified: DataFrame, key: str, only_unassigned: bool = True) -> DataFrame:

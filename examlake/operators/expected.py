@@ -46,10 +46,10 @@ def _held() -> dict[str, Column]:
 
 
 def paper_meta(rows: DataFrame, last: bool = False) -> DataFrame:
-    """Each paper's first (or last) said total_questions, total_marks, instructions and rules, by row_order."""
+    """Each paper's first (or last) said total_questions, total_marks, instructions and rules, as far as rows have them, by row_order."""
     pick = F.max_by if last else F.min_by
     keys = keys_of(rows)
-    return rows.groupBy(*keys).agg(*[pick(v, F.when(v.isNotNull(), F.col("row_order"))).alias(c) for c, v in _held().items()])
+    return rows.groupBy(*keys).agg(*[pick(v, F.when(v.isNotNull(), F.col("row_order"))).alias(c) for c, v in _held().items() if c in rows.columns])
 
 
 def rules_end(rules: Column) -> Column:
@@ -64,10 +64,11 @@ def total_marks(rules: Column, n: Column) -> Column:
     return F.when((n >= 1) & (F.size(rules) > 0) & whole, F.aggregate(each, F.lit(0.0), lambda a, m: a + m))
 
 
-def expected_counts(rows: DataFrame) -> DataFrame:
+def expected_counts(rows: DataFrame, meta: DataFrame | None = None) -> DataFrame:
     """paper keys, expected_count, expected_marks of every paper that rows speak of.
 
     rows: paper keys, row_order, question_no, marks and META columns (rules: from, to, section, marks).
+    With meta (`paper_meta`, one row a paper) rows need no META columns and have one row a number.
     The count is, in this order: the first total said by a row; the first that instructions state;
     the first total, or total stated in instructions, of any row in turn; 33 where the marks of 16
     rows or more match the usual sections; the end of the section rules, unless a higher number is
@@ -80,12 +81,12 @@ def expected_counts(rows: DataFrame) -> DataFrame:
     row_total = F.coalesce(said, stated_questions(F.col("instructions")))
     usual = T.default_marks(no)
     checked = no.between(1, 40) & usual.isNotNull()
-    aggs = [F.min_by(v, F.when(v.isNotNull(), F.col("row_order"))).alias(c) for c, v in held.items()]
-    per = rows.groupBy(*keys).agg(
-        *aggs, F.min_by(row_total, F.when(row_total.isNotNull(), F.col("row_order"))).alias("by_row"), F.count(F.lit(1)).alias("n"),
-        F.count_if(checked).alias("n_checked"), F.count_if(checked & (F.col("marks") == usual)).alias("n_match"),
-        F.max(F.when(no >= 1, no)).alias("max_no"), F.count_distinct(F.when(no >= 1, no)).alias("n_numbers"),
-    )
+    counts = [F.count(F.lit(1)).alias("n"), F.count_if(checked).alias("n_checked"), F.count_if(checked & (F.col("marks") == usual)).alias("n_match"), F.max(F.when(no >= 1, no)).alias("max_no")]
+    if meta is None:
+        aggs = [F.min_by(v, F.when(v.isNotNull(), F.col("row_order"))).alias(c) for c, v in held.items()]
+        per = rows.groupBy(*keys).agg(*aggs, F.min_by(row_total, F.when(row_total.isNotNull(), F.col("row_order"))).alias("by_row"), *counts, F.count_distinct(F.when(no >= 1, no)).alias("n_numbers"))
+    else:
+        per = rows.groupBy(*keys).agg(*counts, F.count_if(no >= 1).alias("n_numbers")).join(meta, keys, "left").withColumn("by_row", row_total)
     pattern = (F.col("n") >= LEAST_ROWS) & (F.col("n_checked") >= LEAST_CHECKED) & (F.col("n_match") / F.nullif(F.col("n_checked"), F.lit(0)) >= MATCH)
     end = rules_end(F.col("rules"))
     count = F.coalesce(

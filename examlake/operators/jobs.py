@@ -10,14 +10,13 @@ from pyspark.sql import functions as F
 from examlake.functions import text as T
 from examlake.operators.bank import quality_report
 from examlake.operators.classify import ASSIGNED, apply_overrides
-from examlake.operators.expected import META, expected_counts, paper_meta, stamp_totals
+from examlake.operators.expected import META, expected_counts, paper_meta
 from examlake.operators.merging import finalize_questions
-from examlake.operators.papers import validated_questions
+from examlake.operators.papers import is_question
 from examlake.operators.provider import Provider, vectors_of
-from examlake.operators.records import bank_rows_of_papers, classification_rows, persist_bank_rows
+from examlake.operators.records import classification_rows, paper_bank_rows, persist_bank_rows
 from examlake.operators.reports import split_solution, stamp_reports, upsert_jobs
 from examlake.operators.rereading import Reader, reread
-from examlake.operators.scans import keys_of
 from examlake.operators.usage import usage_summaries
 from examlake.operators.workflow import classify
 from examlake.options import Options
@@ -83,38 +82,39 @@ def run_jobs(
     extract_solutions a number's first solution goes to the bank, with strict_verbatim off doubtful
     fractions are rewritten.
     """
-    mine = papers.join(jobs.select(*KEYS).distinct(), KEYS, "left_semi")
-    rows = extracted.join(mine.select(*KEYS), KEYS, "left_semi")
-    for c in META:
-        rows = rows if c in rows.columns else rows.withColumn(c, F.lit(None).cast(META_KINDS[c]))
-    rows = written(as_told(rows, options), "extracted")
+    mine = papers.join(jobs.select(*KEYS), KEYS, "left_semi")
+    mine = written(mine.select(*KEYS, "class_id", "paper_source", "year", "n_pages"), "papers")
+    said = [c for c in META if c in extracted.columns]
+    rows = written(as_told(extracted.join(mine.select(*KEYS), KEYS, "left_semi"), options), "extracted")
     meta = written(paper_meta(rows), "meta")
-    told = mine.select(*KEYS, "n_pages").join(meta.select(*KEYS, "instructions"), KEYS, "left")
-    counted = lambda some: expected_counts(some.drop(*META).join(meta, KEYS, "left"))
-    if reader is None:
-        final = written(finalize_questions(rows, told), "questions")
-    else:
-        first = written(counted(finalize_questions(rows, told)), "expected")
-        rows, final = reread(rows, told.join(first.select(*KEYS, "expected_count"), KEYS, "left"), reader, rounds)
-    expected = written(mine.select(*KEYS).join(counted(final), KEYS, "left"), "expected")
-    questions = validated_questions(final, expected.select(*KEYS, "expected_count")).drop("expected_count")
-    questions = questions.join(mine.select(*KEYS, "class_id"), KEYS).withColumn("question_id", F.concat_ws("-", F.col("paper_id").cast("string"), F.col("question_no").cast("string")))
-    questions = stamp_totals(questions.withColumn("total_questions", F.lit(None).cast("int")), expected)
+    meta = meta.select(*KEYS, *[F.col(c) if c in said else F.lit(None).cast(META_KINDS[c]).alias(c) for c in META])
+    rows = rows.drop(*META)
+    told = mine.select(*KEYS, "n_pages")
+    if "instructions" in said:
+        told = told.join(meta.select(*KEYS, "instructions"), KEYS, "left")
+    final = finalize_questions(rows, told, hold=True)
+    if reader is not None:
+        known = written(told.join(expected_counts(final, meta).select(*KEYS, "expected_count"), KEYS, "left"), "expected")
+        rows, final = reread(rows, known, reader, rounds, final)
+    by = rows.select(*KEYS, "extracted_by").repartition(*KEYS).distinct().groupBy(*KEYS).agg(F.min("extracted_by").alias("extracted_by"))
+    known = written(mine.drop("n_pages").join(expected_counts(final, meta), KEYS, "left").join(by, KEYS, "left"), "expected")
+    # final has one row a number, so checked rows have no copies to be met
+    questions = final.join(known.drop("expected_marks"), KEYS).where(is_question(F.col("question_no"), F.col("question_text"), F.col("expected_count")))
+    questions = questions.withColumn("question_id", F.concat_ws("-", F.col("paper_id").cast("string"), F.col("question_no").cast("string")))
+    questions = questions.withColumn("total_questions", F.when(F.col("expected_count") >= 1, F.col("expected_count"))).drop("expected_count")
     for c in ASSIGNED:
         questions = questions.withColumn(c, F.lit(None).cast("int" if c == "chapter_confidence" else "string"))
-    questions = written(questions, "checked")
-    reports = quality_report(expected.select(*KEYS, "expected_count", "expected_marks"), questions)
     questions = _classified(questions, chapters, overrides, assignments, profiles, embedder, options)
-    by = rows.groupBy(*KEYS).agg(F.min("extracted_by").alias("extracted_by"))
-    questions = questions.join(by, KEYS, "left")
     if "solution" in rows.columns:
         told = rows.where("question_no is not null").groupBy(*KEYS, "question_no").agg(F.min_by("solution", F.when(F.col("solution").isNotNull(), F.col("row_order"))).alias("solution"))
         questions = questions.join(told, [*KEYS, "question_no"], "left")
     questions = written(questions, "classified")
+    reports = quality_report(known.select(*KEYS, "expected_count", "expected_marks"), questions)
     if options.persist:
         facts = F.create_map(F.lit("totalQuestions"), F.col("total_questions").cast("string"), F.lit("marksInferred"), F.when(F.col("marks_inferred"), "true"), F.lit("hasFigure"), F.when(F.col("has_figure"), "true"))
-        new = bank_rows_of_papers(questions.withColumn("id", F.col("question_id")).withColumn("metadata", facts), mine)
-        bank, classifications = persist_bank_rows(bank, classifications, new, classification_rows(questions, _named("classified_by", ROUTE_SOURCES)))
+        new = paper_bank_rows(questions.withColumn("id", F.col("question_id")).withColumn("metadata", facts))
+        bank, classifications = persist_bank_rows(bank, classifications, new, classification_rows(questions, _named("classified_by", ROUTE_SOURCES)), hold=False)
+    questions = questions.drop("paper_source", "year")
     done = _job_rows(jobs, questions, reports, usage, failures, now)
     stamped = done.where("status = 'completed'").select(*KEYS, F.col("quality_report").alias("last_quality_report"), F.col("job_id").alias("last_extraction_job_id"))
     return Run(bank, classifications, upsert_jobs(jobs, done), stamp_reports(papers, stamped), questions, reports)
@@ -127,11 +127,10 @@ def _classified(questions: DataFrame, chapters: DataFrame, overrides: DataFrame,
     if vectors is not None:
         known = written(vectors_of(questions.select(F.col("question_text").alias("input")), embedder), "vectors").select("input", "embedding")
         questions = questions.withColumn("input", T.strip(F.col("question_text"))).join(known, "input", "left").drop("input")
+    if vectors is not None or assignments is not None:
+        questions = written(questions, "checked")  # read by each route
     found = classify(questions, chapters, vectors, assignments).drop("embedding")
-    index = [*keys_of(overrides, chapters, keys=("class_id", "chapter_id"))]
-    chosen = overrides.join(questions.select(*KEYS, "question_no", "class_id"), [*KEYS, "question_no"]).join(chapters.select(*index), index, "left_semi")
-    manual = chosen.select(*KEYS, "question_no").distinct().withColumn("classification_source", F.lit("MANUAL_OVERRIDE"))
-    return apply_overrides(found, overrides, chapters).join(manual, [*KEYS, "question_no"], "left")
+    return apply_overrides(found, overrides, chapters, source="classification_source")
 
 
 def _job_rows(jobs: DataFrame, questions: DataFrame, reports: DataFrame, usage: DataFrame, failures: DataFrame | None, now: Column) -> DataFrame:

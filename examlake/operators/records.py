@@ -125,8 +125,13 @@ def bank_rows_of_papers(questions: DataFrame, papers: DataFrame) -> DataFrame:
     paper = papers.select("owner_id", "paper_id", F.col("class_id").alias("__class"), F.col("paper_source").alias("__source"), F.col("year").alias("__year"))
     place = F.row_number().over(Window.partitionBy("owner_id", "paper_id").orderBy("row_order"))
     rows = questions.withColumn("question_no", F.coalesce("question_no", place)).join(paper, ["owner_id", "paper_id"])
+    return paper_bank_rows(rows.drop("class_id", "paper_source", "year").withColumnsRenamed({"__class": "class_id", "__source": "paper_source", "__year": "year"}))
+
+
+def paper_bank_rows(questions: DataFrame) -> DataFrame:
+    """BANK_COLUMNS of exam papers' numbered questions that carry their paper's class_id, paper_source and year."""
     none = F.lit(None).cast("string")
-    return _bank_rows(rows, origin_type=F.lit("question_paper"), material_id=none, question_paper_id=F.col("paper_id").cast("string"), class_id=F.col("__class"), question_no=F.col("question_no"), source=paper_source(F.col("__source")), year=F.col("__year").cast("int"))
+    return _bank_rows(questions, origin_type=F.lit("question_paper"), material_id=none, question_paper_id=F.col("paper_id").cast("string"), class_id=F.col("class_id"), question_no=F.col("question_no"), source=paper_source(F.col("paper_source")), year=F.col("year").cast("int"))
 
 
 def bank_rows_of_materials(questions: DataFrame, materials: DataFrame) -> DataFrame:
@@ -197,13 +202,16 @@ def override_chapters(bank: DataFrame, classifications: DataFrame, choices: Data
     return edited, upsert_classifications(classifications, rows)
 
 
-def persist_bank_rows(bank: DataFrame, classifications: DataFrame, new: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def persist_bank_rows(bank: DataFrame, classifications: DataFrame, new: DataFrame, rows: DataFrame, hold: bool = True) -> tuple[DataFrame, DataFrame]:
     """(bank, classifications) after a run: rows of the touched papers replaced, then classifications written, those of vanished rows dropped.
 
-    Papers without new rows stay untouched.
+    Papers without new rows stay untouched. The bank is written once for both, unless `hold` is off: new is
+    then a plain projection of a written table, of which classifications need the ids only, and every row
+    of `rows` is of a question in it, so that only old ones may have lost theirs.
     """
     # a paper belongs to its owner: both name it
     keyed = lambda df: df.withColumn("__paper", F.struct("owner_id", "question_paper_id"))
-    kept = written(persist_questions(keyed(bank), keyed(new), "__paper", ["owner_id", "id"]).drop("__paper"), "kept")
-    told = upsert_classifications(classifications, rows)
-    return kept, told.join(kept.select("owner_id", F.col("id").alias("question_id")), ["owner_id", "question_id"], "left_semi")
+    kept = persist_questions(keyed(bank), keyed(new), "__paper", ["owner_id", "id"]).drop("__paper")
+    kept = written(kept, "kept") if hold else kept
+    of_bank = lambda df: df.join(kept.select("owner_id", F.col("id").alias("question_id")), ["owner_id", "question_id"], "left_semi")
+    return kept, of_bank(upsert_classifications(classifications, rows)) if hold else upsert_classifications(of_bank(classifications), rows)

@@ -26,13 +26,21 @@ def numbers_to_read(rows: DataFrame, expected: DataFrame) -> DataFrame:
     Texts of 850 characters or more seem so for numbers 17 to 28, and any with a number at a line's
     start. Papers of `expected` without a row are in the result; expected_count null or below 1: nothing is missing.
     """
-    keys = keys_of(rows, expected)
-    long = (F.length(T.strip(F.col("question_text"))) >= LONG_TEXT) & F.col("question_no").between(*FIGURES)
-    merged = F.max(F.coalesce(long | F.col("question_text").rlike(EMBEDDED), F.lit(False)))
-    per = rows.where("question_no is not null").groupBy(*keys, "question_no").agg(F.count(F.lit(1)).alias("n"), merged.alias("merged"))
-    wanted = expected.where("expected_count >= 1").select(*keys, F.explode(F.sequence(F.lit(1), F.col("expected_count").cast("int"))).alias("question_no"))
-    missing = wanted.join(per.select(*keys, "question_no"), [*keys, "question_no"], "left_anti")
-    return missing.unionByName(per.where("n > 1 or merged").select(*keys, F.col("question_no").cast("int").alias("question_no")))
+    return _numbers(rows, expected).select(*keys_of(rows, expected), F.explode("numbers").alias("question_no"))
+
+
+def _numbers(rows: DataFrame, expected: DataFrame) -> DataFrame:
+    """Paper keys, numbers: `numbers_to_read` as one ascending array a paper; papers without any are left out."""
+    keys, text, no = keys_of(rows, expected), F.col("question_text"), F.col("question_no")
+    long = no.between(*FIGURES) & F.when(F.length(text) >= LONG_TEXT, F.length(T.strip(text)) >= LONG_TEXT).otherwise(False)
+    merged = F.coalesce(long | text.rlike(EMBEDDED), F.lit(False))
+    told = rows.where("question_no is not null").select(*keys, no.cast("int").alias("no"), merged.alias("merged"), F.lit(None).cast("int").alias("n"))
+    counts = expected.where("expected_count >= 1").select(*keys, F.lit(None).cast("int").alias("no"), F.lit(False).alias("merged"), F.col("expected_count").cast("int").alias("n"))
+    by_no = told.unionByName(counts).repartition(*keys).groupBy(*keys, "no").agg(((F.count(F.lit(1)) > 1) | F.max("merged")).alias("again"), F.max("n").alias("n"))
+    # a count's own rows have no number, so the arrays pass them over
+    per = by_no.groupBy(*keys).agg(F.collect_list("no").alias("have"), F.collect_list(F.when(F.col("again"), F.col("no"))).alias("again"), F.max("n").alias("n"))
+    missing = F.when(F.col("n") >= 1, F.array_except(F.sequence(F.lit(1), F.col("n")), F.col("have"))).otherwise(F.array().cast("array<int>"))
+    return T.worked_out(per, numbers=F.sort_array(F.concat(missing, "again"))).where(F.size("numbers") > 0).select(*keys, "numbers")
 
 
 def read_again(pending: DataFrame, pages: DataFrame, reader: Reader, most: int = MOST_NUMBERS, most_pages: int = MOST_PAGES) -> DataFrame | None:
@@ -45,52 +53,60 @@ def read_again(pending: DataFrame, pages: DataFrame, reader: Reader, most: int =
     longest paper's last, or when nothing is pending.
     """
     keys = keys_of(pending, pages)
+    return _read(pending.groupBy(*keys).agg(F.array_sort(F.collect_set(F.col("question_no").cast("int"))).alias("numbers")), pages, reader, most, most_pages)
+
+
+def _read(asked: DataFrame, pages: DataFrame, reader: Reader, most: int = MOST_NUMBERS, most_pages: int = MOST_PAGES) -> DataFrame | None:
+    """`read_again` of pending numbers that come as one ascending array a paper, and stay so from page to page."""
+    keys = keys_of(asked, pages)
     places = pages.select(*keys, F.least("n_pages", F.lit(most_pages)).alias("__pages"))
-    pending = written(pending.join(places, keys).where("__pages >= 1"), "pending")
+    pending = written(asked.join(places, keys).where("__pages >= 1"), "pending")
     last, found = pending.agg(F.max("__pages")).first()[0] or 0, None
-    order = Window.partitionBy(*keys).orderBy("question_no")
     first = Window.partitionBy(*keys, "question_no").orderBy("pos", "question_text")
     for page in range(1, last + 1):
-        asked = pending.where(F.col("__pages") >= page).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most)
-        requests = asked.groupBy(*keys).agg(F.array_sort(F.collect_list("question_no")).alias("numbers")).withColumn("page_no", F.lit(page))
-        some = reader(requests).join(pending.where(F.col("__pages") >= page).select(*keys, "question_no"), [*keys, "question_no"], "left_semi")
+        requests = pending.select(*keys, F.slice("numbers", 1, most).alias("numbers"), F.lit(page).alias("page_no"))
+        some = reader(requests).join(pending.select(*keys, F.col("numbers").alias("__pending")), keys).where(F.array_contains("__pending", F.col("question_no"))).drop("__pending")
         some = written(some.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n").withColumn("page_no", F.lit(page)), "read_again")
         found = some if found is None else found.unionByName(some)
-        pending = written(pending.join(some.select(*keys, "question_no"), [*keys, "question_no"], "left_anti"), "pending")
-        if not pending.limit(1).count():
+        if page == last:
+            break
+        got = some.groupBy(*keys).agg(F.collect_set(F.col("question_no").cast("int")).alias("__got"))
+        left = F.when(F.col("__got").isNull(), F.col("numbers")).otherwise(F.array_except("numbers", "__got"))
+        rest = T.worked_out(pending.where(F.col("__pages") > page).join(got, keys, "left"), numbers=left).select(*keys, "numbers", "__pages")
+        pending = written(rest.where(F.size("numbers") > 0), "pending")
+        if pending.isEmpty():
             break
     return found
 
 
-def reread(rows: DataFrame, papers: DataFrame, reader: Reader, rounds: int = 1) -> tuple[DataFrame, DataFrame]:
+def reread(rows: DataFrame, papers: DataFrame, reader: Reader, rounds: int = 1, final: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, questions): extracted rows with what was read again in place of the old, and finalize_questions of them, written.
 
     papers: paper keys, expected_count, n_pages, instructions. Each round asks for `numbers_to_read` of
-    the finalised questions and, from the second on, only of papers whose set has shrunk; it ends
-    early when there are none or the reader finds nothing. Only papers of which something was found are
-    finalised anew.
+    the finalised questions (final, where they are known) and, from the second on, only of papers whose
+    set has shrunk; it ends early when there are none or the reader finds nothing. Only papers of which
+    something was found are written and finalised anew.
     """
     keys = keys_of(rows, papers)
-    final, before = written(finalize_questions(rows, papers), "questions"), None
+    final, before = written(finalize_questions(rows, papers), "questions") if final is None else final, None
     for _ in range(rounds):
-        need = written(numbers_to_read(final, papers.select(*keys, "expected_count")), "numbers")
-        sizes = need.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
+        need = written(_numbers(final, papers.select(*keys, "expected_count")), "numbers")
+        asked = need
         if before is not None:
-            shrunk = sizes.join(before.withColumnRenamed("size", "__before"), keys).where(F.col("size") < F.col("__before"))
-            need = written(need.join(shrunk.select(*keys), keys, "left_semi"), "numbers")
-        if not need.limit(1).count():
-            break
-        found = read_again(need, papers, reader)
-        if found is None or not found.limit(1).count():
+            earlier = before.select(*keys, F.size("numbers").alias("__before"))
+            asked = need.join(earlier, keys).where(F.size("numbers") < F.col("__before")).drop("__before")
+        found = _read(asked, papers, reader)
+        if found is None or found.isEmpty():
             break
-        behind = rows.groupBy(*keys).agg(F.max("row_order").alias("__last"))
+        changed = written(found.select(*keys).distinct(), "changed")
+        own = rows.join(changed, keys, "left_semi")
+        behind = own.groupBy(*keys).agg(F.max("row_order").alias("__last"))
         place = F.row_number().over(Window.partitionBy(*keys).orderBy("page_no", "pos", "question_no"))
         put = found.join(behind, keys, "left").withColumn("row_order", (F.coalesce("__last", F.lit(-1)) + place).cast("long"))
         put = put.select(*[(F.col(c) if c in put.columns else F.lit(None)).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
-        changed = written(found.select(*keys).distinct(), "changed")
-        rows = written(replace_numbers(rows, put), "rows")
-        anew = finalize_questions(rows.join(changed, keys, "left_semi"), papers)
-        final, before = written(final.join(changed, keys, "left_anti").unionByName(anew), "questions"), sizes
+        new = written(replace_numbers(own, put), "rows")
+        rows = rows.join(changed, keys, "left_anti").unionByName(new)
+        final, before = written(final.join(changed, keys, "left_anti").unionByName(finalize_questions(new, papers)), "questions"), need
     return rows, final
 
 
@@ -99,7 +115,6 @@ def table_reader(readings: DataFrame) -> Reader:
 
     def read(requests: DataFrame) -> DataFrame:
         keys = [*keys_of(requests, readings), "page_no"]
-        asked = requests.select(*keys, F.explode("numbers").alias("question_no"))
-        return readings.join(asked, [*keys, "question_no"]).drop("page_no")
+        return readings.join(requests.select(*keys, "numbers"), keys).where(F.array_contains("numbers", F.col("question_no"))).drop("numbers", "page_no")
 
     return read

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from examlake.operators.bank import persist_questions
@@ -44,6 +44,11 @@ def classify(questions: DataFrame, chapters: DataFrame, profiles: DataFrame | No
     routes.append(("keyword", classify_keyword(questions, chapters)))
     keys = keys_of(questions, keys=("paper_id", "row_order"))
     papers = keys[:-1]
+    rest = [c for c in questions.columns if c not in ASSIGNED]
+    if len(routes) == 1:
+        # the only route is every paper's in which it assigns a question; the others' chapters are null already
+        assigned = F.max(F.col("chapter_id").isNotNull()).over(Window.partitionBy(*papers))
+        return routes[0][1].select(*rest, *ASSIGNED, F.when(assigned, routes[0][0]).otherwise("none").alias("classified_by"))
     every = None
     for rank, (name, found) in enumerate(routes):
         part = found.select(*keys, F.struct(*[F.col(c) for c in ASSIGNED]).alias("__found"), F.lit(rank).alias("__rank"), F.lit(name).alias("classified_by"))
@@ -51,7 +56,6 @@ def classify(questions: DataFrame, chapters: DataFrame, profiles: DataFrame | No
     every = written(every, "routes")
     used = every.where(F.col("__found.chapter_id").isNotNull()).groupBy(*papers).agg(F.min("__rank").alias("__rank"))
     chosen = every.join(used, [*papers, "__rank"]).drop("__rank")
-    rest = [c for c in questions.columns if c not in ASSIGNED]
     rows = questions.join(chosen, keys, "left")
     return rows.select(*rest, *[F.col(f"__found.{c}").alias(c) for c in ASSIGNED], F.coalesce("classified_by", F.lit("none")).alias("classified_by"))
 

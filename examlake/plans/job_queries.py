@@ -9,6 +9,7 @@ from examlake.operators import provider as P
 from examlake.operators.records import BANK_COLUMNS
 from examlake.operators.rereading import table_reader
 from examlake.sources import tables as src
+from examlake.sources.written import written
 
 TOPICS = ("optics", "magnetism", "gravitation", "thermodynamics", "electrostatics")
 NOW = "2024-05-01 00:00:00"
@@ -43,7 +44,8 @@ def _run(spark, d) -> J.Run:
     classifications = bank.select("owner_id", F.col("id").alias("question_id"), F.lit("old").alias("chapter_id"), F.lit(0.5).cast("decimal(4,3)").alias("confidence"), none("array<struct<chapter_id:string,chapter_name:string,score:double>>").alias("alternatives"), F.lit("MANUAL_REVIEW_REQUIRED").alias("review_status"), F.lit("VECTOR").alias("classification_source"))
     usage = o.select(owner, F.concat(F.lit("j"), k.cast("string")).alias("job_id"), F.lit("extract.vision").alias("action"), F.lit("gpt-4o").alias("model"), (k % 1000 * 10).alias("prompt_tokens"), (k % 100).alias("completion_tokens"))
     extracted = texts.where("not withheld").drop("withheld", "page_no", "pos")
-    return J.run_jobs(jobs, papers, extracted, bank, classifications, chapters, overrides, usage, F.lit(NOW).cast("timestamp"), reader=table_reader(texts.where("withheld").drop("withheld", "row_order")), rounds=2)
+    readings = written(texts.where("withheld").drop("withheld", "row_order"), "readings")  # each page looks them up
+    return J.run_jobs(jobs, papers, extracted, bank, classifications, chapters, overrides, usage, F.lit(NOW).cast("timestamp"), reader=table_reader(readings), rounds=2)
 
 
 def job_bank(spark, d):

@@ -128,3 +128,48 @@ def test_keys_and_references_are_dealt_by_their_number(spark, monkeypatch):
     found = A.violations(rows, "question_bank", ["owner_id", "id"], parents)
     assert "RepartitionByExpression" in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and "], 10" in plan and "Range" not in plan
     assert {(r.rule, r["count"]) for r in found.groupBy("rule").count().collect()} == {("key", 475), ("one origin", 950)}
+
+
+def test_copies_are_dropped_without_a_fold(spark, monkeypatch):
+    """A number whose rows have one text and one value of marks leaves its first row, with a figure if any copy has one."""
+    from examlake.operators import merging as M
+
+    def fold(*_):
+        raise AssertionError("rows were sent to Python")
+
+    monkeypatch.setattr(M, "fold_sorted", fold)
+    rows = [(1, 0, 1, " State the law of lenses ", None, False), (1, 1, 1, " State the law of lenses ", None, True), (1, 2, 2, "Define\nthe flux", 2.0, None), (1, 3, None, "Of no number", None, False)]
+    df = spark.createDataFrame(rows, "paper_id long, row_order long, question_no int, question_text string, marks double, has_figure boolean")
+    got = M.finalize_questions(df, df.select("paper_id").distinct())
+    assert sorted((r.question_no, r.question_text, r.marks, r.has_figure, r.row_order) for r in got.collect()) == [(1, "State the law of lenses", 1.0, True, 0), (2, "Define\nthe flux", 2.0, False, 2)]
+
+
+def test_a_run_finalises_a_paper_once_before_it_is_read_again(spark, sf, monkeypatch):
+    from examlake.operators import jobs as J
+    from examlake.operators import rereading as R
+    from examlake.plans import job_queries as Q
+
+    sizes = []
+    for module in (J, R):
+        finalize = module.finalize_questions
+        monkeypatch.setattr(module, "finalize_questions", lambda some, p, f=finalize, **more: sizes.append(some.select("paper_id").distinct().count()) or f(some, p, **more))
+    Q._run(spark, sf)
+    assert len(sizes) > 1 and sum(sizes[1:]) < sizes[0]
+
+
+def test_pages_are_looked_up_in_a_written_table(spark, sf, monkeypatch):
+    """The readings of a run are joined once, not anew for each page."""
+    from examlake.plans import job_queries as Q
+
+    plans, reader = [], Q.table_reader
+    monkeypatch.setattr(Q, "table_reader", lambda t: plans.append(t._jdf.queryExecution().optimizedPlan().toString()) or reader(t))
+    Q._run(spark, sf)
+    assert len(plans) == 1 and "Join" not in plans[0]
+
+
+def test_the_only_route_is_not_joined_to_its_questions(spark, sf, capsys):
+    """With key words alone a question's row goes through once: only the class's chapters are joined to it."""
+    q = Q._questions(spark, sf)
+    for c in C.ASSIGNED:
+        q = q.withColumn(c, Q.F.lit(None).cast(q.schema[c].dataType))
+    assert _plan(W.classify(q, src.chapters(spark, sf)), capsys).count("Join ") == _plan(C.classify_keyword(q, src.chapters(spark, sf)), capsys).count("Join ")

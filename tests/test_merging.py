@@ -45,6 +45,22 @@ def test_a_part_goes_behind_its_question_and_marks_of_the_earlier_stand(spark):
     assert got == {1: ("Answer the following:\n(ii) Define flux.", None), 2: (rows[3][3], 1.0)}
 
 
+def test_copies_finalized(spark):
+    """Papers of copies, with other rows, and all pairs of them with marks, cuts, sections, parts and odd ends."""
+    texts = [
+        STEM, STEM + " ", "\u00a0" + STEM, STEM + "\u2003", f"(D) {STEM}", f"{STEM}\n(D) {STEM}", "(ii) and on its outer surface?", f" (b) {STEM}", f"{STEM}\n3. Define flux in words", f"{STEM}\n\n{STEM}",
+        f"{STEM}\n... goes on", "\u00bd (i) of it", STEM + "\n" + "word " * 180 + "\n22. Name the law", "Define it",
+    ]
+    pairs = [(a, b, m, n) for a, b in itertools.combinations_with_replacement(texts, 2) for m, n in ((None, None), (None, 2.0), (2.0, None), (2.0, 2.0), (0.0, None), (0.0, 2.0), (1.0, 2.0))]
+    rows = []
+    for i, (a, b, m, n) in enumerate(pairs):
+        rows += [(i, 0, 21, a, m, False), (i, 1, 21, b, n, True), (i, 2, 4, a.strip(), None, False), (i, 3, None, STEM, None, False)]
+    df = spark.createDataFrame(rows, ROWS)
+    got = {(r.paper_id, r.question_no): (r.question_text, r.marks, r.has_figure, r.row_order) for r in M.finalize_questions(df, df.select("paper_id").distinct()).collect()}
+    want = {(p, no): (r["text"], r["marks"], r["figure"], r["order"]) for p, mine in _plain(df.collect()).items() for no, r in plain.finalize(mine).items()}
+    assert got == want
+
+
 @pytest.fixture(scope="module")
 def papers(spark, sf):
     return _plain(Q._rows(spark, sf).collect())
