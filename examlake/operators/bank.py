@@ -12,7 +12,7 @@ from examlake.operators.scans import keys_of
 from examlake.sources.written import written
 
 
-def quality_report(papers: DataFrame, bank: DataFrame) -> DataFrame:
+def quality_report(papers: DataFrame, bank: DataFrame, single: bool = False) -> DataFrame:
     """One row for each paper: counts, missing, duplicate and extra numbers, marks, issues, status.
 
     papers: paper keys, expected_count and, if known, expected_marks; bank: paper keys, question_no,
@@ -20,12 +20,12 @@ def quality_report(papers: DataFrame, bank: DataFrame) -> DataFrame:
     arrays hold distinct numbers only; a number's marks are those of its longest trimmed text, the
     first by row_order of equals. An expected count below 1 counts as unknown: nothing is missing or
     extra then, and the paper is to be reviewed. A paper without rows is 'Not Extracted'; 'Failed'
-    means no valid number.
+    means no valid number. `single`: bank has one row a number, which is counted as it stands.
     """
     keys = keys_of(papers, bank)
     size = F.length(T.strip(F.coalesce("question_text", F.lit(""))))
     longest = F.max(F.struct(size.alias("size"), (-F.col("row_order")).alias("early"), "marks"))["marks"]
-    by_no = bank.groupBy(*keys, "question_no").agg(F.count(F.lit(1)).alias("n"), longest.alias("marks"))
+    by_no = bank.select(*keys, "question_no", F.lit(1).cast("long").alias("n"), "marks") if single else bank.groupBy(*keys, "question_no").agg(F.count(F.lit(1)).alias("n"), longest.alias("marks"))
     valid, marked = F.col("question_no") >= 1, F.col("marks") > 0
     per = by_no.groupBy(*keys).agg(
         F.sum("n").alias("row_count"), F.sort_array(F.collect_list(F.when(valid, F.col("question_no")))).alias("numbers"),
@@ -42,7 +42,7 @@ def quality_report(papers: DataFrame, bank: DataFrame) -> DataFrame:
     n, total = F.size("numbers"), F.coalesce("marks_sum", F.lit(0)).cast("decimal(20,2)")
     unmarked = n - F.coalesce("with_marks", F.lit(0)).cast("int")
     off = (F.col("with_marks") > 0) & (total.cast("double") != F.col("expected_marks"))
-    told = lambda c: T.ranges(F.col(c))
+    told = lambda c: F.when(F.size(c) > 0, T.ranges(F.col(c))).otherwise("")
     has_rows = F.col("row_count") > 0
     counted = [
         F.when(known & (n != F.col("expected_count")), F.format_string("%d of %d questions found", n, F.col("expected_count"))),

@@ -15,7 +15,7 @@ from examlake.operators.merging import finalize_questions
 from examlake.operators.papers import is_question
 from examlake.operators.provider import Provider, vectors_of
 from examlake.operators.records import classification_rows, paper_bank_rows, persist_bank_rows
-from examlake.operators.reports import split_solution, stamp_reports, upsert_jobs
+from examlake.operators.reports import split_solution, stamp_reports
 from examlake.operators.rereading import Reader, reread
 from examlake.operators.usage import usage_summaries
 from examlake.operators.workflow import classify
@@ -109,7 +109,7 @@ def run_jobs(
         told = rows.where("question_no is not null").groupBy(*KEYS, "question_no").agg(F.min_by("solution", F.when(F.col("solution").isNotNull(), F.col("row_order"))).alias("solution"))
         questions = questions.join(told, [*KEYS, "question_no"], "left")
     questions = written(questions, "classified")
-    reports = quality_report(known.select(*KEYS, "expected_count", "expected_marks"), questions)
+    reports = quality_report(known.select(*KEYS, "expected_count", "expected_marks"), questions, single=True)
     if options.persist:
         facts = F.create_map(F.lit("totalQuestions"), F.col("total_questions").cast("string"), F.lit("marksInferred"), F.when(F.col("marks_inferred"), "true"), F.lit("hasFigure"), F.when(F.col("has_figure"), "true"))
         new = paper_bank_rows(questions.withColumn("id", F.col("question_id")).withColumn("metadata", facts))
@@ -117,7 +117,9 @@ def run_jobs(
     questions = questions.drop("paper_source", "year")
     done = _job_rows(jobs, questions, reports, usage, failures, now)
     stamped = done.where("status = 'completed'").select(*KEYS, F.col("quality_report").alias("last_quality_report"), F.col("job_id").alias("last_extraction_job_id"))
-    return Run(bank, classifications, upsert_jobs(jobs, done), stamp_reports(papers, stamped), questions, reports)
+    # every job has its row in done, so nothing of the old ones is left to be looked up
+    done = done.select(*jobs.columns, *[c for c in done.columns if c not in jobs.columns])
+    return Run(bank, classifications, done, stamp_reports(papers, stamped), questions, reports)
 
 
 def _classified(questions: DataFrame, chapters: DataFrame, overrides: DataFrame, assignments: DataFrame | None, profiles: DataFrame | None, embedder: Provider | None, options: Options) -> DataFrame:
@@ -134,8 +136,8 @@ def _classified(questions: DataFrame, chapters: DataFrame, overrides: DataFrame,
 
 
 def _job_rows(jobs: DataFrame, questions: DataFrame, reports: DataFrame, usage: DataFrame, failures: DataFrame | None, now: Column) -> DataFrame:
-    """The jobs' final rows: state, routes, counts, report and usage as JSON, error."""
-    per = questions.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.min("extracted_by").alias("__extracted"), F.min("classified_by").alias("__route"))
+    """The jobs' final rows: state, routes, counts, report and usage as JSON, error; a paper's questions have one extracted_by and one classified_by."""
+    per = questions.groupBy(*KEYS, F.col("extracted_by").alias("__extracted"), F.col("classified_by").alias("__route")).agg(F.count(F.lit(1)).alias("n"))
     told = reports.select(*KEYS, F.to_json(F.struct(*[c for c in reports.columns if c not in KEYS])).alias("__report"))
     used = usage_summaries(usage).select("owner_id", "job_id", F.to_json(F.struct("pricing_version", "by_action", "totals")).alias("__usage"))
     rows = jobs.join(per, KEYS, "left").join(told, KEYS, "left").join(used, ["owner_id", "job_id"], "left")

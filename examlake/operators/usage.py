@@ -86,7 +86,7 @@ def usage_summaries(events: DataFrame, overrides: dict | None = None) -> DataFra
     names = ["calls", "prompt_tokens", "completion_tokens", "total_tokens", "cost"]
     bucket = F.struct("action", F.struct(*names).alias("sums"))
     sums = [F.sum(c).alias(c) for c in names[1:3]] + [(F.sum("prompt_tokens") + F.sum("completion_tokens")).alias("total_tokens"), F.sum("cost").alias("cost")]
-    per = each.groupBy("owner_id", "job_id").agg(F.map_from_entries(F.array_sort(F.collect_list(bucket))).alias("by_action"), *sums)
+    per = each.groupBy("owner_id", "job_id").agg(F.map_from_entries(F.sort_array(F.collect_list(bucket))).alias("by_action"), *sums)
     return per.select("owner_id", "job_id", F.lit(PRICING_VERSION).alias("pricing_version"), "by_action", F.struct(*[s for s in names[1:]]).alias("totals"))
 
 

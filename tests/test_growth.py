@@ -173,3 +173,12 @@ def test_the_only_route_is_not_joined_to_its_questions(spark, sf, capsys):
     for c in C.ASSIGNED:
         q = q.withColumn(c, Q.F.lit(None).cast(q.schema[c].dataType))
     assert _plan(W.classify(q, src.chapters(spark, sf)), capsys).count("Join ") == _plan(C.classify_keyword(q, src.chapters(spark, sf)), capsys).count("Join ")
+
+
+def test_a_runs_reports_and_jobs_are_counted_once_a_paper(spark, sf, capsys):
+    """Its questions are one a number, and every job ends in a row: nothing is grouped by number, and no old job is looked up."""
+    from examlake.plans import job_queries as Q
+
+    run = Q._run(spark, sf)
+    assert "max(struct" not in _plan(run.reports, capsys)
+    assert "LeftAnti" not in _plan(run.jobs, capsys)
