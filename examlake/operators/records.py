@@ -73,14 +73,20 @@ def compact_metadata(m: Column, rules: Column | None = None) -> Column:
 
     The total counts from 1 on. `rules`: section rules in RULES form.
     """
-    at = lambda *keys: F.coalesce(*[F.nullif(F.try_element_at(m, F.lit(k)), F.lit("")) for k in keys])
-    total = finite(at("totalQuestions", "total_questions"))
-    clean = {k: T.repair_escapes(at(k)) for k in ("set", "series", "marksInferred", "marksSource", "hasFigure")}
-    held = [F.when(total >= 1, total.cast("int")).alias("totalQuestions")]
-    if rules is not None:
-        held.append(F.when(F.size(rules) > 0, rules).alias("sectionMarkRules"))
-    held += [c.alias(k) for k, c in clean.items()] + [T.repair_escapes(at("codeNo", "code_no")).alias("codeNo")]
-    return F.to_json(F.struct(*held))
+    texts = ("set", "series", "marksInferred", "marksSource", "hasFigure")
+
+    def read(m: Column) -> Column:
+        at = lambda *keys: F.coalesce(*[F.nullif(F.try_element_at(m, F.lit(k)), F.lit("")) for k in keys])
+        return F.struct(at("totalQuestions", "total_questions").alias("total"), *[at(k).alias(k) for k in texts], at("codeNo", "code_no").alias("codeNo"))
+
+    def held(v: Column) -> Column:
+        total = finite(v["total"])
+        out = [F.when(total >= 1, total.cast("int")).alias("totalQuestions")]
+        if rules is not None:
+            out.append(F.when(F.size(rules) > 0, rules).alias("sectionMarkRules"))
+        return F.struct(*out, *[T.repair_escapes(v[k]).alias(k) for k in (*texts, "codeNo")])
+
+    return F.to_json(T.once(T.once(m, read), held))
 
 
 def parse_embedding(raw: Column) -> Column:

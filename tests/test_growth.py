@@ -182,3 +182,13 @@ def test_a_runs_reports_and_jobs_are_counted_once_a_paper(spark, sf, capsys):
     run = Q._run(spark, sf)
     assert "max(struct" not in _plan(run.reports, capsys)
     assert "LeftAnti" not in _plan(run.jobs, capsys)
+
+
+def test_a_metadata_map_is_built_and_read_once(spark, capsys):
+    from examlake.operators import records as R
+
+    rows = spark.createDataFrame([(12, "A"), (0, None), (None, r"a\u12")], "n int, s string")
+    facts = Q.F.create_map(Q.F.lit("totalQuestions"), Q.F.col("n").cast("string"), Q.F.lit("set"), Q.F.col("s"))
+    df = rows.withColumn("m", facts).select(R.compact_metadata(Q.F.col("m")).alias("j"))
+    assert _plan(df, capsys).count("map(totalQuestions") == 1
+    assert [r.j for r in df.collect()] == ['{"totalQuestions":12,"set":"A"}', "{}", '{"set":"a' + r"\\\\" + 'u12"}']
