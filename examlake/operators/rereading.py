@@ -90,9 +90,12 @@ def reread(rows: DataFrame, papers: DataFrame, reader: Reader, rounds: int = 1,
     keys = keys_of(rows, papers)
     final, before = written(finalize_questions(rows, papers), "questions") if final is None else final, None
     for _ in range(rounds):
-        need = written(_numbers(final, papers.select(*keys, "expected_count")), "numbers")
-        asked = need
-        if before is not None:
+        if before is None:
+            asked = need = written(_numbers(final, papers.select(*keys, "expected_count")), "numbers")
+        else:
+            # the set of a paper of which nothing was found is as it was
+            mine = [t.join(changed, keys, "left_semi") for t in (final, papers.select(*keys, "expected_count"))]
+            need = written(_numbers(*mine), "numbers")
             earlier = before.select(*keys, F.size("numbers").alias("__before"))
             asked = need.join(earlier, keys).where(F.size("numbers") < F.col("__before")).drop("__before")
         found = _read(asked, papers, reader)

@@ -192,3 +192,18 @@ def test_a_metadata_map_is_built_and_read_once(spark, capsys):
     df = rows.withColumn("m", facts).select(R.compact_metadata(Q.F.col("m")).alias("j"))
     assert _plan(df, capsys).count("map(totalQuestions") == 1
     assert [r.j for r in df.collect()] == ['{"totalQuestions":12,"set":"A"}', "{}", '{"set":"a' + r"\\\\" + 'u12"}']
+
+
+def test_a_later_round_counts_the_numbers_of_changed_papers_only(spark, monkeypatch):
+    from examlake.operators import rereading as R
+
+    text = lambda p, n: f"Explain in words why the planet {p} has {n} moons of its own"
+    rows = spark.createDataFrame([(p, n, n, text(p, n), 1.0, False) for p in range(4) for n in (1, 3)], "paper_id long, row_order long, question_no int, question_text string, marks double, has_figure boolean")
+    papers = spark.createDataFrame([(p, 5, 1, None) for p in range(4)], "paper_id long, expected_count int, n_pages int, instructions string")
+    pages = spark.createDataFrame([(2, 1, 0, 2, text(2, 2))], "paper_id long, page_no int, pos int, question_no int, question_text string")
+    asked, need, reader = [], [], R.table_reader(pages)
+    held = R.written
+    monkeypatch.setattr(R, "written", lambda df, name: need.append(sorted(r.paper_id for r in df.collect())) or held(df, name) if name == "numbers" else held(df, name))
+    R.reread(rows, papers, lambda requests: asked.append(sorted((r.paper_id, list(r.numbers)) for r in requests.collect())) or reader(requests), 3)
+    assert need == [[0, 1, 2, 3], [2]]
+    assert asked == [[(0, [2, 4, 5]), (1, [2, 4, 5]), (2, [2, 4, 5]), (3, [2, 4, 5])], [(2, [4, 5])]]
