@@ -190,7 +190,8 @@ def test_a_metadata_map_is_built_and_read_once(spark, capsys):
     rows = spark.createDataFrame([(12, "A"), (0, None), (None, r"a\u12")], "n int, s string")
     facts = Q.F.create_map(Q.F.lit("totalQuestions"), Q.F.col("n").cast("string"), Q.F.lit("set"), Q.F.col("s"))
     df = rows.withColumn("m", facts).select(R.compact_metadata(Q.F.col("m")).alias("j"))
-    assert _plan(df, capsys).count("map(totalQuestions") == 1
+    plan = _plan(df, capsys)
+    assert plan.count("map(totalQuestions") == 1 and plan.count("element_at(") <= 18
     assert [r.j for r in df.collect()] == ['{"totalQuestions":12,"set":"A"}', "{}", '{"set":"a' + r"\\\\" + 'u12"}']
 
 
